@@ -1,7 +1,7 @@
 """Secrets in texts: three fixed kinds, and strings that a primed compressor finds new.
 
 assign, access and hex are found by expression. The fourth kind, novel, is decided by zstandard: a candidate is a long
-run of token characters with a sensitive word shortly before it, and its novelty is the number of bytes that it adds to
+run of token characters, digits and letters among them, with a sensitive word shortly before it, and its novelty is the number of bytes that it adds to
 the compressed form of the text around it, with a dictionary of code and identifiers as the compressor's prefix. Words
 and identifiers cost little there; random strings cost nearly their entropy, and are reported.
 
@@ -32,7 +32,7 @@ SENSITIVE = re.compile(r"(?i)auth|bearer|credential|private|secret|signature|pas
 #: Characters before a candidate in which a sensitive word counts; characters around it that prime the compressor.
 NEAR, AROUND = 64, 512
 #: Bytes that a candidate must add for each of its characters.
-NOVEL = 0.6
+NOVEL = 0.7
 
 WORDS = (
     "abstract access account address argument array async authorization await backend base64 bearer boolean buffer "
@@ -93,7 +93,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         s, e = m.span()
         if (at := bisect_left(taken, (e,))) and ends[at - 1] > s or not SENSITIVE.search(text[max(0, s - NEAR) : s]):
             continue
-        if len(set(m[0])) >= 10 and novelty(text, s, e) >= NOVEL:
+        if len(set(m[0])) >= 10 and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and novelty(text, s, e) >= NOVEL:
             found.append((s, 3, e))
     return sorted(found)
 
