@@ -64,12 +64,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     )
-    rows = documents.where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes).select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    return (
-        rows.join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "_text").limit(max_rows)
-        .select(F.col("_text").alias("text"), F.col("_label").alias("label"))
-    )
+    short = documents.where(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes)
+    ids = short.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    ids = materialize(ids, "training-ids")  # at most max_rows ids: small enough to broadcast
+    rows = short.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(ids), "doc_id")
+    return materialize(rows.select(F.col("_text").alias("text"), F.col("_label").alias("label")), "training-rows")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -69,43 +69,39 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit(texts: list[str], labels: list[int], penalty: float = 0.001, counterfactual: float = 1.0, rounds: int = 300) -> Model:
-    y = np.array(labels, np.float64)
-    n, positives = len(y), int(y.sum())
-    if not 0 < positives < n:
-        share = positives / n if n else 0.0
-        return Model({}, math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    sets = [words_of(t) for t in texts]
-    in_one, in_zero = Counter(), Counter()
-    for s, label in zip(sets, labels):
-        (in_one if label else in_zero).update(features(s))
-
-    def z(f: str) -> float:
-        a, b = in_one[f], in_zero[f]
+def _logit(share: float) -> float:
+    return math.log(max(share, 1e-9) / max(1 - share, 1e-9))
+
+
+def choose(in_one: dict[str, int], in_zero: dict[str, int], ones: int, zeros: int) -> list[str]:
+    """Features of toxic texts whose document frequency in the two classes differs beyond chance, most telling first."""
+    n, ranked = ones + zeros, []
+    for f, a in in_one.items():
+        b = in_zero.get(f, 0)
+        if a < LEAST_DOCS or a / ones <= 4 * b / zeros:
+            continue
         p = (a + b) / n
-        return (a / positives - b / (n - positives)) / math.sqrt(p * (1 - p) * (1 / positives + 1 / (n - positives)) + 1e-12)
-
-    # words of one class alone first: their share of the other class is what tells them from a text's topic or length
-    ranked = sorted(((z(f), f) for f in in_one if in_one[f] >= LEAST_DOCS and (in_one[f] / positives) > 4 * in_zero[f] / (n - positives)), reverse=True)
-    least = LEAST_Z if n >= 1000 else 3.0
-    chosen = [f for s, f in ranked if s >= least][:MAX_FEATURES]
-    at = {f: i for i, f in enumerate(chosen)}
-    rows, cols = [], []
-    for r, s in enumerate(sets):
-        got = [at[f] for f in features(s) if f in at]
-        rows += [r] * len(got)
-        cols += got
-    rows, cols, d = np.array(rows, np.int64), np.array(cols, np.int64), len(chosen)
-    # identity terms of labelled texts, swapped: the difference of the two feature vectors, once per text and swap
+        z = (a / ones - b / zeros) / math.sqrt(p * (1 - p) * (1 / ones + 1 / zeros) + 1e-12)
+        if z >= (LEAST_Z if n >= 1000 else 3.0):
+            ranked.append((-z, f))
+    return [f for _, f in sorted(ranked)[:MAX_FEATURES]]
+
+
+def fit(names: list[str], found: list[list[int]], labels: list[int], terms: list[list[str]], penalty: float = 0.001, counterfactual: float = 1.0, rounds: int = 300) -> Model:
+    """The model of rows with the features `found` (places in names) that name the identity terms `terms`."""
+    y = np.array(labels, np.float64)
+    n, positives, d = len(y), int(y.sum()), len(names)
+    at = {f: i for i, f in enumerate(names)}
+    rows = np.repeat(np.arange(n), [len(f) for f in found])
+    cols = np.array([c for f in found for c in f], np.int64)
+    # the difference of the feature vectors of a text and of its swapped one, once per text and swap
     swaps: Counter = Counter()
     for group in IDENTITY:
-        have = set(group)
-        for s in sets:
-            for term in s & have:
-                swaps.update((term, other) for other in group if other != term)
+        for have in terms:
+            swaps.update((t, other) for t in have if t in group for other in group if other != t)
     left = [([at[f] for f in features({a}) - features({b}) if f in at], [at[f] for f in features({b}) - features({a}) if f in at], c / n) for (a, b), c in swaps.items()]
     left = [x for x in left if x[0] or x[1]]
-    w, bias = np.zeros(d), math.log(positives / (n - positives))
+    w, bias = np.zeros(d), _logit(positives / n)
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, rounds + 1):
         score = bias + np.bincount(rows, w[cols], n)
@@ -122,9 +118,50 @@ def fit(texts: list[str], labels: list[int], penalty: float = 0.001, counterfact
     return Model({f: float(w[i]) for f, i in at.items()}, float(bias))
 
 
+def _count(allowed: frozenset | None):
+    """Per partition: in how many texts each feature (of those allowed) is."""
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                f = features(words_of(t))
+                seen.update(f if allowed is None else f & allowed)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["f", "n"])
+
+    return run
+
+
+def _present(names: list[str]):
+    """Per row: its places in names, its label, the identity terms that it names."""
+    at, identity = {f: i for i, f in enumerate(names)}, frozenset(t for g in IDENTITY for t in g)
+
+    def run(batches):
+        for batch in batches:
+            sets = [words_of(t) for t in batch.column(0).to_pylist()]
+            found = [sorted(at[f] for f in features(s) if f in at) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1), pa.array([sorted(s & identity) for s in sets], pa.list_(pa.string()))], names=["found", "label", "terms"])
+
+    return run
+
+
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    rows = training_rows(documents, labels, "toxic", max_rows, max_bytes).toPandas()
-    return fit(rows["text"].tolist(), rows["label"].tolist())
+    """Counts features on the executors; the driver gets only those of toxic texts, and then each row's chosen ones."""
+    rows = training_rows(documents, labels, "toxic", max_rows, max_bytes)
+    size = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    ones, zeros = size.get(1, 0), size.get(0, 0)
+    if not ones or not zeros:
+        return Model({}, _logit(ones / (ones + zeros) if ones + zeros else 0.0))
+
+    def counts(label: int, allowed: frozenset | None, least: int) -> dict[str, int]:
+        part = rows.where(F.col("label") == label).mapInArrow(_count(allowed), "f string, n long")
+        return {r["f"]: r["n"] for r in part.groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toLocalIterator()}
+
+    in_one = counts(1, None, LEAST_DOCS)
+    names = choose(in_one, counts(0, frozenset(in_one), 1), ones, zeros)
+    found = rows.mapInArrow(_present(names), "found array<int>, label int, terms array<string>").toPandas()
+    return fit(names, found["found"].tolist(), found["label"].tolist(), found["terms"].tolist())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
