@@ -31,8 +31,10 @@ def _pieces(path: str, limit: int, end_id: int):
         encode, end = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = encode(text) + end
+            docs, rows, texts = (batch.column(i).to_pylist() for i in range(3))
+            encoded = (x for k in range(0, len(texts), 256) for x in encode.many(texts[k : k + 256]))
+            for doc, row, ids in zip(docs, rows, encoded):
+                ids += end
                 n = len(ids) // 4
                 start, k = 0, 0
                 length = (n - 1) % limit + 1

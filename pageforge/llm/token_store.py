@@ -29,7 +29,7 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [encode(t) + end for t in part.column(1).to_pylist()]
+                ids = [x + end for x in encode.many(part.column(1).to_pylist())]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"])

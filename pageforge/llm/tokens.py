@@ -1,24 +1,57 @@
 """Token ids of whole texts by a vocabulary file, with a bounded memory of word pieces.
 
 A piece is what stands between two single blanks that have no other white space beside them; both kinds of
-pre-tokenizer used here always cut there, so pieces are encoded on their own and their ids joined. Each Python worker
-remembers the ids of pieces it has met, up to MEMORY of them.
+pre-tokenizer used here always cut there, so pieces are encoded on their own and their ids joined. They also cut between
+a letter and a mark after it, so a word with a mark takes the word's ids. Each Python worker remembers the ids of pieces
+it has met, in two generations of at most MEMORY pieces. A new piece of Latin letters goes straight to the vocabulary's
+merges, as it is one pre-token; others are encoded many at a time, as one text whose ids are cut again at a separator's id.
+Both short cuts are tried on a sample when a vocabulary is loaded, and are used only where they give the same ids.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 
-#: Pieces that a worker remembers, and the longest that it does.
+#: Pieces that a worker remembers in a generation, and the longest that it does.
 MEMORY, LONGEST = 500_000, 40
 BLANK = re.compile(r"(?<=\S) (?=\S)")
+MARKS = frozenset(".,;:!?")
+#: What can stand between two pieces, each with its leading blank, and has one id of its own there.
+GLUES = ("\n", " |")
+GLUED = re.compile(r"[^\s|]+")
+SAMPLE = [" the", " word,", " x1y", " \u00e9t\u00e9.", " don't", " (a-b)", " !", " A"]
+LETTERS = ["the", "A", "Word", "\u00e9t\u00e9", "\u00c9t\u00c9", "Stra\u00dfe", "\u0141\u00f3d\u017a", "qzx"]
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(seen))}
+
+
+BYTES = byte_letters()
+
+
+def latin(text: str) -> bool:
+    """Letters alone, of the Latin blocks up to U+024F (without the capital I with a dot, which becomes two characters)."""
+    return text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text))
+
+
+def after_blank(word: str) -> str:
+    return BYTES[32] + word.encode().decode("latin-1").translate(BYTES)
+
+
+def lower_word(word: str) -> str:
+    return word.lower().encode().decode("latin-1").translate(BYTES)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,43 +61,116 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self.raw(list(MARKS))))
+        self.glue = None
+        for glue in GLUES:
+            ids = self.raw([glue])[0]
+            if len(ids) == 4 and self._cut(SAMPLE, glue, ids) == self.raw(SAMPLE):
+                self.glue = (glue, ids)
+                break
+
+        self.form = None
+        for form in (after_blank, lower_word):
+            if [self._merged(form(w)) for w in LETTERS] == self.raw([" " + w for w in LETTERS]):
+                self.form = form
+                break
+
+    def _merged(self, word: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.raw([text])[0]
-        parts, after = text.split(" "), self.after
-        try:
-            return self._first(parts[0]) + b"".join([after[p] for p in parts[1:]])
-        except KeyError:
-            pass
-        new = {p for p in parts[1:] if p not in after}
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in new) or not parts[0] or parts[0][-1].isspace():
-            parts = BLANK.split(text)
-            new = {p for p in parts[1:] if p not in after}
-        fresh = dict(zip(new, self.raw([" " + p for p in new])))
-        if len(after) + len(fresh) > MEMORY:
-            after.clear()
-            fresh |= dict(zip(old := [p for p in set(parts[1:]) if p not in fresh], self.raw([" " + p for p in old])))
-        got = after | fresh if len(after) < len(fresh) else None
-        find = (lambda p: got[p]) if got is not None else (lambda p: fresh[p] if p in fresh else after[p])
-        ids = self._first(parts[0]) + b"".join([find(p) for p in parts[1:]])
-        after.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
-        return ids
-
-    def _first(self, part: str) -> bytes:
-        if (ids := self.first.get(part)) is None:
-            ids = self.raw([part])[0]
-            if len(part) <= LONGEST:
-                if len(self.first) > MEMORY // 10:
-                    self.first.clear()
-                self.first[part] = ids
-        return ids
+    def _cut(self, texts: list[str], glue: str, mark: bytes) -> list[bytes]:
+        """The ids of texts that hold neither white space inside nor the glue's character."""
+        ids = np.array(self.tokenizer.encode_batch_fast([glue.join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        at, data = np.flatnonzero(ids == np.frombuffer(mark, "<u4")[0]) * 4, ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)])]
+
+    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces, each after a blank."""
+        form, model, pack = self.form, self.tokenizer.model, struct.pack
+        found: dict[str, bytes] = {}
+        if form:
+            for p in filter(latin, pieces):
+                ids = [t.id for t in model.tokenize(form(p))]
+                found[p] = pack(f"<{len(ids)}I", *ids)
+        plain = [p for p in pieces if self.glue and p not in found and GLUED.fullmatch(p)]
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = self._cut([" " + p for p in part], *self.glue)
+            found.update(zip(part, ids if len(ids) == len(part) else self.raw([" " + p for p in part])))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self.raw([" " + p for p in rest])))
+        return found
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Remembers new pieces; what is too long for that is returned."""
+        if len(self.after) + len(new) > MEMORY:
+            self.before, self.after = self.after, {}
+        after, before, marked, ask = self.after, self.before, [], set()
+        for p in new:
+            if (ids := before.get(p)) is not None:
+                after[p] = ids
+            elif p[-1] in MARKS and latin(stem := p[:-1]):
+                marked.append(p)
+                if stem not in after:
+                    if (ids := before.get(stem)) is not None:
+                        after[stem] = ids
+                    else:
+                        ask.add(stem)
+            else:
+                ask.add(p)
+        found = self._fresh(list(ask))
+        odd = {p: x for p, x in found.items() if len(p) > LONGEST}
+        after.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
+        for p in marked:
+            ids = (odd if len(p) > LONGEST + 1 else after)[p[:-1]] + self.marks[p[-1]]
+            (odd if len(p) > LONGEST else after)[p] = ids
+        return odd
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        found: list[bytes] = [b""] * len(texts)
+        split, new, wanted = [], set(), {}
+        known = self.after.__contains__
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special):
+                found[k] = self.raw([text])[0]
+                continue
+            parts = text.split(" ")
+            fresh = set(filterfalse(known, parts[1:]))
+            if text[0].isspace() or parts[0][-1:].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in fresh):
+                parts = BLANK.split(text)
+                # only the last piece can end in white space; it is then not for the memory
+                fresh = set(filterfalse(known, parts[1:]))
+            split.append((k, parts))
+            if fresh:
+                new |= fresh
+            wanted.setdefault(parts[0], None)
+        learned = self.after
+        odd = self._learn({p for p in new if not p[-1].isspace()}) if new else {}
+        odd |= self._fresh([p for p in new if p[-1].isspace()])
+        after, firsts = self.after, [p for p in wanted if p not in self.first]
+        if len(self.first) + len(firsts) > MEMORY // 10:
+            self.first.clear()
+            firsts = list(wanted)
+        heads = dict(zip(firsts, self.raw(firsts)))
+        self.first.update((p, x) for p, x in heads.items() if len(p) <= LONGEST)
+        if after is not learned:  # a new generation: some pieces that were known are in the last one
+            for _, parts in split:
+                again = {p for p in parts[1:] if p not in after and p not in odd}
+                after.update((p, self.before[p]) for p in again)
+        for k, parts in split:
+            head = heads[parts[0]] if parts[0] in heads else self.first[parts[0]]
+            if odd:
+                found[k] = head + b"".join([odd[p] if p in odd else after[p] for p in parts[1:]])
+            else:
+                found[k] = head + b"".join([after[p] for p in parts[1:]])
+        return found
 
 
 def encoder(path: str) -> Encoder:
