@@ -2,8 +2,8 @@
 
 Every page gives a request, a response (or a revisit, where an earlier page has the same payload) and a metadata
 record, tied together by WARC-Concurrent-To. Records are text, so Spark's own writer puts them into any store and
-commits them safely: the two line ends that close a record are the writer's line separator. Files are read whole, one
-at a time and of bounded size, and cut by Content-Length. Captures are assembled by a join through the concurrent-to
+commits them safely, compressed: the two line ends that close a record are the writer's line separator. Files are read
+whole, one at a time and of bounded size, and cut by Content-Length. Captures are assembled by a join through the concurrent-to
 ids, one nested row each.
 
 Defined results: null html is an empty payload; payloads under LEAST bytes are always responses; of rows that repeat a
@@ -12,6 +12,7 @@ page_id with one payload, the first is the response; other columns are ignored;
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pageforge.llm.common import new_path
 
 LEAST = 100
-#: Bytes of a file, roughly.
+#: Bytes of a file before compression, roughly.
 FILE = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -66,8 +67,9 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE) -> None:
     """Writes the pages' records as WARC files under path."""
-    size = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 1500)).first()[0] or 0
-    records(pages, least).repartition(max(1, -(-int(size) // file_bytes))).write.option("lineSep", END).text(path)
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))) + 1500)).first()[0] or 1
+    # files are cut by rows, not by another shuffle of the payloads
+    records(pages, least).write.option("maxRecordsPerFile", max(1, int(file_bytes / mean))).option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes):
@@ -99,7 +101,8 @@ def _read(with_payload: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for head, block in parse(content.as_py()):
+                data = content.as_py()
+                for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind, size, sha, page, payload = head["warc-type"], None, None, None, None
                     if kind in ("response", "revisit"):
                         raw = bytes(block)
