@@ -21,6 +21,22 @@ def stats(words: DataFrame) -> DataFrame:
     return found.selectExpr("*", "round(avg_a * (1 + least(chars / 200D, 5D)), 9) AS score_a", "round(avg_b * (1 + least(chars / 200D, 5D)), 9) AS score_b")
 
 
+def list_stats(words: str, name: str) -> list[str]:
+    """The same figures as SQL over a page's array of words (text, conf 0..1, x1, y1, x2, y2), suffixed by name."""
+    total = lambda value: f"aggregate({words}, 0D, (s, w) -> s + CAST({value} AS DOUBLE))"
+    n, conf, height = f"size({words})", total("coalesce(w.conf, 0)"), total("w.y2 - w.y1")
+    mean = f"coalesce({conf} / nullif({n}, 0), 0D)"
+    chars = total(r"length(regexp_replace(w.text, '^[\\s\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x1c-\\x1f\\x85\\p{Z}]+\\z', ''))")
+    def cv(value: str, s: str) -> str:
+        spread = total(f"pow({value} - ({s}) / {n}, 2)")
+        return f"CASE WHEN {n} < 2 OR {s} <= 0 THEN 0D ELSE sqrt({spread} / {n}) / ({s} / {n}) END"
+    return [
+        f"{n} AS n_{name}", f"{chars} AS chars_{name}", f"{mean} AS avg_{name}", f"{mean} * (1 + least({chars} / 200D, 5D)) AS score_{name}",
+        f"coalesce({total('IF(w.conf >= 0.5D, 1, 0)')} / nullif({n}, 0), 0D) AS ratio_{name}",
+        f"IF({n} >= 5, {cv('(w.y2 - w.y1)', height)}, 0D) AS height_cv_{name}", f"{cv('coalesce(w.conf, 0)', conf)} AS conf_cv_{name}",
+    ]
+
+
 HANDWRITTEN = """CASE WHEN n = 0 THEN false WHEN chars >= 100 AND avg_a >= 0.78D THEN false WHEN chars >= 150 AND avg_a >= 0.72D THEN false
  WHEN n >= 8 AND height_cv > 0.35D AND avg_a < 0.70D THEN true WHEN n >= 10 AND conf_cv > 0.45D AND avg_a < 0.68D THEN true
  WHEN chars >= 30 AND avg_a < 0.72D AND edge >= 22.0D THEN true WHEN chars >= 15 AND avg_a < 0.60D AND edge >= 25.0D THEN true ELSE false END"""

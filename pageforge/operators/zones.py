@@ -45,9 +45,14 @@ def zone_rows(zoned: DataFrame) -> DataFrame:
     return rows.select("doc_id", "zone", "row_no", strip(F.array_join(F.transform("o", lambda s: s["part"]), "")).alias("row_text"))
 
 
-def tagged_text(rows: DataFrame) -> DataFrame:
-    """doc_id, tagged: the page's zones in fixed order, each row indented under its zone's tag."""
+def zone_blocks(rows: DataFrame) -> DataFrame:
+    """doc_id, block: the page's zones in fixed order, each row indented under its zone's tag."""
     rank = F.expr("CASE zone WHEN 'HEADER' THEN 0 WHEN 'SIDEBAR' THEN 1 WHEN 'BODY' THEN 2 ELSE 3 END")
     zones = rows.groupBy("doc_id", "zone").agg(F.array_sort(F.collect_list(F.struct("row_no", "row_text"))).alias("o"))
     zones = zones.select("doc_id", rank.alias("k"), F.concat(F.lit("<"), F.col("zone"), F.lit(">\n"), F.array_join(F.transform("o", lambda s: F.concat(F.lit("  "), s["row_text"])), "\n")).alias("block"))
-    return zones.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("o")).select("doc_id", F.concat(F.lit("\n<PAGE 1>\n"), F.array_join(F.transform("o", lambda s: s["block"]), "\n")).alias("tagged"))
+    return zones.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("o")).select("doc_id", F.array_join(F.transform("o", lambda s: s["block"]), "\n").alias("block"))
+
+
+def tagged_text(rows: DataFrame) -> DataFrame:
+    """doc_id, tagged: each page as the first one of its document."""
+    return zone_blocks(rows).select("doc_id", F.concat(F.lit("\n<PAGE 1>\n"), F.col("block")).alias("tagged"))

@@ -7,8 +7,11 @@ Recognition of pixels is a plug-in: a WordExtractor gets an image and gives word
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 from xml.etree import ElementTree
 
@@ -27,6 +30,21 @@ class WordExtractor(Protocol):
         """(text, confidence 0..1, x1, y1, x2, y2) of each word."""
 
 
+@dataclass(frozen=True)
+class Readers:
+    """Plug-ins for formats that need a library of their own; without one, a file of that format gives an error row.
+
+    pdf_text(content, max_pages): each page's native text. pdf_images(content, max_pages, dpi): each page as an image.
+    convert(content, suffix): the PDF of an old office file. frames(content, max_pages): the frames of a TIFF (without
+    it, the file is one image).
+    """
+
+    pdf_text: Callable[[bytes, int], list[str]] | None = None
+    pdf_images: Callable[[bytes, int, int], list[bytes]] | None = None
+    convert: Callable[[bytes, str], bytes] | None = None
+    frames: Callable[[bytes, int], list[bytes]] | None = None
+
+
 def options(dpi: int = 150, max_pages: int = 5, preset: str = "auto") -> dict:
     """Checked options: dpi 72 to 600, pages 1 to 200, a known preset (another one means auto)."""
     if not 72 <= dpi <= 600 or not 1 <= max_pages <= 200:
@@ -35,11 +53,12 @@ def options(dpi: int = 150, max_pages: int = 5, preset: str = "auto") -> dict:
     return {"dpi": dpi, "max_pages": max_pages, "preset": p if p in ("auto", "clean_doc", "photo", "low_light") else "auto"}
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """doc, suffix, input_type, content of the files with allowed suffixes, in either case."""
+def files(spark: SparkSession, path: str | list[str], key: str = "filename") -> DataFrame:
+    """doc (the filename, or with key="path" the whole path), suffix, input_type, content of the files with allowed
+    suffixes, in either case."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = dispatch(found.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "content"))
-    return named.where("allowed").select(F.col("filename").alias("doc"), "suffix", "input_type", "content")
+    return named.where("allowed").select(F.col(key).alias("doc"), "suffix", "input_type", "content")
 
 
 def batch(spark: SparkSession, path: str) -> DataFrame:
@@ -57,37 +76,95 @@ def _texts(xml: bytes, paragraph: str) -> list[str]:
     return [t.strip() for t in joined if t.strip()]
 
 
-def office_pages(name: str, content: bytes, max_pages: int) -> list[tuple]:
-    """Rows (page_index, native_text, image): a text page and up to max_pages pictures, or one row per slide."""
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """Relation id: (kind, path inside the archive) of what a part refers to."""
+    folder, name = posixpath.split(part)
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    found = ElementTree.fromstring(z.read(rels))
+    return {r.get("Id", ""): (r.get("Type", "").rpartition("/")[2], posixpath.normpath(posixpath.join(folder, r.get("Target", ""))).lstrip("/")) for r in found if r.get("TargetMode") != "External"}
+
+
+def _slides(z: zipfile.ZipFile) -> list[str]:
+    """Slide parts in the order of the presentation; by number where it names none."""
+    main, names = "ppt/presentation.xml", set(z.namelist())
+    if main in names:
+        parts = {k: path for k, (kind, path) in _targets(z, main).items() if kind == "slide"}
+        ids = [v for e in ElementTree.fromstring(z.read(main)).iter() if e.tag.endswith("}sldId") for k, v in e.attrib.items() if k.endswith("}id")]
+        if found := [parts[i] for i in ids if parts.get(i) in names]:
+            return found
+    numbered = [m for m in (re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n) for n in names) if m]
+    return [m[0] for m in sorted(numbered, key=lambda m: int(m[1]))]
+
+
+def _picture(z: zipfile.ZipFile, slide: str) -> bytes | None:
+    """The first picture of a slide, in the order of its shapes."""
+    parts, names = _targets(z, slide), set(z.namelist())
+    for e in ElementTree.fromstring(z.read(slide)).iter():
+        if e.tag.endswith("}blip"):
+            for k, v in e.attrib.items():
+                if k.endswith("}embed") and parts.get(v, ("", ""))[1] in names and not parts[v][1].lower().endswith((".wmf", ".emf")):
+                    return z.read(parts[v][1])
+    return None
+
+
+def office_pages(suffix: str, content: bytes, max_pages: int) -> list[tuple]:
+    """Rows (page_index, native_text, image): a text page and up to max_pages pictures, or one row per slide, with its
+    text and its first picture."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
-        if name.lower().endswith(".docx"):
+        if suffix == ".docx":
             pictures = [n for n in names if n.startswith("word/media/") and not n.lower().endswith((".wmf", ".emf"))][:max_pages]
             text = "\n".join(_texts(z.read("word/document.xml"), "}p")) if "word/document.xml" in names else ""
             return [(0, text, None), *((k + 1, None, z.read(n)) for k, n in enumerate(pictures))]
-        slides = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))[:max_pages]
-        return [(k, "\n".join(_texts(z.read(n), "}p")), None) for k, (_, n) in enumerate(slides)]
+        return [(k, "\n".join(_texts(z.read(n), "}p")), _picture(z, n)) for k, n in enumerate(_slides(z)[:max_pages])]
+
+
+#: Characters from which on a page has native text.
+NATIVE = 200
 
 
-def page_sources(found: DataFrame, max_pages: int = 5) -> DataFrame:
+def pdf_pages(content: bytes, max_pages: int, dpi: int, readers: Readers) -> list[tuple]:
+    """Native texts of all pages if one has enough of it, else images; images are made only then."""
+    texts = [t.strip() for t in readers.pdf_text(content, max_pages)][:max_pages] if readers.pdf_text else []
+    if any(len(t) >= NATIVE for t in texts):
+        return [(k, t, None) for k, t in enumerate(texts)]
+    if not readers.pdf_images:
+        raise ValueError("no plug-in makes images of PDF pages")
+    return [(k, None, i) for k, i in enumerate(readers.pdf_images(content, max_pages, dpi)[:max_pages])]
+
+
+def file_pages(suffix: str, content: bytes, max_pages: int, dpi: int, readers: Readers) -> list[tuple]:
+    """Rows (page_index, native_text, image) of one file."""
+    if suffix in (".doc", ".ppt"):
+        if not readers.convert:
+            raise ValueError("no plug-in converts old office files")
+        suffix, content = ".pdf", readers.convert(content, suffix)
+    if suffix == ".pdf":
+        return pdf_pages(content, max_pages, dpi, readers)
+    if suffix in (".docx", ".pptx"):
+        return office_pages(suffix, content, max_pages)
+    images = readers.frames(content, max_pages)[:max_pages] if readers.frames and suffix in (".tif", ".tiff") else [content]
+    return [(k, None, i) for k, i in enumerate(images)]
+
+
+def page_sources(found: DataFrame, max_pages: int = 5, dpi: int = 150, readers: Readers = Readers()) -> DataFrame:
     """doc, page_index, native_text, image, error: one row per page; a file that can't be read gives a row with its error."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, kind, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for doc, suffix, content in zip(*(b.column(i) for i in range(3))):
+                name = doc.as_py()
                 try:
-                    if kind in ("docx", "pptx"):
-                        rows += [(doc, k, t, i, None) for k, t, i in office_pages(doc, content, max_pages)]
-                    else:
-                        rows.append((doc, 0, None, content, None))
+                    rows = [(name, k, t, i, None) for k, t, i in file_pages(suffix.as_py(), content.as_py(), max_pages, dpi, readers)]
                 except Exception as e:  # noqa: BLE001  one bad file is a row, not a failed job
-                    rows.append((doc, 0, None, None, f"{type(e).__name__}: {e}"))
-            if rows:
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "page_index", "native_text", "image", "error"])
+                    rows = [(name, 0, None, None, f"{type(e).__name__}: {e}")]
+                if rows:  # a file at a time: its pages' images are what memory holds
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc", "page_index", "native_text", "image", "error"])
 
-    return found.select("doc", "input_type", "content").mapInArrow(run, PAGES)
+    return found.select("doc", "suffix", "content").mapInArrow(run, PAGES)
 
 
 def extract_words(pages: DataFrame, extractor: WordExtractor) -> DataFrame:

@@ -1,21 +1,9 @@
-import io
-import zipfile
-
 import pytest
 
 from pageforge.functions import fields, text
 from pageforge.sources import documents
 from pageforge.streaming.watch import watch
-
-
-def docx(texts, pictures):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in texts)
-        z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>')
-        for name in pictures:
-            z.writestr(f"word/media/{name}", b"picture")
-    return out.getvalue()
+from tests_support import docx
 
 
 @pytest.fixture
