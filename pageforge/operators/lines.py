@@ -17,13 +17,15 @@ FOLD = """aggregate(o, CAST(struct(0D AS m, 0 AS k, -1 AS line, array() AS ids)
 
 
 def group_lines(words: DataFrame) -> DataFrame:
-    """words with line_no: sorted by vertical centre, a word joins the line while it is within the threshold of its mean."""
-    page = words.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(((F.col("y1") + F.col("y2")) / 2.0).cast("double").alias("yc"), "x1", "seq"))).alias("o"),
-        F.sort_array(F.collect_list(F.greatest(F.lit(1), F.col("y2") - F.col("y1")))).alias("h"),
-    ).withColumn("thr", F.expr("greatest(8D, 0.65D * h[CAST(size(h) div 2 AS INT)])"))
-    lines = page.select("doc_id", F.explode(F.arrays_zip("o", F.expr(FOLD).alias("line_no"))).alias("x")).select("doc_id", F.col("x.o.seq").alias("seq"), F.col("x.line_no").alias("line_no"))
-    return words.join(lines, ["doc_id", "seq"])
+    """words with line_no: sorted by vertical centre, a word joins the line while it is within the threshold of its mean.
+
+    Whole words travel in their page's array, so one shuffle by page serves this and every step by page or line after it.
+    """
+    own = [c for c in words.columns if c != "doc_id"]
+    yc = ((F.col("y1") + F.col("y2")) / 2.0).cast("double").alias("yc")
+    page = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(yc, "x1", "seq", F.struct(*own).alias("own")))).alias("o"))
+    page = page.withColumn("h", F.expr("sort_array(transform(o, w -> greatest(1, w.own.y2 - w.own.y1)))")).withColumn("thr", F.expr("greatest(8D, 0.65D * h[CAST(size(h) div 2 AS INT)])"))
+    return page.select("doc_id", F.explode(F.arrays_zip("o", F.expr(FOLD).alias("line_no"))).alias("x")).select("doc_id", *[F.col("x.o.own")[c].alias(c) for c in own], F.col("x.line_no").alias("line_no"))
 
 
 def lines(grouped: DataFrame, conf: str = "ca") -> DataFrame:

@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from pageforge.functions.text import strip
 
 
+BAND = "filter(o, w -> (w.y1 + w.y2) / 2D > 0.15D * h_px AND (w.y1 + w.y2) / 2D < 0.85D * h_px)"
+#: Stretches of the pixel columns lo to hi that words of the band cover, by their starts.
+COVER = "array_sort(transform(filter(band, w -> w.x2 > w.x1 AND w.x1 < hi AND w.x2 > lo), w -> struct(greatest(w.x1, lo) AS a, least(w.x2, hi) AS b)))"
+#: The widest stretch that is not covered, the first of several: p is how far the cover reaches, n and s its length and start.
+GAP = f"""aggregate(concat({COVER}, array(struct(hi AS a, hi AS b))), named_struct('p', lo, 'n', 0, 's', lo),
+ (g, c) -> named_struct('p', greatest(g.p, c.b), 'n', greatest(g.n, c.a - g.p), 's', IF(c.a - g.p > g.n, g.p, g.s)))"""
+
+
+def _pages(words: DataFrame) -> DataFrame:
+    """One row per page: its words as an array (o), w_px, h_px, median_h, sidebar."""
+    own = [c for c in words.columns if c not in ("doc_id", "w_px", "h_px")]
+    page = words.groupBy("doc_id").agg(F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.collect_list(F.struct(*own)).alias("o"))
+    page = page.withColumn("h", F.expr("sort_array(transform(o, w -> w.y2 - w.y1))")).withColumn("band", F.expr(BAND))
+    page = page.withColumn("lo", F.expr("CAST(w_px * 0.10D AS INT)")).withColumn("hi", F.expr("CAST(w_px * 0.25D AS INT)"))
+    page = page.withColumn("gap", F.expr(f"CASE WHEN w_px > 1.1D * h_px AND size(band) > 0 THEN {GAP} END"))
+    return page.select(
+        "doc_id", "w_px", "h_px", "o", F.expr("(h[CAST((size(h) - 1) div 2 AS INT)] + h[CAST(size(h) div 2 AS INT)]) / 2D").alias("median_h"),
+        F.expr("CASE WHEN gap.n > 0.02D * w_px THEN least(gap.s + gap.n / 2D, 0.22D * w_px) ELSE -1D END").alias("sidebar"),
+    )
+
+
 def geometry(words: DataFrame) -> DataFrame:
     """Per page: median_h, sidebar (the gutter's middle, or -1): the widest run of pixel columns between 0.10 and 0.25 of the
     width that no word of the middle band covers, on landscape pages, if it is wider than 0.02 of the width."""
-    page = words.groupBy("doc_id", "w_px", "h_px").agg(F.median(F.col("y2") - F.col("y1")).alias("median_h"))
-    band = words.withColumn("lo", F.expr("CAST(w_px * 0.10D AS INT)")).withColumn("hi", F.expr("CAST(w_px * 0.25D AS INT)")).where("w_px > 1.1D * h_px AND (y1 + y2) / 2D > 0.15D * h_px AND (y1 + y2) / 2D < 0.85D * h_px")
-    # covered stretches of the band, and one at each end; the gaps lie between a stretch and all before it
-    cover = band.where("x1 < hi AND x2 > lo").selectExpr("doc_id", "w_px", "greatest(x1, lo) AS a", "least(x2, hi) AS b")
-    ends = band.groupBy("doc_id", "w_px", "lo", "hi").agg(F.lit(1)).selectExpr("doc_id", "w_px", "explode(array(struct(lo AS a, lo AS b), struct(hi AS a, hi AS b))) AS x").selectExpr("doc_id", "w_px", "x.a", "x.b")
-    before = Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = cover.unionByName(ends).withColumn("p", F.max("b").over(before)).where("p IS NOT NULL AND a > p").selectExpr("doc_id", "w_px", "p AS start", "a - p AS len")
-    widest = gaps.groupBy("doc_id", "w_px").agg(F.max(F.struct("len", (-F.col("start")).alias("back"))).alias("g"))
-    side = widest.where("g.len > 0.02D * w_px").selectExpr("doc_id", "least(-g.back + g.len / 2D, 0.22D * w_px) AS sidebar")
-    return page.join(side, "doc_id", "left").withColumn("sidebar", F.coalesce("sidebar", F.lit(-1.0)))
+    return _pages(words).drop("o")
 
 
 ZONE = "CASE WHEN (y1 + y2) / 2D < 0.12D * h_px THEN 'HEADER' WHEN (y1 + y2) / 2D > 0.92D * h_px THEN 'FOOTER' WHEN sidebar <> -1 AND (x1 + x2) / 2D < sidebar THEN 'SIDEBAR' ELSE 'BODY' END"
@@ -30,8 +42,10 @@ ROWS = """aggregate(o, CAST(struct(0D AS y, -1 AS r, array() AS ids) AS struct<y
 
 
 def classify(words: DataFrame) -> DataFrame:
-    """words with median_h, sidebar and zone."""
-    return words.join(geometry(words).drop("w_px", "h_px"), "doc_id").withColumn("zone", F.expr(ZONE))
+    """words with median_h, sidebar and zone; one shuffle by page, which the steps after it share."""
+    own = [c for c in words.columns if c not in ("doc_id", "w_px", "h_px")]
+    word = _pages(words).select("doc_id", "w_px", "h_px", "median_h", "sidebar", F.explode("o").alias("w"))
+    return word.select("doc_id", *[F.col("w")[c].alias(c) for c in own], "w_px", "h_px", "median_h", "sidebar").withColumn("zone", F.expr(ZONE))
 
 
 def zone_rows(zoned: DataFrame) -> DataFrame:
