@@ -30,6 +30,17 @@ def normalize_rows(raw: DataFrame) -> DataFrame:
     return raw.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("conf", F.round(conf, 6)).withColumn("x2", F.col("x1") + F.col("width")).withColumn("y2", F.col("y1") + F.col("height")).drop("conf_raw", "width", "height")
 
 
+def single_char(raw: DataFrame, *keys: str) -> DataFrame:
+    """Per key, of raw rows (seq, text, conf_raw): the first character of the joined text, and the mean of the valid confidences,
+    0..1."""
+    conf = F.expr("try_cast(conf_raw AS DOUBLE)")
+    found = raw.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("t"),
+        F.sum(F.when(conf >= 0, conf)).alias("s"), F.count_if(conf >= 0).alias("k"),
+    )
+    return found.select(*keys, F.left(strip(F.col("t")), F.lit(1)).alias("char"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("s") / F.nullif(F.col("k"), F.lit(0)), F.lit(0.0)) / 100)), 6).alias("conf"))
+
+
 def columnar(raw: DataFrame, names: list[str]) -> DataFrame:
     """Parallel array columns into rows."""
     return raw.select(F.explode(F.arrays_zip(*names)).alias("r")).select("r.*")

@@ -41,3 +41,11 @@ def lines(grouped: DataFrame, conf: str = "ca") -> DataFrame:
 def page_text(found: DataFrame) -> DataFrame:
     """One row per page: its lines' texts, one under the other."""
     return found.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_text"))), lambda s: s["line_text"]), "\n").alias("t"), F.count("*").alias("n_lines")).select("doc_id", strip(F.col("t")).alias("page_text"), "n_lines")
+
+
+def flatten(pages: DataFrame) -> DataFrame:
+    """doc_id, line_no, word_no, text, bbox, w_px, h_px: the words of pages' nested lines, in order; a line without words
+    stands for one, and a missing or zero size is 1920 by 1080."""
+    line = pages.select("doc_id", *[F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(d)).alias(o) for c, d, o in (("width", 1920, "w_px"), ("height", 1080, "h_px"))], F.posexplode("lines").alias("line_no", "l"))
+    words = F.expr("IF(size(coalesce(l.words, array())) = 0, array(struct(l.text AS text, l.bbox AS bbox)), transform(l.words, w -> struct(w.text AS text, w.bbox AS bbox)))")
+    return line.select("doc_id", "line_no", "w_px", "h_px", F.posexplode(words).alias("word_no", "w")).select("doc_id", "line_no", "word_no", "w.text", "w.bbox", "w_px", "h_px")

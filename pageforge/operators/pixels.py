@@ -20,6 +20,16 @@ def edge(px: str = "px") -> str:
     return f"({across}) / 56D + ({down}) / 56D"
 
 
+def luma(red: str, green: str, blue: str) -> str:
+    """Gray levels of three arrays, as SQL, in ten-thousandths: whole numbers, so that sums don't depend on their order."""
+    return f"transform({red}, (v, k) -> CAST(2989 * v + 5870 * {green}[k] + 1140 * {blue}[k] AS BIGINT))"
+
+
+def dark(found: DataFrame, least: int, below: int = 128) -> DataFrame:
+    """vec_id, n_dark (pixels below a level), enough (at least so many of them)."""
+    return found.selectExpr("vec_id", f"size(filter(px, v -> v < {below})) AS n_dark").withColumn("enough", F.col("n_dark") >= least)
+
+
 def level(found: DataFrame) -> DataFrame:
     """vec_id, mean, sd (population), preset: dark tiles, tiles of strong contrast, and clean ones."""
     s, q = "aggregate(px, 0L, (a, v) -> a + v)", "aggregate(px, 0L, (a, v) -> a + CAST(v AS BIGINT) * v)"

@@ -18,7 +18,7 @@ def stats(words: DataFrame) -> DataFrame:
     # sums of integers, divided once: the same on any partitioning
     cv = lambda s, q: f"CASE WHEN n < 2 OR {s} <= 0 THEN 0D ELSE sqrt(greatest(0D, CAST(n * {q} - {s} * {s} AS DOUBLE))) / {s} END"
     found = found.selectExpr("doc_id", "n", "chars", "round(sa / (n * 100D), 9) AS avg_a", "round(sb / (n * 100D), 9) AS avg_b", "round(above_b / CAST(n AS DOUBLE), 9) AS ratio_b", f"round({cv('sh', 'qh')}, 9) AS height_cv", f"round({cv('sa', 'qa')}, 9) AS conf_cv")
-    return found.selectExpr("*", "round(avg_a * (1 + least(chars / 200D, 5D)), 9) AS score_a", "round(avg_b * (1 + least(chars / 200D, 5D)), 9) AS score_b")
+    return found.selectExpr("*", "avg_a * (1 + least(chars / 200D, 5D)) AS score_a", "avg_b * (1 + least(chars / 200D, 5D)) AS score_b")
 
 
 def list_stats(words: str, name: str) -> list[str]:
@@ -50,10 +50,10 @@ def route(page_stats: DataFrame, edges: DataFrame) -> DataFrame:
     return page_stats.join(edges, "doc_id", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0))).withColumn("handwritten", F.expr(HANDWRITTEN)).withColumn("engine_used", F.expr(ROUTE))
 
 
-def forced(engine: str, routed):
-    """The engine that a caller asks for, or else the routed one."""
-    e = engine.strip().lower()
-    return F.lit("paddleocr(forced)") if e == "paddle" else F.lit("tesseract(forced)") if e == "tesseract" else routed
+def forced(engine, routed):
+    """The engine that a caller asks for (a name, or a column of names), or else the routed one."""
+    e = F.lower(strip(F.lit(engine) if isinstance(engine, str) else engine))
+    return F.when(e == "paddle", F.lit("paddleocr(forced)")).when(e == "tesseract", F.lit("tesseract(forced)")).otherwise(routed)
 
 
 def final_words(words: DataFrame, routes: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ LINES = f"""{WORDS}, {FOLD}, line_rows AS (SELECT doc_id, line_no, round(sum(ca)
 CV = "CASE WHEN count(*) < 2 OR sum({0}) <= 0 THEN 0 ELSE sqrt(greatest(0, CAST(count(*) * sum({0} * {0}) - sum({0}) * sum({0}) AS DOUBLE))) / sum({0}) END"
 STATS = f"""{WORDS}, s0 AS (SELECT doc_id, count(*) AS n, CAST(sum(length({strip('text')})) AS BIGINT) AS chars, round(sum(ca) / (count(*) * 100.0::DOUBLE), 9) AS avg_a, round(sum(cb) / (count(*) * 100.0::DOUBLE), 9) AS avg_b,
  round(count(*) FILTER (WHERE cb >= 50) / count(*)::DOUBLE, 9) AS ratio_b, round({CV.format('(y2 - y1)')}, 9) AS height_cv, round({CV.format('ca')}, 9) AS conf_cv FROM words GROUP BY doc_id),
- stats AS (SELECT *, round(avg_a * (1 + least(chars / 200.0::DOUBLE, 5)), 9) AS score_a, round(avg_b * (1 + least(chars / 200.0::DOUBLE, 5)), 9) AS score_b FROM s0)"""
+ stats AS (SELECT *, avg_a * (1 + least(chars / 200.0::DOUBLE, 5)) AS score_a, avg_b * (1 + least(chars / 200.0::DOUBLE, 5)) AS score_b FROM s0)"""
 TILES = "tiles AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(trunc(least(255, greatest(0, (CAST(v AS DOUBLE) + 0.5) * 255))) AS INTEGER)) AS px FROM embeddings)"
 PIXELS = "pixels AS (SELECT vec_id, label, k, k // 8 AS y, k % 8 AS x, px[k + 1] AS v FROM tiles, (SELECT unnest(range(64)) AS k))"
 EDGE = "edges AS (SELECT a.vec_id, sum(CASE WHEN b.x = a.x - 1 THEN abs(a.v - b.v) END) / 56.0::DOUBLE + sum(CASE WHEN b.y = a.y - 1 THEN abs(a.v - b.v) END) / 56.0::DOUBLE AS e FROM pixels a JOIN pixels b ON a.vec_id = b.vec_id AND ((a.y = b.y AND b.x = a.x - 1) OR (a.x = b.x AND b.y = a.y - 1)) GROUP BY a.vec_id)"
@@ -108,4 +108,14 @@ SELECT *, suffix IN ('.pdf','.doc','.docx','.ppt','.pptx','.jpg','.jpeg','.png',
  d AS (SELECT token AS term, freq FROM c WHERE freq >= 40), a AS (SELECT token FROM c WHERE freq = 2 AND length(token) <= 7),
  r AS (SELECT a.token, d.term, row_number() OVER (PARTITION BY a.token ORDER BY levenshtein(a.token, d.term), d.freq DESC, d.term) AS k FROM a JOIN d ON abs(length(a.token) - length(d.term)) <= 2 AND levenshtein(a.token, d.term) <= 2)
  SELECT a.token, coalesce(term, a.token) AS repaired FROM a LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (token)""",
+    "digital_text": f"WITH {TURNS} SELECT conv_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_index) FILTER (WHERE t <> ''), '') AS full_text FROM turns GROUP BY conv_id HAVING count(*) FILTER (WHERE length(t) >= 200) > 0",
+    "dark_pixels": f"WITH {TILES} SELECT vec_id, CAST(len(list_filter(px, lambda v: v < 128)) AS INTEGER) AS n_dark, n_dark >= 32 AS enough FROM tiles",
+    "tile_gray": f"WITH {TILES}, {PIXELS}, g AS (SELECT vec_id, CAST(2989 * px[k + 1] + 5870 * px[(k + 1) % 64 + 1] + 1140 * px[(k + 2) % 64 + 1] AS BIGINT) AS v FROM tiles, (SELECT unnest(range(64)) AS k)) SELECT vec_id, CAST(sum(v) AS DOUBLE) / 640000.0::DOUBLE AS mean_luma, CAST(max(v) AS DOUBLE) / 10000.0::DOUBLE AS max_luma FROM g GROUP BY vec_id",
+    "engine_forced": f"WITH {ROUTES} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'paddleocr(forced)' WHEN 1 THEN 'tesseract(forced)' ELSE engine_used END AS engine_used FROM routes",
+    "page_debug": f"WITH RECURSIVE {ROUTES}, {FOLD}, c AS (SELECT doc_id, count(DISTINCT line_no) AS lines_count FROM grouped GROUP BY doc_id) SELECT doc_id, engine_used, n AS words_count, lines_count, CASE WHEN engine_used LIKE 'paddle%' THEN score_a ELSE score_b END AS score FROM routes JOIN c USING (doc_id)",
+    "single_char": f"WITH {WORDS}, r AS (SELECT doc_id, CAST(seq // 3 AS INTEGER) AS cell, seq, CASE WHEN seq % 17 = 0 THEN ' ' ELSE text END AS t, CASE WHEN seq % 11 <> 0 AND seq % 13 <> 0 THEN ca END AS c FROM words) SELECT doc_id, cell, left({strip("string_agg(t, '' ORDER BY seq)")}, 1) AS char, round(coalesce(sum(c) / count(c)::DOUBLE, 0) / 100, 6) AS conf FROM r GROUP BY doc_id, cell",
+    "flatten_words": f"""WITH RECURSIVE {WORDS}, {FOLD}, g AS (SELECT doc_id, line_no, x1, y1, x2, y2, text, seq, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY x1, y1, seq) - 1 AS INTEGER) AS word_no FROM words JOIN grouped USING (doc_id, seq)),
+ u AS (SELECT doc_id, line_no, word_no, text, x1 || ',' || y1 || ',' || x2 || ',' || y2 AS bbox FROM g WHERE line_no % 2 = 0 UNION ALL
+ SELECT doc_id, line_no, 0, string_agg(text, ' ' ORDER BY x1, y1, seq), min(x1) || ',' || min(y1) || ',' || max(x2) || ',' || max(y2) FROM g WHERE line_no % 2 = 1 GROUP BY doc_id, line_no)
+ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, word_no, text, bbox, CASE WHEN doc_id % 3 = 0 THEN 1920 ELSE 1600 END AS w_px, CASE WHEN doc_id % 3 = 1 THEN 1080 ELSE 1200 END AS h_px FROM u""",
 }

@@ -242,3 +242,55 @@ def nested_pages(spark, sf):
     line = F.struct("line_no", F.col("line_text").alias("text"), "conf", F.array("bx1", "by1", "bx2", "by2").alias("bbox"))
     page = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     return page.selectExpr("doc_id", "CAST(size(lines) AS BIGINT) AS n_lines", "lines[0].text AS first_line", "array_max(transform(lines, l -> l.bbox[2])) AS right_edge")
+
+
+@query
+def digital_text(spark, sf):
+    """Native text of documents that have a page of enough of it: pages that aren't empty, joined."""
+    found = turns(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "t"))).alias("o")).where("exists(o, x -> length(x.t) >= 200)")
+    return found.select("conv_id", F.expr("array_join(transform(filter(o, x -> x.t <> ''), x -> x.t), '\\n\\n')").alias("full_text"))
+
+
+@query
+def dark_pixels(spark, sf):
+    return pixels.dark(tiles(spark, sf), 32)
+
+
+@query
+def tile_gray(spark, sf):
+    """Tiles as three channels, each the other by one pixel on, into luma."""
+    channel = lambda by: f"transform(px, (v, k) -> px[(k + {by}) % 64])"
+    gray = tiles(spark, sf).selectExpr("vec_id", f"{pixels.luma('px', channel(1), channel(2))} AS g")
+    return gray.selectExpr("vec_id", "aggregate(g, 0L, (s, v) -> s + v) / 640000D AS mean_luma", "array_max(g) / 10000D AS max_luma")
+
+
+@query
+def engine_forced(spark, sf):
+    asked = F.element_at(F.array(F.lit("paddle"), F.lit(" Tesseract "), F.lit("auto")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return routed(spark, sf).select("doc_id", routing.forced(asked, F.col("engine_used")).alias("engine_used"))
+
+
+@query
+def page_debug(spark, sf):
+    """Per page: the engine, the number of its words and lines, its score."""
+    count = line_agg(spark, sf).groupBy("doc_id").agg(F.count("*").alias("lines_count"))
+    own = F.when(F.startswith(F.col("engine_used"), F.lit("paddle")), F.col("score_a")).otherwise(F.col("score_b"))
+    return routed(spark, sf).join(count, "doc_id").select("doc_id", "engine_used", F.col("n").alias("words_count"), "lines_count", own.alias("score"))
+
+
+@query
+def single_char(spark, sf):
+    raw = words(spark, sf).selectExpr("doc_id", "CAST(seq div 3 AS INT) AS cell", "seq", "IF(seq % 17 = 0, ' ', text) AS text", "CASE WHEN seq % 11 = 0 THEN '-1' WHEN seq % 13 = 0 THEN 'n/a' ELSE CAST(ca AS STRING) END AS conf_raw")
+    return extract.single_char(raw, "doc_id", "cell")
+
+
+@query
+def flatten_words(spark, sf):
+    """Nested lines back into words; every other line has none and stands for one, every third page has no size."""
+    bbox = F.array("x1", "y1", "x2", "y2").alias("bbox")
+    line = lines.group_lines(words(spark, sf)).groupBy("doc_id", "line_no").agg(
+        F.array_sort(F.collect_list(F.struct("x1", "y1", "seq", "text", bbox))).alias("o"), F.array(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).alias("bbox"))
+    kept = F.expr("IF(line_no % 2 = 1, array(), transform(o, x -> struct(x.text AS text, x.bbox AS bbox)))").alias("words")
+    line = line.select("doc_id", "line_no", F.struct(F.array_join(F.transform("o", lambda x: x["text"]), " ").alias("text"), "bbox", kept).alias("l"))
+    page = line.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "l"))).alias("x")).select("doc_id", F.expr("IF(doc_id % 3 = 0, 0, 1600)").alias("width"), F.expr("IF(doc_id % 3 = 1, NULL, 1200)").alias("height"), F.transform("x", lambda x: x["l"]).alias("lines"))
+    return lines.flatten(page).select("doc_id", "line_no", "word_no", "text", F.array_join(F.transform("bbox", lambda v: v.cast("string")), ",").alias("bbox"), "w_px", "h_px")
