@@ -11,6 +11,10 @@ from pageforge.functions.text import strip, suffix
 ALLOWED = ("pdf", "doc", "docx", "ppt", "pptx", "jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif", "gif")
 
 
+#: Letters of a word from which delete keys are made.
+PREFIX = 7
+
+
 def dispatch(named: DataFrame) -> DataFrame:
     """named (with filename) and suffix, allowed, input_type."""
     s = suffix(F.col("filename"))
@@ -54,18 +58,19 @@ def spell_gate(token):
 def repair(tokens: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataFrame:
     """(token, repaired) for distinct tokens: the closest term within the distance, then the more frequent, then the first.
 
-    Candidates share a delete key (the word with up to `distance` letters left out), so this is an equi-join; the edit
-    distance is verified on candidates only.
+    Candidates share a delete key (the first PREFIX letters with up to `distance` of them left out: every letter that an
+    edit takes out of one prefix, or pushes over its end, is left out), so this is an equi-join; the edit distance is
+    verified on candidates only, in the join's own stage, and a candidate that is met twice does no harm to a minimum.
     """
     drop = "transform(sequence(1, length(w)), i -> concat(left(w, i - 1), substr(w, i + 1)))"
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        found = df.withColumn("ks", F.array(F.col(name)))
+        found = df.withColumn("ks", F.array(F.left(F.col(name), F.lit(PREFIX))))
         for _ in range(distance):
             found = found.withColumn("ks", F.expr(f"array_distinct(concat(ks, flatten(transform(filter(ks, w -> length(w) > 1), w -> {drop}))))"))
         return found.withColumn("key", F.explode("ks")).drop("ks")
 
     asked = tokens.select("token").distinct()
-    pairs = keyed(asked, "token").join(keyed(dictionary, "term"), "key").select("token", "term", "freq").distinct()
-    near = pairs.withColumn("d", F.levenshtein("token", "term")).where(F.col("d") <= distance)
+    pairs = keyed(asked, "token").join(keyed(dictionary, "term"), "key").where(F.abs(F.length("token") - F.length("term")) <= distance)
+    near = pairs.withColumn("d", F.levenshtein("token", "term", distance)).where("d >= 0")
     best = near.groupBy("token").agg(F.min(F.struct("d", (-F.col("freq")).alias("f"), "term")).alias("b"))
     return asked.join(best, "token", "left").select("token", F.coalesce("b.term", "token").alias("repaired"))

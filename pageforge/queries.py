@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageforge.functions import fields, text
 from pageforge.operators import extract, lines, pixels, routing, zones
 from pageforge.plans import synthetic
+from pageforge.plans.analyze import stored
 
 SUFFIXES = ("pdf", "doc", "docx", "PPT", "pptx", "JPG", "jpeg", "Png", "webp", "bmp", "tiff", "tif", "gif", "txt", "exe", "")
 QUERIES = {}
@@ -230,7 +231,7 @@ def tokens(spark, sf):
 
 @query
 def spell_fix(spark, sf):
-    counted = tokens(spark, sf).groupBy("token").count()
+    counted = stored(tokens(spark, sf).groupBy("token").count(), "token-counts")  # dictionary and tokens both come from it
     dictionary = counted.where("count >= 40").select(F.col("token").alias("term"), F.col("count").alias("freq"))
     return extract.repair(counted.where("count = 2 AND length(token) <= 7"), dictionary)
 
