@@ -168,7 +168,7 @@ def respond(pages: DataFrame, found: DataFrame, echo: dict, dictionary: DataFram
     """
     keyed = pages.withColumn("doc_id", F.struct("doc", "page_index"))
     flat = keyed.select("doc_id", F.posexplode("words").alias("seq", "w")).select("doc_id", "seq", "w.*").withColumn("text", F.coalesce("text", F.lit("")))
-    grouped = stored(lines.group_lines(flat), "lines")
+    grouped = lines.group_lines(flat)
     size = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(other))
     blocks = layout(grouped, keyed.select("doc_id", size("width", 1920).alias("w_px"), size("height", 1080).alias("h_px")), dictionary)
     page = keyed.join(nested_lines(grouped), "doc_id", "left").join(blocks, "doc_id", "left").join(found.select("doc", "input_type"), "doc")
