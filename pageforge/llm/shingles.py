@@ -1,0 +1,198 @@
+"""Near copies by shared word shingles, exactly: every pair of at least 80 % similarity (Jaccard) is found.
+
+Candidates come from prefix filtering: with a text's distinct shingles in one global order, two texts of similarity 0.8
+share one of their first n - ceil(0.8 n) + 1. The order puts shingles that a sample shows to be frequent last; the
+sample changes the cost and never the result. Candidates are verified on the texts, in two steps: first those that join
+the members of a large bucket to few of them, then all pairs of its members that are not yet in one group.
+
+Defined results: null and blank texts are copies of each other; texts that differ in white space or ASCII case are
+copies; groups are connected components; of each group the row with the smallest doc_id stays, rows without an id last.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pageforge.llm.common import materialize
+from pageforge.llm.simhash import components
+
+SEED, SHINGLE = 42, 5
+#: Texts from which frequent shingles are known, and how many of those are kept; results don't depend on them.
+SAMPLE, FREQUENT = 20_000, 100_000
+#: Members up to which all pairs of a bucket are candidates at once; pairs in a batch.
+SMALL, BATCH = 8, 200_000
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= SHINGLE:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(ends, ends[SHINGLE:])], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _frequent(batches):
+    """Shingles that several texts of the partition have, and in how many."""
+    seen: Counter = Counter()
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            seen.update(shingles(t).tolist())
+    found = [(h, c) for h, c in seen.items() if c > 1]
+    yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in found], np.uint64).view(np.int64)), pa.array([c for _, c in found], pa.int64())], names=["h", "c"])
+
+
+def _keys(known: np.ndarray, counts: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            rows, n = [], []
+            for t in batch.column(1).to_pylist():
+                s = shingles(t)
+                often = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = np.where(known[at] == s, counts[at], 0)
+                least = (4 * len(s) + 4) // 5
+                rows.append(s[np.lexsort((s, often))][: len(s) - least + 1].view(np.int64))
+                n.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["node", "n", "keys"])
+
+    return run
+
+
+def _buckets(batches):
+    """(key, a, b) of all members of each bucket, which may go on in the next batch: arrays of one bucket at a time."""
+    kept = None
+    for batch in batches:
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+        now = now if kept is None else np.concatenate([kept, now], axis=1)
+        if not now.shape[1]:
+            continue
+        starts = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]])
+        ends = starts[1:]
+        for k in np.flatnonzero(np.diff(starts) > 1):
+            yield now[:, starts[k] : ends[k]]
+        kept = now[:, starts[-1] :]
+    if kept is not None and kept.shape[1] > 1:
+        yield kept
+
+
+def _first(batches):
+    """(kind, u, v, n): candidates (0, u, v, 0), and members of large buckets (1, key, node, n)."""
+    found, rows = [], 0
+    for b in _buckets(batches):  # sorted by key, n, node
+        key, n, node = b
+        if len(n) <= SMALL:
+            i, j = np.triu_indices(len(n), 1)
+        else:
+            # each run of lengths that may match is joined to its first member, and neighbours to each other
+            lead = np.zeros(len(n), np.int64)
+            for k in range(1, len(n)):
+                lead[k] = lead[k - 1] if 5 * n[lead[k - 1]] >= 4 * n[k] else k
+            i, j = np.r_[lead[1:], np.arange(len(n) - 1)], np.r_[np.arange(1, len(n)), np.arange(1, len(n))]
+        ok = (5 * n[i] >= 4 * n[j]) & (node[i] != node[j])
+        u, v = node[i[ok]], node[j[ok]]
+        found.append(np.stack([np.zeros(len(u), np.int64), np.maximum(u, v), np.minimum(u, v), np.zeros(len(u), np.int64)]))
+        if len(n) > SMALL:
+            found.append(np.stack([np.ones(len(n), np.int64), key, node, n]))
+        rows += found[-1].shape[1]
+        if rows > BATCH:
+            yield _four(found)
+            found, rows = [], 0
+    if found:
+        yield _four(found)
+
+
+def _four(found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], names=["kind", "u", "v", "n"])
+
+
+def _cross(batches):
+    """All pairs of a bucket's members whose lengths may match and that are not in one group yet."""
+    found, rows = [], 0
+    for _, n, node, group in _buckets(batches):
+        ends = np.searchsorted(4 * n, 5 * n, side="right")
+        for k in range(len(n) - 1):
+            part = slice(k + 1, ends[k])
+            other = node[part][group[part] != group[k]]
+            found.append(np.stack([np.maximum(other, node[k]), np.minimum(other, node[k])]))
+            rows += len(other)
+            if rows > BATCH:
+                yield _two(found)
+                found, rows = [], 0
+    if rows:
+        yield _two(found)
+
+
+def _two(found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], names=["u", "v"])
+
+
+def _verified(batches):
+    last, known = None, None
+    for batch in batches:
+        ok = []
+        for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if known is None or u != last:
+                last, known = u, shingles(a)
+            ok.append(similar(known, shingles(b)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) of similar texts."""
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    mine = materialize(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    one = mine.select(F.col("node").alias("u"), F.col("text").alias("a"))
+    two = mine.select(F.col("node").alias("v"), F.col("text").alias("b"))
+    return materialize(pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long"), "near-links")
+
+
+def groups(texts: DataFrame) -> DataFrame:
+    """(node, component) of the texts (node, text) that have a near copy; node is a hash of the text."""
+    step = max(1, texts.count() // SAMPLE)
+    often = texts.where(F.pmod("node", F.lit(step)) == 0).select("text").mapInArrow(_frequent, "h long, c long")
+    often = often.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    known, counts = often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)
+    order = np.argsort(known)
+    marked = texts.select("node", "text").mapInArrow(_keys(known[order], counts[order]), "node long, n long, keys array<long>")
+    marked = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = marked.select(F.explode("keys").alias("key"), "n", "node").repartition("key").sortWithinPartitions("key", "n", "node")
+    found = materialize(keyed.mapInArrow(_first, "kind long, u long, v long, n long"), "near-candidates")
+    tried = found.where("kind = 0").select("u", "v").distinct()
+    links = _linked(tried, texts)
+    large = found.where("kind = 1").select(F.col("u").alias("key"), "n", F.col("v").alias("node"))
+    if not large.isEmpty():
+        known_groups = components(links)
+        large = large.join(known_groups, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"))
+        large = large.repartition("key").sortWithinPartitions("key", "n", "node")
+        rest = materialize(large.mapInArrow(_cross, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"), "near-rest")
+        if not rest.isEmpty():
+            links = links.unionByName(_linked(rest, texts))
+    return components(links)
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies, one row of docs: the smallest doc_id's. A row is known by its id and text, so other
+    rows that repeat an id, or have none, stay."""
+    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = groups(rows.select(F.col("_node").alias("node"), "text"))
+    placed = rows.select("doc_id", F.col("_node").alias("node")).join(found, "node", "left")
+    first = placed.groupBy(F.coalesce("component", "node").alias("_g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("w"))
+    first = materialize(first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_n")), "near-first")
+    kept = rows.join(first, rows["_node"].eqNullSafe(first["_n"]) & rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    again = rows.groupBy("doc_id", "_node").count().where("count > 1").isEmpty()
+    return (kept if again else kept.dropDuplicates(["doc_id", "_node"])).select(docs.columns)

@@ -243,12 +243,3 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     linked = components(links(classes.where("rep IS NOT NULL"), distance))
     settled = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(settled, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group; of rows that repeat an id, one stays."""
-    found = near_duplicates(docs, distance)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if again else kept.dropDuplicates(["doc_id"])
