@@ -24,9 +24,30 @@ IP = r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A whole run of digits with single separators, of 13 to 19 digits.
 CARD = r"[0-9](?<![0-9]{2})(?<![0-9][ -][0-9])(?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 SSN = r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
+#: Letters and digits of an IBAN, by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 "
+    "EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+    "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 "
+    "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30 "
+    "AO25 BF28 BJ28 CF27 CG27 CI28 CM27 CV25 DZ26 GA27 GQ27 GW25 IR26 KM27 MA28 MG27 ML28 MZ25 NE28 SN28 TD27 TG28"
+)
+
+
+def _iban() -> str:
+    """Per length: its countries, and exactly so many letters and digits with single blanks."""
+    by: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS.split():
+        by.setdefault(int(x[2:]), []).append(x[:2])
+    kinds = "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by.items()))
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{kinds})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
+
 _digits = "regexp_replace(m, '[^0-9]', '')"
 _luhn = (
     "aggregate(sequence(1, length(d)), 0, (s, i) -> s + CASE WHEN i % 2 = 1 THEN int(substr(d, -i, 1)) "
@@ -71,7 +92,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
             f"aggregate(sequence(1, size({m})), CAST(struct(0 AS p, array() AS o) AS struct<p:int,o:array<int>>), "
             f"(a, k) -> struct(a.p + length(get({g}, k - 1)) + length(get({m}, k - 1)) AS p, array_append(a.o, a.p + length(get({g}, k - 1))) AS o)).o"
         )
-        before = f"lower(right(get({g}, k), {CONTEXT}))"
+        before = f"lower(substr(t, greatest(p - {CONTEXT}, 0) + 1, least(p, {CONTEXT})))"
         points = f"{score}D + IF({before} RLIKE '{words}', {plus}D, 0D)"
         span = f"transform({ends}, (p, k) -> struct('{kind}' AS kind, p AS start, p + length(get({m}, k)) AS end, {points} AS score, get({m}, k) AS m))"
         keep = f"coalesce(element_at(transform(array(x.m), m -> {check}), 1), false)" + ("" if kind in BASE else f" AND x.score >= {MIN_SCORE}")
