@@ -1,8 +1,8 @@
 """Secrets in texts: three fixed kinds, and strings that a primed compressor finds new.
 
 assign, access and hex are found by expression. The fourth kind, novel, is decided by zstandard: a candidate is a long
-run of token characters, digits and letters among them, with a sensitive word shortly before it, and its novelty is the number of bytes that it adds to
-the compressed form of the text around it, with a dictionary of code and identifiers as the compressor's prefix. Words
+run of token characters (of NAME=VALUE the parts) with a sensitive word shortly before it, and its novelty is the number
+of bytes that it adds to the compressed form of the text around it, with a dictionary of code and identifiers as the compressor's prefix. Words
 and identifiers cost little there; random strings cost nearly their entropy, and are reported.
 
 Defined results: null text is empty; empty text has no spans; novel spans never overlap the fixed kinds; rows that
@@ -27,12 +27,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{20,}")
-SENSITIVE = re.compile(r"(?i)auth|bearer|credential|private|secret|signature|passphrase|access|token|pwd|\bkey\b|\bsalt\b")
+#: Runs of token characters, and their pieces: what stands before an inner = is a name, which counts as a word before the value.
+CANDIDATE, LEAST = re.compile(r"[A-Za-z0-9+/_=~-]{20,}"), 20
+PIECE = re.compile(r"[A-Za-z0-9+/_~-]+(?:=+(?![A-Za-z0-9+/_~=-]))?")
+SENSITIVE = re.compile(r"(?i)auth|bearer|credential|private|secret|signature|passphrase|passw(?:or)?d|access|token|pwd|api_?key|(?<![a-z])(?:key|salt)(?![a-z])")
 #: Characters before a candidate in which a sensitive word counts; characters around it that prime the compressor.
 NEAR, AROUND = 64, 512
-#: Bytes that a candidate must add for each of its characters.
-NOVEL = 0.7
+#: Bytes that a candidate must add for each of its characters; without digits or without letters, where random ones add
+#: 0.8 or more and identifiers less.
+NOVEL, NOVEL_PLAIN = 0.7, 0.8
 
 WORDS = (
     "abstract access account address argument array async authorization await backend base64 bearer boolean buffer "
@@ -89,12 +92,16 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     taken = sorted((s, e) for s, _, e in found)
     ends = list(accumulate((e for _, e in taken), max))
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if (at := bisect_left(taken, (e,))) and ends[at - 1] > s or not SENSITIVE.search(text[max(0, s - NEAR) : s]):
-            continue
-        if len(set(m[0])) >= 10 and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and novelty(text, s, e) >= NOVEL:
-            found.append((s, 3, e))
+    for run in CANDIDATE.finditer(text):
+        for m in PIECE.finditer(text, *run.span()):
+            s, e = m.span()
+            if e - s < LEAST or len(set(m[0])) < 10:
+                continue
+            if (at := bisect_left(taken, (e,))) and ends[at - 1] > s or not SENSITIVE.search(text[max(0, s - NEAR) : s]):
+                continue
+            mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+            if novelty(text, s, e) >= (NOVEL if mixed else NOVEL_PLAIN):
+                found.append((s, 3, e))
     return sorted(found)
 
 
