@@ -50,3 +50,8 @@ def test_looser_copies_go(spark):
     found = stage(spark, rows)
     assert [d for d, _ in found if d < 900] == [d for d, _ in want if d < 900]
     assert {d for d, _ in found if d >= 900} == {900, 903}
+
+
+def test_rows_without_own_id_stay(spark):
+    rows = [(None, "one text of its own kind here"), (None, "another text that is not like it"), (7, "the same id with some words"), (7, "but these words are all different ones"), (8, "The same id  with some words")]
+    assert stage(spark, rows) == sorted(rows[:4], key=repr)
