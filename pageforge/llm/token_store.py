@@ -32,7 +32,8 @@ def _encode(path: str, end_id: int):
                 ids = [x + end for x in encode.many(part.column(1).to_pylist())]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     return run
 
@@ -61,24 +62,34 @@ def _digest(batches):
     for batch in batches:
         ids = batch.column(1)
         starts, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        crcs = [crc(values[a:b].tobytes()) for a, b in zip(starts, starts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts).astype(np.int64)), pa.array(crcs, pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "n_tokens", "ids_crc32", "_file", "_at"])
+        data = memoryview(np.ascontiguousarray(values)).cast("B")
+        bounds = (starts.astype(np.int64) * 4).tolist()
+        crcs = [crc(data[a:b]) for a, b in zip(bounds, bounds[1:])]
+        sizes = pa.array(np.diff(starts).astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), sizes, pa.array(crcs, pa.int64()), batch.column(2), batch.column(3)],
+            names=["doc_id", "n_tokens", "ids_crc32", "_file", "_at"],
+        )
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    A file's place is the number of the task that wrote it, and then the writer's count of its files: numbers, as names
+    sort as texts only while they have as many digits. One row per file is what is ordered in one task and joined.
+    """
     rows = spark.read.schema("doc_id long, ids array<int>").orc(path).select(
         "doc_id", "ids", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at")
     )
     sized = rows.mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, _file string, _at long")
-    sized = materialize(sized, "token-index")
-    # one row per file: file names ascend as doc_ids do
-    files = sized.groupBy("_file").agg(F.sum("n_tokens").alias("_sum"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select("_file", "_base")
-    inside = Window.partitionBy("_file").orderBy("doc_id", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    part = [F.regexp_extract("_file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    sized = materialize(sized.withColumns({"_task": part[0], "_count": F.coalesce(part[1], F.lit(0))}).drop("_file"), "token-index")
+    files = sized.groupBy("_task", "_count").agg(F.sum("n_tokens").alias("_sum"))
+    before = Window.orderBy("_task", "_count").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy("_task", "_count").orderBy("doc_id", "_at").rowsBetween(Window.unboundedPreceding, -1)
     return (
         sized.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(F.broadcast(files), "_file")
+        .join(files, ["_task", "_count"])
         .select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
     )

@@ -2,19 +2,19 @@
 
 A piece is what stands between two single blanks that have no other white space beside them; both kinds of
 pre-tokenizer used here always cut there, so pieces are encoded on their own and their ids joined. They also cut between
-a letter and a mark after it, so a word with a mark takes the word's ids. Each Python worker remembers the ids of pieces
+a letter and a mark after it, so a word with a mark takes the word's ids, and at single line ends. Each Python worker remembers the ids of pieces
 it has met, in two generations of at most MEMORY pieces. A new piece of Latin letters goes straight to the vocabulary's
 merges, as it is one pre-token; others are encoded many at a time, as one text whose ids are cut again at a separator's id.
-Both short cuts are tried on a sample when a vocabulary is loaded, and are used only where they give the same ids.
+All short cuts are tried on a sample when a vocabulary is loaded, and are used only where they give the same ids.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 import zlib
-from itertools import filterfalse
 
 import numpy as np
 
@@ -39,17 +39,27 @@ def byte_letters() -> dict[int, str]:
 BYTES = byte_letters()
 
 
-def latin(text: str) -> bool:
-    """Letters alone, of the Latin blocks up to U+024F (without the capital I with a dot, which becomes two characters)."""
-    return text.isalpha() and (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text))
+#: Words of Latin letters alone (without the capital I with a dot, which becomes two characters).
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Words on lines of their own: single line ends, no other white space.
+LINES = re.compile(r"\S+(?:\n\S+)+")
+
+
+def _bytes(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
 
 
 def after_blank(word: str) -> str:
-    return BYTES[32] + word.encode().decode("latin-1").translate(BYTES)
+    return BYTES[32] + _bytes(word)
 
 
 def lower_word(word: str) -> str:
-    return word.lower().encode().decode("latin-1").translate(BYTES)
+    return _bytes(word.lower())
+
+
+@functools.cache
+def _packer(n: int):
+    return struct.Struct(f"<{n}I").pack
 
 
 class Encoder:
@@ -76,8 +86,15 @@ class Encoder:
                 self.form = form
                 break
 
+        # what a line end between two words adds, if the words' own ids stay what they are
+        self.line = None
+        ids, inner = self.raw(["\n"])[0], [w.strip() for w in SAMPLE]
+        if all(self.raw([f" {a}\n{b}"])[0] == self.raw([f" {a}"])[0] + ids + self.raw([b])[0] for a in inner for b in inner):
+            self.line = ids
+
     def _merged(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return _packer(len(ids))(*ids)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,15 +105,20 @@ class Encoder:
         at, data = np.flatnonzero(ids == np.frombuffer(mark, "<u4")[0]) * 4, ids.tobytes()
         return [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)])]
 
+    def _heads(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that no blank stands before: at the start of a text or of a line."""
+        asked = dict.fromkeys(words)
+        if len(self.first) + len(asked) > MEMORY // 5:
+            self.first.clear()
+        new = [w for w in asked if w not in self.first]
+        found = dict(zip(new, self.raw(new)))
+        self.first.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+        return {w: found[w] if w in found else self.first[w] for w in asked}
+
     def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of new pieces, each after a blank."""
-        form, model, pack = self.form, self.tokenizer.model, struct.pack
+        """The ids of new pieces, each after a blank, that aren't words of Latin letters or lines."""
         found: dict[str, bytes] = {}
-        if form:
-            for p in filter(latin, pieces):
-                ids = [t.id for t in model.tokenize(form(p))]
-                found[p] = pack(f"<{len(ids)}I", *ids)
-        plain = [p for p in pieces if self.glue and p not in found and GLUED.fullmatch(p)]
+        plain = [p for p in pieces if self.glue and GLUED.fullmatch(p)]
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
             ids = self._cut([" " + p for p in part], *self.glue)
@@ -106,71 +128,79 @@ class Encoder:
         return found
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Remembers new pieces; what is too long for that is returned."""
+        """The ids of pieces that aren't in the newest generation; those that are short enough are remembered there."""
         if len(self.after) + len(new) > MEMORY:
             self.before, self.after = self.after, {}
-        after, before, marked, ask = self.after, self.before, [], set()
-        for p in new:
-            if (ids := before.get(p)) is not None:
-                after[p] = ids
-            elif p[-1] in MARKS and latin(stem := p[:-1]):
-                marked.append(p)
-                if stem not in after:
-                    if (ids := before.get(stem)) is not None:
-                        after[stem] = ids
-                    else:
-                        ask.add(stem)
-            else:
-                ask.add(p)
-        found = self._fresh(list(ask))
-        odd = {p: x for p, x in found.items() if len(p) > LONGEST}
-        after.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
-        for p in marked:
-            ids = (odd if len(p) > LONGEST + 1 else after)[p[:-1]] + self.marks[p[-1]]
-            (odd if len(p) > LONGEST else after)[p] = ids
-        return odd
+        found: dict[str, bytes] = {}
+        lines, rest = [], []
+        if self.line is not None:
+            for p in new:
+                if "\n" in p and LINES.fullmatch(p):
+                    lines.append(p.split("\n"))
+            asked = new.union(x[0] for x in lines).difference("\n".join(x) for x in lines) if lines else new
+        else:
+            asked = new
+        after, before, form, marks, latin = self.after, self.before, self.form, self.marks, LATIN.fullmatch
+        merged = self._merged
+        for p in asked:
+            ids = before.get(p)
+            if ids is None:
+                mark = marks.get(p[-1])
+                stem = p if mark is None else p[:-1]
+                if form is None or not latin(stem):
+                    rest.append(p)
+                    continue
+                if mark is None:
+                    ids = merged(form(p))
+                else:
+                    ids = after.get(stem) or before.get(stem)
+                    if ids is None:
+                        ids = merged(form(stem))
+                        if len(stem) <= LONGEST:
+                            after[stem] = ids
+                    ids += mark
+            found[p] = ids
+        found |= self._fresh(rest)
+        after.update(found if all(len(p) <= LONGEST for p in found) else ((p, x) for p, x in found.items() if len(p) <= LONGEST))
+        if lines:
+            heads, end = self._heads([w for x in lines for w in x[1:]]), self.line
+            for x in lines:
+                head = found.get(x[0]) or after.get(x[0])
+                found["\n".join(x)] = end.join([head, *(heads[w] for w in x[1:])])
+        return found
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        found: list[bytes] = [b""] * len(texts)
-        split, new, wanted = [], set(), {}
-        known = self.after.__contains__
+        out: list[bytes] = [b""] * len(texts)
+        rows, new, get = [], set(), self.after.get
         for k, text in enumerate(texts):
             if not text:
                 continue
             if any(s in text for s in self.special):
-                found[k] = self.raw([text])[0]
+                out[k] = self.raw([text])[0]
                 continue
             parts = text.split(" ")
-            fresh = set(filterfalse(known, parts[1:]))
+            ids = list(map(get, parts))
+            ids[0] = b""
+            fresh = {p for p, x in zip(parts, ids) if x is None} if None in ids else ()
             if text[0].isspace() or parts[0][-1:].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in fresh):
                 parts = BLANK.split(text)
-                # only the last piece can end in white space; it is then not for the memory
-                fresh = set(filterfalse(known, parts[1:]))
-            split.append((k, parts))
-            if fresh:
-                new |= fresh
-            wanted.setdefault(parts[0], None)
-        learned = self.after
-        odd = self._learn({p for p in new if not p[-1].isspace()}) if new else {}
-        odd |= self._fresh([p for p in new if p[-1].isspace()])
-        after, firsts = self.after, [p for p in wanted if p not in self.first]
-        if len(self.first) + len(firsts) > MEMORY // 10:
-            self.first.clear()
-            firsts = list(wanted)
-        heads = dict(zip(firsts, self.raw(firsts)))
-        self.first.update((p, x) for p, x in heads.items() if len(p) <= LONGEST)
-        if after is not learned:  # a new generation: some pieces that were known are in the last one
-            for _, parts in split:
-                again = {p for p in parts[1:] if p not in after and p not in odd}
-                after.update((p, self.before[p]) for p in again)
-        for k, parts in split:
-            head = heads[parts[0]] if parts[0] in heads else self.first[parts[0]]
-            if odd:
-                found[k] = head + b"".join([odd[p] if p in odd else after[p] for p in parts[1:]])
-            else:
-                found[k] = head + b"".join([after[p] for p in parts[1:]])
-        return found
+                ids = list(map(get, parts))
+                ids[0] = b""
+                fresh = {p for p, x in zip(parts, ids) if x is None}
+            new.update(fresh)
+            rows.append((k, parts, ids))
+        # only a text's last piece can end in white space; it is not for the memory
+        odd = [p for p in new if p[-1].isspace()]
+        found = self._learn(new.difference(odd)) if new else {}
+        found |= self._fresh(odd)
+        heads = self._heads([parts[0] for _, parts, _ in rows])
+        for k, parts, ids in rows:
+            ids[0] = heads[parts[0]]
+            if None in ids:
+                ids = [found[p] if x is None else x for p, x in zip(parts, ids)]
+            out[k] = b"".join(ids)
+        return out
 
 
 def encoder(path: str) -> Encoder:
