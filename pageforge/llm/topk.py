@@ -1,82 +1,172 @@
 """Exact top-k by inner product, by aggregation without random access.
 
-Candidates are dealt into blocks and each block holds one sorted list per component. For a block of queries the lists
-are read in step from the end that a query's sign makes best. What has been read bounds every score from below (an
-unread component counts as the list's worst) and from above (as the last entry read). Reading stops when no row can
-pass the k-th best lower bound any more, also one kept from the other rows; only rows whose upper bound reaches it get
-final scores. Each block gives k rows per query, and those are merged.
+Rows stay where they are. A task holds a bounded batch of queries and takes its rows block by block; a block is one
+sorted list per component. The lists are read in step, each from the end that a query's sign makes best, a whole
+segment for all queries at a time. What has been read bounds each score from above: an entry that has not been read
+counts as the last one read of its list. From below, the k-th best final score so far bounds what can still qualify; in
+a task's first block the k rows with the best upper bounds get their final scores first. Before anything is read, the
+heads of the lists leave out the queries that no row of the block can serve. Reading stops when few rows are left that
+could qualify; those get their final scores, and all others are proven outsiders. Where bounds exclude too little, the
+lists are read to their ends, so results are exact on any data. Each task gives k rows per query, and those are merged.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without
 an id; ties go to the smaller id; fewer than k others give fewer rows; rows that repeat an id are one candidate each,
-and each is excluded from that id's own query; other columns are ignored. Vectors of unequal lengths are not compared.
+and each is excluded from that id's own query; queries that repeat an id share one list of k; other columns are ignored.
+Vectors of unequal lengths are not compared. What does not fit 64 bits, a component or a score, is the largest long.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of queries.
-BLOCK, QUERIES = 4096, 2048
-
-
-def _reads(n: int) -> list[int]:
-    """Depths at which bounds are looked at."""
-    return sorted({max(1, n // 8), max(1, n // 3), n})
-
-
-def _search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int):
-    """For each query: at most k rows of x, by score, then id."""
-    n = len(x)
-    high, low = np.maximum(q, 0), np.minimum(q, 0)
-    ascending = np.sort(x, axis=0)
-    own = q_ids[:, None] == ids[None, :]
-    alive = ~own
-    for depth in _reads(n):
-        if depth < n:
-            # entries at least `top` have been read from the upper ends, those at most `bottom` from the lower ends
-            top, bottom = ascending[n - depth], ascending[depth - 1]
-            from_top, from_bottom = x >= top, x <= bottom
-            least = high @ np.where(from_top, x, ascending[0]).T + low @ np.where(from_bottom, x, ascending[-1]).T
-            most = high @ np.where(from_top, x, top).T + low @ np.where(from_bottom, x, bottom).T
-            if n - 1 > k:
-                least[own] = -np.inf if least.dtype.kind == "f" else np.iinfo(least.dtype).min
-                bar = np.partition(least, n - k, axis=1)[:, n - k]
-                alive = (most >= bar[:, None]) & ~own
-                if alive.sum() <= 4 * k * len(q):
+from pageforge.llm.common import materialize
+
+#: Rows of a block, queries that are read for at once, queries of a batch that is sent to all tasks, rows of a task at most.
+BLOCK, AT_ONCE, QUERIES, ROWS = 4096, 512, 16_384, 1 << 22
+#: Shares of the lists after which bounds are looked at; the share of rows left at which reading stops.
+DEPTHS, FEW = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4), 0.05
+LARGEST = 2**63 - 1
+
+
+def _kind(x: np.ndarray, q: np.ndarray):
+    """The cheapest type in which every partial sum is exact."""
+    peak = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * x.shape[1] * 2
+    return np.float32 if peak < 2**24 else np.float64 if peak < 2**53 else object
+
+
+class Search:
+    """The best k rows so far of each query, over blocks of rows of one width. log: (rows, share read, share left)."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.at = 0
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object if queries.dtype == object else np.float64))] * len(self._parts())
+        self.log: list[tuple[int, float, float]] = []
+
+    def _parts(self) -> list[slice]:
+        return [slice(a, a + AT_ONCE) for a in range(0, len(self.ids), AT_ONCE)]
+
+    def block(self, ids: np.ndarray, x: np.ndarray) -> None:
+        kind = _kind(x, self.queries)
+        x = x.astype(kind)
+        lists = np.sort(x, axis=0)
+        for p, part in enumerate(self._parts()):
+            self._read(p, part, ids, x, lists, self.queries[part].astype(kind))
+
+    def _bars(self, p: int, many: int) -> np.ndarray:
+        """Per query: its k-th best final score so far; minus infinity where there are fewer."""
+        of, _, scores = self.found[p]
+        bars = np.full(many, -np.inf, object if scores.dtype == object else np.float64)
+        count = np.bincount(of, minlength=many)
+        last = np.cumsum(count) - 1
+        full = count >= self.k  # kept sorted, best first
+        bars[full] = scores[last[full]]
+        return bars
+
+    def _read(self, p: int, part: slice, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, q: np.ndarray) -> None:
+        n, high, low = len(x), np.maximum(q, 0), np.minimum(q, 0)
+        bars = self._bars(p, len(q))
+        # no row can do better than the heads of all lists
+        open_ = np.flatnonzero(high @ lists[-1] + low @ lists[0] >= bars)
+        if not len(open_):
+            self.log.append((n, 0.0, 0.0))
+            return
+        q, high, low, bars = q[open_], high[open_], low[open_], bars[open_]
+        own = self.ids[part][open_][:, None] == ids[None, :]
+        alive, share, first = None, 1.0, bool(np.isneginf(bars.astype(float)).any())
+        if x.dtype != object and n > 4 * self.k:
+            for step in range(self.at, len(DEPTHS)):
+                depth = max(1, int(DEPTHS[step] * n))
+                top, bottom = lists[n - depth], lists[depth - 1]  # the last entries read, from either end
+                most = high @ np.maximum(x, top).T + low @ np.minimum(x, bottom).T
+                most[own] = -np.inf
+                if first:
+                    bars = np.maximum(bars, self._lead(x, q, most))
+                alive = most >= bars[:, None]
+                share = float(alive.mean())
+                if share <= FEW:
+                    self.at = max(0, step - 1) if share <= FEW / 8 else step
+                    self.log.append((n, DEPTHS[step], share))
                     break
-    found = []
-    dense = alive.mean() > 0.05
-    scores = q @ x.T if dense else None
-    for r in range(len(q)):
-        at = np.flatnonzero(alive[r])
-        s = scores[r, at] if dense else x[at] @ q[r]
-        if len(at) > k:
-            bar = np.partition(s, len(s) - k)[len(s) - k]
-            keep = s >= bar
-            at, s = at[keep], s[keep]
-        order = np.lexsort((ids[at], -s))[:k]
-        found.append((np.full(len(order), q_ids[r]), ids[at[order]], s[order].astype(np.int64)))
-    return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-
-
-def _pairs(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            widths = rows["v"].map(len).to_numpy(), queries["v"].map(len).to_numpy()
-            for width in np.unique(widths[1]):
-                a, b = rows[widths[0] == width], queries[widths[1] == width]
-                if not len(a):
-                    continue
-                x, q = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-                peak = float(np.abs(x.astype(float)).max()) * float(np.abs(q.astype(float)).max()) * width
-                kind = np.float32 if peak < 2**24 else np.float64 if peak < 2**53 else np.int64  # each exact below its bound
-                out.append(_search(x.astype(kind), a["id"].to_numpy(), q.astype(kind), b["id"].to_numpy(), k))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+            else:
+                alive, self.at = None, len(DEPTHS) - 1
+        if alive is None:
+            self.log.append((n, 1.0, 1.0))
+            scores = q @ x.T
+            if scores.dtype == object:
+                scores = np.minimum(np.maximum(scores, -LARGEST), LARGEST)
+            r, c = np.nonzero((scores >= bars[:, None]) & ~own)
+            scores = scores[r, c]
+        else:
+            r, c = np.nonzero(alive)
+            scores = np.concatenate([(q[r[a : a + 65536]] * x[c[a : a + 65536]]).sum(axis=1) for a in range(0, max(1, len(r)), 65536)])
+            good = scores >= bars[r]
+            r, c, scores = r[good], c[good], scores[good]
+        self._merge(p, open_[r], ids[c], scores)
+
+    def _lead(self, x: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Per query: the least final score of the k rows with the best upper bounds, which k rows then reach."""
+        rows = np.argpartition(most, len(x) - self.k, axis=1)[:, len(x) - self.k :]
+        scores = np.einsum("qkd,qd->qk", x[rows].astype(np.float64), q.astype(np.float64))
+        own = np.isneginf(np.take_along_axis(most, rows, axis=1)).any(axis=1)
+        return np.where(own, -np.inf, scores.min(axis=1))
+
+    def _merge(self, p: int, of: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(of):
+            return
+        old = self.found[p]
+        of, ids = np.concatenate([old[0], of]), np.concatenate([old[1], ids])
+        exact = object if scores.dtype == object or old[2].dtype == object else np.float64
+        scores = np.concatenate([old[2].astype(exact), scores.astype(exact)])
+        order = np.lexsort((ids, -scores, of)) if exact is not object else np.array(sorted(range(len(of)), key=lambda i: (of[i], -scores[i], ids[i])))
+        of, ids, scores = of[order], ids[order], scores[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        keep = rank < self.k
+        self.found[p] = (of[keep], ids[keep], scores[keep])
+
+    def best(self):
+        """(query ids, row ids, scores) of what is best."""
+        for (of, ids, scores), part in zip(self.found, self._parts()):
+            if len(of):
+                yield self.ids[part][of], ids, scores.astype(np.int64)
+
+
+def by_width(ids: pa.Array, vectors: pa.ListArray):
+    """(ids, matrix) of the vectors of each width."""
+    starts = vectors.offsets.to_numpy()
+    values = vectors.values.to_numpy(zero_copy_only=False)
+    widths, of = np.diff(starts), ids.to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        yield int(width), of[rows], values[starts[:-1][rows][:, None] + np.arange(width)]
+
+
+def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, block: int):
+    def run(batches):
+        searches = {w: Search(*q, k) for w, q in queries.items()}
+        waiting: dict[int, list] = {w: [] for w in queries}
+
+        def work(w: int, least: int) -> None:
+            ids, x = (np.concatenate(c) for c in zip(*waiting[w]))
+            while len(ids) >= least and len(ids):
+                searches[w].block(ids[:block], x[:block])
+                ids, x = ids[block:], x[block:]
+            waiting[w] = [(ids, x)] if len(ids) else []
+
+        for batch in batches:
+            for w, ids, x in by_width(batch.column(0), batch.column(1)):
+                if w in queries:
+                    waiting[w].append((ids, x))
+                    if sum(len(i) for i, _ in waiting[w]) >= block:
+                        work(w, block)
+        for w, search in searches.items():
+            if waiting[w]:
+                work(w, 1)
+            for found in search.best():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -91,15 +181,28 @@ def integer_vectors(table: DataFrame, scale: int = 64) -> DataFrame:
     )
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best rows of `vectors` for each row of `queries`; both are (id, v)."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, query_batch: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best rows of `vectors` for each row of `queries`; both are (id, v).
+
+    Rows are never shuffled; what travels is each batch of queries (of about query_batch rows, dealt by hash) to every
+    task, and k rows per query and task back. One batch after the other is a job of its own.
+    """
+    spark = vectors.sparkSession
+    queries = materialize(queries.select("id", "v").distinct(), "topk-queries")
     n, m = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
-    # every block of rows meets every block of queries once, each pair of blocks in a task of its own
-    deal = lambda df, mine, many, other, others: df.select(
-        F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), "id", "v"
-    )
-    rows, asked = deal(vectors, "b", blocks, "c", query_blocks), deal(queries, "c", query_blocks, "b", blocks)
-    part = rows.groupBy("b", "c").cogroup(asked.groupBy("b", "c")).applyInPandas(_pairs(k), "query_id long, vec_id long, score long")
+    batches = max(1, -(-m // query_batch))
+    if batches > 1:
+        vectors = materialize(vectors.select("id", "v"), "topk-rows")
+    tasks = max(-(-n // ROWS), min(spark.sparkContext.defaultParallelism, -(-n // block)), 1)
+    rows, parts = vectors.select("id", "v").coalesce(tasks), []
+    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("id", "v"), F.lit(batches)))
+    for b in range(batches):
+        table = dealt.where(F.col("_b") == b).select("id", "v").toArrow().combine_chunks()
+        of = {w: (ids, x) for w, ids, x in by_width(table.column(0).combine_chunks(), table.column(1).combine_chunks())} if table.num_rows else {}
+        part = rows.mapInArrow(_search(of, k, block), "query_id long, vec_id long, score long")
+        parts.append(materialize(part, "topk-part") if batches > 1 else part)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
