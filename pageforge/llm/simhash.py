@@ -6,12 +6,25 @@ part i. The parts' number and thresholds are chosen by dynamic programming on ca
 sample; that choice changes the cost and never the result. Every distinct fingerprint then puts itself under its probe
 keys, keys are shuffled, and each bucket is verified exactly.
 
+Near copies by similarity (`drop_near_copies`): 64 bits can't tell texts that share 80 % of their shingles, some 10 bits
+apart, from others at a cost that holds at scale. So a longer fingerprint, of WORDS * 64 bits over five-word shingles, is
+cut into parts of correlated bits in the same way; dynamic programming picks the parts and their thresholds, with least
+estimated cost, so that a pair of exactly the wanted similarity meets in some part but for a chance of MISS (more
+similar pairs meet more surely). Candidates within CHECK_DISTANCE of CHECK * 64 further bits are verified exactly, on
+the shingles of both texts. A bucket whose members are mostly near each other gives only links that join them; its other
+pairs are tried after that, where they aren't in one group yet.
+
 Defined results: a null or blank text has fingerprint 0, which links like any other; equal fingerprints are one class;
-rows that repeat a doc_id each get a result row; other columns are ignored; an empty table gives an empty result.
+rows that repeat a doc_id each get a result row; other columns are ignored; an empty table gives an empty result. Near
+copies: null and blank texts are copies of each other, as are texts that differ in white space or ASCII case only;
+groups are connected components; of each group the row with the smallest doc_id stays, rows without an id last; of rows
+with equal ids and texts one stays, a different text never goes for an id that it shares.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -27,26 +40,26 @@ SEED, SHINGLE = 42, 4
 SAMPLE = 4096
 #: Members from which on a bucket is dealt again under narrower keys.
 BUCKET = 20_000
-#: Rows that are compared at once.
-BATCH = 200_000
+#: Rows that are compared at once; members of a bucket up to which its pairs are compared together with other buckets'.
+BATCH, SMALL = 200_000, 32
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; a shorter text is one shingle, without words there is none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(ends, ends[size:])], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit SimHash of a text's word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = list(accumulate((len(w) + 1 for w in words), initial=0))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(ends, ends[SHINGLE:])]
+    hashes = shingle_hashes(text, SHINGLE)
     total, ones = len(hashes), np.zeros(64, np.int64)
     for k in range(0, total, 8192):
-        part = np.array(hashes[k : k + 8192], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bits_of(hashes[k : k + 8192, None]).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
@@ -61,20 +74,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
-    """Bits 0 to 63 in parts of nearly equal size, each of the bits that go together most in the sample."""
-    bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+def bits_of(fps: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words (one or several a row) as rows of zeros and ones, lowest bit first."""
+    return np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+
+
+def group_bits(sample: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Parts of the given sizes of a sample's bits (one column each), each of bits that go together most."""
+    bits = sample.astype(np.float64)
     bits -= bits.mean(axis=0) if len(bits) else 0
     norm = np.sqrt((bits**2).sum(axis=0))
     related = np.abs(bits.T @ bits) / np.maximum(np.outer(norm, norm), 1e-9)
-    left, groups = list(range(64)), []
-    for k in range(parts):
-        size = len(left) // (parts - k)
-        group = [left.pop(0)]
+    free, groups = np.ones(sample.shape[1], bool), []
+    for size in sizes:
+        group = [int(np.argmax(free))]
+        free[group[0]] = False
+        near = related[group[0]].copy()
         while len(group) < size:
-            best = max(left, key=lambda b: (related[b, group].sum(), -b))
-            left.remove(best)
+            best = int(np.argmax(np.where(free, near, -1.0)))
+            free[best] = False
             group.append(best)
+            near += related[best]
         groups.append(sorted(group))
     return groups
 
@@ -97,20 +117,21 @@ def allocate(groups: list[list[int]], sample: np.ndarray, total: int, distance:
     a, b = sample[:half], sample[half : 2 * half]
     both = np.concatenate([np.roll(b, k) ^ a for k in range(min(half, 256))]) if half else np.zeros(0, np.uint64)
     pairs = total * (total - 1) / 2
+    most = distance // len(groups) + 1
     cost = {}
     for i, group in enumerate(groups):
         apart = np.bitwise_count(both & np.uint64(mask_of(group)))
-        for t in range(-1, 3):
-            keys = len(probes(group, t))
+        for t in range(-1, most + 1):
+            keys = math.comb(len(group), t) if t >= 0 else 0
             # a smoothed rate: the uniform one where the sample has no such pair
-            even = sum(len(list(combinations(range(len(group)), d))) for d in range(t + 1)) / 2 ** len(group)
+            even = sum(math.comb(len(group), d) for d in range(t + 1)) / 2 ** len(group)
             rate = ((apart <= t).sum() + even) / (len(both) + 1) if t >= 0 else 0
             cost[i, t] = keys * total * 12 + rate * pairs * max(1, t + 1) if t >= 0 else 0.0
     best = {0: (0.0, [])}
     for i in range(len(groups)):
         new: dict[int, tuple[float, list[int]]] = {}
         for used, (c, ts) in best.items():
-            for t in range(-1, 3):
+            for t in range(-1, most + 1):
                 if used + t not in new or new[used + t][0] > c + cost[i, t]:
                     new[used + t] = (c + cost[i, t], [*ts, t])
         best = new
@@ -121,7 +142,7 @@ def plan(sample: np.ndarray, total: int, distance: int) -> list[list[int]]:
     """For each part that takes part: its probe masks."""
     found = []
     for parts in range(min(3, distance + 1), distance + 2):
-        groups = group_bits(sample, parts)
+        groups = group_bits(bits_of(sample), [(64 + k) // parts for k in range(parts)])
         cost, thresholds = allocate(groups, sample, total, distance)
         found.append((cost, parts, [probes(g, t) for g, t in zip(groups, thresholds) if t >= 0]))
     return min(found, key=lambda x: x[:2])[2]
@@ -138,56 +159,95 @@ def _forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
         near = np.bitwise_count(members[left] ^ members[at]) <= distance
         if near.any():
             hit = left[near]
-            edges += [(at, x) for x in hit]
+            edges += [(at, x) for x in hit.tolist()]
             queue += hit.tolist()
             left = left[~near]
     return edges
 
 
-def _verify(distance: int):
-    def links(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray):
-        out_a, out_b = [], []
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        small = np.repeat((sizes > 1) & (sizes <= 32), sizes)
-        k, f, r = keys[small], fps[small], reps[small]
-        for shift in range(1, int(sizes[(sizes > 1) & (sizes <= 32)].max(initial=1))):
-            hit = np.flatnonzero((k[shift:] == k[:-shift]) & (np.bitwise_count(f[shift:] ^ f[:-shift]) <= distance))
-            out_a.append(r[hit])
-            out_b.append(r[hit + shift])
-        for s, n in zip(starts[sizes > 32], sizes[sizes > 32]):
-            if edges := _forest(fps[s : s + n], distance):
-                pair = np.array(edges) + s
-                out_a.append(reps[pair[:, 0]])
-                out_b.append(reps[pair[:, 1]])
-        if not out_a:
-            return None
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        ab = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["u", "v"])
+def _buckets(batches, most: int | None):
+    """(kind, columns) of the buckets that have several members, from batches sorted by the first column: "small" is any
+    number of buckets of up to SMALL members, "whole" is one, "part" a part of one above `most` members (None: no such
+    bound), so that memory stays bounded."""
+    kept, over = None, None
+    for batch in batches:
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+        if over is not None:
+            cut = int(np.searchsorted(now[0], over, side="right"))
+            if cut:
+                yield "part", now[:, :cut]
+            now = now[:, cut:]
+        if kept is not None:
+            now = np.concatenate([kept, now], axis=1)
+        if not now.shape[1]:
+            continue
+        over, kept = None, None
+        starts = np.flatnonzero(np.r_[True, now[0, 1:] != now[0, :-1]])
+        sizes = np.diff(np.r_[starts, now.shape[1]])
+        few = (sizes > 1) & (sizes <= SMALL)
+        few[-1] = False
+        if few.any():
+            yield "small", now[:, np.repeat(few, sizes)]
+        for k in np.flatnonzero(sizes[:-1] > SMALL):
+            yield "part" if most is not None and sizes[k] > most else "whole", now[:, starts[k] : starts[k + 1]]
+        kept = now[:, starts[-1] :]
+        if most is not None and sizes[-1] > most:
+            yield "part", kept
+            over, kept = kept[0, 0], None
+    if kept is not None and kept.shape[1] > 1:
+        yield "whole", kept
+
+
+def _verify(distance: int, most: int | None):
+    """(kind, u, v, w) of rows (key, fp, node) sorted by key: links (0, u, v, 0), and the members of buckets that are
+    too large (1, key, fp, node)."""
 
     def run(batches):
-        kept: list[tuple] = []
-        rows = 0
-        for batch in batches:  # sorted by key; a bucket may go on in the next batch
-            kept.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            rows += batch.num_rows
-            if rows < BATCH:
-                continue
-            k, f, r = (np.concatenate(x) for x in zip(*kept))
-            cut = int(np.searchsorted(k, k[-1]))
-            if cut and (found := links(k[:cut], f[:cut].view(np.uint64), r[:cut])):
-                yield found
-            kept, rows = [(k[cut:], f[cut:], r[cut:])], 0
-        if kept:
-            k, f, r = (np.concatenate(x) for x in zip(*kept))
-            if len(k) and (found := links(k, f.view(np.uint64), r)):
-                yield found
+        found, rows = [], 0
+        for kind, (key, fp, node) in _buckets(batches, most):
+            fps = fp.view(np.uint64)
+            if kind == "part":
+                found.append(np.stack([np.ones(len(key), np.int64), key, fp, node]))
+            else:
+                if kind == "small":
+                    pairs = []
+                    for shift in range(1, SMALL):
+                        at = np.flatnonzero(key[shift:] == key[:-shift])
+                        if not len(at):
+                            break
+                        at = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= distance]
+                        pairs.append(np.stack([at, at + shift]))
+                    i, j = np.concatenate(pairs, axis=1)
+                else:
+                    i, j = np.array(_forest(fps, distance), np.int64).reshape(-1, 2).T
+                a, b = node[i], node[j]
+                found.append(np.stack([np.zeros(len(a), np.int64), np.maximum(a, b), np.minimum(a, b), np.zeros(len(a), np.int64)]))
+            rows += found[-1].shape[1]
+            if rows > BATCH:
+                yield _columns(found, ("kind", "u", "v", "w"))
+                found, rows = [], 0
+        if found:
+            yield _columns(found, ("kind", "u", "v", "w"))
 
     return run
 
 
-def links(classes: DataFrame, distance: int, sample_rows: int = SAMPLE) -> DataFrame:
+def _columns(found: list[np.ndarray], names: tuple[str, ...]) -> pa.RecordBatch:
+    rows = np.concatenate(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "kind" else pa.int64()) for x, n in zip(rows, names)], names=list(names))
+
+
+def deal_again(large: DataFrame, limit: int) -> DataFrame:
+    """Rows (key, node, ...) of buckets too large for a task, under keys of smaller ones: a bucket's members are cut into
+    chunks of about half the limit, and every two chunks meet under a key of their own, so no pair is lost."""
+    sizes = large.groupBy("key").count().select("key", F.ceil(F.col("count") * 2 / limit).cast("int").alias("_c"))
+    cut = large.join(sizes, "key").withColumn("_a", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
+    met = cut.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    key = F.xxhash64("key", F.least("_a", "_b"), F.greatest("_a", "_b"))
+    return met.withColumn("key", key).drop("_a", "_b", "_c")
+
+
+def links(classes: DataFrame, distance: int, sample_rows: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
     """(u, v), u > v: links between representatives of fingerprint classes (fp, rep); together they join all that
     links of at most `distance` bits join."""
     total = classes.count()
@@ -196,21 +256,16 @@ def links(classes: DataFrame, distance: int, sample_rows: int = SAMPLE) -> DataF
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = F.array(*[F.lit(signed(m)) for part in parts for m in part])
     keyed = classes.select("fp", "rep", F.posexplode(masks).alias("_n", "_mask")).select(
-        F.xxhash64("_n", F.col("fp").bitwiseAND(F.col("_mask"))).alias("key"), "fp", "rep"
+        F.xxhash64("_n", F.col("fp").bitwiseAND(F.col("_mask"))).alias("key"), "fp", F.col("rep").alias("node")
     )
-    # buckets that are too large for one task: any two of them within the distance also agree on one of more blocks
-    large = keyed.groupBy("key").count().where(F.col("count") > BUCKET).select("key")
-    large = materialize(large, "simhash-large")
+    schema = "kind int, u long, v long, w long"
+    sorted_ = lambda df: df.select("key", "fp", "node").repartition("key").sortWithinPartitions("key")
+    found = materialize(sorted_(keyed).mapInArrow(_verify(distance, bucket), schema), "simhash-links")
+    large = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("fp"), F.col("w").alias("node"))
+    found = found.where("kind = 0")
     if not large.isEmpty():
-        width = 64 // (distance + 1)
-        blocks = [mask_of(range(k * width, 64 if k == distance else (k + 1) * width)) for k in range(distance + 1)]
-        rest = keyed.join(large, "key", "left_anti")
-        again = keyed.join(large, "key", "left_semi").select(
-            "key", "fp", "rep", F.posexplode(F.array(*[F.lit(signed(m)) for m in blocks])).alias("_n", "_mask")
-        ).select(F.xxhash64("key", "_n", F.col("fp").bitwiseAND(F.col("_mask"))).alias("key"), "fp", "rep")
-        keyed = rest.unionByName(again)
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance), "u long, v long")
-    return found.distinct()
+        found = found.unionByName(sorted_(deal_again(large, bucket)).mapInArrow(_verify(distance, None), schema))
+    return found.select("u", "v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -243,3 +298,260 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     linked = components(links(classes.where("rep IS NOT NULL"), distance))
     settled = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(settled, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Near copies: words of a shingle, least similarity as a fraction, 64-bit words of the fingerprint that keys are made of
+#: and that candidates are checked on, bits in which those may differ, chance to miss a pair of the least similarity.
+NEAR_SHINGLE, SIMILAR, WORDS, CHECK, CHECK_DISTANCE, MISS = 5, (4, 5), 16, 2, 31, 0.01
+#: Estimated cost of a key, in compared pairs.
+KEY = 100
+#: Bits apart, as a share, at the least similarity: the angle between sets of equal size.
+APART = math.acos(2 * SIMILAR[0] / (SIMILAR[0] + SIMILAR[1])) / math.pi
+_MIX = (np.arange(1, WORDS + CHECK + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def distinct_shingles(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, NEAR_SHINGLE))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Two sets of shingles share at least SIMILAR of all that either has; empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS + CHECK words of SimHash bits of a set of shingles; each word takes its own bits from a shingle's hash."""
+    ones = np.zeros(64 * len(_MIX), np.int64)
+    for k in range(0, len(hashes), 512):
+        x = hashes[k : k + 512, None] * _MIX
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        ones += bits_of(x).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def _long(batches):
+    for batch in batches:
+        sets = [distinct_shingles(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([long_fingerprint(s).tobytes() for s in sets], pa.binary())], names=["node", "n", "fp"]
+        )
+
+
+def within(width: int, threshold: int, apart: float) -> float:
+    """The chance that at most `threshold` of a part's bits differ, each with the chance `apart`."""
+    return sum(math.comb(width, d) * apart**d * (1 - apart) ** (width - d) for d in range(threshold + 1))
+
+
+def choose_parts(bits: np.ndarray, total: int, miss: float = MISS, unit: float = 0.02) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of the parts that make keys, for `total` fingerprints of which `bits` is a sample."""
+    need = math.ceil(-math.log(miss) / unit)
+    half = len(bits) // 2
+    turns = min(half, 8)
+    pairs, best = total * (total - 1) / 2, (math.inf, [])
+    for width in (6, 8, 10, 12, 14, 16, 20, 24, 28, 32):
+        groups = group_bits(bits, [width] * (bits.shape[1] // width))
+        # for each number of steps towards the wanted chance: the least cost, and the thresholds that have it
+        states: dict[int, tuple[float, list]] = {0: (0.0, [])}
+        for group in groups:
+            apart = np.concatenate([(np.roll(bits[half : 2 * half, group], k, axis=0) ^ bits[:half, group]).sum(axis=1) for k in range(turns)] or [np.zeros(0)])
+            new = dict(states)
+            for t in (0, 1):
+                even = within(width, t, 0.5)
+                rate = (float((apart <= t).sum()) + even) / (len(apart) + 1)
+                cost = math.comb(width, t) * total * KEY + rate * pairs * (t + 1)
+                step = int(-math.log(1 - within(width, t, APART)) / unit)
+                for used, (spent, chosen) in states.items():
+                    now = min(need, used + step)
+                    if now not in new or new[now][0] > spent + cost:
+                        new[now] = (spent + cost, [*chosen, (group, t)])
+            states = new
+        if need in states and states[need][0] < best[0]:
+            best = states[need]
+    return best[1]
+
+
+def _keys(parts: list[tuple[list[int], int]]):
+    """(key, node, n, c, d) of rows (node, n, fp): a key for each part, with each of its bits left out where it may differ."""
+
+    def run(batches):
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            bits, found = bits_of(words), []
+            for k, (group, t) in enumerate(parts):
+                value = bits[:, group].astype(np.uint64) @ (np.uint64(1) << np.arange(len(group), dtype=np.uint64))
+                for j in range(len(group)) if t else (-1,):
+                    kept = value if j < 0 else value & ~(np.uint64(1) << np.uint64(j))
+                    x = kept * np.uint64(0x9E3779B97F4A7C15) + np.uint64((64 * k + j + 1) * 0x9FB21C651E98DF25 % 2**64)
+                    x ^= x >> np.uint64(32)
+                    found.append(x * np.uint64(0xD6E8FEB86659FD93))
+            own = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), words[:, WORDS].view(np.int64), words[:, WORDS + 1].view(np.int64)]
+            rows = [np.stack(found, axis=1).ravel().view(np.int64), *(np.repeat(x, len(found)) for x in own)]
+            for a in range(0, len(rows[0]), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + BATCH]) for x in rows], names=["key", "node", "n", "c", "d"])
+
+    return run
+
+
+def _may(n, c, d, i, j) -> np.ndarray:
+    """Which of the pairs (i, j) may be near copies, by their numbers of shingles and the check words."""
+    apart = np.bitwise_count((c[i] ^ c[j]).view(np.uint64)) + np.bitwise_count((d[i] ^ d[j]).view(np.uint64))
+    return (apart <= CHECK_DISTANCE) & (SIMILAR[1] * np.minimum(n[i], n[j]) >= SIMILAR[0] * np.maximum(n[i], n[j]))
+
+
+def _near_pairs(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j), i < j, of a bucket's members that may be near copies, some members at a time."""
+    _, _, n, c, d = bucket[:5]
+    size, step = len(n), max(1, 2_000_000 // len(n))
+    for a in range(0, size, step):
+        i, j = np.arange(a, min(a + step, size))[:, None], np.arange(a, size)[None, :]
+        x, y = np.nonzero(_may(n, c, d, i, j) & (j > i))
+        yield x + a, y + a
+
+
+def _joined(bucket: np.ndarray) -> np.ndarray:
+    """Pairs that join whatever pairs of members that may be near copies join."""
+    _, _, n, c, d = bucket
+    left, queue, edges = np.arange(1, len(n)), [0], []
+    while len(left):
+        if queue:
+            at = queue.pop()
+        else:
+            at, left = int(left[0]), left[1:]
+        near = _may(n, c, d, at, left)
+        hit, left = left[near], left[~near]
+        edges.append(np.stack([np.full(len(hit), at), hit]))
+        queue += hit.tolist()
+    return np.concatenate(edges, axis=1)
+
+
+def _candidates(most: int | None, dense: int = 8):
+    """(kind, key, node, n, c, d): candidate pairs (0, u, v, 0, 0, 0); members (1, ...) of buckets that gave only pairs
+    that join them, as they have more than `dense` pairs a member; members (2, ...) of buckets that are too large."""
+
+    def run(batches):
+        found, rows = [], 0
+        for kind, bucket in _buckets(batches, most):
+            key, node, n, c, d = bucket
+            if kind == "part":
+                found.append(np.concatenate([np.full((1, len(key)), 2), bucket]))
+            else:
+                if kind == "small":
+                    pairs = [np.zeros((2, 0), np.int64)]
+                    for shift in range(1, SMALL):
+                        at = np.flatnonzero(key[shift:] == key[:-shift])
+                        if not len(at):
+                            break
+                        at = at[_may(n, c, d, at, at + shift)]
+                        pairs.append(np.stack([at, at + shift]))
+                else:
+                    pairs, many = [], 0
+                    for pair in _near_pairs(bucket):
+                        pairs.append(np.stack(pair))
+                        many += len(pair[0])
+                        if many > dense * len(key):
+                            pairs = [_joined(bucket)]
+                            found.append(np.concatenate([np.ones((1, len(key)), np.int64), bucket]))
+                            rows += len(key)
+                            break
+                i, j = np.concatenate(pairs, axis=1)
+                u, v = node[i], node[j]
+                zero = np.zeros(len(u), np.int64)
+                found.append(np.stack([zero, np.maximum(u, v), np.minimum(u, v), zero, zero, zero])[:, u != v])
+            rows += found[-1].shape[1]
+            if rows > BATCH:
+                yield _columns(found, ("kind", "key", "node", "n", "c", "d"))
+                found, rows = [], 0
+        if found:
+            yield _columns(found, ("kind", "key", "node", "n", "c", "d"))
+
+    return run
+
+
+def _rest(batches):
+    """Pairs (u, v) that may be near copies, of members (key, node, n, c, d, group) that aren't in one group yet."""
+    found, rows = [], 0
+
+    def out():
+        u, v = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    for _, members in _buckets(batches, None):
+        keys, starts = np.unique(members[0], return_index=True)
+        for a, b in zip(starts, [*starts[1:], members.shape[1]]):
+            bucket = members[:, a:b]
+            for i, j in _near_pairs(bucket):
+                apart = (bucket[5][i] != bucket[5][j]) & (bucket[1][i] != bucket[1][j])
+                found.append(np.stack([bucket[1][i[apart]], bucket[1][j[apart]]]))
+                rows += found[-1].shape[1]
+                if rows > BATCH:
+                    yield out()
+                    found, rows = [], 0
+    if rows:
+        yield out()
+
+
+def _verified(batches):
+    """Those of (u, v, text of u, text of v) that are similar."""
+    last, known = None, None
+    for batch in batches:
+        ok = []
+        for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if known is None or u != last:
+                last, known = u, distinct_shingles(a)
+            ok.append(similar(known, distinct_shingles(b)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose texts are similar; only texts that are in a pair travel."""
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    mine = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    mine = materialize(mine, "near-texts")
+    one, two = (mine.select(F.col("node").alias(x), F.col("text").alias(t)) for x, t in (("u", "a"), ("v", "b")))
+    both = pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b")
+    return materialize(both.mapInArrow(_verified, "u long, v long"), "near-links")
+
+
+def near_copies(texts: DataFrame, miss: float = MISS, sample_rows: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
+    """(node, component) of the texts (node, text; node is a hash of the text) that have a near copy."""
+    marked = texts.select("node", "text").mapInArrow(_long, "node long, n long, fp binary")
+    marked = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-fingerprints")
+    total = marked.count()
+    sample = [r[0] for r in marked.orderBy(F.xxhash64("node")).limit(sample_rows).select("fp").collect()]
+    bits = bits_of(np.frombuffer(b"".join(sample), "<u8").reshape(len(sample), WORDS + CHECK)[:, :WORDS]) if sample else np.zeros((0, 64 * WORDS), np.uint8)
+    parts = choose_parts(bits, total, miss)
+    names = ["key", "node", "n", "c", "d"]
+    schema = "kind int, key long, node long, n long, c long, d long"
+    dealt = lambda df, more=(): df.select(*names, *more).repartition("key").sortWithinPartitions("key")
+    keyed = marked.mapInArrow(_keys(parts), "key long, node long, n long, c long, d long")
+    found = materialize(dealt(keyed).mapInArrow(_candidates(bucket), schema), "near-candidates")
+    large = found.where("kind = 2").select(names)
+    found = found.where("kind < 2")
+    if not large.isEmpty():
+        found = found.unionByName(materialize(dealt(deal_again(large, bucket)).mapInArrow(_candidates(None), schema), "near-candidates"))
+    tried = materialize(found.where("kind = 0").select(F.col("key").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
+    linked = _similar_pairs(tried, texts)
+    dense = found.where("kind = 1").select(names)
+    if not dense.isEmpty():
+        dense = dense.join(components(linked), "node", "left").withColumn("group", F.coalesce("component", "node"))
+        rest = dealt(dense, ["group"]).mapInArrow(_rest, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+        rest = materialize(rest, "near-rest")
+        if not rest.isEmpty():
+            linked = linked.unionByName(_similar_pairs(rest, texts))
+    return components(linked)
+
+
+def drop_near_copies(docs: DataFrame, miss: float = MISS) -> DataFrame:
+    """Of each group of near copies, one row of docs: the smallest doc_id's. A row is known by its id and text."""
+    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = near_copies(rows.select(F.col("_node").alias("node"), "text"), miss)
+    placed = rows.select("doc_id", F.col("_node").alias("node")).join(found, "node", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("w")
+    first = placed.groupBy(F.coalesce("component", "node").alias("_g")).agg(least)
+    first = materialize(first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_n")), "near-first")
+    kept = rows.join(first, rows["_node"].eqNullSafe(first["_n"]) & rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    again = rows.groupBy("doc_id", "_node").count().where("count > 1").isEmpty()
+    return (kept if again else kept.dropDuplicates(["doc_id", "_node"])).select(docs.columns)
