@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageforge.llm import decontaminate, packing, pii, shingles, toxicity
+from pageforge.llm import decontaminate, packing, pii, simhash, toxicity
 from pageforge.llm.common import materialize, table
 from pageforge.llm.queries import vocabulary
 
@@ -20,7 +20,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that share 80 % of their five-word shingles, the one with the smallest doc_id stays."""
-    return shingles.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A classifier, tokenizer and fingerprints can't be written in SQL; tests hold the stages against brute force.
+#: A classifier, tokenizer and fingerprints can't be written in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
