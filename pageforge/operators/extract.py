@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageforge.functions.text import strip, suffix
+from pageforge.storage import stored
 
 #: The suffixes that are taken.
 ALLOWED = ("pdf", "doc", "docx", "ppt", "pptx", "jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif", "gif")
 
 
 #: Letters of a word from which delete keys are made.
-PREFIX = 7
+PREFIX = 12
 
 
 def dispatch(named: DataFrame) -> DataFrame:
@@ -55,22 +56,67 @@ def spell_gate(token):
     return token.rlike(r"^\p{L}+$") & (F.lower(token) == token) & (F.upper(token) != token) & (F.length(token) > 3)
 
 
-def repair(tokens: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataFrame:
-    """(token, repaired) for distinct tokens: the closest term within the distance, then the more frequent, then the first.
+def _swap(a: str, i: str) -> str:
+    """The text a with its letters i and i + 1 changed over, as SQL."""
+    return f"concat(substr({a}, 1, {i} - 1), substr({a}, {i} + 1, 1), substr({a}, {i}, 1), substr({a}, {i} + 2))"
 
-    Candidates share a delete key (the first PREFIX letters with up to `distance` of them left out: every letter that an
-    edit takes out of one prefix, or pushes over its end, is left out), so this is an equi-join; the edit distance is
-    verified on candidates only, in the join's own stage, and a candidate that is met twice does no harm to a minimum.
-    """
+
+def _one(a: str, b: str) -> str:
+    """0, 1 or, for anything more, 9: edits between two short texts, where a swap of neighbours counts one."""
+    return (
+        f"CASE levenshtein({a}, {b}, 2) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN "
+        f"IF(length({a}) = length({b}) AND exists(sequence(1, length({a}) - 1), q -> {_swap(a, 'q')} = {b}), 1, 9) ELSE 9 END"
+    )
+
+
+def edits(a: str, b: str, letters_a: str | None = None, letters_b: str | None = None) -> str:
+    """0, 1, 2 or null, for more: insertions, deletions, substitutions and swaps of neighbours between a and b, none
+    within another, as SQL. A swap is two plain edits, so what swaps can mend is at most four plain edits apart, and
+    has the same letters but for one edit. These, sorted, can be given as columns of their own."""
+    letters = lambda x: f"array_join(array_sort(split({x}, '')), '')"
+    letters_a, letters_b = letters_a or letters(a), letters_b or letters(b)
+    left, right = _one(f"substr({a}, 1, i - 1)", f"substr({b}, 1, j - 1)"), _one(f"substr({a}, i + 2)", f"substr({b}, j + 2)")
+    crossed = f"substr({a}, i, 1) = substr({b}, j + 1, 1) AND substr({a}, i + 1, 1) = substr({b}, j, 1)"
+    near = f"sequence(greatest(1, i - 1), greatest(1, least(length({b}) - 1, i + 1)))"
+    more = f"exists(sequence(1, length({a}) - 1), i -> exists({near}, j -> {crossed} AND ({left}) + ({right}) <= 1))"
+    return (
+        f"CASE levenshtein({a}, {b}, 4) WHEN 0 THEN 0 WHEN 1 THEN 1 "
+        f"WHEN 2 THEN IF(({_one(a, b)}) = 1, 1, 2) "
+        f"WHEN 3 THEN IF(length({a}) > 1 AND levenshtein({letters_a}, {letters_b}, 2) BETWEEN 0 AND "
+        f"2 - abs(length({a}) - length({b})) AND {more}, 2, NULL) "
+        f"WHEN 4 THEN IF({letters_a} = {letters_b} AND {more}, 2, NULL) END"
+    )
+
+
+def _keyed(df: DataFrame, name: str, distance: int) -> DataFrame:
+    """df, its sorted letters, and key: the first PREFIX letters with up to `distance` of them left out."""
     drop = "transform(sequence(1, length(w)), i -> concat(left(w, i - 1), substr(w, i + 1)))"
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        found = df.withColumn("ks", F.array(F.left(F.col(name), F.lit(PREFIX))))
-        for _ in range(distance):
-            found = found.withColumn("ks", F.expr(f"array_distinct(concat(ks, flatten(transform(filter(ks, w -> length(w) > 1), w -> {drop}))))"))
-        return found.withColumn("key", F.explode("ks")).drop("ks")
+    letters = F.array_join(F.array_sort(F.split(F.col(name), "")), "").alias("letters")
+    found = df.select("*", letters).withColumn("ks", F.array(F.left(F.col(name), F.lit(PREFIX))))
+    for _ in range(distance):
+        found = found.withColumn("ks", F.expr(f"array_distinct(concat(ks, flatten(transform(filter(ks, w -> length(w) > 1), w -> {drop}))))"))
+    return found.withColumn("key", F.explode("ks")).drop("ks")
+
 
+def repair(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(token, repaired) for distinct tokens: the closest term within two edits, then the more frequent, then the first.
+
+    Terms stay as they are. The others are looked for one edit away, and only what has no term there two edits away.
+    Candidates share a delete key (every letter that an edit takes out of one prefix, or pushes over its end, is left
+    out), so this is an equi-join, whose strategy Spark picks by size; edits are counted on candidates only, in the
+    join's own stage, and a candidate that is met twice does no harm to a minimum.
+    """
     asked = tokens.select("token").distinct()
-    pairs = keyed(asked, "token").join(keyed(dictionary, "term"), "key").where(F.abs(F.length("token") - F.length("term")) <= distance)
-    near = pairs.withColumn("d", F.levenshtein("token", "term", distance)).where("d >= 0")
-    best = near.groupBy("token").agg(F.min(F.struct("d", (-F.col("freq")).alias("f"), "term")).alias("b"))
-    return asked.join(best, "token", "left").select("token", F.coalesce("b.term", "token").alias("repaired"))
+    known = dictionary.groupBy("term").agg(F.max("freq").alias("freq"))
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not merged
+    left = stored(asked.join(known.select(F.col("term").alias("token")), "token", "left_anti").repartition(tasks, "token"), "tokens-left")
+    found = asked.join(left, "token", "left_anti").select("token", F.col("token").alias("repaired"))
+    for distance in (1, 2):
+        one = _keyed(left, "token", distance).withColumnRenamed("letters", "la").repartition(tasks, "key")
+        pairs = one.join(_keyed(known, "term", distance).withColumnRenamed("letters", "lb"), "key")
+        near = pairs.where(F.abs(F.length("token") - F.length("term")) <= distance)
+        near = near.withColumn("d", F.expr(edits("token", "term", "la", "lb")))
+        least = F.min(F.struct("d", (-F.col("freq")).alias("f"), "term")).alias("b")
+        best = stored(near.where(f"d <= {distance}").groupBy("token").agg(least).select("token", F.col("b.term").alias("repaired")), "tokens-repaired")
+        found, left = found.unionByName(best), left.join(best, "token", "left_anti")
+    return found.unionByName(left.select("token", F.col("token").alias("repaired")))

@@ -1,6 +1,6 @@
 """Words into reading-order lines, lines into pages and documents.
 
-Pages are independent: every step is keyed by doc_id (one page each here), and a page's words are gathered once. The
+Pages are independent: every step is keyed by page_id, and a page's words are gathered once. The
 line split is a fold against a running mean, which no window can say.
 """
 
@@ -9,11 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageforge.functions.folds import scan
 from pageforge.functions.text import strip
 
-FOLD = """aggregate(o, CAST(struct(0D AS m, 0 AS k, -1 AS line, array() AS ids) AS struct<m:double,k:int,line:int,ids:array<int>>), (a, w) ->
- CASE WHEN a.k > 0 AND abs(w.yc - a.m) <= thr THEN named_struct('m', (a.m * a.k + w.yc) / (a.k + 1), 'k', a.k + 1, 'line', a.line, 'ids', array_append(a.ids, a.line))
- ELSE named_struct('m', w.yc, 'k', 1, 'line', a.line + 1, 'ids', array_append(a.ids, a.line + 1)) END).ids"""
+#: A word joins the line while it is within the threshold of its running mean: the mean m of k words, the line's number.
+_SAME = "a.k > 0 AND abs(w.yc - a.m) <= thr"
+FOLD = scan(
+    "o",
+    {
+        "m": ("double", "0D", f"IF({_SAME}, (a.m * a.k + w.yc) / (a.k + 1), w.yc)"),
+        "k": ("int", "0", f"IF({_SAME}, a.k + 1, 1)"),
+        "line": ("int", "-1", f"IF({_SAME}, a.line, a.line + 1)"),
+    },
+    f"IF({_SAME}, a.line, a.line + 1)", "int",
+)
 
 
 def group_lines(words: DataFrame) -> DataFrame:
@@ -21,31 +30,44 @@ def group_lines(words: DataFrame) -> DataFrame:
 
     Whole words travel in their page's array, so one shuffle by page serves this and every step by page or line after it.
     """
-    own = [c for c in words.columns if c != "doc_id"]
+    own = [c for c in words.columns if c != "page_id"]
     yc = ((F.col("y1") + F.col("y2")) / 2.0).cast("double").alias("yc")
-    page = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(yc, "x1", "seq", F.struct(*own).alias("own")))).alias("o"))
-    page = page.withColumn("h", F.expr("sort_array(transform(o, w -> greatest(1, w.own.y2 - w.own.y1)))")).withColumn("thr", F.expr("greatest(8D, 0.65D * h[CAST(size(h) div 2 AS INT)])"))
-    return page.select("doc_id", F.explode(F.arrays_zip("o", F.expr(FOLD).alias("line_no"))).alias("x")).select("doc_id", *[F.col("x.o.own")[c].alias(c) for c in own], F.col("x.line_no").alias("line_no"))
+    word = F.struct(yc, "x1", "seq", F.struct(*own).alias("own"))
+    page = words.groupBy("page_id").agg(F.array_sort(F.collect_list(word)).alias("o"))
+    page = page.withColumn("h", F.expr("sort_array(transform(o, w -> greatest(1, w.own.y2 - w.own.y1)))"))
+    page = page.withColumn("thr", F.expr("greatest(8D, 0.65D * h[CAST(size(h) div 2 AS INT)])"))
+    placed = page.select("page_id", F.explode(F.arrays_zip("o", F.expr(FOLD).alias("line_no"))).alias("x"))
+    return placed.select("page_id", *[F.col("x.o.own")[c].alias(c) for c in own], F.col("x.line_no").alias("line_no"))
 
 
 def lines(grouped: DataFrame, conf: str = "ca") -> DataFrame:
     """One row per line: text in (x1, y1) order, mean confidence, box, number of words; blank lines go."""
-    order = F.array_sort(F.collect_list(F.struct("x1", "y1", ((F.col("y1") + F.col("y2")) / 2.0).alias("yc"), "seq", strip(F.col("text")).alias("t"))))
+    yc = ((F.col("y1") + F.col("y2")) / 2.0).alias("yc")
+    order = F.array_sort(F.collect_list(F.struct("x1", "y1", yc, "seq", strip(F.col("text")).alias("t"))))
+    mean = F.round(F.sum(F.coalesce(conf, F.lit(0))) / (F.count("*") * 100.0), 6)
+    box = F.min("x1").alias("bx1"), F.min("y1").alias("by1"), F.max("x2").alias("bx2"), F.max("y2").alias("by2")
     return (
-        grouped.groupBy("doc_id", "line_no")
-        .agg(order.alias("o"), F.round(F.sum(F.coalesce(conf, F.lit(0))) / (F.count("*") * 100.0), 6).alias("conf"), F.min("x1").alias("bx1"), F.min("y1").alias("by1"), F.max("x2").alias("bx2"), F.max("y2").alias("by2"), F.count("*").alias("n_words"))
+        grouped.groupBy("page_id", "line_no").agg(order.alias("o"), mean.alias("conf"), *box, F.count("*").alias("n_words"))
         .withColumn("line_text", strip(F.array_join(F.transform("o", lambda s: s["t"]), " "))).where("line_text <> ''").drop("o")
     )
 
 
 def page_text(found: DataFrame) -> DataFrame:
     """One row per page: its lines' texts, one under the other."""
-    return found.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_text"))), lambda s: s["line_text"]), "\n").alias("t"), F.count("*").alias("n_lines")).select("doc_id", strip(F.col("t")).alias("page_text"), "n_lines")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_text"))), lambda s: s["line_text"])
+    page = found.groupBy("page_id").agg(F.array_join(texts, "\n").alias("t"), F.count("*").alias("n_lines"))
+    return page.select("page_id", strip(F.col("t")).alias("page_text"), "n_lines")
 
 
 def flatten(pages: DataFrame) -> DataFrame:
-    """doc_id, line_no, word_no, text, bbox, w_px, h_px: the words of pages' nested lines, in order; a line without words
+    """page_id, line_no, word_no, text, bbox, w_px, h_px: the words of pages' nested lines, in order; a line without words
     stands for one, and a missing or zero size is 1920 by 1080."""
-    line = pages.select("doc_id", *[F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(d)).alias(o) for c, d, o in (("width", 1920, "w_px"), ("height", 1080, "h_px"))], F.posexplode("lines").alias("line_no", "l"))
-    words = F.expr("IF(size(coalesce(l.words, array())) = 0, array(struct(l.text AS text, l.bbox AS bbox)), transform(l.words, w -> struct(w.text AS text, w.bbox AS bbox)))")
-    return line.select("doc_id", "line_no", "w_px", "h_px", F.posexplode(words).alias("word_no", "w")).select("doc_id", "line_no", "word_no", "w.text", "w.bbox", "w_px", "h_px")
+    sizes = (("width", 1920, "w_px"), ("height", 1080, "h_px"))
+    size = [F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(default)).alias(o) for c, default, o in sizes]
+    line = pages.select("page_id", *size, F.posexplode("lines").alias("line_no", "l"))
+    words = F.expr(
+        "IF(size(coalesce(l.words, array())) = 0, array(struct(l.text AS text, l.bbox AS bbox)), "
+        "transform(l.words, w -> struct(w.text AS text, w.bbox AS bbox)))"
+    )
+    word = line.select("page_id", "line_no", "w_px", "h_px", F.posexplode(words).alias("word_no", "w"))
+    return word.select("page_id", "line_no", "word_no", "w.text", "w.bbox", "w_px", "h_px")

@@ -11,13 +11,13 @@ from pageforge.functions.text import strip
 def stats(words: DataFrame) -> DataFrame:
     """Per page: counts, mean confidences, scores, share of confident words, variation of heights and confidences."""
     h = F.col("y2") - F.col("y1")
-    found = words.groupBy("doc_id").agg(
+    found = words.groupBy("page_id").agg(
         F.count("*").alias("n"), F.sum(F.length(strip(F.col("text")))).alias("chars"), F.sum("ca").alias("sa"), F.sum("cb").alias("sb"),
         F.sum(F.col("ca") * F.col("ca")).alias("qa"), F.sum((F.col("cb") >= 50).cast("int")).alias("above_b"), F.sum(h).alias("sh"), F.sum(h * h).alias("qh"),
     )
     # sums of integers, divided once: the same on any partitioning
     cv = lambda s, q: f"CASE WHEN n < 2 OR {s} <= 0 THEN 0D ELSE sqrt(greatest(0D, CAST(n * {q} - {s} * {s} AS DOUBLE))) / {s} END"
-    found = found.selectExpr("doc_id", "n", "chars", "round(sa / (n * 100D), 9) AS avg_a", "round(sb / (n * 100D), 9) AS avg_b", "round(above_b / CAST(n AS DOUBLE), 9) AS ratio_b", f"round({cv('sh', 'qh')}, 9) AS height_cv", f"round({cv('sa', 'qa')}, 9) AS conf_cv")
+    found = found.selectExpr("page_id", "n", "chars", "round(sa / (n * 100D), 9) AS avg_a", "round(sb / (n * 100D), 9) AS avg_b", "round(above_b / CAST(n AS DOUBLE), 9) AS ratio_b", f"round({cv('sh', 'qh')}, 9) AS height_cv", f"round({cv('sa', 'qa')}, 9) AS conf_cv")
     return found.selectExpr("*", "avg_a * (1 + least(chars / 200D, 5D)) AS score_a", "avg_b * (1 + least(chars / 200D, 5D)) AS score_b")
 
 
@@ -46,8 +46,8 @@ ROUTE = """CASE WHEN handwritten THEN 'paddleocr(handwritten)' WHEN avg_b < 0.20
 
 
 def route(page_stats: DataFrame, edges: DataFrame) -> DataFrame:
-    """page_stats with handwritten and engine_used; edges is (doc_id, edge)."""
-    return page_stats.join(edges, "doc_id", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0))).withColumn("handwritten", F.expr(HANDWRITTEN)).withColumn("engine_used", F.expr(ROUTE))
+    """page_stats with handwritten and engine_used; edges is (page_id, edge)."""
+    return page_stats.join(edges, "page_id", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0))).withColumn("handwritten", F.expr(HANDWRITTEN)).withColumn("engine_used", F.expr(ROUTE))
 
 
 def forced(engine, routed):
@@ -58,4 +58,4 @@ def forced(engine, routed):
 
 def final_words(words: DataFrame, routes: DataFrame) -> DataFrame:
     """The words of the chosen extractor, with its confidence."""
-    return words.join(routes.select("doc_id", F.startswith(F.col("engine_used"), F.lit("paddle")).alias("first")), "doc_id").withColumn("conf", F.when(F.col("first"), F.col("ca")).otherwise(F.col("cb"))).drop("first", "ca", "cb")
+    return words.join(routes.select("page_id", F.startswith(F.col("engine_used"), F.lit("paddle")).alias("first")), "page_id").withColumn("conf", F.when(F.col("first"), F.col("ca")).otherwise(F.col("cb"))).drop("first", "ca", "cb")

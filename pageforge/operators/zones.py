@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageforge.functions.folds import scan
 from pageforge.functions.text import strip
 
-
 BAND = "filter(o, w -> (w.y1 + w.y2) / 2D > 0.15D * h_px AND (w.y1 + w.y2) / 2D < 0.85D * h_px)"
 #: Stretches of the pixel columns lo to hi that words of the band cover, by their starts.
 COVER = "array_sort(transform(filter(band, w -> w.x2 > w.x1 AND w.x1 < hi AND w.x2 > lo), w -> struct(greatest(w.x1, lo) AS a, least(w.x2, hi) AS b)))"
@@ -18,13 +18,13 @@ GAP = f"""aggregate(concat({COVER}, array(struct(hi AS a, hi AS b))), named_stru
 
 def _pages(words: DataFrame) -> DataFrame:
     """One row per page: its words as an array (o), w_px, h_px, median_h, sidebar."""
-    own = [c for c in words.columns if c not in ("doc_id", "w_px", "h_px")]
-    page = words.groupBy("doc_id").agg(F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.collect_list(F.struct(*own)).alias("o"))
+    own = [c for c in words.columns if c not in ("page_id", "w_px", "h_px")]
+    page = words.groupBy("page_id").agg(F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.collect_list(F.struct(*own)).alias("o"))
     page = page.withColumn("h", F.expr("sort_array(transform(o, w -> w.y2 - w.y1))")).withColumn("band", F.expr(BAND))
     page = page.withColumn("lo", F.expr("CAST(w_px * 0.10D AS INT)")).withColumn("hi", F.expr("CAST(w_px * 0.25D AS INT)"))
     page = page.withColumn("gap", F.expr(f"CASE WHEN w_px > 1.1D * h_px AND size(band) > 0 THEN {GAP} END"))
     return page.select(
-        "doc_id", "w_px", "h_px", "o", F.expr("(h[CAST((size(h) - 1) div 2 AS INT)] + h[CAST(size(h) div 2 AS INT)]) / 2D").alias("median_h"),
+        "page_id", "w_px", "h_px", "o", F.expr("(h[CAST((size(h) - 1) div 2 AS INT)] + h[CAST(size(h) div 2 AS INT)]) / 2D").alias("median_h"),
         F.expr("CASE WHEN gap.n > 0.02D * w_px THEN least(gap.s + gap.n / 2D, 0.22D * w_px) ELSE -1D END").alias("sidebar"),
     )
 
@@ -35,38 +35,46 @@ def geometry(words: DataFrame) -> DataFrame:
     return _pages(words).drop("o")
 
 
-ZONE = "CASE WHEN (y1 + y2) / 2D < 0.12D * h_px THEN 'HEADER' WHEN (y1 + y2) / 2D > 0.92D * h_px THEN 'FOOTER' WHEN sidebar <> -1 AND (x1 + x2) / 2D < sidebar THEN 'SIDEBAR' ELSE 'BODY' END"
-ROWS = """aggregate(o, CAST(struct(0D AS y, -1 AS r, array() AS ids) AS struct<y:double,r:int,ids:array<int>>), (a, w) ->
- CASE WHEN a.r >= 0 AND abs(w.yc - a.y) < 0.65D * median_h THEN named_struct('y', a.y, 'r', a.r, 'ids', array_append(a.ids, a.r))
- ELSE named_struct('y', w.yc, 'r', a.r + 1, 'ids', array_append(a.ids, a.r + 1)) END).ids"""
+#: Where zones begin and end.
+ZONE = """CASE WHEN (y1 + y2) / 2D < 0.12D * h_px THEN 'HEADER' WHEN (y1 + y2) / 2D > 0.92D * h_px THEN 'FOOTER'
+ WHEN sidebar <> -1 AND (x1 + x2) / 2D < sidebar THEN 'SIDEBAR' ELSE 'BODY' END"""
+#: A row goes on while words are close to its first one, at y; r is its number.
+_SAME = "a.r >= 0 AND abs(w.yc - a.y) < 0.65D * median_h"
+ROWS = scan(
+    "o", {"y": ("double", "0D", f"IF({_SAME}, a.y, w.yc)"), "r": ("int", "-1", f"IF({_SAME}, a.r, a.r + 1)")},
+    f"IF({_SAME}, a.r, a.r + 1)", "int",
+)
 
 
 def classify(words: DataFrame) -> DataFrame:
     """words with median_h, sidebar and zone; one shuffle by page, which the steps after it share."""
-    own = [c for c in words.columns if c not in ("doc_id", "w_px", "h_px")]
-    word = _pages(words).select("doc_id", "w_px", "h_px", "median_h", "sidebar", F.explode("o").alias("w"))
-    return word.select("doc_id", *[F.col("w")[c].alias(c) for c in own], "w_px", "h_px", "median_h", "sidebar").withColumn("zone", F.expr(ZONE))
+    own = [c for c in words.columns if c not in ("page_id", "w_px", "h_px")]
+    word = _pages(words).select("page_id", "w_px", "h_px", "median_h", "sidebar", F.explode("o").alias("w"))
+    return word.select("page_id", *[F.col("w")[c].alias(c) for c in own], "w_px", "h_px", "median_h", "sidebar").withColumn("zone", F.expr(ZONE))
 
 
 def zone_rows(zoned: DataFrame) -> DataFrame:
-    """doc_id, zone, row_no, row_text: a row goes on while words are close to its first one; wide gaps in the body get a bar."""
-    page = zoned.groupBy("doc_id", "zone").agg(F.first("median_h").alias("median_h"), F.first("w_px").alias("w_px"), F.array_sort(F.collect_list(F.struct(((F.col("y1") + F.col("y2")) / 2.0).cast("double").alias("yc"), "seq", "x1", "x2", "text"))).alias("o"))
-    word = page.select("doc_id", "zone", "w_px", F.explode(F.arrays_zip("o", F.expr(ROWS).alias("r"))).alias("z")).selectExpr("doc_id", "zone", "w_px", "z.r AS row_no", "z.o.*")
-    along = Window.partitionBy("doc_id", "zone", "row_no").orderBy("x1", "yc", "seq")
+    """page_id, zone, row_no, row_text: a row goes on while words are close to its first one; wide gaps in the body get a bar."""
+    yc = ((F.col("y1") + F.col("y2")) / 2.0).cast("double").alias("yc")
+    own = F.array_sort(F.collect_list(F.struct(yc, "seq", "x1", "x2", "text"))).alias("o")
+    page = zoned.groupBy("page_id", "zone").agg(F.first("median_h").alias("median_h"), F.first("w_px").alias("w_px"), own)
+    word = page.select("page_id", "zone", "w_px", F.explode(F.arrays_zip("o", F.expr(ROWS).alias("r"))).alias("z"))
+    word = word.selectExpr("page_id", "zone", "w_px", "z.r AS row_no", "z.o.*")
+    along = Window.partitionBy("page_id", "zone", "row_no").orderBy("x1", "yc", "seq")
     word = word.withColumn("gap", F.col("x1") - F.lag("x2").over(along))
     word = word.withColumn("part", F.expr("concat(CASE WHEN gap IS NULL THEN '' WHEN zone = 'BODY' AND gap > 0.035D * w_px THEN '   |   ' ELSE ' ' END, text)"))
-    rows = word.groupBy("doc_id", "zone", "row_no").agg(F.array_sort(F.collect_list(F.struct("x1", "yc", "seq", "part"))).alias("o"))
-    return rows.select("doc_id", "zone", "row_no", strip(F.array_join(F.transform("o", lambda s: s["part"]), "")).alias("row_text"))
+    rows = word.groupBy("page_id", "zone", "row_no").agg(F.array_sort(F.collect_list(F.struct("x1", "yc", "seq", "part"))).alias("o"))
+    return rows.select("page_id", "zone", "row_no", strip(F.array_join(F.transform("o", lambda s: s["part"]), "")).alias("row_text"))
 
 
 def zone_blocks(rows: DataFrame) -> DataFrame:
-    """doc_id, block: the page's zones in fixed order, each row indented under its zone's tag."""
+    """page_id, block: the page's zones in fixed order, each row indented under its zone's tag."""
     rank = F.expr("CASE zone WHEN 'HEADER' THEN 0 WHEN 'SIDEBAR' THEN 1 WHEN 'BODY' THEN 2 ELSE 3 END")
-    zones = rows.groupBy("doc_id", "zone").agg(F.array_sort(F.collect_list(F.struct("row_no", "row_text"))).alias("o"))
-    zones = zones.select("doc_id", rank.alias("k"), F.concat(F.lit("<"), F.col("zone"), F.lit(">\n"), F.array_join(F.transform("o", lambda s: F.concat(F.lit("  "), s["row_text"])), "\n")).alias("block"))
-    return zones.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("o")).select("doc_id", F.array_join(F.transform("o", lambda s: s["block"]), "\n").alias("block"))
+    zones = rows.groupBy("page_id", "zone").agg(F.array_sort(F.collect_list(F.struct("row_no", "row_text"))).alias("o"))
+    zones = zones.select("page_id", rank.alias("k"), F.concat(F.lit("<"), F.col("zone"), F.lit(">\n"), F.array_join(F.transform("o", lambda s: F.concat(F.lit("  "), s["row_text"])), "\n")).alias("block"))
+    return zones.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("o")).select("page_id", F.array_join(F.transform("o", lambda s: s["block"]), "\n").alias("block"))
 
 
 def tagged_text(rows: DataFrame) -> DataFrame:
-    """doc_id, tagged: each page as the first one of its document."""
-    return zone_blocks(rows).select("doc_id", F.concat(F.lit("\n<PAGE 1>\n"), F.col("block")).alias("tagged"))
+    """page_id, tagged: each page as the first one of its document."""
+    return zone_blocks(rows).select("page_id", F.concat(F.lit("\n<PAGE 1>\n"), F.col("block")).alias("tagged"))

@@ -10,8 +10,6 @@ error, and a bare body tag; a recogniser that fails on a page leaves its error t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,6 +21,7 @@ from pageforge.functions import text
 from pageforge.operators import extract, lines, routing, zones
 from pageforge.sources import documents
 from pageforge.sources.documents import Readers, WordExtractor
+from pageforge.storage import stored
 
 WORDS = "array<struct<text:string,conf:double,x1:int,y1:int,x2:int,y2:int>>"
 _WORD = pa.list_(pa.struct([("text", pa.string()), ("conf", pa.float64()), *[(c, pa.int32()) for c in ("x1", "y1", "x2", "y2")]]))
@@ -113,34 +112,22 @@ def recognise(sources: DataFrame, first: Recogniser, second: WordExtractor, pres
     )
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df, written once to the shared folder and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="pageforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fix_words(words: DataFrame, dictionary: DataFrame | None = None, gate=extract.spell_gate) -> DataFrame:
     """words with text repaired: letters and digits parted, tokens that pass the gate spelled by the dictionary (term,
     freq), product names mended; words that become empty go."""
     parted = words.withColumn("text", text.split_letters_digits(F.coalesce("text", F.lit(""))))
     if dictionary is not None:
-        token = parted.select("doc_id", "seq", F.posexplode(F.expr(r"regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+', 0)")).alias("k", "token"))
+        token = parted.select("page_id", "seq", F.posexplode(F.expr(r"regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+', 0)")).alias("k", "token"))
         repaired = extract.repair(token.where(gate(F.col("token"))).select("token"), dictionary)
-        spelled = token.join(repaired, "token", "left").groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("repaired", "token").alias("t")))).alias("o"))
-        parted = parted.drop("text").join(spelled.select("doc_id", "seq", F.array_join(F.transform("o", lambda s: s["t"]), "").alias("text")), ["doc_id", "seq"])
+        spelled = token.join(repaired, "token", "left").groupBy("page_id", "seq").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("repaired", "token").alias("t")))).alias("o"))
+        parted = parted.drop("text").join(spelled.select("page_id", "seq", F.array_join(F.transform("o", lambda s: s["t"]), "").alias("text")), ["page_id", "seq"])
     return parted.withColumn("text", text.brand_fix(text.strip(F.col("text")))).where("text <> ''")
 
 
 def nested_lines(grouped: DataFrame) -> DataFrame:
-    """Per page (doc_id): lines with text, mean confidence, box and words; page_text."""
+    """Per page (page_id): lines with text, mean confidence, box and words; page_text."""
     yc = ((F.col("y1") + F.col("y2")) / 2.0).alias("yc")
-    by_line = grouped.groupBy("doc_id", "line_no").agg(
+    by_line = grouped.groupBy("page_id", "line_no").agg(
         F.array_sort(F.collect_list(F.struct("x1", "y1", yc, "seq", text.strip(F.col("text")).alias("t")))).alias("o"),
         F.array_sort(F.collect_list(F.struct("x1", yc, "seq", "text", "conf", F.array("x1", "y1", "x2", "y2").alias("bbox")))).alias("w"),
         F.array(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).alias("bbox"),
@@ -148,15 +135,15 @@ def nested_lines(grouped: DataFrame) -> DataFrame:
     # the mean in the words' order, so that it is the same on any partitioning
     by_line = by_line.withColumn("conf", F.expr("aggregate(w, 0D, (s, x) -> s + coalesce(x.conf, 0D)) / size(w)")).withColumn("text", text.strip(F.array_join(F.transform("o", lambda s: s["t"]), " "))).where("text <> ''")
     words = F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["conf"].alias("conf"), x["bbox"].alias("bbox"))).alias("words")
-    page = by_line.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct("text", "conf", "bbox", words).alias("line")))).alias("l"))
-    page = page.select("doc_id", F.transform("l", lambda x: x["line"]).alias("lines"))
+    page = by_line.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct("text", "conf", "bbox", words).alias("line")))).alias("l"))
+    page = page.select("page_id", F.transform("l", lambda x: x["line"]).alias("lines"))
     return page.withColumn("page_text", text.strip(F.array_join(F.transform("lines", lambda x: x["text"]), "\n")))
 
 
 def layout(grouped: DataFrame, pages: DataFrame, dictionary: DataFrame | None) -> DataFrame:
-    """doc_id, block: the tagged zones of each page that has words."""
-    order = Window.partitionBy("doc_id").orderBy("line_no", "x1", (F.col("y1") + F.col("y2")) / 2.0, "seq")
-    placed = grouped.withColumn("seq", F.row_number().over(order)).join(pages, "doc_id")
+    """page_id, block: the tagged zones of each page that has words."""
+    order = Window.partitionBy("page_id").orderBy("line_no", "x1", (F.col("y1") + F.col("y2")) / 2.0, "seq")
+    placed = grouped.withColumn("seq", F.row_number().over(order)).join(pages, "page_id")
     return zones.zone_blocks(zones.zone_rows(zones.classify(fix_words(placed, dictionary))))
 
 
@@ -166,12 +153,12 @@ def respond(pages: DataFrame, found: DataFrame, echo: dict, dictionary: DataFram
     pages is what recognise gives; found has doc and input_type. native_text_body puts native text of pages without
     words under a body tag, which otherwise shows in raw_json only.
     """
-    keyed = pages.withColumn("doc_id", F.struct("doc", "page_index"))
-    flat = keyed.select("doc_id", F.posexplode("words").alias("seq", "w")).select("doc_id", "seq", "w.*").withColumn("text", F.coalesce("text", F.lit("")))
+    keyed = pages.withColumn("page_id", F.struct("doc", "page_index"))
+    flat = keyed.select("page_id", F.posexplode("words").alias("seq", "w")).select("page_id", "seq", "w.*").withColumn("text", F.coalesce("text", F.lit("")))
     grouped = lines.group_lines(flat)
     size = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(other))
-    blocks = layout(grouped, keyed.select("doc_id", size("width", 1920).alias("w_px"), size("height", 1080).alias("h_px")), dictionary)
-    page = keyed.join(nested_lines(grouped), "doc_id", "left").join(blocks, "doc_id", "left").join(found.select("doc", "input_type"), "doc")
+    blocks = layout(grouped, keyed.select("page_id", size("width", 1920).alias("w_px"), size("height", 1080).alias("h_px")), dictionary)
+    page = keyed.join(nested_lines(grouped), "page_id", "left").join(blocks, "page_id", "left").join(found.select("doc", "input_type"), "doc")
     native, ocr = F.coalesce("native_text", F.lit("")), F.coalesce("page_text", F.lit(""))
     joined = F.when(native == "", ocr).when(F.col("engine_used").isNull(), native).otherwise(text.strip(F.concat(native, F.lit("\n"), ocr)))
     digital = (F.col("input_type") == "pdf") & F.col("native_text").isNotNull()

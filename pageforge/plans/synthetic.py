@@ -1,4 +1,4 @@
-"""Synthetic pages: a document's first words laid out on a page, by integer arithmetic alone."""
+"""Synthetic pages: every document's words laid out on as many pages as they need, by integer arithmetic alone."""
 
 from __future__ import annotations
 
@@ -6,32 +6,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS_PER_PAGE = 96
+#: page_id is doc_id times this, and the page's number in its document, from 0: room for 96 million words a text.
+PAGES = 1_000_001
 
 
 def words(documents: DataFrame) -> DataFrame:
-    """doc_id, seq, text, x1, y1, x2, y2, ca, cb (confidences of two extractors, in hundredths), w_px, h_px."""
-    tokens = documents.select("doc_id", F.posexplode(F.slice(F.filter(F.split("text", "[ \n]+"), lambda t: t != ""), 1, WORDS_PER_PAGE)).alias("i", "text"))
-    e = F.expr
+    """page_id, seq, text, x1, y1, x2, y2, ca, cb (confidences of two extractors, in hundredths), w_px, h_px."""
+    tokens = documents.select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda t: t != "")).alias("at", "text"))
+    tokens = tokens.selectExpr(f"doc_id * {PAGES} + at div {WORDS_PER_PAGE} AS page_id", f"at % {WORDS_PER_PAGE} AS i", "text")
+    left = "CASE WHEN page_id % 3 = 0 THEN CASE WHEN i % 8 = 0 THEN 20 ELSE 420 + (i % 8 - 1) * 160 END ELSE 20 + (i % 8) * 190 END"
+    wide = "CASE WHEN page_id % 3 = 0 THEN least(9 * length(text), 150) ELSE least(12 * length(text) + 60, 186) END"
+    high = "CASE WHEN page_id % 5 = 2 THEN 8 + (page_id * 3 + i * 11) % 40 ELSE 14 + (page_id + i * 5) % 6 END"
+    u, v = "(page_id * 31 + i * 17)", "(page_id * 29 + i * 23)"
     return (
-        tokens.withColumn("base", e("CASE WHEN doc_id % 3 = 0 THEN CASE WHEN i % 8 = 0 THEN 20 ELSE 420 + (i % 8 - 1) * 160 END ELSE 20 + (i % 8) * 190 END"))
-        .withColumn("wd", e("CASE WHEN doc_id % 3 = 0 THEN least(9 * length(text), 150) ELSE least(12 * length(text) + 60, 186) END"))
-        .withColumn("ht", e("CASE WHEN doc_id % 5 = 2 THEN 8 + (doc_id * 3 + i * 11) % 40 ELSE 14 + (doc_id + i * 5) % 6 END"))
-        .withColumn("x1", e("CAST(base + (doc_id * 3 + i * 5) % 7 AS INT)")).withColumn("y1", e("CAST(30 + (i div 8) * 100 + (doc_id * 7 + i * 13) % 11 AS INT)"))
+        tokens.withColumn("x1", F.expr(f"CAST({left} + (page_id * 3 + i * 5) % 7 AS INT)"))
+        .withColumn("y1", F.expr("CAST(30 + (i div 8) * 100 + (page_id * 7 + i * 13) % 11 AS INT)"))
         .selectExpr(
-            "doc_id", "i AS seq", "text", "x1", "y1", "CAST(x1 + wd AS INT) AS x2", "CAST(y1 + ht AS INT) AS y2",
-            "CAST(CASE doc_id % 5 WHEN 0 THEN 80 + (doc_id * 31 + i * 17) % 20 WHEN 1 THEN 55 + (doc_id * 31 + i * 17) % 30 WHEN 2 THEN (doc_id * 31 + i * 17) % 95 WHEN 3 THEN 30 + (doc_id * 31 + i * 17) % 31 ELSE 70 + (doc_id * 31 + i * 17) % 10 END AS INT) AS ca",
-            "CAST(CASE (doc_id div 5) % 5 WHEN 0 THEN 5 + (doc_id * 29 + i * 23) % 12 WHEN 1 THEN 20 + (doc_id * 29 + i * 23) % 33 WHEN 2 THEN 45 + (doc_id * 29 + i * 23) % 50 WHEN 3 THEN 70 + (doc_id * 29 + i * 23) % 30 ELSE 30 + (doc_id * 29 + i * 23) % 25 END AS INT) AS cb",
-            "1600 AS w_px", "CASE WHEN doc_id % 7 = 0 THEN 2000 ELSE 1200 END AS h_px",
+            "page_id", "CAST(i AS INT) AS seq", "text", "x1", "y1", f"CAST(x1 + {wide} AS INT) AS x2", f"CAST(y1 + {high} AS INT) AS y2",
+            f"CAST(CASE page_id % 5 WHEN 0 THEN 80 + {u} % 20 WHEN 1 THEN 55 + {u} % 30 WHEN 2 THEN {u} % 95 "
+            f"WHEN 3 THEN 30 + {u} % 31 ELSE 70 + {u} % 10 END AS INT) AS ca",
+            f"CAST(CASE (page_id div 5) % 5 WHEN 0 THEN 5 + {v} % 12 WHEN 1 THEN 20 + {v} % 33 WHEN 2 THEN 45 + {v} % 50 "
+            f"WHEN 3 THEN 70 + {v} % 30 ELSE 30 + {v} % 25 END AS INT) AS cb",
+            "1600 AS w_px", "CASE WHEN page_id % 7 = 0 THEN 2000 ELSE 1200 END AS h_px",
         )
     )
 
 
 #: The same in DuckDB's SQL, as a common table expression named words.
-SQL = r"""words AS (SELECT doc_id, CAST(i AS INTEGER) AS seq, text, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x1 + wd AS INTEGER) AS x2, CAST(y1 + ht AS INTEGER) AS y2,
- CASE doc_id % 5 WHEN 0 THEN 80 + u % 20 WHEN 1 THEN 55 + u % 30 WHEN 2 THEN u % 95 WHEN 3 THEN 30 + u % 31 ELSE 70 + u % 10 END AS ca,
- CASE (doc_id // 5) % 5 WHEN 0 THEN 5 + v % 12 WHEN 1 THEN 20 + v % 33 WHEN 2 THEN 45 + v % 50 WHEN 3 THEN 70 + v % 30 ELSE 30 + v % 25 END AS cb,
- 1600 AS w_px, CASE WHEN doc_id % 7 = 0 THEN 2000 ELSE 1200 END AS h_px FROM (
- SELECT doc_id, i, text, (CASE WHEN doc_id % 3 = 0 THEN CASE WHEN i % 8 = 0 THEN 20 ELSE 420 + (i % 8 - 1) * 160 END ELSE 20 + (i % 8) * 190 END) + (doc_id * 3 + i * 5) % 7 AS x1,
- 30 + (i // 8) * 100 + (doc_id * 7 + i * 13) % 11 AS y1, CASE WHEN doc_id % 3 = 0 THEN least(9 * length(text), 150) ELSE least(12 * length(text) + 60, 186) END AS wd,
- CASE WHEN doc_id % 5 = 2 THEN 8 + (doc_id * 3 + i * 11) % 40 ELSE 14 + (doc_id + i * 5) % 6 END AS ht, doc_id * 31 + i * 17 AS u, doc_id * 29 + i * 23 AS v FROM (
- SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS text FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '')[1:96] AS t FROM documents))))"""
+SQL = rf"""words AS (SELECT page_id, CAST(i AS INTEGER) AS seq, text, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1,
+ CAST(x1 + wd AS INTEGER) AS x2, CAST(y1 + ht AS INTEGER) AS y2,
+ CASE page_id % 5 WHEN 0 THEN 80 + u % 20 WHEN 1 THEN 55 + u % 30 WHEN 2 THEN u % 95 WHEN 3 THEN 30 + u % 31 ELSE 70 + u % 10 END AS ca,
+ CASE (page_id // 5) % 5 WHEN 0 THEN 5 + v % 12 WHEN 1 THEN 20 + v % 33 WHEN 2 THEN 45 + v % 50 WHEN 3 THEN 70 + v % 30 ELSE 30 + v % 25 END AS cb,
+ 1600 AS w_px, CASE WHEN page_id % 7 = 0 THEN 2000 ELSE 1200 END AS h_px FROM (
+ SELECT page_id, i, text,
+ (CASE WHEN page_id % 3 = 0 THEN CASE WHEN i % 8 = 0 THEN 20 ELSE 420 + (i % 8 - 1) * 160 END ELSE 20 + (i % 8) * 190 END) + (page_id * 3 + i * 5) % 7 AS x1,
+ 30 + (i // 8) * 100 + (page_id * 7 + i * 13) % 11 AS y1,
+ CASE WHEN page_id % 3 = 0 THEN least(9 * length(text), 150) ELSE least(12 * length(text) + 60, 186) END AS wd,
+ CASE WHEN page_id % 5 = 2 THEN 8 + (page_id * 3 + i * 11) % 40 ELSE 14 + (page_id + i * 5) % 6 END AS ht,
+ page_id * 31 + i * 17 AS u, page_id * 29 + i * 23 AS v FROM (
+ SELECT doc_id * {PAGES} + pos // {WORDS_PER_PAGE} AS page_id, pos % {WORDS_PER_PAGE} AS i, text FROM (
+ SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS text FROM (
+ SELECT doc_id, list_filter(regexp_split_to_array(text, '[ 
+]+'), lambda x: x <> '') AS t FROM documents)))))"""

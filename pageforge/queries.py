@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageforge.functions import fields, text
 from pageforge.operators import extract, lines, pixels, routing, zones
 from pageforge.plans import synthetic
-from pageforge.plans.analyze import stored
+from pageforge.storage import stored
 
 SUFFIXES = ("pdf", "doc", "docx", "PPT", "pptx", "JPG", "jpeg", "Png", "webp", "bmp", "tiff", "tif", "gif", "txt", "exe", "")
 QUERIES = {}
@@ -96,7 +96,7 @@ def field_validate(spark, sf):
 
 @query
 def line_group(spark, sf):
-    return lines.group_lines(words(spark, sf)).select("doc_id", "seq", "line_no")
+    return lines.group_lines(words(spark, sf)).select("page_id", "seq", "line_no")
 
 
 @query
@@ -116,34 +116,36 @@ def word_stats(spark, sf):
 
 def routed(spark, sf):
     tile = pixels.tiles(table(spark, sf, "embeddings")).selectExpr("vec_id", f"{pixels.edge()} AS e")
-    edges = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 500).alias("vec_id")).join(tile, "vec_id").select("doc_id", F.round(F.when(F.col("doc_id") % 2 == 0, F.col("e") / 4).otherwise(F.col("e")), 6).alias("edge"))
-    return routing.route(routing.stats(words(spark, sf)), edges)
+    found = routing.stats(words(spark, sf))
+    edge = F.round(F.when(F.col("page_id") % 2 == 0, F.col("e") / 4).otherwise(F.col("e")), 6).alias("edge")
+    edges = found.select("page_id", (F.col("page_id") % 500).alias("vec_id")).join(tile, "vec_id").select("page_id", edge)
+    return routing.route(found, edges)
 
 
 @query
 def route(spark, sf):
-    return routed(spark, sf).select("doc_id", "handwritten", "engine_used", "edge")
+    return routed(spark, sf).select("page_id", "handwritten", "engine_used", "edge")
 
 
 @query
 def final_words(spark, sf):
-    return routing.final_words(words(spark, sf), routed(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("conf").cast("long").alias("sum_conf"), F.max("x2").alias("right_edge"))
+    return routing.final_words(words(spark, sf), routed(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n"), F.sum("conf").cast("long").alias("sum_conf"), F.max("x2").alias("right_edge"))
 
 
 @query
 def engine_first_preset_last(spark, sf):
-    found = routed(spark, sf).withColumn("doc", F.expr("doc_id div 4")).withColumn("preset", F.expr("CASE doc_id % 3 WHEN 0 THEN 'clean_doc' WHEN 1 THEN 'photo' ELSE 'low_light' END"))
-    return found.groupBy("doc").agg(F.min_by("engine_used", "doc_id").alias("engine_used"), F.max_by("preset", "doc_id").alias("preset_used"), F.count("*").alias("pages"))
+    found = routed(spark, sf).withColumn("doc", F.expr("page_id div 4")).withColumn("preset", F.expr("CASE page_id % 3 WHEN 0 THEN 'clean_doc' WHEN 1 THEN 'photo' ELSE 'low_light' END"))
+    return found.groupBy("doc").agg(F.min_by("engine_used", "page_id").alias("engine_used"), F.max_by("preset", "page_id").alias("preset_used"), F.count("*").alias("pages"))
 
 
 @query
 def gutter(spark, sf):
-    return zones.geometry(words(spark, sf)).select("doc_id", "median_h", "sidebar")
+    return zones.geometry(words(spark, sf)).select("page_id", "median_h", "sidebar")
 
 
 @query
 def zone_class(spark, sf):
-    return zones.classify(words(spark, sf)).select("doc_id", "seq", "zone")
+    return zones.classify(words(spark, sf)).select("page_id", "seq", "zone")
 
 
 @query
@@ -187,20 +189,20 @@ def tile_sharpen(spark, sf):
 
 @query
 def dims_scale(spark, sf):
-    size = words(spark, sf).groupBy("doc_id").agg((F.max("x2") + F.col("doc_id") % 1500).alias("w"), (F.max("y2") + F.col("doc_id") % 700).alias("h"))
+    size = words(spark, sf).groupBy("page_id").agg((F.max("x2") + F.col("page_id") % 1500).alias("w"), (F.max("y2") + F.col("page_id") % 700).alias("h"))
     factor = "(CASE WHEN greatest(w, h) > 1600 THEN 1600D / greatest(w, h) ELSE 1D END)"
-    return size.selectExpr("doc_id", *pixels.scaled("w", "h", factor))
+    return size.selectExpr("page_id", *pixels.scaled("w", "h", factor))
 
 
 @query
 def poly_bbox(spark, sf):
     corners = "array(struct(x1 + 0.7D AS x, y1 + 0.7D AS y), struct(x2 + 0.7D AS x, y1 + 0.7D AS y), struct(x2 + 0.7D AS x, y2 + 0.7D AS y), struct(x1 + 0.7D AS x, y2 + 0.7D AS y))"
-    return extract.boxes(words(spark, sf).selectExpr("doc_id", "seq", f"transform(sequence(0, 3), k -> {corners}[CAST((k + seq) % 4 AS INT)]) AS poly"))
+    return extract.boxes(words(spark, sf).selectExpr("page_id", "seq", f"transform(sequence(0, 3), k -> {corners}[CAST((k + seq) % 4 AS INT)]) AS poly"))
 
 
 @query
 def ocr_row_norm(spark, sf):
-    raw = words(spark, sf).selectExpr("doc_id", "seq", "IF(seq % 17 = 0, ' ', text) AS text", "CASE WHEN seq % 11 = 0 THEN '-1' WHEN seq % 13 = 0 THEN 'n/a' ELSE CAST(ca AS STRING) END AS conf_raw", "x1", "y1", "x2 - x1 AS width", "y2 - y1 AS height")
+    raw = words(spark, sf).selectExpr("page_id", "seq", "IF(seq % 17 = 0, ' ', text) AS text", "CASE WHEN seq % 11 = 0 THEN '-1' WHEN seq % 13 = 0 THEN 'n/a' ELSE CAST(ca AS STRING) END AS conf_raw", "x1", "y1", "x2 - x1 AS width", "y2 - y1 AS height")
     return extract.normalize_rows(raw)
 
 
@@ -226,14 +228,14 @@ def docx_union(spark, sf):
 
 
 def tokens(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("token")).where(extract.spell_gate(F.col("token")) & F.col("token").rlike("^[a-z]+$"))
+    return table(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("token")).where(extract.spell_gate(F.col("token")))
 
 
 @query
 def spell_fix(spark, sf):
+    """Every token of the documents that passes the gate, by the tokens that occur five times or more."""
     counted = stored(tokens(spark, sf).groupBy("token").count(), "token-counts")  # dictionary and tokens both come from it
-    dictionary = counted.where("count >= 40").select(F.col("token").alias("term"), F.col("count").alias("freq"))
-    return extract.repair(counted.where("count = 2 AND length(token) <= 7"), dictionary)
+    return extract.repair(counted, counted.where("count >= 5").select(F.col("token").alias("term"), F.col("count").alias("freq")))
 
 
 @query
@@ -241,8 +243,8 @@ def nested_pages(spark, sf):
     """One JSON-ready row per page: its lines nested, then summed up again to flat figures."""
     found = line_agg(spark, sf)
     line = F.struct("line_no", F.col("line_text").alias("text"), "conf", F.array("bx1", "by1", "bx2", "by2").alias("bbox"))
-    page = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return page.selectExpr("doc_id", "CAST(size(lines) AS BIGINT) AS n_lines", "lines[0].text AS first_line", "array_max(transform(lines, l -> l.bbox[2])) AS right_edge")
+    page = found.groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return page.selectExpr("page_id", "CAST(size(lines) AS BIGINT) AS n_lines", "lines[0].text AS first_line", "array_max(transform(lines, l -> l.bbox[2])) AS right_edge")
 
 
 @query
@@ -267,31 +269,31 @@ def tile_gray(spark, sf):
 
 @query
 def engine_forced(spark, sf):
-    asked = F.element_at(F.array(F.lit("paddle"), F.lit(" Tesseract "), F.lit("auto")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return routed(spark, sf).select("doc_id", routing.forced(asked, F.col("engine_used")).alias("engine_used"))
+    asked = F.element_at(F.array(F.lit("paddle"), F.lit(" Tesseract "), F.lit("auto")), (F.col("page_id") % 3 + 1).cast("int"))
+    return routed(spark, sf).select("page_id", routing.forced(asked, F.col("engine_used")).alias("engine_used"))
 
 
 @query
 def page_debug(spark, sf):
     """Per page: the engine, the number of its words and lines, its score."""
-    count = line_agg(spark, sf).groupBy("doc_id").agg(F.count("*").alias("lines_count"))
+    count = line_agg(spark, sf).groupBy("page_id").agg(F.count("*").alias("lines_count"))
     own = F.when(F.startswith(F.col("engine_used"), F.lit("paddle")), F.col("score_a")).otherwise(F.col("score_b"))
-    return routed(spark, sf).join(count, "doc_id").select("doc_id", "engine_used", F.col("n").alias("words_count"), "lines_count", own.alias("score"))
+    return routed(spark, sf).join(count, "page_id").select("page_id", "engine_used", F.col("n").alias("words_count"), "lines_count", own.alias("score"))
 
 
 @query
 def single_char(spark, sf):
-    raw = words(spark, sf).selectExpr("doc_id", "CAST(seq div 3 AS INT) AS cell", "seq", "IF(seq % 17 = 0, ' ', text) AS text", "CASE WHEN seq % 11 = 0 THEN '-1' WHEN seq % 13 = 0 THEN 'n/a' ELSE CAST(ca AS STRING) END AS conf_raw")
-    return extract.single_char(raw, "doc_id", "cell")
+    raw = words(spark, sf).selectExpr("page_id", "CAST(seq div 3 AS INT) AS cell", "seq", "IF(seq % 17 = 0, ' ', text) AS text", "CASE WHEN seq % 11 = 0 THEN '-1' WHEN seq % 13 = 0 THEN 'n/a' ELSE CAST(ca AS STRING) END AS conf_raw")
+    return extract.single_char(raw, "page_id", "cell")
 
 
 @query
 def flatten_words(spark, sf):
     """Nested lines back into words; every other line has none and stands for one, every third page has no size."""
     bbox = F.array("x1", "y1", "x2", "y2").alias("bbox")
-    line = lines.group_lines(words(spark, sf)).groupBy("doc_id", "line_no").agg(
+    line = lines.group_lines(words(spark, sf)).groupBy("page_id", "line_no").agg(
         F.array_sort(F.collect_list(F.struct("x1", "y1", "seq", "text", bbox))).alias("o"), F.array(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).alias("bbox"))
     kept = F.expr("IF(line_no % 2 = 1, array(), transform(o, x -> struct(x.text AS text, x.bbox AS bbox)))").alias("words")
-    line = line.select("doc_id", "line_no", F.struct(F.array_join(F.transform("o", lambda x: x["text"]), " ").alias("text"), "bbox", kept).alias("l"))
-    page = line.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "l"))).alias("x")).select("doc_id", F.expr("IF(doc_id % 3 = 0, 0, 1600)").alias("width"), F.expr("IF(doc_id % 3 = 1, NULL, 1200)").alias("height"), F.transform("x", lambda x: x["l"]).alias("lines"))
-    return lines.flatten(page).select("doc_id", "line_no", "word_no", "text", F.array_join(F.transform("bbox", lambda v: v.cast("string")), ",").alias("bbox"), "w_px", "h_px")
+    line = line.select("page_id", "line_no", F.struct(F.array_join(F.transform("o", lambda x: x["text"]), " ").alias("text"), "bbox", kept).alias("l"))
+    page = line.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "l"))).alias("x")).select("page_id", F.expr("IF(page_id % 3 = 0, 0, 1600)").alias("width"), F.expr("IF(page_id % 3 = 1, NULL, 1200)").alias("height"), F.transform("x", lambda x: x["l"]).alias("lines"))
+    return lines.flatten(page).select("page_id", "line_no", "word_no", "text", F.array_join(F.transform("bbox", lambda v: v.cast("string")), ",").alias("bbox"), "w_px", "h_px")

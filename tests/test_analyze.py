@@ -112,4 +112,4 @@ def test_forced_and_spelling(spark, tmp_path):
     words = spark.createDataFrame([("world", 9), ("wild", 90)], "term string, freq long")
     r = analyze(spark, str(tmp_path), first, second, dictionary=words, engine=" PADDLE ", return_debug=False, native_text_body=True).first()
     assert r["raw_json"]["meta"]["engine_used"] == "paddleocr(forced)" and r["error"] is None and "debug" not in r["raw_json"].asDict()
-    assert r["formatted_text"] == "\n<PAGE 1>\n<BODY>\n  wild 7 View all"
+    assert r["formatted_text"] == "\n<PAGE 1>\n<BODY>\n  world 7 View all"

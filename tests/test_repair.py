@@ -2,24 +2,41 @@
 
 import random
 
-from pageforge.operators.extract import repair
+from pageforge.operators.extract import edits, repair
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Insertions, deletions, substitutions, and swaps of neighbours that nothing else touches."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_edits(spark):
+    rng = random.Random(5)
+    pairs = [("ca", "abc"), ("wrold", "world"), ("a", "b"), ("ab", "ba"), ("abcd", "badc"), ("abcde", "acbd"), ("hello", "hello"), ("abc", "cab"), ("x", "xyz"), ("abcdef", "ghij")]
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    pairs += [(word(), word()) for _ in range(4000)]
+    got = spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", f"{edits('a', 'b')} AS d").collect()
+    for a, b, d in got:
+        want = distance(a, b)
+        assert d == (want if want <= 2 else None), (a, b, d, want)
 
 
 def test_repair(spark):
     rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 13)))
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 17)))
 
     def edited(w):
         for _ in range(rng.randrange(3)):
+            if rng.random() < 0.3 and len(w) > 1:
+                k = rng.randrange(len(w) - 1)
+                w = w[:k] + w[k + 1] + w[k] + w[k + 2 :]
+                continue
             k = rng.randrange(len(w) + 1)
             w = rng.choice((w[:k] + rng.choice("abcd") + w[k:], w[:k] + w[k + 1 :], w[:k] + rng.choice("abcd") + w[k + 1 :]))
         return w or "a"
