@@ -5,6 +5,7 @@ just before it adjust. The base kinds (email, ip, card, phone) stay whatever the
 ssn need a score of MIN_SCORE. Positions are counted in code points, from the lengths of what stands between matches:
 `split` gives the gaps, `regexp_extract_all` the matches of the same expression.
 
+Time is in proportion to a text's length, however many spans it has: places are counted from match to match.
 Expressions are written so that no text makes them slow: runs are taken whole (possessive), a match starts only where
 its run starts or where the previous match ended, and a kind is tried only on texts with a character that it needs.
 
@@ -17,7 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageforge.functions.folds import scan
+
 MIN_SCORE, CONTEXT = 0.5, 48
+#: Characters of the pieces from which a redacted text is put together.
+PIECE = 4096
 LABEL = "[A-Za-z0-9-]++"
 EMAIL = rf"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@{LABEL}(?:\.{LABEL})++"
 IP = r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -64,14 +69,18 @@ def _with(d: str, check: str) -> str:
     return f"element_at(transform(array({d}), d -> {check}), 1)"
 
 
+_parts = "forall(split(m, '[.]'), p -> length(ltrim('0', p)) <= 3 AND coalesce(try_cast(nullif(ltrim('0', p), '') AS int), 0) <= 255)"
+_turned = "concat(substr(replace(m, ' ', ''), 5), substr(replace(m, ' ', ''), 1, 4))"
+_area = "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 1) <> '9' AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'"
+
 #: kind: (expression, what its texts must hold, check of a match m, score, words before it that count, what they add).
 KINDS = {
-    "email": (EMAIL, "instr(t, '@') > 0", "true", 0.9, "mail|contact|write|reach", 0.1),
-    "ip": (IP, "instr(t, '.') > 0", "forall(split(m, '[.]'), p -> length(ltrim('0', p)) <= 3 AND coalesce(try_cast(nullif(ltrim('0', p), '') AS int), 0) <= 255)", 0.6, "ip|host|server|address|client", 0.3),
+    "email": (EMAIL, "instr(t, '@') > 0", "true", 0.9, "(?:e-?)?mail|mailto|contact|write|reach", 0.1),
+    "ip": (IP, "instr(t, '.') > 0", _parts, 0.6, "ip|host|server|address|client", 0.3),
     "card": (CARD, "true", _with(_digits, _luhn), 0.8, "card|visa|credit|debit|payment|account", 0.2),
-    "phone": (PHONE, "instr(t, '+') > 0", f"length({_digits}) BETWEEN 9 AND 15", 0.6, "phone|tel|call|mobile|fax", 0.3),
-    "iban": (IBAN, "true", _with("concat(substr(replace(m, ' ', ''), 5), substr(replace(m, ' ', ''), 1, 4))", _mod97), 0.6, "iban|bank|account|transfer|konto", 0.3),
-    "ssn": (SSN, "instr(t, '-') > 0", "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 1) <> '9' AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'", 0.3, "ssn|social|security|taxpayer", 0.4),
+    "phone": (PHONE, "instr(t, '+') > 0", f"length({_digits}) BETWEEN 9 AND 15", 0.6, "phone|tel|telephone|call|mobile|fax", 0.3),
+    "iban": (IBAN, "true", _with(_turned, _mod97), 0.6, "iban|bank|account|transfer|konto", 0.3),
+    "ssn": (SSN, "instr(t, '-') > 0", _area, 0.3, "ssns?|social|security|taxpayer", 0.4),
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -80,25 +89,34 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
 
+def _spans(kind: str, m: str, g: str) -> str:
+    """Spans of a kind from its matches m and the gaps g before, between and after them, with the text before each: what
+    the last gap and, where that is short, earlier matches hold."""
+    gap, match = f"get({g}, w - 1)", f"get({m}, w - 1)"
+    before = f"right(concat(a.b, {gap}), {CONTEXT})"
+    at = f"a.p + length({gap})"
+    placed = scan(
+        f"sequence(1, size({m}))",
+        {"p": ("int", "0", f"{at} + length({match})"), "b": ("string", "''", f"right(concat({before}, {match}), {CONTEXT})")},
+        f"named_struct('p', {at}, 'b', {before})", "struct<p:int,b:string>",
+    )
+    _, _, check, score, words, plus = KINDS[kind]
+    points = f"{score}D + IF(lower(x.b) RLIKE '\\\\b(?:{words})\\\\b', {plus}D, 0D)"
+    span = f"transform({placed}, (x, k) -> struct('{kind}' AS kind, x.p AS start, x.p + length(get({m}, k)) AS end, {points} AS score, get({m}, k) AS m))"
+    keep = f"coalesce(element_at(transform(array(x.m), m -> {check}), 1), false)" + ("" if kind in BASE else f" AND x.score >= {MIN_SCORE}")
+    return f"transform(filter({span}, x -> {keep}), x -> struct(x.kind AS kind, x.start AS start, x.end AS end, x.score AS score))"
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """(own, pii): the row's own columns as a struct, and for each kind in order, then by start, (kind, start, end,
     score) with ends exclusive."""
     found = docs.select(F.struct("*").alias("own")).withColumn("t", F.coalesce(F.col("own").getField("text"), F.lit("")))
-    for kind, (pattern, needs, check, score, words, plus) in KINDS.items():
+    none = "CAST(array() AS array<struct<kind:string,start:int,end:int,score:double>>)"
+    for kind, (pattern, needs, *_) in KINDS.items():
         m, g, s = f"_m_{kind}", f"_g_{kind}", f"_s_{kind}"
         found = found.withColumn(m, F.expr(f"CASE WHEN {needs} THEN regexp_extract_all(t, '{_quoted(pattern)}', 0) ELSE array() END"))
         found = found.withColumn(g, F.expr(f"CASE WHEN size({m}) > 0 THEN split(t, '{_quoted(pattern)}', -1) ELSE array() END"))
-        ends = (
-            f"aggregate(sequence(1, size({m})), CAST(struct(0 AS p, array() AS o) AS struct<p:int,o:array<int>>), "
-            f"(a, k) -> struct(a.p + length(get({g}, k - 1)) + length(get({m}, k - 1)) AS p, array_append(a.o, a.p + length(get({g}, k - 1))) AS o)).o"
-        )
-        before = f"lower(substr(t, greatest(p - {CONTEXT}, 0) + 1, least(p, {CONTEXT})))"
-        points = f"{score}D + IF({before} RLIKE '{words}', {plus}D, 0D)"
-        span = f"transform({ends}, (p, k) -> struct('{kind}' AS kind, p AS start, p + length(get({m}, k)) AS end, {points} AS score, get({m}, k) AS m))"
-        keep = f"coalesce(element_at(transform(array(x.m), m -> {check}), 1), false)" + ("" if kind in BASE else f" AND x.score >= {MIN_SCORE}")
-        found = found.withColumn(s, F.expr(
-            f"CASE WHEN size({m}) > 0 THEN transform(filter({span}, x -> {keep}), x -> struct(x.kind AS kind, x.start AS start, x.end AS end, x.score AS score)) "
-            "ELSE CAST(array() AS array<struct<kind:string,start:int,end:int,score:double>>) END"))
+        found = found.withColumn(s, F.expr(f"CASE WHEN size({m}) > 0 THEN {_spans(kind, m, g)} ELSE {none} END"))
     return found.select("own", F.concat(*[F.col(f"_s_{k}") for k in KINDS]).alias("pii"))
 
 
@@ -107,22 +125,33 @@ def listed(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
 
+def _between(start: str, end: str) -> str:
+    """The text from start to end, from its pieces _c of PIECE characters: cutting at a place of a string takes time in
+    proportion to the place, which is small here."""
+    first, last = f"CAST({start} div {PIECE} AS int)", f"CAST({end} div {PIECE} AS int)"
+    return (
+        f"IF({first} = {last}, substr(coalesce(get(_c, {first}), ''), {start} % {PIECE} + 1, {end} - {start}), "
+        f"concat(substr(get(_c, {first}), {start} % {PIECE} + 1), array_join(slice(_c, {first} + 2, {last} - {first} - 1), ''), "
+        f"substr(coalesce(get(_c, {last}), ''), 1, {end} % {PIECE})))"
+    )
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first.
     n_chars, where there is one, follows the new text; null text stays null."""
     own = lambda name: F.col("own").getField(name)
-    found = with_spans(docs).withColumn("_t", own("text")).withColumn("_p", F.expr("array_sort(transform(pii, x -> struct(x.start AS start, -x.end AS back, x.kind AS kind, x.end AS end)))"))
-    merged = (
-        "aggregate(_p, CAST(array() AS array<struct<start:int,end:int,kind:string>>), (a, x) -> "
-        "IF(size(a) > 0 AND x.start < element_at(a, -1).end, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))), "
-        "array_append(a, named_struct('start', x.start, 'end', x.end, 'kind', x.kind))))"
+    found = with_spans(docs).withColumn("_t", own("text")).withColumn(
+        "_p", F.expr("array_sort(transform(pii, x -> struct(x.start AS start, -x.end AS back, x.kind AS kind, x.end AS end)))")
     )
-    found = found.withColumn("_p", F.expr(f"CASE WHEN size(_p) > 0 THEN {merged} ELSE CAST(array() AS array<struct<start:int,end:int,kind:string>>) END"))
-    parts = "transform(_p, (x, k) -> concat(substr(_t, 1 + IF(k = 0, 0, get(_p, k - 1).end), x.start - IF(k = 0, 0, get(_p, k - 1).end)), '<', upper(x.kind), '>'))"
-    some = F.expr("size(_p) > 0")
-    found = found.withColumn("_new", F.when(some, F.expr(f"concat(array_join({parts}, ''), substr(_t, 1 + element_at(_p, -1).end))")).otherwise(F.col("_t")))
+    # a span that starts behind the ends of all before it is shown; what lies between goes before it
+    shown = scan("_p", {"e": ("int", "0", "greatest(a.e, w.end)")}, "IF(w.start >= a.e, named_struct('f', a.e, 's', w.start, 'kind', w.kind), NULL)", "struct<f:int,s:int,kind:string>")
+    some = "size(_p) > 0"
+    found = found.withColumn("_c", F.expr(f"CASE WHEN {some} THEN regexp_extract_all(_t, '(?s).{{1,{PIECE}}}', 0) END"))
+    found = found.withColumn("_s", F.expr(f"CASE WHEN {some} THEN filter({shown}, x -> x IS NOT NULL) END"))
+    found = found.withColumn("_e", F.expr("array_max(transform(_p, x -> x.end))")).withColumn("_n", F.length("_t"))
+    parts = f"transform(_s, x -> concat({_between('x.f', 'x.s')}, '<', upper(x.kind), '>'))"
+    found = found.withColumn("_new", F.expr(f"CASE WHEN {some} THEN concat(array_join({parts}, ''), {_between('_e', '_n')}) ELSE _t END"))
     new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(some, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+        new["n_chars"] = F.when(F.expr(some), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
     return found.select([new.get(c, own(c)).alias(c) for c in docs.columns])

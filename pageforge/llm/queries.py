@@ -29,9 +29,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = "filter(pii, x -> x.kind IN ('email', 'ip', 'card', 'phone'))"
+    counts = [F.expr(f"CAST(size(filter(pii, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.BASE]
+    scores = F.expr("array_join(transform(pii, x -> CAST(CAST(x.score AS DECIMAL(3, 2)) AS STRING)), ',')")
     return found.select(
-        "own.doc_id", *[F.expr(f"CAST(size(filter(pii, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.BASE],
-        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed("pii").alias("spans"),
+        "own.doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed("pii").alias("spans"), scores.alias("scores")
     )
 
 

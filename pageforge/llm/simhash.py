@@ -11,8 +11,8 @@ apart, from others at a cost that holds at scale. So a longer fingerprint, of WO
 cut into parts of correlated bits in the same way; dynamic programming picks the parts and their thresholds, with least
 estimated cost, so that a pair of exactly the wanted similarity meets in some part but for a chance of MISS (more
 similar pairs meet more surely). Candidates within CHECK_DISTANCE of CHECK * 64 further bits are verified exactly, on
-the shingles of both texts. A bucket whose members are mostly near each other gives only links that join them; its other
-pairs are tried after that, where they aren't in one group yet.
+the shingles of both texts. A bucket first gives only pairs that join its candidates; of clusters with more pairs than
+that, the others are tried afterwards, where they aren't in one group yet.
 
 Defined results: a null or blank text has fingerprint 0, which links like any other; equal fingerprints are one class;
 rows that repeat a doc_id each get a result row; other columns are ignored; an empty table gives an empty result. Near
@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import materialize
+from pageforge.llm.common import union_all
+from pageforge.storage import forget, stored
 
 SEED, SHINGLE = 42, 4
 #: Fingerprints of the sample from which bits are grouped and candidates are estimated; results don't depend on it.
@@ -260,7 +261,7 @@ def links(classes: DataFrame, distance: int, sample_rows: int = SAMPLE, bucket:
     )
     schema = "kind int, u long, v long, w long"
     sorted_ = lambda df: df.select("key", "fp", "node").repartition("key").sortWithinPartitions("key")
-    found = materialize(sorted_(keyed).mapInArrow(_verify(distance, bucket), schema), "simhash-links")
+    found = stored(sorted_(keyed).mapInArrow(_verify(distance, bucket), schema), "simhash-links")
     large = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("fp"), F.col("w").alias("node"))
     found = found.where("kind = 0")
     if not large.isEmpty():
@@ -270,7 +271,7 @@ def links(classes: DataFrame, distance: int, sample_rows: int = SAMPLE, bucket:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of edges (u, v); alternating large and small stars."""
-    edges = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     stamp = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = stamp(edges)
     for _ in range(rounds):
@@ -281,7 +282,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(last)
         now = stamp(edges)
         if now == seen:
             break
@@ -293,8 +295,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most `distance` differing bits."""
-    marked = materialize(fingerprints(docs), "simhash")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    marked = stored(fingerprints(docs), "simhash")
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     linked = components(links(classes.where("rep IS NOT NULL"), distance))
     settled = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(settled, "fp").select("doc_id", "fp", "component_id")
@@ -303,10 +305,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 #: Near copies: words of a shingle, least similarity as a fraction, 64-bit words of the fingerprint that keys are made of
 #: and that candidates are checked on, bits in which those may differ, chance to miss a pair of the least similarity.
 NEAR_SHINGLE, SIMILAR, WORDS, CHECK, CHECK_DISTANCE, MISS = 5, (4, 5), 16, 2, 31, 0.01
+#: Pairs that are compared at once, and that a text travels for at most.
+AT_ONCE, PAIRS = 250_000, 200
 #: Estimated cost of a key, in compared pairs.
 KEY = 100
 #: Bits apart, as a share, at the least similarity: the angle between sets of equal size.
 APART = math.acos(2 * SIMILAR[0] / (SIMILAR[0] + SIMILAR[1])) / math.pi
+#: Bits of the whole fingerprint in which candidates may differ: three deviations more than the mean at that similarity.
+CLOSE = int(64 * (WORDS + CHECK) * APART + 3 * math.sqrt(64 * (WORDS + CHECK) * APART * (1 - APART)))
 _MIX = (np.arange(1, WORDS + CHECK + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -334,10 +340,13 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 def _long(batches):
     for batch in batches:
-        sets = [distinct_shingles(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([long_fingerprint(s).tobytes() for s in sets], pa.binary())], names=["node", "n", "fp"]
-        )
+        sizes, fps = [], []
+        for k in range(0, batch.num_rows, 256):
+            for text in batch.slice(k, 256).column(1).to_pylist():
+                shingles = distinct_shingles(text)
+                sizes.append(len(shingles))
+                fps.append(long_fingerprint(shingles).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())], names=["node", "n", "fp"])
 
 
 def within(width: int, threshold: int, apart: float) -> float:
@@ -401,35 +410,45 @@ def _may(n, c, d, i, j) -> np.ndarray:
     return (apart <= CHECK_DISTANCE) & (SIMILAR[1] * np.minimum(n[i], n[j]) >= SIMILAR[0] * np.maximum(n[i], n[j]))
 
 
-def _near_pairs(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs (i, j), i < j, of a bucket's members that may be near copies, some members at a time."""
-    _, _, n, c, d = bucket[:5]
-    size, step = len(n), max(1, 2_000_000 // len(n))
+def _near_pairs(members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j), i < j, of members (key, node, n, c, d, ...) that may be near copies, some at a time."""
+    _, _, n, c, d = members[:5]
+    size, step = len(n), max(1, AT_ONCE // len(n))
     for a in range(0, size, step):
         i, j = np.arange(a, min(a + step, size))[:, None], np.arange(a, size)[None, :]
         x, y = np.nonzero(_may(n, c, d, i, j) & (j > i))
-        yield x + a, y + a
+        if len(x):
+            yield x + a, y + a
 
 
-def _joined(bucket: np.ndarray) -> np.ndarray:
-    """Pairs that join whatever pairs of members that may be near copies join."""
+def _joined(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, cluster): pairs that join whatever pairs of members that may be near copies join, and per member the
+    number of its cluster, or -1 where all pairs of its cluster are given."""
     _, _, n, c, d = bucket
-    left, queue, edges = np.arange(1, len(n)), [0], []
-    while len(left):
-        if queue:
+    left, queue, edges = np.arange(1, len(n)), [], [np.zeros((2, 0), np.int64)]
+    cluster, at, k = np.full(len(n), -1), 0, 0
+    while True:
+        members = [at]
+        while True:
+            near = _may(n, c, d, at, left)
+            hit, left = left[near], left[~near]
+            edges.append(np.stack([np.full(len(hit), at), hit]))
+            queue += hit[::-1].tolist()
+            members += hit.tolist()
+            if not queue:
+                break
             at = queue.pop()
-        else:
-            at, left = int(left[0]), left[1:]
-        near = _may(n, c, d, at, left)
-        hit, left = left[near], left[~near]
-        edges.append(np.stack([np.full(len(hit), at), hit]))
-        queue += hit.tolist()
-    return np.concatenate(edges, axis=1)
+        if len(members) > 2:
+            cluster[members] = k
+            k += 1
+        if not len(left):
+            return np.concatenate(edges, axis=1), cluster
+        at, left = int(left[0]), left[1:]
 
 
-def _candidates(most: int | None, dense: int = 8):
-    """(kind, key, node, n, c, d): candidate pairs (0, u, v, 0, 0, 0); members (1, ...) of buckets that gave only pairs
-    that join them, as they have more than `dense` pairs a member; members (2, ...) of buckets that are too large."""
+def _candidates(most: int | None):
+    """(kind, key, node, n, c, d): candidate pairs (0, u, v, 0, 0, 0), which join all that may be near copies; members
+    (1, cluster, node, ...) of clusters that have more pairs than these; members (2, key, ...) of buckets too large."""
 
     def run(batches):
         found, rows = [], 0
@@ -439,27 +458,32 @@ def _candidates(most: int | None, dense: int = 8):
                 found.append(np.concatenate([np.full((1, len(key)), 2), bucket]))
             else:
                 if kind == "small":
-                    pairs = [np.zeros((2, 0), np.int64)]
+                    # only members that may have a near copy in their bucket are looked at one bucket at a time
+                    near = np.zeros(len(key), bool)
                     for shift in range(1, SMALL):
                         at = np.flatnonzero(key[shift:] == key[:-shift])
                         if not len(at):
                             break
                         at = at[_may(n, c, d, at, at + shift)]
-                        pairs.append(np.stack([at, at + shift]))
+                        near[at] = near[at + shift] = True
+                    places = np.flatnonzero(near)
+                    cuts = np.flatnonzero(np.diff(key[places])) + 1
+                    parts = np.split(places, cuts) if len(places) else []
                 else:
-                    pairs, many = [], 0
-                    for pair in _near_pairs(bucket):
-                        pairs.append(np.stack(pair))
-                        many += len(pair[0])
-                        if many > dense * len(key):
-                            pairs = [_joined(bucket)]
-                            found.append(np.concatenate([np.ones((1, len(key)), np.int64), bucket]))
-                            rows += len(key)
-                            break
+                    parts = [np.arange(len(key))]
+                pairs = [np.zeros((2, 0), np.int64)]
+                for part in parts:
+                    edges, cluster = _joined(bucket[:, part])
+                    pairs.append(part[edges])
+                    if (more := cluster >= 0).any():
+                        rest = bucket[:, part[more]].copy()
+                        rest[0] = (rest[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cluster[more].astype(np.uint64)).view(np.int64)
+                        found.append(np.concatenate([np.ones((1, rest.shape[1]), np.int64), rest]))
+                        rows += rest.shape[1]
                 i, j = np.concatenate(pairs, axis=1)
                 u, v = node[i], node[j]
                 zero = np.zeros(len(u), np.int64)
-                found.append(np.stack([zero, np.maximum(u, v), np.minimum(u, v), zero, zero, zero])[:, u != v])
+                found.append(np.stack([zero, np.minimum(u, v), np.maximum(u, v), zero, zero, zero])[:, u != v])
             rows += found[-1].shape[1]
             if rows > BATCH:
                 yield _columns(found, ("kind", "key", "node", "n", "c", "d"))
@@ -476,12 +500,13 @@ def _rest(batches):
 
     def out():
         u, v = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     for _, members in _buckets(batches, None):
-        keys, starts = np.unique(members[0], return_index=True)
-        for a, b in zip(starts, [*starts[1:], members.shape[1]]):
-            bucket = members[:, a:b]
+        for part in np.split(np.arange(members.shape[1]), np.flatnonzero(np.diff(members[0])) + 1):
+            bucket = members[:, part]
+            if (bucket[5] == bucket[5][0]).all():
+                continue
             for i, j in _near_pairs(bucket):
                 apart = (bucket[5][i] != bucket[5][j]) & (bucket[1][i] != bucket[1][j])
                 found.append(np.stack([bucket[1][i[apart]], bucket[1][j[apart]]]))
@@ -494,54 +519,76 @@ def _rest(batches):
 
 
 def _verified(batches):
-    """Those of (u, v, text of u, text of v) that are similar."""
-    last, known = None, None
+    """(u, v) of similar texts, from rows (u, part, v, text) sorted by these: a text u (v null), then those it is held
+    against."""
+    known = None
     for batch in batches:
-        ok = []
-        for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if known is None or u != last:
-                last, known = u, distinct_shingles(a)
-            ok.append(similar(known, distinct_shingles(b)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose texts are similar; only texts that are in a pair travel."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    mine = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    mine = materialize(mine, "near-texts")
-    one, two = (mine.select(F.col("node").alias(x), F.col("text").alias(t)) for x, t in (("u", "a"), ("v", "b")))
-    both = pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b")
-    return materialize(both.mapInArrow(_verified, "u long, v long"), "near-links")
+        for k in range(0, batch.num_rows, 256):
+            part, ok = batch.slice(k, 256), []
+            for v, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                if v is None:
+                    known = distinct_shingles(text)
+                ok.append(v is not None and similar(known, distinct_shingles(text)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _similar_pairs(pairs: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose texts are similar. Pairs that whole fingerprints tell apart go first, without texts.
+    A text u travels once for every PAIRS of its pairs, so that no text with very many is one task."""
+    one, two = (marked.select(F.col("node").alias(x), F.col("fp").alias(f)) for x, f in (("u", "a"), ("v", "b")))
+    close = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_close, "u long, v long")
+    close = stored(close, "near-close")
+    many = close.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("_s"))
+    rows = close.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("_s")).cast("int")).select("u", "part", "v", F.col("v").alias("node"))
+    heads = many.select("u", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), F.col("u").alias("node"))
+    asked = rows.unionByName(heads)
+    text = texts.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    dealt = asked.join(text, "node").select("u", "part", "v", "text").repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    found = stored(dealt.mapInArrow(_verified, "u long, v long"), "near-links")
+    forget(close)
+    return found
+
+
+def _close(batches):
+    """Those of (u, v, fingerprint of u, of v) whose fingerprints don't rule out the least similarity."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (2, 3))
+        apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(apart <= CLOSE))
 
 
 def near_copies(texts: DataFrame, miss: float = MISS, sample_rows: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
     """(node, component) of the texts (node, text; node is a hash of the text) that have a near copy."""
     marked = texts.select("node", "text").mapInArrow(_long, "node long, n long, fp binary")
-    marked = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-fingerprints")
+    marked = stored(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-fingerprints")
     total = marked.count()
     sample = [r[0] for r in marked.orderBy(F.xxhash64("node")).limit(sample_rows).select("fp").collect()]
     bits = bits_of(np.frombuffer(b"".join(sample), "<u8").reshape(len(sample), WORDS + CHECK)[:, :WORDS]) if sample else np.zeros((0, 64 * WORDS), np.uint8)
     parts = choose_parts(bits, total, miss)
     names = ["key", "node", "n", "c", "d"]
     schema = "kind int, key long, node long, n long, c long, d long"
-    dealt = lambda df, more=(): df.select(*names, *more).repartition("key").sortWithinPartitions("key")
+    # in the order of nodes, so that all buckets join a group to the same member
+    dealt = lambda df, more=(): df.select(*names, *more).repartition("key").sortWithinPartitions("key", "node")
     keyed = marked.mapInArrow(_keys(parts), "key long, node long, n long, c long, d long")
-    found = materialize(dealt(keyed).mapInArrow(_candidates(bucket), schema), "near-candidates")
-    large = found.where("kind = 2").select(names)
-    found = found.where("kind < 2")
+    tables = [stored(dealt(keyed).mapInArrow(_candidates(bucket), schema), "near-candidates")]
+    large = tables[0].where("kind = 2").select(names)
     if not large.isEmpty():
-        found = found.unionByName(materialize(dealt(deal_again(large, bucket)).mapInArrow(_candidates(None), schema), "near-candidates"))
-    tried = materialize(found.where("kind = 0").select(F.col("key").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
-    linked = _similar_pairs(tried, texts)
+        tables.append(stored(dealt(deal_again(large, bucket)).mapInArrow(_candidates(None), schema), "near-candidates"))
+    found = union_all([t.where("kind < 2") for t in tables])
+    tables.append(stored(found.where("kind = 0").select(F.col("key").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs"))
+    tried = tables[-1]
+    links_ = [_similar_pairs(tried, marked, texts)]
     dense = found.where("kind = 1").select(names)
     if not dense.isEmpty():
-        dense = dense.join(components(linked), "node", "left").withColumn("group", F.coalesce("component", "node"))
+        dense = dense.join(components(links_[0]), "node", "left").withColumn("group", F.coalesce("component", "node"))
         rest = dealt(dense, ["group"]).mapInArrow(_rest, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
-        rest = materialize(rest, "near-rest")
-        if not rest.isEmpty():
-            linked = linked.unionByName(_similar_pairs(rest, texts))
-    return components(linked)
+        tables.append(stored(rest, "near-rest"))
+        if not tables[-1].isEmpty():
+            links_.append(_similar_pairs(tables[-1], marked, texts))
+    result = components(union_all(links_))
+    for done in (marked, *tables, *links_):
+        forget(done)
+    return result
 
 
 def drop_near_copies(docs: DataFrame, miss: float = MISS) -> DataFrame:
@@ -551,7 +598,7 @@ def drop_near_copies(docs: DataFrame, miss: float = MISS) -> DataFrame:
     placed = rows.select("doc_id", F.col("_node").alias("node")).join(found, "node", "left")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("w")
     first = placed.groupBy(F.coalesce("component", "node").alias("_g")).agg(least)
-    first = materialize(first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_n")), "near-first")
+    first = stored(first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_n")), "near-first")
     kept = rows.join(first, rows["_node"].eqNullSafe(first["_n"]) & rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
     again = rows.groupBy("doc_id", "_node").count().where("count > 1").isEmpty()
     return (kept if again else kept.dropDuplicates(["doc_id", "_node"])).select(docs.columns)
