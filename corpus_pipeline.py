@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's rows as Parquet in the shared
 folder and reads them back as the next one's input. All but the last return the columns of documents.
+
+Defined results, for every stage: null texts count as empty and stay null; rows that repeat an id or have none are each
+treated by their own text; a table without rows gives none; columns beside doc_id and text are carried along, and
+n_chars, where there is one, follows a text that is redacted; without labels no document counts as toxic.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pageforge.llm import decontaminate, packing, pii, simhash, toxicity
-from pageforge.llm.common import materialize, table
+from pageforge.llm.common import forget, materialize, table
 from pageforge.llm.queries import vocabulary
 
 
@@ -53,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(last)
     return docs
