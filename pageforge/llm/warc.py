@@ -2,12 +2,14 @@
 
 Every page gives a request, a response (or a revisit, where an earlier page has the same payload) and a metadata
 record, tied together by WARC-Concurrent-To. Records are text, so Spark's own writer puts them into any store and
-commits them safely, compressed: the two line ends that close a record are the writer's line separator. Files are read
-whole, one at a time and of bounded size, and cut by Content-Length. Captures are assembled by a join through the concurrent-to
-ids, one nested row each.
+commits them safely, compressed: the two line ends that close a record are the writer's line separator. The writer
+compresses a file as one gzip member, so files are read whole, one at a time and of bounded size, and cut by
+Content-Length. Payloads are never shuffled, as long as revisits are few enough to broadcast. Captures are assembled by a
+join through the concurrent-to ids, one nested row each.
 
 Defined results: null html is an empty payload; payloads under LEAST bytes are always responses; of rows that repeat a
-page_id with one payload, the first is the response; other columns are ignored; no pages give no records.
+page_id with one payload, one is the response, and rows without an id come last; of several requests or metadata records
+of a capture, the one with the smallest record id is shown; other columns are ignored; no pages give no records.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import new_path
+from pageforge.storage import new_path, stored
 
 LEAST = 100
+#: Revisits that are broadcast at most, of some 50 bytes each.
+MAX_BROADCAST = 500_000
 #: Bytes of a file before compression, roughly.
 FILE = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,16 +44,28 @@ def _record(kind: str, lines: list[str], block: str) -> str:
     return f"concat({head}, '\\r\\n\\r\\n', {block})"
 
 
+def repeats(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """(again, first): the numbers of rows (_row, page_id, sha, bytes) that revisit, and the row that they revisit, as
+    (page_id, _row). Digests are counted before they are shuffled, and payloads stay where they are; a digest that very
+    many rows share is split by its join's skew, which holds numbers only."""
+    long = rows.where(F.col("bytes") >= least).select("_row", "page_id", "sha")
+    first = long.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_row")).alias("f"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("sha", F.struct("f.page_id", "f._row").alias("first"))
+    return long.join(first, "sha").where("_row <> first._row").select(F.col("_row").alias("again"), "first")
+
+
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per page, `record`: its three records, as text joined by the separator."""
+    """Per page, `record`: its three records, as text joined by the separator.
+
+    pages is read twice, for digests and for records, and must give the same rows in the same partitions both times, as
+    a table does; store other results first."""
     rows = pages.select(
         "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("_row")
     ).withColumn("sha", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html"))
-    first = (
-        rows.where(F.col("bytes") >= least).groupBy("sha")
-        .agg(F.min(F.struct("page_id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    )
-    rows = rows.join(first, "sha", "left").withColumn("again", F.expr("bytes >= %d AND first._row IS NOT NULL AND first._row <> _row" % least))
+    found = stored(repeats(rows, least), "warc-repeats")
+    # few enough of them go to all tasks; else both sides are dealt by row number, which no rows share
+    found = F.broadcast(found) if found.count() <= MAX_BROADCAST else found
+    rows = rows.join(found, F.col("_row") == F.col("again"), "left").withColumn("again", F.col("again").isNotNull())
     key, origin = "concat_ws('-', page_id, _row)", "concat_ws('-', first.page_id, first._row)"
     rows = rows.withColumn("uri", F.regexp_replace("url", r"[\x00-\x20]", "%20")).withColumn(
         "http", F.expr("concat('HTTP/1.1 200 OK\\r\\nContent-Type: text/html; charset=utf-8\\r\\nContent-Length: ', bytes, '\\r\\n\\r\\n')")
@@ -137,7 +153,13 @@ def captures(found: DataFrame) -> DataFrame:
     page_id of the capture that a revisit refers to."""
     # all three share the key, so one shuffle joins them
     keyed = found.withColumn("id", F.when(F.col("type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to")))
-    part = lambda *kinds: F.first(F.when(F.col("type").isin(*kinds), F.struct("record_id", "type", "uri", "date", "refers_to", "payload_bytes", "payload_digest", "payload")), ignorenulls=True)
+    record = F.struct("record_id", "type", "uri", "date", "refers_to", "payload_bytes", "payload_digest", "payload")
+
+    def part(*kinds: str):
+        """Of several records of a kind, the one with the smallest id."""
+        own = F.col("type").isin(*kinds)
+        return F.min_by(F.when(own, record), F.when(own, F.col("record_id")))
+
     whole = keyed.where("id IS NOT NULL").groupBy("id").agg(
         part("request").alias("request"), part("response", "revisit").alias("response"), part("metadata").alias("metadata"), F.max("page_id").alias("page_id")
     )
@@ -151,7 +173,5 @@ def round_trip(pages: DataFrame, least: int = LEAST, path: str | None = None) ->
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write(pages, path, least)
-    return captures(read(spark, path, with_payload=False))
-
-
-
+    # parsed once, for the joins of captures
+    return captures(stored(read(spark, path, with_payload=False), "warc-records"))
