@@ -46,9 +46,38 @@ def single_char(raw: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.left(strip(F.col("t")), F.lit(1)).alias("char"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("s") / F.nullif(F.col("k"), F.lit(0)), F.lit(0.0)) / 100)), 6).alias("conf"))
 
 
-def columnar(raw: DataFrame, names: list[str]) -> DataFrame:
-    """Parallel array columns into rows."""
-    return raw.select(F.explode(F.arrays_zip(*names)).alias("r")).select("r.*")
+def extractor_words(raw: DataFrame, result: str = "result") -> DataFrame:
+    """raw without `result` (an extractor's result, as JSON) and, for each word in it, item (its place), text, conf, poly.
+
+    A result is a list of items [polygon, [text, confidence]], or a list of one page that is such a list. Items that are
+    empty, too short, or whose polygon or confidence can't be read, are left out; none of them fails its page.
+    """
+    def rows(json: str) -> str:
+        return f"from_json({json}, 'array<string>')"
+
+    page = rows("get(_top, 0)")
+    first = rows(f"get({page}, 0)")
+    inner = f"IF(size(_top) = 1 AND size(coalesce({first}, array())) >= 2, {page}, _top)"
+    item = raw.withColumn("_top", F.expr(rows(result))).withColumn("_items", F.expr(inner)).drop(result, "_top")
+    item = item.select("*", F.posexplode("_items").alias("item", "_item")).drop("_items").withColumn("_parts", F.expr(rows("_item")))
+    item = item.where("size(_parts) >= 2").withColumn("poly", F.expr("from_json(get(_parts, 0), 'array<array<double>>')")).withColumn("_tc", F.expr(rows("get(_parts, 1)")))
+    item = item.where("size(_tc) >= 2").withColumns({"text": F.expr("get(_tc, 0)"), "conf": F.expr("try_cast(get(_tc, 1) AS double)")})
+    whole = "size(poly) > 0 AND forall(poly, p -> get(p, 0) IS NOT NULL AND get(p, 1) IS NOT NULL)"
+    points = F.expr("transform(poly, p -> struct(p[0] AS x, p[1] AS y))")
+    return item.where(f"coalesce({whole}, false) AND conf IS NOT NULL").withColumn("poly", points).drop("_item", "_parts", "_tc")
+
+
+def best_of(candidates: DataFrame, *keys: str) -> DataFrame:
+    """Per key, the candidate (with score, and place among the presets that were tried) that scores best, the first of
+    equal ones."""
+    own = [c for c in candidates.columns if c not in keys]
+    best = F.max_by(F.struct(*own), F.struct("score", -F.col("place"))).alias("b")
+    return candidates.groupBy(*keys).agg(best).select(*keys, "b.*")
+
+
+def columnar(raw: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """Parallel array columns into rows, each with its keys."""
+    return raw.select(*keys, F.explode(F.arrays_zip(*names)).alias("r")).select(*keys, "r.*")
 
 
 def spell_gate(token):

@@ -37,17 +37,35 @@ def list_stats(words: str, name: str) -> list[str]:
     ]
 
 
-HANDWRITTEN = """CASE WHEN n = 0 THEN false WHEN chars >= 100 AND avg_a >= 0.78D THEN false WHEN chars >= 150 AND avg_a >= 0.72D THEN false
- WHEN n >= 8 AND height_cv > 0.35D AND avg_a < 0.70D THEN true WHEN n >= 10 AND conf_cv > 0.45D AND avg_a < 0.68D THEN true
- WHEN chars >= 30 AND avg_a < 0.72D AND edge >= 22.0D THEN true WHEN chars >= 15 AND avg_a < 0.60D AND edge >= 25.0D THEN true ELSE false END"""
-ROUTE = """CASE WHEN handwritten THEN 'paddleocr(handwritten)' WHEN avg_b < 0.20D THEN 'paddleocr(conf_low_fallback)' WHEN ratio_b < 0.40D AND avg_b < 0.45D THEN 'paddleocr(conf_weak_fallback)'
- WHEN score_b < 0.25D AND score_a > score_b + 0.20D THEN 'paddleocr(score_fallback)' WHEN score_b >= 0.85D * score_a AND avg_b >= 0.45D THEN 'tesseract(printed)'
+#: The tables' thresholds and the names of their results. Rows are tried in order.
+HANDWRITTEN = """CASE WHEN n = 0 THEN false
+ WHEN chars >= 100 AND avg_a >= 0.78D THEN false
+ WHEN chars >= 150 AND avg_a >= 0.72D THEN false
+ WHEN n >= 8 AND height_cv > 0.35D AND avg_a < 0.70D THEN true
+ WHEN n >= 10 AND conf_cv > 0.45D AND avg_a < 0.68D THEN true
+ WHEN chars >= 30 AND avg_a < 0.72D AND edge >= 22.0D THEN true
+ WHEN chars >= 15 AND avg_a < 0.60D AND edge >= 25.0D THEN true ELSE false END"""
+ROUTE = """CASE WHEN handwritten THEN 'paddleocr(handwritten)'
+ WHEN lower(trim(printed_engine)) = 'paddle' THEN 'paddleocr(printed)'
+ WHEN avg_b < 0.20D THEN 'paddleocr(conf_low_fallback)'
+ WHEN ratio_b < 0.40D AND avg_b < 0.45D THEN 'paddleocr(conf_weak_fallback)'
+ WHEN score_b < 0.25D AND score_a > score_b + 0.20D THEN 'paddleocr(score_fallback)'
+ WHEN score_b >= 0.85D * score_a AND avg_b >= 0.45D THEN 'tesseract(printed)'
  WHEN score_a > score_b + 0.25D THEN 'paddleocr(score_fallback)' ELSE 'tesseract(printed)' END"""
 
 
-def route(page_stats: DataFrame, edges: DataFrame) -> DataFrame:
-    """page_stats with handwritten and engine_used; edges is (page_id, edge)."""
-    return page_stats.join(edges, "page_id", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0))).withColumn("handwritten", F.expr(HANDWRITTEN)).withColumn("engine_used", F.expr(ROUTE))
+def decide(page_stats: DataFrame, printed_engine: str = "tesseract") -> DataFrame:
+    """page_stats (with edge) with handwritten and engine_used; printed_engine, a name or a column of page_stats, is what
+    printed pages are read with: "paddle" keeps the first recogniser's words, anything else tries the second one's."""
+    found = page_stats if "printed_engine" in page_stats.columns else page_stats.withColumn("printed_engine", F.lit(printed_engine))
+    found = found.withColumn("handwritten", F.expr(HANDWRITTEN)).withColumn("engine_used", F.expr(ROUTE))
+    return found if "printed_engine" in page_stats.columns else found.drop("printed_engine")
+
+
+def route(page_stats: DataFrame, edges: DataFrame, printed_engine: str = "tesseract") -> DataFrame:
+    """page_stats with edge, handwritten and engine_used; edges is (page_id, edge)."""
+    joined = page_stats.join(edges, "page_id", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0)))
+    return decide(joined, printed_engine)
 
 
 def forced(engine, routed):

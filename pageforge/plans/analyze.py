@@ -48,7 +48,13 @@ def _listed(words) -> list[dict]:
     return [dict(zip(("text", "conf", "x1", "y1", "x2", "y2"), w)) for w in words]
 
 
-def _first(recogniser: Recogniser, preset: str):
+def score(words: list[tuple]) -> float:
+    """Mean confidence, raised by up to five times with the number of characters; what routing calls score."""
+    chars = sum(len(w[0].strip()) for w in words)
+    return sum(w[1] or 0.0 for w in words) / max(1, len(words)) * (1 + min(chars / 200, 5))
+
+
+def _first(recogniser: Recogniser, presets: list[str]):
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
@@ -56,7 +62,7 @@ def _first(recogniser: Recogniser, preset: str):
                 found = None
                 if image is not None:
                     try:
-                        found = recogniser(image, preset)
+                        found = max((recogniser(image, p) for p in presets), key=lambda f: score(f.words))
                         image = found.image or image
                     except Exception as e:  # noqa: BLE001  one bad page is a row, not a failed job
                         error = f"{type(e).__name__}: {e}"
@@ -87,23 +93,30 @@ def _second(extractor: WordExtractor, at: int):
     return run
 
 
-def recognise(sources: DataFrame, first: Recogniser, second: WordExtractor, preset: str = "auto", engine: str = "auto") -> DataFrame:
+def recognise(
+    sources: DataFrame, first: Recogniser, second: WordExtractor, preset: str | list[str] = "auto", engine: str = "auto", printed_engine: str = "tesseract",
+) -> DataFrame:
     """doc, page_index, native_text, error, width, height, preset_used, engine_used, words, score: one row per page.
 
-    The second recogniser sees only pages that the first one's words don't settle, and none or all if one is forced.
+    The second recogniser sees only pages that the first one's words don't settle, and none or all if one is forced; none
+    too if printed pages stay with the first one. Of several presets, the one whose words score best is taken, the first
+    of equal ones.
     """
-    asked = "clean_doc" if preset == "auto" else documents.options(preset=preset)["preset"]
+    presets = [preset] if isinstance(preset, str) else list(preset)
+    asked = ["clean_doc" if p == "auto" else documents.options(preset=p)["preset"] for p in presets]
     wanted = engine.strip().lower()
     page = sources.select("doc", "page_index", "native_text", "image", "error").mapInArrow(
         _first(first, asked), f"doc string, page_index int, native_text string, image binary, error string, width int, height int, edge double, preset_used string, a {WORDS}"
     )
     page = page.selectExpr("*", *routing.list_stats("a", "a")).withColumnsRenamed({"n_a": "n", "chars_a": "chars", "height_cv_a": "height_cv", "conf_cv_a": "conf_cv"})
     hand = F.expr(routing.HANDWRITTEN)
-    needed = F.lit(wanted == "tesseract") if wanted in ("paddle", "tesseract") else ~hand
+    stays = wanted == "paddle" or (wanted != "tesseract" and printed_engine.strip().lower() == "paddle")
+    needed = F.lit(not stays) if stays or wanted == "tesseract" else ~hand
     page = page.select("doc", "page_index", "native_text", "error", "width", "height", "preset_used", "a", "avg_a", "score_a", hand.alias("handwritten"), F.when(needed, F.col("image")).alias("image"), F.col("image").isNotNull().alias("seen"))
     names = [f for f in page.schema.fields if f.name != "image"]
     page = page.mapInArrow(_second(second, page.columns.index("image")), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + f", b {WORDS}, error_b string")
     page = page.selectExpr("*", *routing.list_stats("b", "b"))
+    page = page.withColumn("printed_engine", F.lit(printed_engine))
     engine_used = F.when(F.col("seen"), routing.forced(engine, F.expr(routing.ROUTE)))
     page = page.withColumn("engine_used", engine_used).withColumn("_own", F.coalesce(F.startswith("engine_used", F.lit("paddle")), F.lit(True)))
     return page.select(
@@ -191,16 +204,30 @@ def respond(pages: DataFrame, found: DataFrame, echo: dict, dictionary: DataFram
 
 def analyze(
     spark: SparkSession, path: str | list[str], first: Recogniser, second: WordExtractor, readers: Readers = Readers(), dictionary: DataFrame | None = None,
-    preset: str = "auto", dpi: int = 150, max_pages: int = 5, engine: str = "auto", return_layout: bool = True, return_debug: bool = True, native_text_body: bool = False,
+    preset: str | list[str] = "auto", dpi: int = 150, max_pages: int = 5, engine: str = "auto", return_layout: bool = True, return_debug: bool = True,
+    native_text_body: bool = False, printed_engine: str = "tesseract",
 ) -> DataFrame:
-    """One response row per file of an allowed type under path; any number of files."""
-    documents.options(dpi, max_pages, preset)
+    """One response row per file of an allowed type under path; any number of files. Of several presets, the best one's
+    words count, page by page."""
+    documents.options(dpi, max_pages)
     found = documents.files(spark, path, "path")
-    pages = stored(recognise(documents.page_sources(found, max_pages, dpi, readers), first, second, preset, engine), "recognised")
-    echo = {"engine": "auto(paddle+tesseract)", "lang": "en", "preset_requested": preset, "dpi": dpi, "max_pages": max_pages, "mkldnn_disabled": True, "engine_requested": engine, "return_layout": return_layout, "return_debug": return_debug}
+    pages = stored(recognise(documents.page_sources(found, max_pages, dpi, readers), first, second, preset, engine, printed_engine), "recognised")
+    # fixed values: the names and constants that a response echoes
+    echo = {
+        "engine": "auto(paddle+tesseract)", "lang": "en", "preset_requested": preset if isinstance(preset, str) else ",".join(preset), "dpi": dpi,
+        "max_pages": max_pages, "mkldnn_disabled": True, "engine_requested": engine, "return_layout": return_layout, "return_debug": return_debug,
+    }
     return respond(pages, found, echo, dictionary, native_text_body)
 
 
-def envelope(responses: DataFrame) -> DataFrame:
-    """One row: count and results, in the order of their paths. For batches that fit one row; write the responses otherwise."""
-    return responses.agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("path", "filename", "formatted_text", "raw_json"))).alias("r")).select("count", F.transform("r", lambda x: F.struct(x["filename"].alias("filename"), x["formatted_text"].alias("formatted_text"), x["raw_json"].alias("raw_json"))).alias("results"))
+def envelope(responses: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row: count and results, in the order given (names or paths, as they were handed in; others after them), then
+    by path. More than MAX_FILES responses are an error; no more than one above that is ever gathered."""
+    place = F.lit(len(order or []))
+    for k in reversed(range(len(order or []))):
+        place = F.when(F.endswith(F.concat(F.lit("/"), F.col("path")), F.lit("/" + order[k].lstrip("/"))), F.lit(k)).otherwise(place)
+    few = responses.limit(documents.MAX_FILES + 1)
+    row = few.agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct(place.alias("place"), "path", "filename", "formatted_text", "raw_json"))).alias("r"))
+    fits = F.when(F.col("count") > documents.MAX_FILES, F.raise_error(F.lit(f"at most {documents.MAX_FILES} responses fit one row"))).otherwise(F.col("count"))
+    result = F.transform("r", lambda x: F.struct(x["filename"].alias("filename"), x["formatted_text"].alias("formatted_text"), x["raw_json"].alias("raw_json")))
+    return row.select(fits.cast("long").alias("count"), result.alias("results"))

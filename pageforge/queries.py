@@ -297,3 +297,87 @@ def flatten_words(spark, sf):
     line = line.select("page_id", "line_no", F.struct(F.array_join(F.transform("o", lambda x: x["text"]), " ").alias("text"), "bbox", kept).alias("l"))
     page = line.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "l"))).alias("x")).select("page_id", F.expr("IF(page_id % 3 = 0, 0, 1600)").alias("width"), F.expr("IF(page_id % 3 = 1, NULL, 1200)").alias("height"), F.transform("x", lambda x: x["l"]).alias("lines"))
     return lines.flatten(page).select("page_id", "line_no", "word_no", "text", F.array_join(F.transform("bbox", lambda v: v.cast("string")), ",").alias("bbox"), "w_px", "h_px")
+
+
+#: A page on each side of every threshold of the decision tables, as: n, chars, avg_a, height_cv, conf_cv, edge,
+#: printed_engine, avg_b, ratio_b, score_a, score_b.
+DECISIONS = """
+0, 0, 0.0, 0.0, 0.0, 0.0, 'tesseract', 0.0, 0.0, 0.0, 0.0
+20, 100, 0.78, 0.9, 0.9, 99.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+20, 99, 0.78, 0.9, 0.9, 99.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+20, 150, 0.72, 0.9, 0.9, 99.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+20, 149, 0.719, 0.1, 0.1, 22.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+8, 40, 0.69, 0.36, 0.1, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+7, 40, 0.69, 0.36, 0.1, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+8, 40, 0.70, 0.36, 0.1, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+8, 40, 0.69, 0.35, 0.1, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+10, 40, 0.67, 0.1, 0.46, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+9, 40, 0.67, 0.1, 0.46, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+10, 40, 0.68, 0.1, 0.46, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+10, 40, 0.67, 0.1, 0.45, 0.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 30, 0.71, 0.1, 0.1, 22.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 29, 0.71, 0.1, 0.1, 22.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 30, 0.71, 0.1, 0.1, 21.9, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 15, 0.59, 0.1, 0.1, 25.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 14, 0.59, 0.1, 0.1, 25.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 15, 0.60, 0.1, 0.1, 25.0, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 15, 0.59, 0.1, 0.1, 24.9, 'tesseract', 0.9, 1.0, 1.2, 1.3
+5, 90, 0.80, 0.1, 0.1, 0.0, ' Paddle ', 0.9, 1.0, 1.2, 1.3
+5, 90, 0.80, 0.1, 0.1, 0.0, 'other', 0.9, 1.0, 1.2, 1.3
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.19, 1.0, 1.2, 1.3
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.20, 0.39, 1.2, 1.3
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.44, 0.39, 0.2, 0.3
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.45, 0.39, 1.2, 1.3
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.21, 0.5, 0.46, 0.24
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.21, 0.5, 0.44, 0.24
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.21, 0.5, 0.46, 0.25
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.46, 0.5, 1.0, 0.86
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.46, 0.5, 1.0, 0.84
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.44, 0.5, 1.0, 0.74
+5, 90, 0.80, 0.1, 0.1, 0.0, 'tesseract', 0.44, 0.5, 1.0, 0.76
+"""
+
+
+@query
+def decision_rows(spark, sf):
+    """Every row of the decision tables, just met and just missed."""
+    names = "n chars avg_a height_cv conf_cv edge printed_engine avg_b ratio_b score_a score_b".split()
+    values = [tuple(v.strip(" '") if v.strip().startswith("'") else float(v) for v in r.split(",")) for r in DECISIONS.split("\n") if r]
+    values = [tuple(" Paddle " if v == "Paddle" else v for v in r) for r in values]
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(values)], "k int, " + ", ".join(f"{n} {'string' if n == 'printed_engine' else 'double'}" for n in names))
+    return routing.decide(rows).select("k", "handwritten", "engine_used")
+
+
+@query
+def best_preset(spark, sf):
+    """Three presets a document, many of equal scores; the best one, or the first of the best."""
+    tried = table(spark, sf, "documents").select("doc_id", F.posexplode(F.array(F.lit("clean_doc"), F.lit("photo"), F.lit("low_light"))).alias("place", "preset"))
+    tried = tried.withColumn("score", F.expr("CAST((doc_id * (place * 3 + 7) + place) % 5 AS DOUBLE) / 4"))
+    return extract.best_of(tried, "doc_id").select("doc_id", "preset", "score")
+
+
+_POLY, _WORD = "[[1.5,2],[3,2.25],[3,4.9],[1.5,4.9]]", '["w#",0.5]'
+#: Results of an extractor, # standing for a number: one page in a list, two pages, a list of items, nothing, an empty
+#: page, items that are empty, too short or unreadable, and a single item, which counts as a page of its parts.
+RESULTS = (
+    f"[[[{_POLY},{_WORD}]]]", f"[[[{_POLY},{_WORD}]],[[{_POLY},{_WORD}]]]", f"[[{_POLY},{_WORD}],[{_POLY},{_WORD}]]", "null", "[[]]",
+    f'[null,[],[{_POLY}],[{_POLY},"x"],[{_POLY},["t"]],[{_POLY},["t","high"]],[{_POLY},{_WORD}]]', f"[[[[[1],[2]],{_WORD}],[7,{_WORD}],[[],{_WORD}],[{_POLY},{_WORD}]]]",
+    f"[[{_POLY},{_WORD}]]",
+)
+
+
+@query
+def extractor_items(spark, sf):
+    raw = F.element_at(F.array(*[F.lit(r) for r in RESULTS]), (F.col("c_custkey") % len(RESULTS) + 1).cast("int"))
+    raw = table(spark, sf, "customer").select("c_custkey", F.replace(raw, F.lit("#"), F.col("c_custkey").cast("string")).alias("result"))
+    return extract.boxes(extract.extractor_words(raw))
+
+
+@query
+def ocr_columnar(spark, sf):
+    """A page's rows as parallel columns, and back into words."""
+    raw = words(spark, sf).selectExpr("page_id", "seq", "IF(seq % 17 = 0, ' ', text) AS text", "CASE WHEN seq % 11 = 0 THEN '-1' ELSE CAST(ca AS STRING) END AS conf_raw", "x1", "y1", "x2 - x1 AS width", "y2 - y1 AS height")
+    names = [c for c in raw.columns if c != "page_id"]
+    page = raw.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("o"))
+    page = page.select("page_id", *[F.expr(f"transform(o, x -> x.{c})").alias(c) for c in names])
+    return extract.normalize_rows(extract.columnar(page, names, "page_id"))

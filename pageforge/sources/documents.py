@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 from typing import Protocol
 from xml.etree import ElementTree
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.operators.extract import dispatch
+from pageforge.operators.extract import ALLOWED, dispatch
 
 MAX_FILES = 10
 PAGES = "doc string, page_index int, native_text string, image binary, error string"
@@ -36,13 +37,16 @@ class Readers:
 
     pdf_text(content, max_pages): each page's native text. pdf_images(content, max_pages, dpi): each page as an image.
     convert(content, suffix): the PDF of an old office file. frames(content, max_pages): the frames of a TIFF (without
-    it, the file is one image).
+    it, the file is one image). decodes(content): whether a picture of an office file can be read; those that can't are
+    left out before pages are counted (without it, all are taken). `sources.readers.standard` has these where their
+    libraries are installed.
     """
 
     pdf_text: Callable[[bytes, int], list[str]] | None = None
     pdf_images: Callable[[bytes, int, int], list[bytes]] | None = None
     convert: Callable[[bytes, str], bytes] | None = None
     frames: Callable[[bytes, int], list[bytes]] | None = None
+    decodes: Callable[[bytes], bool] | None = None
 
 
 def options(dpi: int = 150, max_pages: int = 5, preset: str = "auto") -> dict:
@@ -66,7 +70,8 @@ def batch(spark: SparkSession, path: str) -> DataFrame:
     names = dispatch(spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename")))
     total, bad = names.count(), names.where("NOT allowed").count()
     if not 1 <= total <= MAX_FILES or bad:
-        raise ValueError(f"1 to {MAX_FILES} files of allowed types are wanted; {total} found, {bad} of them not allowed")
+        allowed = ", ".join(sorted(f".{x}" for x in ALLOWED))
+        raise ValueError(f"1 to {MAX_FILES} files of allowed types are wanted; {total} found, {bad} of them not allowed; allowed: {allowed}")
     return files(spark, path)
 
 
@@ -98,27 +103,52 @@ def _slides(z: zipfile.ZipFile) -> list[str]:
     return [m[0] for m in sorted(numbered, key=lambda m: int(m[1]))]
 
 
-def _picture(z: zipfile.ZipFile, slide: str) -> bytes | None:
-    """The first picture of a slide, in the order of its shapes."""
+def _shapes(xml: bytes) -> list[str]:
+    """The texts of a slide's shapes that have one, paragraphs as lines; of its paragraphs where it has no shapes."""
+    shapes = [e for e in ElementTree.fromstring(xml).iter() if e.tag.endswith("}sp")]
+    texts = []
+    for shape in shapes:
+        paragraphs = (p for p in shape.iter() if p.tag.endswith("}p"))
+        texts.append("\n".join("".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")) for p in paragraphs).strip())
+    return [t for t in texts if t] if shapes else _texts(xml, "}p")
+
+
+def _media(z: zipfile.ZipFile, name: str, readers: Readers) -> bytes | None:
+    """A picture's content; None for one that can't be read or decoded."""
+    if name.lower().endswith((".wmf", ".emf")):
+        return None
+    try:
+        data = z.read(name)
+        return data if readers.decodes is None or readers.decodes(data) else None
+    except Exception:  # noqa: BLE001  one bad part is left out, the file's others stay
+        return None
+
+
+def _picture(z: zipfile.ZipFile, slide: str, readers: Readers) -> bytes | None:
+    """The first picture of a slide that can be read, in the order of its shapes."""
     parts, names = _targets(z, slide), set(z.namelist())
     for e in ElementTree.fromstring(z.read(slide)).iter():
         if e.tag.endswith("}blip"):
             for k, v in e.attrib.items():
-                if k.endswith("}embed") and parts.get(v, ("", ""))[1] in names and not parts[v][1].lower().endswith((".wmf", ".emf")):
-                    return z.read(parts[v][1])
+                if k.endswith("}embed") and parts.get(v, ("", ""))[1] in names and (data := _media(z, parts[v][1], readers)):
+                    return data
     return None
 
 
-def office_pages(suffix: str, content: bytes, max_pages: int) -> list[tuple]:
+def office_pages(suffix: str, content: bytes, max_pages: int, readers: Readers = Readers()) -> list[tuple]:
     """Rows (page_index, native_text, image): a text page and up to max_pages pictures, or one row per slide, with its
-    text and its first picture."""
+    text and its first picture. Parts that can't be read are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         if suffix == ".docx":
-            pictures = [n for n in names if n.startswith("word/media/") and not n.lower().endswith((".wmf", ".emf"))][:max_pages]
-            text = "\n".join(_texts(z.read("word/document.xml"), "}p")) if "word/document.xml" in names else ""
-            return [(0, text, None), *((k + 1, None, z.read(n)) for k, n in enumerate(pictures))]
-        return [(k, "\n".join(_texts(z.read(n), "}p")), _picture(z, n)) for k, n in enumerate(_slides(z)[:max_pages])]
+            media = (_media(z, n, readers) for n in names if n.startswith("word/media/"))
+            pictures = list(islice((data for data in media if data), max_pages))
+            try:
+                text = "\n".join(_texts(z.read("word/document.xml"), "}p"))
+            except (KeyError, ElementTree.ParseError):
+                text = ""
+            return [(0, text, None), *((k + 1, None, data) for k, data in enumerate(pictures))]
+        return [(k, "\n".join(_shapes(z.read(n))), _picture(z, n, readers)) for k, n in enumerate(_slides(z)[:max_pages])]
 
 
 #: Characters from which on a page has native text.
@@ -144,7 +174,7 @@ def file_pages(suffix: str, content: bytes, max_pages: int, dpi: int, readers: R
     if suffix == ".pdf":
         return pdf_pages(content, max_pages, dpi, readers)
     if suffix in (".docx", ".pptx"):
-        return office_pages(suffix, content, max_pages)
+        return office_pages(suffix, content, max_pages, readers)
     images = readers.frames(content, max_pages)[:max_pages] if readers.frames and suffix in (".tif", ".tiff") else [content]
     return [(k, None, i) for k, i in enumerate(images)]
 
