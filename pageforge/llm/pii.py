@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.functions.folds import scan
+from pageforge.functions.folds import before
 
 MIN_SCORE, CONTEXT = 0.5, 48
 #: Characters of the pieces from which a redacted text is put together.
@@ -90,19 +90,16 @@ def _quoted(pattern: str) -> str:
 
 
 def _spans(kind: str, m: str, g: str) -> str:
-    """Spans of a kind from its matches m and the gaps g before, between and after them, with the text before each: what
+    """Spans of a kind from its matches m and the gaps g before, between and after them. The text before a match is what
     the last gap and, where that is short, earlier matches hold."""
-    gap, match = f"get({g}, w - 1)", f"get({m}, w - 1)"
-    before = f"right(concat(a.b, {gap}), {CONTEXT})"
-    at = f"a.p + length({gap})"
-    placed = scan(
-        f"sequence(1, size({m}))",
-        {"p": ("int", "0", f"{at} + length({match})"), "b": ("string", "''", f"right(concat({before}, {match}), {CONTEXT})")},
-        f"named_struct('p', {at}, 'b', {before})", "struct<p:int,b:string>",
-    )
+    place = before(f"size({m})", f"length(get({g}, w - 1)) + length(get({m}, w - 1))", "{a} + {x}")
+    # a match has three characters or more
+    earlier = f"array_join(flatten(transform(sequence(greatest(0, k - {CONTEXT // 3}), k - 1), j -> array(get({g}, j), get({m}, j)))), '')"
+    near = f"right(concat(IF(k = 0 OR length(get({g}, k)) >= {CONTEXT}, '', {earlier}), get({g}, k)), {CONTEXT})"
     _, _, check, score, words, plus = KINDS[kind]
-    points = f"{score}D + IF(lower(x.b) RLIKE '\\\\b(?:{words})\\\\b', {plus}D, 0D)"
-    span = f"transform({placed}, (x, k) -> struct('{kind}' AS kind, x.p AS start, x.p + length(get({m}, k)) AS end, {points} AS score, get({m}, k) AS m))"
+    points = f"{score}D + IF(lower({near}) RLIKE '\\\\b(?:{words})\\\\b', {plus}D, 0D)"
+    start = f"p + length(get({g}, k))"
+    span = f"transform({place}, (p, k) -> struct('{kind}' AS kind, {start} AS start, {start} + length(get({m}, k)) AS end, {points} AS score, get({m}, k) AS m))"
     keep = f"coalesce(element_at(transform(array(x.m), m -> {check}), 1), false)" + ("" if kind in BASE else f" AND x.score >= {MIN_SCORE}")
     return f"transform(filter({span}, x -> {keep}), x -> struct(x.kind AS kind, x.start AS start, x.end AS end, x.score AS score))"
 
@@ -144,7 +141,8 @@ def redact(docs: DataFrame) -> DataFrame:
         "_p", F.expr("array_sort(transform(pii, x -> struct(x.start AS start, -x.end AS back, x.kind AS kind, x.end AS end)))")
     )
     # a span that starts behind the ends of all before it is shown; what lies between goes before it
-    shown = scan("_p", {"e": ("int", "0", "greatest(a.e, w.end)")}, "IF(w.start >= a.e, named_struct('f', a.e, 's', w.start, 'kind', w.kind), NULL)", "struct<f:int,s:int,kind:string>")
+    reached = before("size(_p)", "get(_p, w - 1).end", "greatest({a}, {x})")
+    shown = f"transform({reached}, (e, k) -> IF(get(_p, k).start >= e, named_struct('f', e, 's', get(_p, k).start, 'kind', get(_p, k).kind), NULL))"
     some = "size(_p) > 0"
     found = found.withColumn("_c", F.expr(f"CASE WHEN {some} THEN regexp_extract_all(_t, '(?s).{{1,{PIECE}}}', 0) END"))
     found = found.withColumn("_s", F.expr(f"CASE WHEN {some} THEN filter({shown}, x -> x IS NOT NULL) END"))
