@@ -21,8 +21,8 @@ from pageforge.llm.common import ascii_lower, materialize, union_all
 WINDOW = 10
 #: Hashes that a plan holds as a constant set.
 MAX_SET = 100_000
-#: Items that are broadcast at most, as windows.
-MAX_BROADCAST = 1_000_000
+#: Bytes of windows, with the ids of their items, that are broadcast at most.
+MAX_BROADCAST = 32 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -68,16 +68,19 @@ def _by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame
     return docs.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_text")), "left").withColumn("hits", hits).drop("_met", "_id", "_text")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row per row of docs: doc_id, _h (a hash of the text), n_words, n_hit, items (sorted ids as strings), positions
     (hit words, from 1)."""
     windows = materialize(item_windows(benchmark, window), "windows")
-    sizes = {r[0]: r[1] for r in windows.groupBy("size").count().collect()}  # at most `window` rows
+    weight = F.sum(F.octet_length("text") + F.expr("aggregate(items, 32L, (s, x) -> s + octet_length(x) + 16)"))
+    counted = windows.groupBy("size").agg(F.count("*"), weight).collect()  # at most `window` rows
+    sizes, weight = {r[0]: r[1] for r in counted}, sum(r[2] for r in counted)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_h"), words_of(F.col("text")).alias("w"))
     total = sum(sizes.values())
     if not total:
         empty = F.array().cast("array<string>")
-        return rows.select("doc_id", "_h", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), empty.alias("items"), F.array().cast("array<int>").alias("positions"))
+        none = F.lit(0).cast("long").alias("n_hit"), empty.alias("items"), F.array().cast("array<int>").alias("positions")
+        return rows.select("doc_id", "_h", F.size("w").cast("long").alias("n_words"), *none)
     if total <= max_set:
         sets = {s: sorted(r[0] for r in windows.where(F.col("size") == s).select("h").distinct().collect()) for s in sorted(sizes)}
         found = _by_set(rows, sets)
@@ -86,7 +89,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: i
     known = windows.select("text", "items")
     hits = found.select("_row", "doc_id", "_h", F.size("w").cast("long").alias("n_words"), F.explode_outer("hits").alias("hit"))
     hits = hits.select("_row", "doc_id", "_h", "n_words", "hit.at", "hit.size", "hit.text")
-    verified = hits.join(F.broadcast(known) if total <= MAX_BROADCAST else known, "text", "left")
+    verified = hits.join(F.broadcast(known) if weight <= max_broadcast else known, "text", "left")
     span = F.when(F.col("items").isNotNull(), F.sequence("at", F.col("at") + F.col("size") - 1))
     return (
         verified.groupBy("_row", "doc_id", "_h", "n_words")
