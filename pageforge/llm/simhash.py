@@ -11,8 +11,8 @@ apart, from others at a cost that holds at scale. So a longer fingerprint, of WO
 cut into parts of correlated bits in the same way; dynamic programming picks the parts and their thresholds, with least
 estimated cost, so that a pair of exactly the wanted similarity meets in some part but for a chance of MISS (more
 similar pairs meet more surely). Candidates within CHECK_DISTANCE of CHECK * 64 further bits are verified exactly, on
-the shingles of both texts. A bucket first gives only pairs that join its candidates; of clusters with more pairs than
-that, the others are tried afterwards, where they aren't in one group yet.
+the shingles of both texts. A bucket first gives only pairs that join its candidates, and each text is held against the first
+of them; other pairs, those of clusters included, are tried afterwards, where they aren't in one group yet.
 
 Defined results: a null or blank text has fingerprint 0, which links like any other; equal fingerprints are one class;
 rows that repeat a doc_id each get a result row; other columns are ignored; an empty table gives an empty result. Near
@@ -307,6 +307,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 NEAR_SHINGLE, SIMILAR, WORDS, CHECK, CHECK_DISTANCE, MISS = 5, (4, 5), 16, 2, 31, 0.01
 #: Pairs that are compared at once, and that a text travels for at most.
 AT_ONCE, PAIRS = 250_000, 200
+#: Texts with a candidate whose hashes are broadcast at most.
+MAX_NODES = 4_000_000
 #: Estimated cost of a key, in compared pairs.
 KEY = 100
 #: Bits apart, as a share, at the least similarity: the angle between sets of equal size.
@@ -469,6 +471,11 @@ def _candidates(most: int | None):
                     places = np.flatnonzero(near)
                     cuts = np.flatnonzero(np.diff(key[places])) + 1
                     parts = np.split(places, cuts) if len(places) else []
+                elif len(key) ** 2 <= AT_ONCE:
+                    near = np.zeros(len(key), bool)
+                    for i, j in _near_pairs(bucket):
+                        near[i] = near[j] = True
+                    parts = [np.flatnonzero(near)] if near.any() else []
                 else:
                     parts = [np.arange(len(key))]
                 pairs = [np.zeros((2, 0), np.int64)]
@@ -542,10 +549,14 @@ def _similar_pairs(pairs: DataFrame, marked: DataFrame, texts: DataFrame) -> Dat
     rows = close.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("_s")).cast("int")).select("u", "part", "v", F.col("v").alias("node"))
     heads = many.select("u", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), F.col("u").alias("node"))
     asked = rows.unionByName(heads)
-    text = texts.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    nodes = stored(asked.select("node").distinct(), "near-nodes")
+    # eight bytes each; with more of them, texts are shuffled
+    few = F.broadcast(nodes) if nodes.count() <= MAX_NODES else nodes
+    text = texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     dealt = asked.join(text, "node").select("u", "part", "v", "text").repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
     found = stored(dealt.mapInArrow(_verified, "u long, v long"), "near-links")
     forget(close)
+    forget(nodes)
     return found
 
 
@@ -577,14 +588,19 @@ def near_copies(texts: DataFrame, miss: float = MISS, sample_rows: int = SAMPLE,
     found = union_all([t.where("kind < 2") for t in tables])
     tables.append(stored(found.where("kind = 0").select(F.col("key").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs"))
     tried = tables[-1]
-    links_ = [_similar_pairs(tried, marked, texts)]
-    dense = found.where("kind = 1").select(names)
-    if not dense.isEmpty():
-        dense = dense.join(components(links_[0]), "node", "left").withColumn("group", F.coalesce("component", "node"))
-        rest = dealt(dense, ["group"]).mapInArrow(_rest, "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
-        tables.append(stored(rest, "near-rest"))
-        if not tables[-1].isEmpty():
-            links_.append(_similar_pairs(tables[-1], marked, texts))
+    # each text is held against the first of its candidates; that joins most groups, and what they settle isn't tried
+    first = stored(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-first")
+    links_ = [_similar_pairs(first, marked, texts)]
+    group = stored(components(links_[0]), "near-groups")
+    tables += [first, group]
+    of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+    left = tried.join(first, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    left = left.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+    dense = found.where("kind = 1").select(names).join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    rest = dealt(dense, ["group"]).mapInArrow(_rest, "u long, v long").join(first, ["u", "v"], "left_anti")
+    tables.append(stored(left.unionByName(rest).distinct(), "near-rest"))
+    if not tables[-1].isEmpty():
+        links_.append(_similar_pairs(tables[-1], marked, texts))
     result = components(union_all(links_))
     for done in (marked, *tables, *links_):
         forget(done)
