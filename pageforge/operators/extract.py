@@ -32,7 +32,8 @@ def boxes(polygons: DataFrame) -> DataFrame:
 def normalize_rows(raw: DataFrame) -> DataFrame:
     """Raw recogniser rows (text, conf as text, left, top, width, height) into words; blank ones go, confidence is 0..1."""
     conf = F.expr("greatest(0D, least(1D, coalesce(try_cast(conf_raw AS DOUBLE), -1D) / 100))")
-    return raw.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("conf", F.round(conf, 6)).withColumn("x2", F.col("x1") + F.col("width")).withColumn("y2", F.col("y1") + F.col("height")).drop("conf_raw", "width", "height")
+    kept = raw.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("conf", F.round(conf, 6))
+    return kept.withColumns({"x2": F.col("x1") + F.col("width"), "y2": F.col("y1") + F.col("height")}).drop("conf_raw", "width", "height")
 
 
 def single_char(raw: DataFrame, *keys: str) -> DataFrame:
@@ -43,7 +44,9 @@ def single_char(raw: DataFrame, *keys: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("t"),
         F.sum(F.when(conf >= 0, conf)).alias("s"), F.count_if(conf >= 0).alias("k"),
     )
-    return found.select(*keys, F.left(strip(F.col("t")), F.lit(1)).alias("char"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("s") / F.nullif(F.col("k"), F.lit(0)), F.lit(0.0)) / 100)), 6).alias("conf"))
+    mean = F.coalesce(F.col("s") / F.nullif(F.col("k"), F.lit(0)), F.lit(0.0)) / 100
+    clamped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)), 6)
+    return found.select(*keys, F.left(strip(F.col("t")), F.lit(1)).alias("char"), clamped.alias("conf"))
 
 
 def extractor_words(raw: DataFrame, result: str = "result") -> DataFrame:

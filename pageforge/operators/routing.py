@@ -17,7 +17,10 @@ def stats(words: DataFrame) -> DataFrame:
     )
     # sums of integers, divided once: the same on any partitioning
     cv = lambda s, q: f"CASE WHEN n < 2 OR {s} <= 0 THEN 0D ELSE sqrt(greatest(0D, CAST(n * {q} - {s} * {s} AS DOUBLE))) / {s} END"
-    found = found.selectExpr("page_id", "n", "chars", "round(sa / (n * 100D), 9) AS avg_a", "round(sb / (n * 100D), 9) AS avg_b", "round(above_b / CAST(n AS DOUBLE), 9) AS ratio_b", f"round({cv('sh', 'qh')}, 9) AS height_cv", f"round({cv('sa', 'qa')}, 9) AS conf_cv")
+    found = found.selectExpr(
+        "page_id", "n", "chars", "round(sa / (n * 100D), 9) AS avg_a", "round(sb / (n * 100D), 9) AS avg_b",
+        "round(above_b / CAST(n AS DOUBLE), 9) AS ratio_b", f"round({cv('sh', 'qh')}, 9) AS height_cv", f"round({cv('sa', 'qa')}, 9) AS conf_cv",
+    )
     return found.selectExpr("*", "avg_a * (1 + least(chars / 200D, 5D)) AS score_a", "avg_b * (1 + least(chars / 200D, 5D)) AS score_b")
 
 
@@ -76,4 +79,6 @@ def forced(engine, routed):
 
 def final_words(words: DataFrame, routes: DataFrame) -> DataFrame:
     """The words of the chosen extractor, with its confidence."""
-    return words.join(routes.select("page_id", F.startswith(F.col("engine_used"), F.lit("paddle")).alias("first")), "page_id").withColumn("conf", F.when(F.col("first"), F.col("ca")).otherwise(F.col("cb"))).drop("first", "ca", "cb")
+    first = routes.select("page_id", F.startswith(F.col("engine_used"), F.lit("paddle")).alias("first"))
+    conf = F.when(F.col("first"), F.col("ca")).otherwise(F.col("cb"))
+    return words.join(first, "page_id").withColumn("conf", conf).drop("first", "ca", "cb")

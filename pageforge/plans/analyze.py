@@ -69,7 +69,8 @@ def _first(recogniser: Recogniser, presets: list[str]):
                 f = found or Recognised(0, 0, preset="")
                 row = (doc, page, native, image if found else None, error, f.width, f.height, f.edge, f.preset if found else None, _listed(f.words))
                 kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), _WORD)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["doc", "page_index", "native_text", "image", "error", "width", "height", "edge", "preset_used", "a"])
+                names = ["doc", "page_index", "native_text", "image", "error", "width", "height", "edge", "preset_used", "a"]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
     return run
 
@@ -88,7 +89,8 @@ def _second(extractor: WordExtractor, at: int):
                 found.append(_listed(words))
                 errors.append(error)
             kept = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(found, _WORD), pa.array(errors, pa.string())], names=[*(b.schema.names[i] for i in kept), "b", "error_b"])
+            columns = [*(b.column(i) for i in kept), pa.array(found, _WORD), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(b.schema.names[i] for i in kept), "b", "error_b"])
 
     return run
 
@@ -106,15 +108,20 @@ def recognise(
     asked = ["clean_doc" if p == "auto" else documents.options(preset=p)["preset"] for p in presets]
     wanted = engine.strip().lower()
     page = sources.select("doc", "page_index", "native_text", "image", "error").mapInArrow(
-        _first(first, asked), f"doc string, page_index int, native_text string, image binary, error string, width int, height int, edge double, preset_used string, a {WORDS}"
+        _first(first, asked),
+        "doc string, page_index int, native_text string, image binary, error string, width int, height int, edge double, "
+        f"preset_used string, a {WORDS}",
     )
     page = page.selectExpr("*", *routing.list_stats("a", "a")).withColumnsRenamed({"n_a": "n", "chars_a": "chars", "height_cv_a": "height_cv", "conf_cv_a": "conf_cv"})
     hand = F.expr(routing.HANDWRITTEN)
     stays = wanted == "paddle" or (wanted != "tesseract" and printed_engine.strip().lower() == "paddle")
     needed = F.lit(not stays) if stays or wanted == "tesseract" else ~hand
-    page = page.select("doc", "page_index", "native_text", "error", "width", "height", "preset_used", "a", "avg_a", "score_a", hand.alias("handwritten"), F.when(needed, F.col("image")).alias("image"), F.col("image").isNotNull().alias("seen"))
-    names = [f for f in page.schema.fields if f.name != "image"]
-    page = page.mapInArrow(_second(second, page.columns.index("image")), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + f", b {WORDS}, error_b string")
+    page = page.select(
+        "doc", "page_index", "native_text", "error", "width", "height", "preset_used", "a", "avg_a", "score_a", hand.alias("handwritten"),
+        F.when(needed, F.col("image")).alias("image"), F.col("image").isNotNull().alias("seen"),
+    )
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in page.schema.fields if f.name != "image")
+    page = page.mapInArrow(_second(second, page.columns.index("image")), f"{kept}, b {WORDS}, error_b string")
     page = page.selectExpr("*", *routing.list_stats("b", "b"))
     page = page.withColumn("printed_engine", F.lit(printed_engine))
     engine_used = F.when(F.col("seen"), routing.forced(engine, F.expr(routing.ROUTE)))
@@ -132,7 +139,8 @@ def fix_words(words: DataFrame, dictionary: DataFrame | None = None, gate=extrac
     if dictionary is not None:
         token = parted.select("page_id", "seq", F.posexplode(F.expr(r"regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+', 0)")).alias("k", "token"))
         repaired = extract.repair(token.where(gate(F.col("token"))).select("token"), dictionary)
-        spelled = token.join(repaired, "token", "left").groupBy("page_id", "seq").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("repaired", "token").alias("t")))).alias("o"))
+        own = F.array_sort(F.collect_list(F.struct("k", F.coalesce("repaired", "token").alias("t")))).alias("o")
+        spelled = token.join(repaired, "token", "left").groupBy("page_id", "seq").agg(own)
         parted = parted.drop("text").join(spelled.select("page_id", "seq", F.array_join(F.transform("o", lambda s: s["t"]), "").alias("text")), ["page_id", "seq"])
     return parted.withColumn("text", text.brand_fix(text.strip(F.col("text")))).where("text <> ''")
 
@@ -146,7 +154,8 @@ def nested_lines(grouped: DataFrame) -> DataFrame:
         F.array(F.min("x1"), F.min("y1"), F.max("x2"), F.max("y2")).alias("bbox"),
     )
     # the mean in the words' order, so that it is the same on any partitioning
-    by_line = by_line.withColumn("conf", F.expr("aggregate(w, 0D, (s, x) -> s + coalesce(x.conf, 0D)) / size(w)")).withColumn("text", text.strip(F.array_join(F.transform("o", lambda s: s["t"]), " "))).where("text <> ''")
+    by_line = by_line.withColumn("conf", F.expr("aggregate(w, 0D, (s, x) -> s + coalesce(x.conf, 0D)) / size(w)"))
+    by_line = by_line.withColumn("text", text.strip(F.array_join(F.transform("o", lambda s: s["t"]), " "))).where("text <> ''")
     words = F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["conf"].alias("conf"), x["bbox"].alias("bbox"))).alias("words")
     page = by_line.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct("text", "conf", "bbox", words).alias("line")))).alias("l"))
     page = page.select("page_id", F.transform("l", lambda x: x["line"]).alias("lines"))
@@ -177,14 +186,19 @@ def respond(pages: DataFrame, found: DataFrame, echo: dict, dictionary: DataFram
     digital = (F.col("input_type") == "pdf") & F.col("native_text").isNotNull()
     none = F.expr("CAST(array() AS array<struct<text:string,conf:double,bbox:array<int>,words:array<struct<text:string,conf:double,bbox:array<int>>>>>)")
     own = F.struct("page_index", "width", "height", joined.alias("text"), F.coalesce("lines", none).alias("lines"))
-    body = F.coalesce("block", F.concat(F.lit("<BODY>\n  "), F.replace(F.col("native_text"), F.lit("\n"), F.lit("\n  "))) if native_text_body else F.lit(None).cast("string"))
+    under = F.concat(F.lit("<BODY>\n  "), F.replace(F.col("native_text"), F.lit("\n"), F.lit("\n  ")))
+    body = F.coalesce("block", under if native_text_body else F.lit(None).cast("string"))
     native_body = F.when(native != "", body).otherwise(F.col("block")) if native_text_body else F.col("block")
-    debug = F.struct("page_index", "preset_used", "engine_used", F.size("words").alias("words_count"), F.coalesce(F.size("lines"), F.lit(0)).alias("lines_count"), "score")
+    counts = F.size("words").alias("words_count"), F.coalesce(F.size("lines"), F.lit(0)).alias("lines_count")
+    debug = F.struct("page_index", "preset_used", "engine_used", *counts, "score")
+    seen = F.when(F.col("engine_used").isNotNull(), F.col("page_index"))
+    in_order = lambda when, value: F.array_sort(F.collect_list(F.when(when, value)))
     real = F.col("error").isNull() | F.col("engine_used").isNotNull()
     whole = page.groupBy("doc").agg(
-        F.first("input_type").alias("input_type"), F.array_sort(F.collect_list(F.when(real, own))).alias("p"), F.array_sort(F.collect_list(F.when(real, F.struct("page_index", native_body.alias("block"))))).alias("b"),
-        F.array_sort(F.collect_list(F.when(F.col("engine_used").isNotNull(), debug))).alias("debug"), F.bool_or(digital).alias("digital"),
-        F.min_by("engine_used", F.when(F.col("engine_used").isNotNull(), F.col("page_index"))).alias("engine_used"), F.max_by("preset_used", F.when(F.col("engine_used").isNotNull(), F.col("page_index"))).alias("preset_used"),
+        F.first("input_type").alias("input_type"), in_order(real, own).alias("p"),
+        in_order(real, F.struct("page_index", native_body.alias("block"))).alias("b"),
+        in_order(F.col("engine_used").isNotNull(), debug).alias("debug"), F.bool_or(digital).alias("digital"),
+        F.min_by("engine_used", seen).alias("engine_used"), F.max_by("preset_used", seen).alias("preset_used"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page_index"))).alias("error"),
     )
     office = F.col("input_type").isin("docx", "pptx")
@@ -195,10 +209,13 @@ def respond(pages: DataFrame, found: DataFrame, echo: dict, dictionary: DataFram
     )
     total = text.normalize_linebreaks(text.strip(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")))
     tidy = F.transform("p", lambda x: x.withField("text", F.when(F.col("digital"), x["text"]).otherwise(text.normalize_linebreaks(x["text"]))))
-    tagged = F.array_join(F.transform("b", lambda x, k: F.concat(F.lit("\n<PAGE "), (k + 1).cast("string"), F.lit(">"), F.coalesce(F.concat(F.lit("\n"), x["block"]), F.lit("")))), "\n")
+    block = lambda x: F.coalesce(F.concat(F.lit("\n"), x["block"]), F.lit(""))
+    tag = lambda x, k: F.concat(F.lit("\n<PAGE "), (k + 1).cast("string"), F.lit(">"), block(x))
+    tagged = F.when(F.size("b") == 0, F.lit("<BODY>")).otherwise(F.array_join(F.transform("b", tag), "\n"))
+    more = [F.col("debug")] if echo["return_debug"] else []
     return whole.select(
-        F.regexp_extract("doc", "([^/]*)$", 1).alias("filename"), F.when(F.size("b") == 0, F.lit("<BODY>")).otherwise(tagged).alias("formatted_text"),
-        F.struct(meta.alias("meta"), total.alias("text"), tidy.alias("pages"), *([F.col("debug")] if echo["return_debug"] else [])).alias("raw_json"), "error", F.col("doc").alias("path"),
+        F.regexp_extract("doc", "([^/]*)$", 1).alias("filename"), tagged.alias("formatted_text"),
+        F.struct(meta.alias("meta"), total.alias("text"), tidy.alias("pages"), *more).alias("raw_json"), "error", F.col("doc").alias("path"),
     )
 
 
