@@ -62,7 +62,8 @@ def _by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame
             f"transform(IF(size(w) >= {size}, sequence(1, size(w) - {size - 1}), array()), i -> xxhash64(slice(w, i, {size})))")).alias("at", "h"))
         for size in sizes
     ])
-    met = hashed.join(windows.select("size", "h").distinct(), ["size", "h"]).groupBy("doc_id", "_h").agg(F.collect_set(F.struct((F.col("at") + 1).alias("at"), "size")).alias("_met"))
+    place = F.struct((F.col("at") + 1).alias("at"), "size")
+    met = hashed.join(windows.select("size", "h").distinct(), ["size", "h"]).groupBy("doc_id", "_h").agg(F.collect_set(place).alias("_met"))
     hits = F.expr("transform(coalesce(_met, array()), m -> struct(m.at AS at, m.size AS size, concat_ws(' ', slice(w, m.at, m.size)) AS text))")
     met = materialize(met.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_text"), "_met"), "window-hits")
     return docs.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_text")), "left").withColumn("hits", hits).drop("_met", "_id", "_text")
@@ -103,7 +104,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     windows (mode "spans"; what stood between words stays, n_chars follows the new text)."""
     # the documents' own columns travel in one struct, so that no name of theirs can clash
     columns = docs.columns
-    found = find(docs, benchmark, window).where("n_hit > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_text")).agg(F.first("positions").alias("positions"))
+    found = find(docs, benchmark, window).where("n_hit > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_text"))
+    found = found.agg(F.first("positions").alias("positions"))
     keyed = docs.select(F.struct(*columns).alias("_own"))
     own = lambda name: F.col("_own").getField(name)
     same = own("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(own("text")) == F.col("_text"))

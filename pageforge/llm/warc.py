@@ -106,7 +106,10 @@ def parse(data: bytes):
         at = start + size + 4
 
 
-SCHEMA = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, digest string, payload_bytes long, payload_digest string, page_id long, payload string"
+SCHEMA = (
+    "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, digest string, "
+    "payload_bytes long, payload_digest string, page_id long, payload string"
+)
 
 
 def _read(with_payload: bool):
@@ -132,7 +135,8 @@ def _read(with_payload: bool):
                             payload = body.decode("utf-8", "surrogatepass")
                     elif kind == "metadata":
                         page = next((int(x[8:]) for x in bytes(block).decode().split("\r\n") if x.startswith("page-id:") and x[8:].strip()), None)
-                    rows.append((head["warc-record-id"], kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-payload-digest"), size, sha, page, payload))
+                    named = (head.get(f"warc-{n}") for n in ("concurrent-to", "refers-to", "target-uri", "date", "payload-digest"))
+                    rows.append((head["warc-record-id"], kind, *named, size, sha, page, payload))
                     if len(rows) == 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                         rows = []
