@@ -77,7 +77,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
     """Rows of 64-bit words (one or several a row) as rows of zeros and ones, lowest bit first."""
-    return np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    width = 8 * (fps.shape[1] if fps.ndim > 1 else 1)
+    return np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(len(fps), width), axis=1, bitorder="little")
 
 
 def group_bits(sample: np.ndarray, sizes: list[int]) -> list[list[int]]:
@@ -389,7 +390,7 @@ def _keys(parts: list[tuple[list[int], int]]):
 
     def run(batches):
         for batch in batches:
-            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            words = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, WORDS + CHECK)
             bits, found = bits_of(words), []
             for k, (group, t) in enumerate(parts):
                 value = bits[:, group].astype(np.uint64) @ (np.uint64(1) << np.arange(len(group), dtype=np.uint64))
@@ -563,7 +564,7 @@ def _similar_pairs(pairs: DataFrame, marked: DataFrame, texts: DataFrame) -> Dat
 def _close(batches):
     """Those of (u, v, fingerprint of u, of v) whose fingerprints don't rule out the least similarity."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, WORDS + CHECK) for k in (2, 3))
         apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(apart <= CLOSE))
 
