@@ -10,21 +10,24 @@ Near copies by similarity (`drop_near_copies`): 64 bits can't tell texts that sh
 apart, from others at a cost that holds at scale. So a longer fingerprint, of WORDS * 64 bits over five-word shingles, is
 cut into parts of correlated bits in the same way; dynamic programming picks the parts and their thresholds, with least
 estimated cost, so that a pair of exactly the wanted similarity meets in some part but for a chance of MISS (more
-similar pairs meet more surely). Candidates within CHECK_DISTANCE of CHECK * 64 further bits are verified exactly, on
-the shingles of both texts. A bucket first gives only pairs that join its candidates, and each text is held against the first
-of them; other pairs, those of clusters included, are tried afterwards, where they aren't in one group yet.
+similar pairs meet more surely). Members of a bucket within CHECK_DISTANCE of CHECK * 64 further bits are candidates, and
+a bucket gives only as many pairs as join them. Fingerprints of few shingles differ by chance, so texts of up to SHORT
+shingles are found exactly instead, by their rarest shingles. What candidates join is a group; a group's texts travel
+to one task once, or in chunks that meet in pairs where there are many, and each is held against all others there that
+aren't joined yet, exactly, on the shingles of both.
 
 Defined results: a null or blank text has fingerprint 0, which links like any other; equal fingerprints are one class;
-rows that repeat a doc_id each get a result row; other columns are ignored; an empty table gives an empty result. Near
-copies: null and blank texts are copies of each other, as are texts that differ in white space or ASCII case only;
-groups are connected components; of each group the row with the smallest doc_id stays, rows without an id last; of rows
-with equal ids and texts one stays, a different text never goes for an id that it shares.
+links are between fingerprints, so rows without an id link others too, and rows that repeat a doc_id each get a result
+row with the component of their own text; a component whose rows have no id has none; other columns are ignored; an
+empty table gives an empty result. Near copies: null and blank texts are copies of each other, as are texts that differ
+in white space or ASCII case only; groups are connected components; of each group the row with the smallest doc_id
+stays, rows without an id last; of rows with equal ids and texts one stays, a different text never goes for an id that
+it shares.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -271,7 +274,8 @@ def links(classes: DataFrame, distance: int, sample_rows: int = SAMPLE, bucket:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node of edges (u, v); alternating large and small stars."""
+    """(node, component): the smallest node reachable, for each other node of edges (u, v); alternating large and small
+    stars."""
     edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     stamp = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = stamp(edges)
@@ -297,25 +301,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of at most `distance` differing bits."""
     marked = stored(fingerprints(docs), "simhash")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    linked = components(links(classes.where("rep IS NOT NULL"), distance))
-    settled = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(settled, "fp").select("doc_id", "fp", "component_id")
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    linked = components(links(classes.select("fp", F.col("fp").alias("rep")), distance))
+    settled = stored(classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "simhash-groups")
+    least = settled.groupBy("group").agg(F.min("least").alias("component_id"))
+    return marked.join(settled.join(least, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Near copies: words of a shingle, least similarity as a fraction, 64-bit words of the fingerprint that keys are made of
-#: and that candidates are checked on, bits in which those may differ, chance to miss a pair of the least similarity.
-NEAR_SHINGLE, SIMILAR, WORDS, CHECK, CHECK_DISTANCE, MISS = 5, (4, 5), 16, 2, 31, 0.01
-#: Pairs that are compared at once, and that a text travels for at most.
-AT_ONCE, PAIRS = 250_000, 200
+#: and that candidates are checked on, chance to miss a pair of the least similarity.
+NEAR_SHINGLE, SIMILAR, WORDS, CHECK, MISS = 5, (4, 5), 16, 2, 0.01
+#: Shingles up to which a text's near copies are found exactly: fingerprints of few shingles differ by chance.
+SHORT = 32
+#: Members and shingles of a group whose texts are compared in one task; a larger one is cut into chunks that meet in pairs.
+TOGETHER, SHINGLES = 1000, 1 << 21
+#: Bytes of a table of bits that a comparison uses; where more would be needed, it goes over lists.
+BITS = 1 << 25
 #: Texts with a candidate whose hashes are broadcast at most.
 MAX_NODES = 4_000_000
 #: Estimated cost of a key, in compared pairs.
 KEY = 100
 #: Bits apart, as a share, at the least similarity: the angle between sets of equal size.
 APART = math.acos(2 * SIMILAR[0] / (SIMILAR[0] + SIMILAR[1])) / math.pi
-#: Bits of the whole fingerprint in which candidates may differ: three deviations more than the mean at that similarity.
-CLOSE = int(64 * (WORDS + CHECK) * APART + 3 * math.sqrt(64 * (WORDS + CHECK) * APART * (1 - APART)))
+#: Bits of the check words in which candidates may differ: three deviations more than the mean at that similarity.
+CHECK_DISTANCE = int(64 * CHECK * APART + 3 * math.sqrt(64 * CHECK * APART * (1 - APART)))
 _MIX = (np.arange(1, WORDS + CHECK + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -329,6 +338,45 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def similar_forest(sets: list[np.ndarray], sizes: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (rows i, j) of similar sets that join whatever pairs of similar sets join. sizes, if given, are the sets'
+    sizes before their members were cut to fewer bits: then the pairs may be some too many, but none is missing."""
+    many, lengths = len(sets), np.array([len(s) for s in sets])
+    sizes = lengths if sizes is None else sizes
+    lost = sizes - lengths
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what only one set has adds to its size and to nothing that is shared
+    shared = count > 1
+    owner, kept = np.repeat(np.arange(many), lengths), shared[place]
+    owner, place, width = owner[kept], (np.cumsum(shared) - 1)[place[kept]], int(shared.sum())
+    words = -(-width // 64)
+    if many * words * 8 <= BITS:
+        table = np.zeros((many, words), np.uint64)
+        np.bitwise_or.at(table, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        overlap = lambda at, left: np.bitwise_count(table[left] & table[at]).sum(axis=1, dtype=np.int64)
+    else:
+        starts, mark = np.searchsorted(owner, np.arange(many + 1)), np.zeros(width, bool)
+
+        def overlap(at: int, left: np.ndarray) -> np.ndarray:
+            mark[place[starts[at] : starts[at + 1]]] = True
+            found = np.bincount(owner[mark[place]], minlength=many)[left]
+            mark[place[starts[at] : starts[at + 1]]] = False
+            return found
+
+    left, queue, edges = np.arange(1, many), [0], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        at = queue.pop()
+        both = overlap(at, left) + np.minimum(lost[at], lost[left])
+        near = SIMILAR[1] * both >= SIMILAR[0] * (sizes[at] + sizes[left] - both)
+        hit, left = left[near], left[~near]
+        edges += [(at, x) for x in hit.tolist()]
+        queue += hit.tolist()
+    return np.array(edges, np.int64).reshape(-1, 2).T
+
+
 def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """WORDS + CHECK words of SimHash bits of a set of shingles; each word takes its own bits from a shingle's hash."""
     ones = np.zeros(64 * len(_MIX), np.int64)
@@ -341,15 +389,22 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def _long(batches):
-    for batch in batches:
-        sizes, fps = [], []
-        for k in range(0, batch.num_rows, 256):
-            for text in batch.slice(k, 256).column(1).to_pylist():
-                shingles = distinct_shingles(text)
-                sizes.append(len(shingles))
-                fps.append(long_fingerprint(shingles).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())], names=["node", "n", "fp"])
+def _long(short: int | None):
+    """(node, n, fp, few) of rows (node, text): the number of distinct shingles, the fingerprint where there are more than
+    `short`, and the shingles themselves where a near copy may have no more than `short`. None: only shingles."""
+    most = None if short is None else short * SIMILAR[1] // SIMILAR[0]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                sets = [distinct_shingles(t) for t in part.column(1).to_pylist()]
+                fps = [long_fingerprint(s).tobytes() if short is not None and len(s) > short else None for s in sets]
+                few = [s.view(np.int64) if most is None or len(s) <= most else None for s in sets]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(few, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "fp", "few"])
+
+    return run
 
 
 def within(width: int, threshold: int, apart: float) -> float:
@@ -399,7 +454,12 @@ def _keys(parts: list[tuple[list[int], int]]):
                     x = kept * np.uint64(0x9E3779B97F4A7C15) + np.uint64((64 * k + j + 1) * 0x9FB21C651E98DF25 % 2**64)
                     x ^= x >> np.uint64(32)
                     found.append(x * np.uint64(0xD6E8FEB86659FD93))
-            own = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), words[:, WORDS].view(np.int64), words[:, WORDS + 1].view(np.int64)]
+            if not found:
+                continue
+            own = [
+                batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False),
+                words[:, WORDS].view(np.int64), words[:, WORDS + 1].view(np.int64),
+            ]
             rows = [np.stack(found, axis=1).ravel().view(np.int64), *(np.repeat(x, len(found)) for x in own)]
             for a in range(0, len(rows[0]), BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + BATCH]) for x in rows], names=["key", "node", "n", "c", "d"])
@@ -413,84 +473,44 @@ def _may(n, c, d, i, j) -> np.ndarray:
     return (apart <= CHECK_DISTANCE) & (SIMILAR[1] * np.minimum(n[i], n[j]) >= SIMILAR[0] * np.maximum(n[i], n[j]))
 
 
-def _near_pairs(members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs (i, j), i < j, of members (key, node, n, c, d, ...) that may be near copies, some at a time."""
-    _, _, n, c, d = members[:5]
-    size, step = len(n), max(1, AT_ONCE // len(n))
-    for a in range(0, size, step):
-        i, j = np.arange(a, min(a + step, size))[:, None], np.arange(a, size)[None, :]
-        x, y = np.nonzero(_may(n, c, d, i, j) & (j > i))
-        if len(x):
-            yield x + a, y + a
-
-
-def _joined(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, cluster): pairs that join whatever pairs of members that may be near copies join, and per member the
-    number of its cluster, or -1 where all pairs of its cluster are given."""
-    _, _, n, c, d = bucket
-    left, queue, edges = np.arange(1, len(n)), [], [np.zeros((2, 0), np.int64)]
-    cluster, at, k = np.full(len(n), -1), 0, 0
-    while True:
-        members = [at]
-        while True:
-            near = _may(n, c, d, at, left)
-            hit, left = left[near], left[~near]
-            edges.append(np.stack([np.full(len(hit), at), hit]))
-            queue += hit[::-1].tolist()
-            members += hit.tolist()
-            if not queue:
-                break
-            at = queue.pop()
-        if len(members) > 2:
-            cluster[members] = k
-            k += 1
-        if not len(left):
-            return np.concatenate(edges, axis=1), cluster
-        at, left = int(left[0]), left[1:]
+def _joined(n: np.ndarray, c: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join whatever pairs of members that may be near copies join."""
+    left, queue, edges = np.arange(1, len(n)), [0], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        at = queue.pop()
+        near = _may(n, c, d, at, left)
+        hit, left = left[near], left[~near]
+        edges += [(at, x) for x in hit.tolist()]
+        queue += hit.tolist()
+    return edges
 
 
 def _candidates(most: int | None):
-    """(kind, key, node, n, c, d): candidate pairs (0, u, v, 0, 0, 0), which join all that may be near copies; members
-    (1, cluster, node, ...) of clusters that have more pairs than these; members (2, key, ...) of buckets too large."""
+    """(kind, key, node, n, c, d) of rows (key, node, n, c, d) sorted by key: pairs (0, u, v, 0, 0, 0) that join all that
+    may be near copies, and members (1, key, ...) of buckets too large."""
 
     def run(batches):
         found, rows = [], 0
         for kind, bucket in _buckets(batches, most):
             key, node, n, c, d = bucket
             if kind == "part":
-                found.append(np.concatenate([np.full((1, len(key)), 2), bucket]))
+                found.append(np.concatenate([np.ones((1, len(key)), np.int64), bucket]))
             else:
                 if kind == "small":
-                    # only members that may have a near copy in their bucket are looked at one bucket at a time
-                    near = np.zeros(len(key), bool)
+                    pairs = [np.zeros((2, 0), np.int64)]
                     for shift in range(1, SMALL):
                         at = np.flatnonzero(key[shift:] == key[:-shift])
                         if not len(at):
                             break
                         at = at[_may(n, c, d, at, at + shift)]
-                        near[at] = near[at + shift] = True
-                    places = np.flatnonzero(near)
-                    cuts = np.flatnonzero(np.diff(key[places])) + 1
-                    parts = np.split(places, cuts) if len(places) else []
-                elif len(key) ** 2 <= AT_ONCE:
-                    near = np.zeros(len(key), bool)
-                    for i, j in _near_pairs(bucket):
-                        near[i] = near[j] = True
-                    parts = [np.flatnonzero(near)] if near.any() else []
+                        pairs.append(np.stack([at, at + shift]))
+                    i, j = np.concatenate(pairs, axis=1)
                 else:
-                    parts = [np.arange(len(key))]
-                pairs = [np.zeros((2, 0), np.int64)]
-                for part in parts:
-                    edges, cluster = _joined(bucket[:, part])
-                    pairs.append(part[edges])
-                    if (more := cluster >= 0).any():
-                        rest = bucket[:, part[more]].copy()
-                        rest[0] = (rest[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + cluster[more].astype(np.uint64)).view(np.int64)
-                        found.append(np.concatenate([np.ones((1, rest.shape[1]), np.int64), rest]))
-                        rows += rest.shape[1]
-                i, j = np.concatenate(pairs, axis=1)
-                u, v = node[i], node[j]
-                zero = np.zeros(len(u), np.int64)
+                    i, j = np.array(_joined(n, c, d), np.int64).reshape(-1, 2).T
+                u, v, zero = node[i], node[j], np.zeros(len(i), np.int64)
                 found.append(np.stack([zero, np.minimum(u, v), np.maximum(u, v), zero, zero, zero])[:, u != v])
             rows += found[-1].shape[1]
             if rows > BATCH:
@@ -502,120 +522,133 @@ def _candidates(most: int | None):
     return run
 
 
-def _rest(batches):
-    """Pairs (u, v) that may be near copies, of members (key, node, n, c, d, group) that aren't in one group yet."""
-    found, rows = [], 0
+def _by_group(batches):
+    """(rows of one group) after the other, from batches sorted by their first column, as lists of columns."""
+    kept: list[list] = []
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1024):
+            rows = batch.slice(k, 1024)
+            key = rows.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                part = [rows.column(x).slice(a, b - a).to_pylist() for x in range(rows.num_columns)]
+                if kept and kept[0][0] != part[0][0]:
+                    yield kept
+                    kept = []
+                kept = [x + y for x, y in zip(kept, part)] if kept else part
+    if kept:
+        yield kept
 
-    def out():
-        u, v = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    for _, members in _buckets(batches, None):
-        for part in np.split(np.arange(members.shape[1]), np.flatnonzero(np.diff(members[0])) + 1):
-            bucket = members[:, part]
-            if (bucket[5] == bucket[5][0]).all():
-                continue
-            for i, j in _near_pairs(bucket):
-                apart = (bucket[5][i] != bucket[5][j]) & (bucket[1][i] != bucket[1][j])
-                found.append(np.stack([bucket[1][i[apart]], bucket[1][j[apart]]]))
-                rows += found[-1].shape[1]
-                if rows > BATCH:
-                    yield out()
-                    found, rows = [], 0
-    if rows:
-        yield out()
-
-
-def _verified(batches):
-    """(u, v) of similar texts, from rows (u, part, v, text) sorted by these: a text u (v null), then those it is held
-    against."""
-    known = None
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part, ok = batch.slice(k, 256), []
-            for v, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                if v is None:
-                    known = distinct_shingles(text)
-                ok.append(v is not None and similar(known, distinct_shingles(text)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _similar_pairs(pairs: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose texts are similar. Pairs that whole fingerprints tell apart go first, without texts.
-    A text u travels once for every PAIRS of its pairs, so that no text with very many is one task."""
-    one, two = (marked.select(F.col("node").alias(x), F.col("fp").alias(f)) for x, f in (("u", "a"), ("v", "b")))
-    close = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_close, "u long, v long")
-    close = stored(close, "near-close")
-    many = close.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("_s"))
-    rows = close.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("_s")).cast("int")).select("u", "part", "v", F.col("v").alias("node"))
-    heads = many.select("u", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), F.col("u").alias("node"))
-    asked = rows.unionByName(heads)
-    nodes = stored(asked.select("node").distinct(), "near-nodes")
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _verified(whole: bool):
+    """(u, v), u < v, of similar texts, which join all similar ones of a group, from rows sorted by their first column:
+    (key, node, text), or (key, node, few, n) with 16 bits of each of a text's n shingles, which may give some too many."""
+
+    def run(batches):
+        found: list[tuple[int, int]] = []
+        for _, node, own, *n in _by_group(batches):
+            if len(node) > 1:
+                sets = [distinct_shingles(t) for t in own] if whole else [np.unique(np.array(f, np.int32)) for f in own]
+                pairs = similar_forest(sets, *(np.array(x) for x in n))
+                found += [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs.T.tolist() if node[i] != node[j]]
+            if len(found) > 20_000:
+                yield _links(found)
+                found = []
+        if found:
+            yield _links(found)
+
+    return run
+
+
+def in_chunks(rows: DataFrame, members: int, weight: str = "0", most: int = SHINGLES) -> DataFrame:
+    """Rows (key, node, ...) of groups of two or more; groups above `members` rows, or above `most` of `weight`, under keys
+    of smaller ones: their rows are cut into chunks of about half of that, and every two chunks meet under a key."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("_k"), F.sum(F.expr(weight)).alias("_w")).where("_k > 1")
+    chunks = F.when((F.col("_k") <= members) & (F.col("_w") <= most), 1).otherwise(F.greatest(F.ceil(F.col("_k") * 2 / members), F.ceil(F.col("_w") * 2 / most)))
+    cut = rows.join(sizes.select("key", chunks.cast("int").alias("_c")), "key").withColumn("_a", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
+    met = cut.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    key = F.when(F.col("_c") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_a", "_b"), F.greatest("_a", "_b")))
+    return met.withColumn("key", key).drop("_a", "_b", "_c")
+
+
+def _few_pairs(marked: DataFrame, members: int) -> DataFrame:
+    """(u, v) that join all near copies among rows (node, n, few). Two sets that share SIMILAR of what they have share one
+    of the rarest n - SIMILAR * n + 1 shingles of each, so these are keys; texts without words share a key of their own."""
+    few = marked.where("few IS NOT NULL").select("node", "n", "few")
+    each = few.select("node", F.explode("few").alias("h"))
+    count = each.groupBy("h").agg(F.count("*").alias("c"))
+    sorted_ = each.join(count, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("o"))  # one text's shingles
+    need = f"(size(o) * {SIMILAR[0]} + {SIMILAR[1] - 1}) div {SIMILAR[1]}"
+    keys = sorted_.select("node", F.explode(F.expr(f"filter(slice(o, 1, CAST(size(o) - {need} + 1 AS INT)), x -> x.c > 1)")).alias("x")).select("node", F.col("x.h").alias("key"))
+    keys = keys.unionByName(few.where("n = 0").select("node", F.lit(0).cast("long").alias("key")))
+    rows = keys.join(few, "node").select("key", "node", F.expr("transform(few, h -> CAST(h & 65535 AS INT))").alias("few"), "n")
+    dealt = in_chunks(rows, members).select("key", "node", "few", "n").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_verified(False), "u long, v long")
+
+
+def _with_roots(found: DataFrame) -> DataFrame:
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def near_copies(
+    texts: DataFrame, miss: float = MISS, sample_rows: int = SAMPLE, bucket: int = BUCKET, members: int = TOGETHER, short: int | None = SHORT
+) -> DataFrame:
+    """(node, component) of the texts (node, text; node is a hash of the text) that have a near copy. With short=None all
+    texts go the exact way, whose cost grows with the square of a text's length."""
+    read = texts.select("node", "text").mapInArrow(_long(short), "node long, n long, fp binary, few array<long>")
+    marked = stored(read.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "few")]), "near-fingerprints")
+    tables, pairs = [marked], [_few_pairs(marked, members)]
+    if short is not None:
+        long_ = marked.where("fp IS NOT NULL").select("node", "n", "fp")
+        total = long_.count()
+        sample = [r[0] for r in long_.orderBy(F.xxhash64("node")).limit(sample_rows).select("fp").collect()]
+        words = np.frombuffer(b"".join(sample), "<u8").reshape(len(sample), WORDS + CHECK)[:, :WORDS]
+        parts = choose_parts(bits_of(words) if sample else np.zeros((0, 64 * WORDS), np.uint8), total, miss)
+        names = ["key", "node", "n", "c", "d"]
+        schema = "kind int, key long, node long, n long, c long, d long"
+        # in the order of nodes, so that all buckets join a group to the same member
+        dealt = lambda df: df.select(*names).repartition("key").sortWithinPartitions("key", "node")
+        keyed = long_.mapInArrow(_keys(parts), "key long, node long, n long, c long, d long")
+        found = stored(dealt(keyed).mapInArrow(_candidates(bucket), schema), "near-candidates")
+        tables.append(found)
+        large = found.where("kind = 1").select(names)
+        if not large.isEmpty():
+            tables.append(stored(dealt(deal_again(large, bucket)).mapInArrow(_candidates(None), schema), "near-candidates"))
+        pairs += [t.where("kind = 0").select(F.col("key").alias("u"), F.col("node").alias("v")) for t in tables[1:]]
+    # groups of texts that candidates join; all pairs within a group are held against each other, with the texts
+    group = stored(_with_roots(components(union_all(pairs))), "near-groups")
+    asked = in_chunks(group.join(marked.select("node", "n"), "node").select(F.col("component").alias("key"), "node", "n"), members, "n")
+    nodes = group.select("node")
     # eight bytes each; with more of them, texts are shuffled
     few = F.broadcast(nodes) if nodes.count() <= MAX_NODES else nodes
     text = texts.join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    dealt = asked.join(text, "node").select("u", "part", "v", "text").repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
-    found = stored(dealt.mapInArrow(_verified, "u long, v long"), "near-links")
-    forget(close)
-    forget(nodes)
-    return found
-
-
-def _close(batches):
-    """Those of (u, v, fingerprint of u, of v) whose fingerprints don't rule out the least similarity."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, WORDS + CHECK) for k in (2, 3))
-        apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(apart <= CLOSE))
-
-
-def near_copies(texts: DataFrame, miss: float = MISS, sample_rows: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
-    """(node, component) of the texts (node, text; node is a hash of the text) that have a near copy."""
-    marked = texts.select("node", "text").mapInArrow(_long, "node long, n long, fp binary")
-    marked = stored(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "near-fingerprints")
-    total = marked.count()
-    sample = [r[0] for r in marked.orderBy(F.xxhash64("node")).limit(sample_rows).select("fp").collect()]
-    bits = bits_of(np.frombuffer(b"".join(sample), "<u8").reshape(len(sample), WORDS + CHECK)[:, :WORDS]) if sample else np.zeros((0, 64 * WORDS), np.uint8)
-    parts = choose_parts(bits, total, miss)
-    names = ["key", "node", "n", "c", "d"]
-    schema = "kind int, key long, node long, n long, c long, d long"
-    # in the order of nodes, so that all buckets join a group to the same member
-    dealt = lambda df, more=(): df.select(*names, *more).repartition("key").sortWithinPartitions("key", "node")
-    keyed = marked.mapInArrow(_keys(parts), "key long, node long, n long, c long, d long")
-    tables = [stored(dealt(keyed).mapInArrow(_candidates(bucket), schema), "near-candidates")]
-    large = tables[0].where("kind = 2").select(names)
-    if not large.isEmpty():
-        tables.append(stored(dealt(deal_again(large, bucket)).mapInArrow(_candidates(None), schema), "near-candidates"))
-    found = union_all([t.where("kind < 2") for t in tables])
-    tables.append(stored(found.where("kind = 0").select(F.col("key").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs"))
-    tried = tables[-1]
-    # each text is held against the first of its candidates; that joins most groups, and what they settle isn't tried
-    first = stored(tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-first")
-    links_ = [_similar_pairs(first, marked, texts)]
-    group = stored(components(links_[0]), "near-groups")
-    tables += [first, group]
-    of = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
-    left = tried.join(first, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
-    left = left.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
-    dense = found.where("kind = 1").select(names).join(group, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    rest = dealt(dense, ["group"]).mapInArrow(_rest, "u long, v long").join(first, ["u", "v"], "left_anti")
-    tables.append(stored(left.unionByName(rest).distinct(), "near-rest"))
-    if not tables[-1].isEmpty():
-        links_.append(_similar_pairs(tables[-1], marked, texts))
-    result = components(union_all(links_))
-    for done in (marked, *tables, *links_):
+    met = asked.join(text, "node").select("key", "node", "text").repartition("key").sortWithinPartitions("key")
+    links_ = stored(met.mapInArrow(_verified(True), "u long, v long"), "near-links")
+    result = stored(_with_roots(components(links_)), "near-copies")
+    for done in (*tables, group, links_):
         forget(done)
     return result
 
 
-def drop_near_copies(docs: DataFrame, miss: float = MISS) -> DataFrame:
-    """Of each group of near copies, one row of docs: the smallest doc_id's. A row is known by its id and text."""
-    rows = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = near_copies(rows.select(F.col("_node").alias("node"), "text"), miss)
-    placed = rows.select("doc_id", F.col("_node").alias("node")).join(found, "node", "left")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("w")
-    first = placed.groupBy(F.coalesce("component", "node").alias("_g")).agg(least)
-    first = stored(first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_n")), "near-first")
-    kept = rows.join(first, rows["_node"].eqNullSafe(first["_n"]) & rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    again = rows.groupBy("doc_id", "_node").count().where("count > 1").isEmpty()
-    return (kept if again else kept.dropDuplicates(["doc_id", "_node"])).select(docs.columns)
+def drop_near_copies(docs: DataFrame, miss: float = MISS, exact: bool = False) -> DataFrame:
+    """Of each group of near copies, one row of docs: the smallest doc_id's. A row is known by its id and text, a text by
+    two hashes; texts that share the first of them and not the second are no copies and stay."""
+    plain = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({"_node": F.xxhash64(plain), "_check": F.xxhash64(F.lit(1), plain)})
+    twice = rows.groupBy("_node").agg(F.min("_check").alias("a"), F.max("_check").alias("b")).where("a <> b").select("_node")
+    alone = stored(twice, "near-hashes")
+    known = rows if alone.isEmpty() else rows.join(alone, "_node", "left_anti")
+    found = near_copies(known.select(F.col("_node").alias("node"), "text"), miss, short=None if exact else SHORT)
+    placed = rows.select("doc_id", F.col("_node").alias("node"), F.col("_check").alias("check")).join(found, "node", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "check")).alias("w")
+    own = F.when(F.col("component").isNull(), F.col("check"))  # a text without near copies is its own group
+    first = placed.groupBy(F.coalesce("component", "node").alias("_g"), own.alias("_o")).agg(least)
+    first = stored(first.select(F.col("w.doc_id").alias("_id"), F.col("w.node").alias("_n"), F.col("w.check").alias("_c")), "near-first")
+    kept = rows.join(first, rows["_node"].eqNullSafe(first["_n"]) & rows["_check"].eqNullSafe(first["_c"]) & rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    again = rows.groupBy("doc_id", "_node", "_check").count().where("count > 1").isEmpty()
+    return (kept if again else kept.dropDuplicates(["doc_id", "_node", "_check"])).select(docs.columns)
