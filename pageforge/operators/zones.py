@@ -35,6 +35,25 @@ def geometry(words: DataFrame) -> DataFrame:
     return _pages(words).drop("o")
 
 
+def gutter(words: DataFrame) -> DataFrame:
+    """The same as geometry(), page by page or not: words of any number on a page stay rows. What words cover between the
+    two columns is cut to intervals; a running maximum over their starts tells how far the cover reaches before each."""
+    page = words.groupBy("page_id").agg(
+        F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.expr("percentile(y2 - y1, 0.5)").alias("median_h")
+    )
+    # a page's size is on each of its words, so the cover needs no join
+    lo, hi = F.expr("CAST(w_px * 0.10D AS INT)"), F.expr("CAST(w_px * 0.25D AS INT)")
+    band = words.where("w_px > 1.1D * h_px AND (y1 + y2) / 2D > 0.15D * h_px AND (y1 + y2) / 2D < 0.85D * h_px")
+    band = band.select("page_id", lo.alias("lo"), hi.alias("hi"), "x1", "x2")
+    cover = band.where("x2 > x1 AND x1 < hi AND x2 > lo").selectExpr("page_id", "lo", "greatest(x1, lo) AS a", "least(x2, hi) AS b")
+    end = band.groupBy("page_id").agg(F.max("lo").alias("lo"), F.max("hi").alias("a")).withColumn("b", F.col("a"))
+    reach = F.max("b").over(Window.partitionBy("page_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = cover.unionByName(end).withColumn("s", F.greatest("lo", F.coalesce(reach, F.col("lo"))))
+    widest = gaps.groupBy("page_id").agg(F.max(F.struct((F.col("a") - F.col("s")).alias("n"), (-F.col("s")).alias("s"))).alias("g"))
+    middle = F.expr("CASE WHEN g.n > 0.02D * w_px THEN least(g.n / 2D - g.s, 0.22D * w_px) ELSE -1D END")
+    return page.join(widest, "page_id", "left").select("page_id", "median_h", middle.alias("sidebar"))
+
+
 #: Where zones begin and end.
 ZONE = """CASE WHEN (y1 + y2) / 2D < 0.12D * h_px THEN 'HEADER' WHEN (y1 + y2) / 2D > 0.92D * h_px THEN 'FOOTER'
  WHEN sidebar <> -1 AND (x1 + x2) / 2D < sidebar THEN 'SIDEBAR' ELSE 'BODY' END"""

@@ -68,8 +68,29 @@ _near = "SELECT a.vec_id, a.k, {} AS v FROM pixels a, (SELECT unnest([-1, 0, 1])
 _tile = "SELECT vec_id, string_agg(v, ',' ORDER BY k) AS px FROM ({}) GROUP BY vec_id"
 MOBILE = "CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '+91-' WHEN 2 THEN '+91' ELSE '0' END || '9' || lpad(c_custkey::VARCHAR, 9, '0')"
 
-_drop = "list_transform(range(1, length({0}) + 1), lambda i: left({0}, i - 1) || substr({0}, i + 1))"
-_keys = f"list_distinct(list_concat(list_concat([p], {_drop.format('p')}), flatten(list_transform({_drop.format('p')}, lambda w: {_drop.format('w')}))))"
+#: A word without one of its letters, and without two, with their places.
+_one = "list_transform(range(1, length(w) + 1), lambda i: {'i': i, 'v': left(w, i - 1) || substr(w, i + 1)})"
+_two = (
+    "flatten(list_transform(range(1, length(w)), lambda i: list_transform(range(i + 1, length(w) + 1), lambda j: "
+    "{'i': i, 'j': j, 'v': left(w, i - 1) || substr(w, i + 1, j - i - 1) || substr(w, j + 1)})))"
+)
+
+
+def _keys(kind: int, cut: str, *places: str) -> str:
+    """Keys of a word's cuts: the kind, what is left, and a place."""
+    made = ", ".join(f"'{kind}:' || x.v || ':' || ({p})" for p in places or ("''",))
+    return f"flatten(list_transform({cut}, lambda x: [{made}]))"
+
+
+#: Keys of a token and of a term that are one edit, or two, apart: where letters are left out of both, keys say where.
+_ask1 = f"list_concat(['8:' || w || ':'], {_keys(9, _one)}, {_keys(1, _one)})"
+_own1 = f"list_concat(['9:' || w || ':'], {_keys(8, _one)}, {_keys(1, _one)})"
+_pair = "(x.i - {}) || ',' || (x.j - {})"
+_ask2 = f"list_concat({_ask1}, {_keys(9, _two)}, {_keys(2, _two, _pair.format(0, 0))}, {_keys(3, _two, 'x.i', 'x.j - 1')}, {_keys(4, _one, 'x.i')})"
+_own2 = (
+    f"list_concat({_own1}, {_keys(8, _two)}, {_keys(2, _two, *(_pair.format(i, j) for i in (0, 1) for j in (0, 1)))}, "
+    f"{_keys(3, _one, 'x.i', 'x.i - 1')}, {_keys(4, _two, 'x.i', 'x.i - 1', 'x.j - 1', 'x.j - 2')})"
+)
 _crossed = (
     "len(list_filter(range(1, length(x)), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j >= 1 AND "
     "substr(x, i, 1) = substr(y, j + 1, 1) AND substr(x, i + 1, 1) = substr(y, j, 1) AND "
@@ -79,17 +100,28 @@ _crossed = (
 _letters = "\u00e0\u00e1\u00e2\u00e3\u00e4\u00e5\u00e6\u00e7\u00e8\u00e9\u00ea\u00eb\u00ec\u00ed\u00ee\u00ef\u00f0\u00f1\u00f2\u00f3\u00f4\u00f5\u00f6\u00f8\u00f9\u00fa\u00fb\u00fc\u00fd\u00fe\u00ff\u00df\u0153"
 _bytes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456"
 _plain = f"translate({{}}, '{_letters}', '{_bytes}')"
+
+
+def _met(n: str, asked: str, token_keys: str, term_keys: str) -> str:
+    return (
+        f"met{n} AS (SELECT DISTINCT a.w AS token, d.w AS term, freq FROM (SELECT w, unnest({token_keys}) AS key FROM {asked}) a "
+        f"JOIN (SELECT w, freq, unnest({term_keys}) AS key FROM known) d USING (key)),\n"
+        f" near{n} AS MATERIALIZED (SELECT *, damerau_levenshtein(x, y) AS n FROM (SELECT *, {_plain.format('token')} AS x, {_plain.format('term')} AS y FROM met{n}))"
+    )
+
+
 #: Edits where a swap counts one; what is inserted into a swap is left out, which the function would count as two edits.
 SPELL = rf"""WITH t AS (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS token FROM documents),
  c AS MATERIALIZED (SELECT token, count(*) AS freq FROM t WHERE regexp_full_match(token, '\p{{L}}+') AND lower(token) = token AND upper(token) <> token AND length(token) > 3 GROUP BY token),
- d AS (SELECT term, freq, unnest({_keys}) AS key FROM (SELECT token AS term, freq, left(token, 12) AS p FROM c WHERE freq >= 5)),
- a AS (SELECT token, unnest({_keys}) AS key FROM (SELECT token, left(token, 12) AS p FROM c WHERE freq < 5)),
- met AS (SELECT *, {_plain.format('token')} AS x, {_plain.format('term')} AS y
-  FROM (SELECT DISTINCT token, term, freq FROM a JOIN d USING (key) WHERE abs(length(token) - length(term)) <= 2)),
- e AS (SELECT *, damerau_levenshtein(x, y) AS n FROM met),
- r AS (SELECT token, term, row_number() OVER (PARTITION BY token ORDER BY n, freq DESC, term) AS k FROM e
-  WHERE n <= 1 OR (n = 2 AND (abs(length(x) - length(y)) <> 1 OR levenshtein(x, y) < 3 OR {_crossed})))
- SELECT c.token, coalesce(term, c.token) AS repaired FROM c LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (token)"""
+ known AS MATERIALIZED (SELECT token AS w, freq FROM c WHERE freq >= 5), asked AS MATERIALIZED (SELECT token AS w FROM c WHERE freq < 5),
+ {_met('1', 'asked', _ask1, _own1)},
+ best1 AS MATERIALIZED (SELECT token, term, row_number() OVER (PARTITION BY token ORDER BY freq DESC, term) AS k FROM near1 WHERE n = 1 QUALIFY k = 1),
+ rest AS MATERIALIZED (SELECT w FROM asked WHERE w NOT IN (SELECT token FROM best1)),
+ {_met('2', 'rest', _ask2, _own2)},
+ best2 AS (SELECT token, term, row_number() OVER (PARTITION BY token ORDER BY freq DESC, term) AS k FROM near2
+  WHERE n = 2 AND (abs(length(x) - length(y)) <> 1 OR levenshtein(x, y) < 3 OR {_crossed}) QUALIFY k = 1),
+ r AS (SELECT token, term FROM best1 UNION ALL SELECT token, term FROM best2)
+ SELECT c.token, coalesce(term, c.token) AS repaired FROM c LEFT JOIN r USING (token)"""
 
 ORACLE_SQL = {
     "ext_dispatch": f"""WITH n AS (SELECT doc_id, 'doc_' || doc_id || CASE WHEN e = '' THEN '' ELSE '.' || e END AS filename FROM (SELECT doc_id, [{_list}][doc_id % 16 + 1] AS e FROM documents)), s AS (SELECT *, lower(regexp_extract(filename, '(\\.[^./]+)$', 1)) AS suffix FROM n)
@@ -115,6 +147,7 @@ SELECT *, suffix IN ('.pdf','.doc','.docx','.ppt','.pptx','.jpg','.jpeg','.png',
     "final_words": f"WITH {ROUTES} SELECT page_id, count(*) AS n, CAST(sum(CASE WHEN engine_used LIKE 'paddle%' THEN ca ELSE cb END) AS BIGINT) AS sum_conf, max(x2) AS right_edge FROM words JOIN routes USING (page_id) GROUP BY page_id",
     "engine_first_preset_last": f"WITH {ROUTES}, p AS (SELECT *, page_id // 4 AS doc, CASE page_id % 3 WHEN 0 THEN 'clean_doc' WHEN 1 THEN 'photo' ELSE 'low_light' END AS preset FROM routes) SELECT doc, arg_min(engine_used, page_id) AS engine_used, arg_max(preset, page_id) AS preset_used, count(*) AS pages FROM p GROUP BY doc",
     "gutter": f"WITH {GUTTER} SELECT * FROM geometry",
+    "gutter_window": f"WITH {GUTTER} SELECT * FROM geometry",
     "zone_class": f"WITH {GUTTER} SELECT page_id, seq, zone FROM zoned",
     "zone_rows": f"WITH RECURSIVE {ZONES} SELECT * FROM zrows",
     "tagged_text": f"WITH RECURSIVE {ZONES}, b AS (SELECT page_id, zone, '<' || zone || '>' || chr(10) || string_agg('  ' || row_text, chr(10) ORDER BY row_no) AS block FROM zrows GROUP BY page_id, zone) SELECT page_id, chr(10) || '<PAGE 1>' || chr(10) || string_agg(block, chr(10) ORDER BY CASE zone WHEN 'HEADER' THEN 0 WHEN 'SIDEBAR' THEN 1 WHEN 'BODY' THEN 2 ELSE 3 END) AS tagged FROM b GROUP BY page_id",

@@ -143,6 +143,12 @@ def gutter(spark, sf):
     return zones.geometry(words(spark, sf)).select("page_id", "median_h", "sidebar")
 
 
+@query
+def gutter_window(spark, sf):
+    """The same by windows over word rows, for pages of any size."""
+    return zones.gutter(words(spark, sf))
+
+
 @query
 def zone_class(spark, sf):
     return zones.classify(words(spark, sf)).select("page_id", "seq", "zone")

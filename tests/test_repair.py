@@ -47,3 +47,16 @@ def test_repair(spark):
     for t in tokens:
         near = [(d, -f, w) for w, f in terms.items() if (d := distance(t, w)) <= 2]
         assert got[t] == (min(near)[2] if near else t), t
+
+
+def test_hot_keys_are_cut(spark, monkeypatch):
+    """Keys of more terms than the bound are dealt in chunks: the same repairs."""
+    from pageforge.operators import extract
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    terms = spark.createDataFrame(sorted({(word(rng.randrange(4, 14)), 1) for _ in range(500)}), "term string, freq long")
+    tokens = spark.createDataFrame(sorted({(word(rng.randrange(4, 14)),) for _ in range(300)}), "token string")
+    want = sorted(map(tuple, repair(tokens, terms).collect()))
+    monkeypatch.setattr(extract, "BUCKET", 5)
+    assert sorted(map(tuple, repair(tokens, terms).collect())) == want
