@@ -1,13 +1,14 @@
 """Exact top-k by inner product, by aggregation without random access.
 
-Rows stay where they are. A task holds a bounded batch of queries and takes its rows block by block; a block is one
-sorted list per component. The lists are read in step, each from the end that a query's sign makes best, a whole
-segment for all queries at a time. What has been read bounds each score from above: an entry that has not been read
-counts as the last one read of its list. From below, the k-th best final score so far bounds what can still qualify; in
-a task's first block the k rows with the best upper bounds get their final scores first. Before anything is read, the
-heads of the lists leave out the queries that no row of the block can serve. Reading stops when few rows are left that
-could qualify; those get their final scores, and all others are proven outsiders. Where bounds exclude too little, the
-lists are read to their ends, so results are exact on any data. Each task gives k rows per query, and those are merged.
+Rows stay where they are. A task holds a bounded batch of queries and takes its rows block by block; a block is one list
+per component, sorted by distance from the component's middle. A query reads the lists from their far ends, in rounds: a
+round reads, of every list, the entries that can change a score by more than the round's step, so lists of large query
+components and wide spread are read first and deepest. Every row keeps the sum of its entries that have been read, and
+their number; an entry that hasn't been read changes the score by the step at most, which bounds the score from both
+sides. The bar is the k-th best lower bound, or the k-th best final score of earlier blocks; rows whose upper bound is
+below it are outsiders, and once most are, only entries of the others are added. Reading stops when no more rows are left
+than FEW of the block, or k; these get their final scores. On any data lists that bounds don't end are read to the end,
+so results are exact. Each task gives k rows per query, and those are merged.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without
 an id; ties go to the smaller id; fewer than k others give fewer rows; rows that repeat an id are one candidate each,
@@ -24,114 +25,112 @@ from pyspark.sql import functions as F
 
 from pageforge.llm.common import materialize
 
-#: Rows of a block, queries that are read for at once, queries of a batch that is sent to all tasks, rows of a task at most.
-BLOCK, AT_ONCE, QUERIES, ROWS = 4096, 512, 16_384, 1 << 22
-#: Shares of the lists after which bounds are looked at; the share of rows left at which reading stops.
-DEPTHS, FEW = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4), 0.05
+#: Rows of a block, queries of a batch that is sent to all tasks, rows of a task at most.
+BLOCK, QUERIES, ROWS = 8192, 16_384, 1 << 22
+#: The share of a block's rows left at which reading stops; what a round's step is to the last one's; the share of rows
+#: left at which entries of others are no longer added.
+FEW, STEP, FILTER = 0.02, 0.6, 0.5
 LARGEST = 2**63 - 1
 
 
-def _kind(x: np.ndarray, q: np.ndarray):
-    """The cheapest type in which every partial sum is exact."""
+def _exact(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether every partial sum is exact as a float."""
     peak = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * x.shape[1] * 2
-    return np.float32 if peak < 2**24 else np.float64 if peak < 2**53 else object
+    return peak < 2**51
 
 
 class Search:
-    """The best k rows so far of each query, over blocks of rows of one width. log: (rows, share read, share left)."""
+    """The best k rows so far of each query, over blocks of rows of one width. log: per query and block (rows, share of
+    entries that were added, share of rows left)."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
-        self.at = 0
-        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object if queries.dtype == object else np.float64))] * len(self._parts())
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object if queries.dtype == object else np.float64))
         self.log: list[tuple[int, float, float]] = []
 
-    def _parts(self) -> list[slice]:
-        return [slice(a, a + AT_ONCE) for a in range(0, len(self.ids), AT_ONCE)]
-
     def block(self, ids: np.ndarray, x: np.ndarray) -> None:
-        kind = _kind(x, self.queries)
-        x = x.astype(kind)
-        lists = np.sort(x, axis=0)
-        for p, part in enumerate(self._parts()):
-            self._read(p, part, ids, x, lists, self.queries[part].astype(kind))
-
-    def _bars(self, p: int, many: int) -> np.ndarray:
+        bars = self._bars()
+        if not _exact(x, self.queries):  # sums beyond what a float holds: all of them, as whole numbers
+            scores = self.queries.astype(object) @ x.astype(object).T
+            scores = np.minimum(np.maximum(scores, -LARGEST), LARGEST)
+            of, at = np.nonzero((scores >= bars[:, None]) & (self.ids[:, None] != ids[None, :]))
+            self.log += [(len(x), 1.0, 1.0)] * len(self.ids)
+            self._merge(of, ids[at], scores[of, at])
+            return
+        middle = np.sort(x, axis=0)[len(x) // 2]
+        apart = (x - middle).astype(np.float64)
+        order = np.argsort(-np.abs(apart), axis=0, kind="stable").T.copy()  # one list a component, farthest first
+        entry = np.take_along_axis(apart.T, order, axis=1)
+        far = -np.abs(entry)
+        x, queries = x.astype(np.float64), self.queries.astype(np.float64)
+        base, found = queries @ middle.astype(np.float64), []
+        for k, q in enumerate(queries):
+            left = self._read(q, base[k], bars[k], ids != self.ids[k], order, entry, far)
+            scores = x[left] @ q
+            good = scores >= bars[k]
+            found.append((np.full(int(good.sum()), k), ids[left[good]], scores[good]))
+        if found:
+            self._merge(*(np.concatenate(c) for c in zip(*found)))
+
+    def _bars(self) -> np.ndarray:
         """Per query: its k-th best final score so far; minus infinity where there are fewer."""
-        of, _, scores = self.found[p]
-        bars = np.full(many, -np.inf, object if scores.dtype == object else np.float64)
-        count = np.bincount(of, minlength=many)
+        of, _, scores = self.found
+        bars = np.full(len(self.ids), -np.inf, object if scores.dtype == object else np.float64)
+        count = np.bincount(of, minlength=len(self.ids))
         last = np.cumsum(count) - 1
         full = count >= self.k  # kept sorted, best first
         bars[full] = scores[last[full]]
         return bars
 
-    def _read(self, p: int, part: slice, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, q: np.ndarray) -> None:
-        n, high, low = len(x), np.maximum(q, 0), np.minimum(q, 0)
-        bars = self._bars(p, len(q))
-        # no row can do better than the heads of all lists
-        open_ = np.flatnonzero(high @ lists[-1] + low @ lists[0] >= bars)
-        if not len(open_):
+    def _read(self, q: np.ndarray, base: float, bar: float, other: np.ndarray, order: np.ndarray, entry: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The rows that can still qualify when reading stops."""
+        n = order.shape[1]
+        lists = np.flatnonzero(q)
+        weight, most = np.abs(q[lists]), -far[lists, 0]
+        step, done = float((weight * most).max(initial=0)), np.zeros(len(lists), np.int64)
+        sums, unread = np.full(n, base), np.full(n, len(lists), np.float64)
+        alive, added, few = other, 0, max(self.k, int(FEW * n))
+        if base + float((weight * most).sum()) < bar or not other.any():  # the heads of the lists
             self.log.append((n, 0.0, 0.0))
-            return
-        q, high, low, bars = q[open_], high[open_], low[open_], bars[open_]
-        own = self.ids[part][open_][:, None] == ids[None, :]
-        alive, share, first = None, 1.0, bool(np.isneginf(bars.astype(float)).any())
-        if x.dtype != object and n > 4 * self.k:
-            for step in range(self.at, len(DEPTHS)):
-                depth = max(1, int(DEPTHS[step] * n))
-                top, bottom = lists[n - depth], lists[depth - 1]  # the last entries read, from either end
-                most = high @ np.maximum(x, top).T + low @ np.minimum(x, bottom).T
-                most[own] = -np.inf
-                if first:
-                    bars = np.maximum(bars, self._lead(x, q, most))
-                alive = most >= bars[:, None]
-                share = float(alive.mean())
-                if share <= FEW:
-                    self.at = max(0, step - 1) if share <= FEW / 8 else step
-                    self.log.append((n, DEPTHS[step], share))
-                    break
-            else:
-                alive, self.at = None, len(DEPTHS) - 1
-        if alive is None:
-            self.log.append((n, 1.0, 1.0))
-            scores = q @ x.T
-            if scores.dtype == object:
-                scores = np.minimum(np.maximum(scores, -LARGEST), LARGEST)
-            r, c = np.nonzero((scores >= bars[:, None]) & ~own)
-            scores = scores[r, c]
-        else:
-            r, c = np.nonzero(alive)
-            scores = np.concatenate([(q[r[a : a + 65536]] * x[c[a : a + 65536]]).sum(axis=1) for a in range(0, max(1, len(r)), 65536)])
-            good = scores >= bars[r]
-            r, c, scores = r[good], c[good], scores[good]
-        self._merge(p, open_[r], ids[c], scores)
-
-    def _lead(self, x: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Per query: the least final score of the k rows with the best upper bounds, which k rows then reach."""
-        rows = np.argpartition(most, len(x) - self.k, axis=1)[:, len(x) - self.k :]
-        scores = np.einsum("qkd,qd->qk", x[rows].astype(np.float64), q.astype(np.float64))
-        own = np.isneginf(np.take_along_axis(most, rows, axis=1)).any(axis=1)
-        return np.where(own, -np.inf, scores.min(axis=1))
-
-    def _merge(self, p: int, of: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        if not len(of):
-            return
-        old = self.found[p]
+            return np.zeros(0, np.int64)
+        while True:
+            step = step * STEP if step >= 1 else 0.0  # whole numbers: under 1 all entries count
+            ends = np.array([n if not step else np.searchsorted(far[c], -step / w) for c, w in zip(lists, weight)], np.int64)
+            ends = np.maximum(ends, done)
+            rows = np.concatenate([order[c, a:b] for c, a, b in zip(lists, done, ends)] or [np.zeros(0, np.int64)])
+            change = np.concatenate([q[c] * entry[c, a:b] for c, a, b in zip(lists, done, ends)] or [np.zeros(0)])
+            done = ends
+            if alive.sum() < FILTER * n:
+                kept = alive[rows]
+                rows, change = rows[kept], change[kept]
+            added += len(rows)
+            sums += np.bincount(rows, change, n)
+            unread -= np.bincount(rows, minlength=n)
+            left = np.flatnonzero(alive)
+            if len(left) >= self.k:
+                lower = sums[left] - step * unread[left]
+                bar = max(bar, float(np.partition(lower, len(lower) - self.k)[len(lower) - self.k]))
+            left = left[sums[left] + step * unread[left] > bar - 0.5]  # scores are whole numbers, bounds may be rounded
+            alive = np.zeros(n, bool)
+            alive[left] = True
+            if len(left) <= few or not step:
+                self.log.append((n, added / max(1, n * len(lists)), len(left) / n))
+                return left
+
+    def _merge(self, of: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        old = self.found
         of, ids = np.concatenate([old[0], of]), np.concatenate([old[1], ids])
         exact = object if scores.dtype == object or old[2].dtype == object else np.float64
         scores = np.concatenate([old[2].astype(exact), scores.astype(exact)])
-        order = np.lexsort((ids, -scores, of)) if exact is not object else np.array(sorted(range(len(of)), key=lambda i: (of[i], -scores[i], ids[i])))
+        order = np.lexsort((ids, -scores, of)) if exact is not object else np.array(sorted(range(len(of)), key=lambda i: (of[i], -scores[i], ids[i])), np.int64)
         of, ids, scores = of[order], ids[order], scores[order]
-        rank = np.arange(len(of)) - np.searchsorted(of, of)
-        keep = rank < self.k
-        self.found[p] = (of[keep], ids[keep], scores[keep])
+        keep = np.arange(len(of)) - np.searchsorted(of, of) < self.k
+        self.found = (of[keep], ids[keep], scores[keep])
 
     def best(self):
         """(query ids, row ids, scores) of what is best."""
-        for (of, ids, scores), part in zip(self.found, self._parts()):
-            if len(of):
-                yield self.ids[part][of], ids, scores.astype(np.int64)
+        of, ids, scores = self.found
+        return self.ids[of], ids, scores.astype(np.int64)
 
 
 def by_width(ids: pa.Array, vectors: pa.ListArray):
@@ -165,8 +164,7 @@ def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, block: in
         for w, search in searches.items():
             if waiting[w]:
                 work(w, 1)
-            for found in search.best():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in search.best()], names=["query_id", "vec_id", "score"])
 
     return run
 
