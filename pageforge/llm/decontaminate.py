@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Test items are normalised to words and cut into windows. The hashes of all windows go to the executors as a constant
-hash set inside the plan, as long as there are at most MAX_SET of them (a size that is counted first); each document
-probes the set with the hash of every window of its own words, in one pass and without a shuffle of texts. Windows that
-hit are verified by their words. With more windows than that, hashes are exploded and joined, which Spark shuffles or
-broadcasts by size, and the hits go back to their documents for the same verification.
+Test items are normalised to words and cut into windows. A hash set of all windows goes to the executors inside the plan,
+as a Bloom table of some twelve bits a window, as long as there are at most MAX_SET of them (counted first); each
+document probes it with the hash of every window of its own words, in one pass and without a shuffle of texts. Windows
+that hit are verified by their words: only they are joined with the items' windows. Beyond MAX_SET windows, hashes are
+exploded and joined, and the hits go back to their documents for the same verification.
 
 Defined results: null text, or text without words, has no words and no hits; an item without words is ignored; an item
 that repeats, or items that share windows, all count; rows that repeat a doc_id each get a result row; documents of any
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pageforge.llm.common import ascii_lower, materialize, union_all
 
 WINDOW = 10
-#: Hashes that a plan holds as a constant set.
-MAX_SET = 100_000
-#: Bytes of windows, with the ids of their items, that are broadcast at most.
-MAX_BROADCAST = 32 << 20
+#: Windows that a plan holds as a hash set, and bits for each.
+MAX_SET, BITS = 4_000_000, 12
+#: Bytes of windows, with the ids of their items, that are broadcast at most; rows that hits are dropped by, likewise.
+MAX_BROADCAST, MAX_ROWS = 32 << 20, 1_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,19 +40,41 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.groupBy("size", F.concat_ws(" ", "x").alias("text"), F.xxhash64("x").alias("h")).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _probe(size: int, hashes: list[int]) -> str:
-    """Positions whose window's hash is in the set."""
-    within = ",".join(f"{h}L" if h != -(2**63) else "CAST('-9223372036854775808' AS BIGINT)" for h in hashes)
-    return f"filter(IF(size(w) >= {size}, sequence(1, size(w) - {size - 1}), array()), i -> xxhash64(slice(w, i, {size})) IN ({within}))"
+def _places(h, bits: int) -> list:
+    """The two bits of a Bloom table that a hash has."""
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.xxhash64(h), F.lit(bits))]
 
 
-def _by_set(docs: DataFrame, sets: dict[int, list[int]]) -> DataFrame:
-    """docs and `hits`, an array of (at, size, text) whose hash is in the set."""
-    found = docs
-    for size, hashes in sets.items():
-        found = found.withColumn(f"_p{size}", F.expr(_probe(size, hashes)))
-    parts = [f"transform(_p{size}, i -> struct(i AS at, {size} AS size, concat_ws(' ', slice(w, i, {size})) AS text))" for size in sets]
-    return found.withColumn("hits", F.expr(f"concat({', '.join(parts)})")).drop(*[f"_p{s}" for s in sets])
+def bloom(windows: DataFrame, many: int) -> tuple[bytes, int]:
+    """A Bloom table of the hashes of `many` windows, six bits a byte as characters from 0 on, and its number of bits."""
+    bits = max(6 << 10, BITS * many // 6 * 6)
+    places = windows.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("p"))
+    found = places.groupBy((F.col("p") / 6).cast("long").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(p % 6 AS INT))")).alias("v"))
+    # put in order by stretches of 64 KB, each of which comes to the driver as one string
+    whole = windows.sparkSession.range(bits // 6).withColumnRenamed("id", "byte").join(found, "byte", "left")
+    each = F.array_sort(F.collect_list(F.struct("byte", F.chr(F.lit(48) + F.coalesce("v", F.lit(0))).alias("c"))))
+    parts = whole.groupBy((F.col("byte") / (1 << 16)).cast("long").alias("k")).agg(F.array_join(F.transform(each, lambda x: x["c"]), "").alias("part"))
+    return "".join(r["part"] for r in parts.orderBy("k").collect()).encode(), bits
+
+
+def _by_set(docs: DataFrame, sizes: list[int], table: bytes, bits: int) -> DataFrame:
+    """docs and `hits`, an array of (at, size, text) of windows whose hash is in the table, but for chance hits."""
+    known = F.lit(bytearray(table))
+
+    def has(p):
+        byte = F.ascii(F.substring(known, (F.floor(p / 6) + 1).cast("int"), F.lit(1)).cast("string")) - 48
+        return F.call_function("shiftright", byte, (p % 6).cast("int")) % 2 == 1
+
+    def within(h):
+        one, two = _places(h, bits)
+        return has(one) & has(two)
+
+    def probed(size: int):
+        last = F.size("w") - (size - 1)
+        places = F.filter(F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i: within(F.xxhash64(F.slice("w", i, F.lit(size)))))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", i, F.lit(size))).alias("text")))
+
+    return docs.withColumn("hits", F.concat(*[probed(size) for size in sizes]))
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
@@ -83,8 +105,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: i
         none = F.lit(0).cast("long").alias("n_hit"), empty.alias("items"), F.array().cast("array<int>").alias("positions")
         return rows.select("doc_id", "_h", F.size("w").cast("long").alias("n_words"), *none)
     if total <= max_set:
-        sets = {s: sorted(r[0] for r in windows.where(F.col("size") == s).select("h").distinct().collect()) for s in sorted(sizes)}
-        found = _by_set(rows, sets)
+        found = _by_set(rows, sorted(sizes), *bloom(windows, total))
     else:
         found = _by_join(rows, windows, sorted(sizes))
     known = windows.select("text", "items")
@@ -99,18 +120,21 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: i
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs without the documents that hold a benchmark window (mode "documents"), or without the words inside such
     windows (mode "spans"; what stood between words stays, n_chars follows the new text)."""
     # the documents' own columns travel in one struct, so that no name of theirs can clash
     columns = docs.columns
     found = find(docs, benchmark, window).where("n_hit > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_text"))
-    found = found.agg(F.first("positions").alias("positions"))
+    found = materialize(found.agg(F.first("positions").alias("positions")), "contaminated")
+    ids = found.select("_id", "_text")
+    # texts stay where they are as long as what is dropped is few rows of an id and a hash
+    ids = F.broadcast(ids) if found.count() <= max_rows else ids
     keyed = docs.select(F.struct(*columns).alias("_own"))
     own = lambda name: F.col("_own").getField(name)
     same = own("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(own("text")) == F.col("_text"))
     if mode == "documents":
-        return keyed.join(found, same, "left_anti").select([own(c).alias(c) for c in columns])
+        return keyed.join(ids, same, "left_anti").select([own(c).alias(c) for c in columns])
     if mode != "spans":
         raise ValueError(f"no such mode: {mode}")
     joined = keyed.join(found, same, "left").withColumn("_t", own("text"))

@@ -38,3 +38,30 @@ def test_spans(spark):
     cut = "So  ,        . End"
     assert found == {(1, len(cut)): cut, (2, len("a (  ) b")): "a (  ) b", (3, 9): "short items", (4, None): None, (1, 9): "another text"}
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()) == [1, 3, 4]
+
+
+def test_many_windows(spark):
+    """300,000 windows: the set in the plan and the join give the same rows."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(k, " ".join(word() for _ in range(1009))) for k in range(300)]
+    docs = []
+    for k in range(150):
+        words = [word() for _ in range(60)]
+        if k % 2:
+            at = rng.randrange(900)
+            words[20:20] = rng.choice(items)[1].split()[at : at + 8 + k % 5]
+        docs.append((k, " ".join(words), 1, "x"))
+    docs, items = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    got = [sorted((r["doc_id"], r["n_hit"], r["items"]) for r in decontaminate.find(docs, items, max_set=m).collect()) for m in (4_000_000, 100_000)]
+    assert got[0] == got[1] and 30 < sum(r[1] > 0 for r in got[0]) < 75
+
+
+def test_texts_stay(spark):
+    """What is kept isn't shuffled: the ids to drop are broadcast as long as there are few, and joined otherwise."""
+    docs, items = tables(spark)
+    few = decontaminate.decontaminate(docs, items)
+    many = decontaminate.decontaminate(docs, items, max_rows=0)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "broadcast" in plan
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
