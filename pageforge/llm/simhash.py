@@ -314,9 +314,9 @@ NEAR_SHINGLE, SIMILAR, WORDS, CHECK, MISS = 5, (4, 5), 16, 2, 0.01
 #: Shingles up to which a text's near copies are found exactly: fingerprints of few shingles differ by chance.
 SHORT = 32
 #: Members and shingles of a group whose texts are compared in one task; a larger one is cut into chunks that meet in pairs.
-TOGETHER, SHINGLES = 1000, 1 << 21
+TOGETHER, SHINGLES = 1000, 1 << 19
 #: Bytes of a table of bits that a comparison uses; where more would be needed, it goes over lists.
-BITS = 1 << 25
+BITS = 1 << 23
 #: Texts with a candidate whose hashes are broadcast at most.
 MAX_NODES = 4_000_000
 #: Estimated cost of a key, in compared pairs.
@@ -396,8 +396,8 @@ def _long(short: int | None):
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 sets = [distinct_shingles(t) for t in part.column(1).to_pylist()]
                 fps = [long_fingerprint(s).tobytes() if short is not None and len(s) > short else None for s in sets]
                 few = [s.view(np.int64) if most is None or len(s) <= most else None for s in sets]
@@ -444,7 +444,7 @@ def _keys(parts: list[tuple[list[int], int]]):
     """(key, node, n, c, d) of rows (node, n, fp): a key for each part, with each of its bits left out where it may differ."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
             words = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, WORDS + CHECK)
             bits, found = bits_of(words), []
             for k, (group, t) in enumerate(parts):
@@ -526,8 +526,8 @@ def _by_group(batches):
     """(rows of one group) after the other, from batches sorted by their first column, as lists of columns."""
     kept: list[list] = []
     for batch in batches:
-        for k in range(0, batch.num_rows, 1024):
-            rows = batch.slice(k, 1024)
+        for k in range(0, batch.num_rows, 256):
+            rows = batch.slice(k, 256)
             key = rows.column(0).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, b in zip(cuts, cuts[1:]):
