@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pageforge.plans.synthetic import SQL as WORDS
 from pageforge.queries import DECISIONS, SUFFIXES
+from pageforge.raster_oracle import raster_sql
 
 #: The white space that is stripped, as RE2 classes.
 _REST = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -186,3 +187,4 @@ SELECT *, suffix IN ('.pdf','.doc','.docx','.ppt','.pptx','.jpg','.jpeg','.png',
  FROM customer JOIN (VALUES (0, 0), (2, 0), (2, 1), (5, 6), (6, 3)) v(k, item) ON c_custkey % 8 = k""",
     "ocr_columnar": f"WITH {WORDS} SELECT page_id, seq, text, x1, y1, CASE WHEN seq % 11 = 0 THEN 0 ELSE round(ca / 100.0::DOUBLE, 6) END AS conf, x2, y2 FROM words WHERE seq % 17 <> 0",
 }
+ORACLE_SQL |= raster_sql(f"{TILES}, {PIXELS}")

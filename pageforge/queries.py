@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageforge.functions import fields, text
-from pageforge.operators import extract, lines, pixels, routing, zones
+from pageforge.operators import extract, lines, pixels, rasters, routing, zones
 from pageforge.plans import synthetic
 from pageforge.storage import stored
 
@@ -193,6 +193,63 @@ def tile_sharpen(spark, sf):
     return digest(pixels.sharpen(tiles(spark, sf)))
 
 
+#: Dark pixels of a tile from which its tilt counts, and parts of the grid on which a tile is equalised.
+TILE_DARK, TILE_GRID = 8, 2
+
+
+def raster(spark, sf, made: str):
+    """Tiles after a step, as comma-joined text."""
+    return digest(tiles(spark, sf).selectExpr("vec_id", f"{made} AS px"))
+
+
+@query
+def tile_threshold(spark, sf):
+    return raster(spark, sf, rasters.threshold("px", 8, 8))
+
+
+@query
+def tile_equalize(spark, sf):
+    return raster(spark, sf, rasters.equalize("px", 8, 8, TILE_GRID))
+
+
+@query
+def tile_skew(spark, sf):
+    """The tilt of a tile's dark pixels, where one in three is kept, so that their rectangles have every direction."""
+    dark = "transform(px, (v, k) -> IF((k * 7 + vec_id) % 3 = 0, v, 255))"
+    return tiles(spark, sf).selectExpr("vec_id", f"{rasters.skew(dark, 8, 8, TILE_DARK, 45.0)} AS wide", f"{rasters.skew(dark, 8, 8, TILE_DARK)} AS turn")
+
+
+@query
+def tile_rotate(spark, sf):
+    """Turns of up to 12 degrees either way."""
+    return digest(tiles(spark, sf).selectExpr("vec_id", f"{rasters.rotate('px', 8, 8, 'CAST(vec_id % 25 - 12 AS DOUBLE)')} AS px"))
+
+
+@query
+def tile_enlarge(spark, sf):
+    return raster(spark, sf, rasters.resize("px", 8, 8, 13, 12))
+
+
+@query
+def tile_clean(spark, sf):
+    return raster(spark, sf, rasters.prepared("px", 8, 8, "clean_doc", TILE_DARK, TILE_GRID)[0])
+
+
+@query
+def tile_photo(spark, sf):
+    return raster(spark, sf, rasters.prepared("px", 8, 8, "photo", TILE_DARK, TILE_GRID)[0])
+
+
+@query
+def tile_low_light(spark, sf):
+    return raster(spark, sf, rasters.prepared("px", 8, 8, "low_light", TILE_DARK, TILE_GRID)[0])
+
+
+@query
+def char_raster(spark, sf):
+    return raster(spark, sf, rasters.single_char("px", 8, 8)[0])
+
+
 @query
 def dims_scale(spark, sf):
     size = words(spark, sf).groupBy("page_id").agg((F.max("x2") + F.col("page_id") % 1500).alias("w"), (F.max("y2") + F.col("page_id") % 700).alias("h"))
