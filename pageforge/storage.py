@@ -1,4 +1,8 @@
-"""Tables that a plan writes on its way, in the folder that all executors share."""
+"""Tables that a plan writes on its way, in the folder that all executors share.
+
+A result reads some of them, so they stay until the caller is done with it: what is stored inside `with scratch(spark):`
+goes when the block ends, after success and after failure; what is stored outside of any block goes with release(spark).
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Folders that are in use: those of no block, then those of each open block.
+_OPEN: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A folder's name that goes with the innermost open block."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """What is stored inside goes when the block ends. The block gets a function that keeps a stored table for the block
+    around it."""
+    _OPEN.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        _OPEN[-1].remove(df.stored_at)
+        _OPEN[-2].append(df.stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what was stored outside of any block; results that read it can't be used after this."""
+    while _OPEN[0]:
+        _delete(spark, _OPEN[0].pop())
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -48,6 +83,13 @@ def forget(df: DataFrame) -> None:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
+    for paths in _OPEN:
+        if path in paths:
+            paths.remove(path)
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Hadoop's file system, so that it works for any store."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
