@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pageforge.llm import decontaminate, packing, pii, simhash, toxicity
 from pageforge.llm.common import forget, materialize, table
 from pageforge.llm.queries import vocabulary
+from pageforge.storage import scratch
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        last, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:  # what a stage stored on its way goes with it
+            last, docs = docs, keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
         forget(last)
     return docs
