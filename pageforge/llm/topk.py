@@ -3,12 +3,12 @@
 Rows stay where they are. A task holds a bounded batch of queries and takes its rows block by block; a block is one list
 per component, sorted by distance from the component's middle. A query reads the lists from their far ends, in rounds: a
 round reads, of every list, the entries that can change a score by more than the round's step, so lists of large query
-components and wide spread are read first and deepest. Every row keeps the sum of its entries that have been read, and
-their number; an entry that hasn't been read changes the score by the step at most, which bounds the score from both
-sides. The bar is the k-th best lower bound, or the k-th best final score of earlier blocks; rows whose upper bound is
-below it are outsiders, and once most are, only entries of the others are added. Reading stops when no more rows are left
-than FEW of the block, or k; these get their final scores. On any data lists that bounds don't end are read to the end,
-so results are exact. Each task gives k rows per query, and those are merged.
+components and wide spread are read first and deepest; a list that a round reads for a good part is read to its end.
+Every row keeps the sum of its entries that have been read, and the number of lists that still lack one; an entry that
+hasn't been read changes the score by the step at most, which bounds the score from both sides. The bar is the k-th best
+lower bound, or the k-th best final score of earlier blocks; rows whose upper bound is below it are outsiders. Reading
+stops when no more rows are left than FEW of the block, or k; these get their final scores. On any data lists that bounds
+don't end are read to the end, so results are exact. Each task gives k rows per query, and those are merged.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without
 an id; ties go to the smaller id; fewer than k others give fewer rows; rows that repeat an id are one candidate each,
@@ -27,9 +27,9 @@ from pageforge.llm.common import materialize
 
 #: Rows of a block, queries of a batch that is sent to all tasks, rows of a task at most.
 BLOCK, QUERIES, ROWS = 8192, 16_384, 1 << 22
-#: The share of a block's rows left at which reading stops; what a round's step is to the last one's; the share of rows
-#: left at which entries of others are no longer added.
-FEW, STEP, FILTER = 0.02, 0.6, 0.5
+#: The share of a block's rows left at which reading stops; the first round's step as a share of what one entry can
+#: change, and every other round's as a share of the one before; the share of a list from which it is read to its end.
+FEW, FIRST, STEP, ON = 0.1, 0.08, 0.6, 0.1
 LARGEST = 2**63 - 1
 
 
@@ -62,10 +62,11 @@ class Search:
         order = np.argsort(-np.abs(apart), axis=0, kind="stable").T.copy()  # one list a component, farthest first
         entry = np.take_along_axis(apart.T, order, axis=1)
         far = -np.abs(entry)
+        columns = apart.T.copy()
         x, queries = x.astype(np.float64), self.queries.astype(np.float64)
         base, found = queries @ middle.astype(np.float64), []
         for k, q in enumerate(queries):
-            left = self._read(q, base[k], bars[k], ids != self.ids[k], order, entry, far)
+            left = self._read(q, base[k], bars[k], np.flatnonzero(ids == self.ids[k]), columns, order, entry, far)
             scores = x[left] @ q
             good = scores >= bars[k]
             found.append((np.full(int(good.sum()), k), ids[left[good]], scores[good]))
@@ -82,40 +83,50 @@ class Search:
         bars[full] = scores[last[full]]
         return bars
 
-    def _read(self, q: np.ndarray, base: float, bar: float, other: np.ndarray, order: np.ndarray, entry: np.ndarray, far: np.ndarray) -> np.ndarray:
+    def _read(self, q: np.ndarray, base: float, bar: float, own: np.ndarray, columns: np.ndarray, order: np.ndarray, entry: np.ndarray, far: np.ndarray) -> np.ndarray:
         """The rows that can still qualify when reading stops."""
         n = order.shape[1]
         lists = np.flatnonzero(q)
-        weight, most = np.abs(q[lists]), -far[lists, 0]
-        step, done = float((weight * most).max(initial=0)), np.zeros(len(lists), np.int64)
-        sums, unread = np.full(n, base), np.full(n, len(lists), np.float64)
-        alive, added, few = other, 0, max(self.k, int(FEW * n))
-        if base + float((weight * most).sum()) < bar or not other.any():  # the heads of the lists
+        weight = np.abs(q[lists])
+        reach = -far[lists, 0] * weight
+        if base + float(reach.sum()) < bar or n <= len(own):  # the heads of the lists
             self.log.append((n, 0.0, 0.0))
             return np.zeros(0, np.int64)
+        sums, seen = np.full(n, base), np.zeros(n, np.int64)  # seen: lists that aren't read to the end but have shown the row
+        sums[own] = -np.inf
+        open_, done = dict(zip(lists.tolist(), weight.tolist())), dict.fromkeys(lists.tolist(), 0)
+        own_bar = n - len(own) >= self.k and not np.isfinite(float(bar))  # no earlier block has given a better one
+        step, added, few = float(reach.max(initial=0)) * FIRST, 0, max(self.k, int(FEW * n))
         while True:
-            step = step * STEP if step >= 1 else 0.0  # whole numbers: under 1 all entries count
-            ends = np.array([n if not step else np.searchsorted(far[c], -step / w) for c, w in zip(lists, weight)], np.int64)
-            ends = np.maximum(ends, done)
-            rows = np.concatenate([order[c, a:b] for c, a, b in zip(lists, done, ends)] or [np.zeros(0, np.int64)])
-            change = np.concatenate([q[c] * entry[c, a:b] for c, a, b in zip(lists, done, ends)] or [np.zeros(0)])
-            done = ends
-            if alive.sum() < FILTER * n:
-                kept = alive[rows]
-                rows, change = rows[kept], change[kept]
-            added += len(rows)
-            sums += np.bincount(rows, change, n)
-            unread -= np.bincount(rows, minlength=n)
-            left = np.flatnonzero(alive)
-            if len(left) >= self.k:
-                lower = sums[left] - step * unread[left]
-                bar = max(bar, float(np.partition(lower, len(lower) - self.k)[len(lower) - self.k]))
-            left = left[sums[left] + step * unread[left] > bar - 0.5]  # scores are whole numbers, bounds may be rounded
-            alive = np.zeros(n, bool)
-            alive[left] = True
-            if len(left) <= few or not step:
+            step = step if step >= 1 else 0.0  # whole numbers: under 1 all entries count
+            for c, w in list(open_.items()):
+                a, b = done[c], int(np.searchsorted(far[c], -step / w)) if step else n
+                if b <= a:
+                    continue
+                if b > ON * n:
+                    if a:
+                        seen[order[c, :a]] -= 1
+                        rows = order[c, a:]
+                        sums[rows] += q[c] * entry[c, a:]
+                    else:
+                        sums += q[c] * columns[c]
+                    del open_[c]
+                    added += n - a
+                else:
+                    rows = order[c, a:b]
+                    sums[rows] += q[c] * entry[c, a:b]
+                    seen[rows] += 1
+                    done[c], added = b, added + b - a
+            apart = step * (len(open_) - seen)
+            if own_bar:
+                lower = sums - apart
+                bar = max(bar, float(np.partition(lower, n - self.k)[n - self.k]))
+            left = np.flatnonzero(sums + apart > bar - 0.5)  # scores are whole numbers, bounds may be rounded
+            if len(left) <= few or not open_:
+                left = left[np.isfinite(sums[left])]
                 self.log.append((n, added / max(1, n * len(lists)), len(left) / n))
                 return left
+            step *= STEP
 
     def _merge(self, of: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         old = self.found
