@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,20 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def give_back() -> None:
+    """What a task has freed goes back to the machine: Python workers live on, and would keep it beside the next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches, rows: int = 256):
+    """The batches, a few rows at a time, so that few texts are held as Python strings at once; memory is given back after
+    the last."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    give_back()

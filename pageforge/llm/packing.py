@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import materialize
+from pageforge.llm.common import materialize, slices
 from pageforge.llm.tokens import crc, encoder
 
 LIMIT, END = 1024, 2
@@ -29,11 +29,10 @@ SLOTS = 100_000
 def _pieces(path: str, limit: int, end_id: int):
     def run(batches):
         encode, end = encoder(path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             docs, rows, texts = (batch.column(i).to_pylist() for i in range(3))
-            encoded = (x for k in range(0, len(texts), 256) for x in encode.many(texts[k : k + 256]))
-            for doc, row, ids in zip(docs, rows, encoded):
+            for doc, row, ids in zip(docs, rows, encode.many(texts)):
                 ids += end
                 n = len(ids) // 4
                 start, k = 0, 0

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import union_all
+from pageforge.llm.common import slices, union_all
 from pageforge.storage import forget, stored
 
 SEED, SHINGLE = 42, 4
@@ -395,14 +395,12 @@ def _long(short: int | None):
     most = None if short is None else short * SIMILAR[1] // SIMILAR[0]
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                sets = [distinct_shingles(t) for t in part.column(1).to_pylist()]
-                fps = [long_fingerprint(s).tobytes() if short is not None and len(s) > short else None for s in sets]
-                few = [s.view(np.int64) if most is None or len(s) <= most else None for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(few, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "fp", "few"])
+        for part in slices(batches):
+            sets = [distinct_shingles(t) for t in part.column(1).to_pylist()]
+            fps = [long_fingerprint(s).tobytes() if short is not None and len(s) > short else None for s in sets]
+            few = [s.view(np.int64) if most is None or len(s) <= most else None for s in sets]
+            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "fp", "few"])
 
     return run
 
@@ -444,7 +442,7 @@ def _keys(parts: list[tuple[list[int], int]]):
     """(key, node, n, c, d) of rows (node, n, fp): a key for each part, with each of its bits left out where it may differ."""
 
     def run(batches):
-        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+        for batch in slices(batches, 1024):
             words = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, WORDS + CHECK)
             bits, found = bits_of(words), []
             for k, (group, t) in enumerate(parts):
@@ -525,17 +523,15 @@ def _candidates(most: int | None):
 def _by_group(batches):
     """(rows of one group) after the other, from batches sorted by their first column, as lists of columns."""
     kept: list[list] = []
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            rows = batch.slice(k, 256)
-            key = rows.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:]):
-                part = [rows.column(x).slice(a, b - a).to_pylist() for x in range(rows.num_columns)]
-                if kept and kept[0][0] != part[0][0]:
-                    yield kept
-                    kept = []
-                kept = [x + y for x, y in zip(kept, part)] if kept else part
+    for rows in slices(batches):
+        key = rows.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = [rows.column(x).slice(a, b - a).to_pylist() for x in range(rows.num_columns)]
+            if kept and kept[0][0] != part[0][0]:
+                yield kept
+                kept = []
+            kept = [x + y for x, y in zip(kept, part)] if kept else part
     if kept:
         yield kept
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import held_out, training_rows
+from pageforge.llm.common import held_out, slices, training_rows
 
 MAX_ROWS, MAX_BYTES = 12_000, 32_768
 MAX_FEATURES, LEAST_DOCS = 4000, 3
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches):
         own = Model(weights, bias)
-        for batch in batches:
+        for batch in slices(batches):
             values = [own.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
@@ -222,7 +222,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches):
         own = Model(weights, bias)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
