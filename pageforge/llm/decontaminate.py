@@ -1,10 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Test items are normalised to words and cut into windows. A hash set of all windows goes to the executors inside the plan,
-as a Bloom table of some twelve bits a window, as long as there are at most MAX_SET of them (counted first); each
-document probes it with the hash of every window of its own words, in one pass and without a shuffle of texts. Windows
-that hit are verified by their words: only they are joined with the items' windows. Beyond MAX_SET windows, hashes are
-exploded and joined, and the hits go back to their documents for the same verification.
+Test items are normalised to words and cut into windows. A hash set of all windows goes to the executors inside the plan:
+the hashes themselves up to MAX_SET of them (counted first), from there up to MAX_BLOOM a Bloom table of some twelve bits
+a window, which takes three times as long to ask. Each document probes it with the hash of every window of its own words,
+in one pass and without a shuffle of texts. Windows that hit are verified by their words: only they are joined with the
+items' windows. Beyond MAX_BLOOM windows, hashes are exploded and joined, and the hits go back to their documents for the
+same verification.
 
 Defined results: null text, or text without words, has no words and no hits; an item without words is ignored; an item
 that repeats, or items that share windows, all count; rows that repeat a doc_id each get a result row; documents of any
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from pageforge.llm.common import ascii_lower, materialize, union_all
 
 WINDOW = 10
-#: Windows that a plan holds as a hash set, and bits for each.
-MAX_SET, BITS = 4_000_000, 12
+#: Windows that a plan holds as a set of hashes, as a Bloom table, and that table's bits for each.
+MAX_SET, MAX_BLOOM, BITS = 20_000, 4_000_000, 12
 #: Bytes of windows, with the ids of their items, that are broadcast at most; rows that hits are dropped by, likewise.
 MAX_BROADCAST, MAX_ROWS = 32 << 20, 1_000_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -57,8 +58,13 @@ def bloom(windows: DataFrame, many: int) -> tuple[bytes, int]:
     return "".join(r["part"] for r in parts.orderBy("k").collect()).encode(), bits
 
 
-def _by_set(docs: DataFrame, sizes: list[int], table: bytes, bits: int) -> DataFrame:
-    """docs and `hits`, an array of (at, size, text) of windows whose hash is in the table, but for chance hits."""
+def among(hashes: list[int]):
+    """Whether a hash is one of these, which Spark holds as a hash set."""
+    return lambda h: h.isin(hashes)
+
+
+def in_table(table: bytes, bits: int):
+    """Whether a hash may be one of those in a Bloom table."""
     known = F.lit(bytearray(table))
 
     def has(p):
@@ -69,10 +75,17 @@ def _by_set(docs: DataFrame, sizes: list[int], table: bytes, bits: int) -> DataF
         one, two = _places(h, bits)
         return has(one) & has(two)
 
+    return within
+
+
+def _by_set(docs: DataFrame, sizes: list[int], within) -> DataFrame:
+    """docs and `hits`, an array of (at, size, text) of windows that the set has, or may have."""
+
     def probed(size: int):
         last = F.size("w") - (size - 1)
-        places = F.filter(F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i: within(F.xxhash64(F.slice("w", i, F.lit(size)))))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", i, F.lit(size))).alias("text")))
+        places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        found = F.filter(places, lambda i: within(F.xxhash64(F.slice("w", i, F.lit(size)))))
+        return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice("w", i, F.lit(size))).alias("text")))
 
     return docs.withColumn("hits", F.concat(*[probed(size) for size in sizes]))
 
@@ -91,7 +104,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame
     return docs.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_text")), "left").withColumn("hits", hits).drop("_met", "_id", "_text")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET, max_bloom: int = MAX_BLOOM, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row per row of docs: doc_id, _h (a hash of the text), n_words, n_hit, items (sorted ids as strings), positions
     (hit words, from 1)."""
     windows = materialize(item_windows(benchmark, window), "windows")
@@ -105,7 +118,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: i
         none = F.lit(0).cast("long").alias("n_hit"), empty.alias("items"), F.array().cast("array<int>").alias("positions")
         return rows.select("doc_id", "_h", F.size("w").cast("long").alias("n_words"), *none)
     if total <= max_set:
-        found = _by_set(rows, sorted(sizes), *bloom(windows, total))
+        found = _by_set(rows, sorted(sizes), among([r[0] for r in windows.select("h").distinct().collect()]))
+    elif total <= max_bloom:
+        found = _by_set(rows, sorted(sizes), in_table(*bloom(windows, total)))
     else:
         found = _by_join(rows, windows, sorted(sizes))
     known = windows.select("text", "items")

@@ -26,7 +26,7 @@ def test_same_rows_by_any_way(spark):
     plain = lambda **more: sorted((r["doc_id"] or -1, r["_h"], r["n_words"], r["n_hit"], r["items"], sorted(r["positions"])) for r in decontaminate.find(docs, items, **more).collect())
     want = plain()
     assert sum(r[3] > 0 for r in want) > 60 and len(want) == docs.count()
-    assert plain(max_set=0) == want == plain(max_set=0, max_broadcast=0) == plain(max_broadcast=0)
+    assert plain(max_set=0) == want == plain(max_set=0, max_bloom=0) == plain(max_set=0, max_bloom=0, max_broadcast=0) == plain(max_broadcast=0)
 
 
 def test_spans(spark):
@@ -53,7 +53,7 @@ def test_many_windows(spark):
             words[20:20] = rng.choice(items)[1].split()[at : at + 8 + k % 5]
         docs.append((k, " ".join(words), 1, "x"))
     docs, items = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(4)
-    got = [sorted((r["doc_id"], r["n_hit"], r["items"]) for r in decontaminate.find(docs, items, max_set=m).collect()) for m in (4_000_000, 100_000)]
+    got = [sorted((r["doc_id"], r["n_hit"], r["items"]) for r in decontaminate.find(docs, items, max_bloom=m).collect()) for m in (4_000_000, 100_000)]
     assert got[0] == got[1] and 30 < sum(r[1] > 0 for r in got[0]) < 75
 
 
