@@ -63,3 +63,20 @@ def validate(fields: Column) -> Column:
     pins = F.coalesce(*[first_match(clean(F.try_element_at(fields, F.lit(k))), PIN) for k in reversed(PIN_KEYS)])
     with_pin = F.map_concat(F.map_filter(keyed, lambda k, v: k != "Pincode"), F.create_map(F.lit("Pincode"), pins))
     return F.when(pins.isNotNull(), with_pin).otherwise(keyed)
+
+
+def validate_untyped(fields: Column) -> Column:
+    """A map of variants from a variant object: strings as validate() has them; numbers, lists, objects and others as they
+    are, but for a Pincode that a string alias gives."""
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  worked out once, used often
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+
+    def with_texts(values: Column, found: Column) -> Column:
+        others = F.map_filter(values, lambda k, v: ~is_text(v) & ~F.map_contains_key(found, k))
+        return F.map_concat(others, F.transform_values(found, lambda k, v: v.cast("variant")))
+
+    def mended(values: Column) -> Column:
+        texts = F.transform_values(F.map_filter(values, lambda k, v: is_text(v)), lambda k, v: v.cast("string"))
+        return once(texts, lambda t: once(validate(t), lambda found: with_texts(values, found)))
+
+    return once(fields.cast("map<string,variant>"), mended)

@@ -139,6 +139,10 @@ SELECT *, suffix IN ('.pdf','.doc','.docx','.ppt','.pptx','.jpg','.jpeg','.png',
  CASE WHEN c_custkey % 3 = 0 THEN 'x ' || lpad((c_custkey * 7 % 1000000)::VARCHAR, 6, '0') || ' y' ELSE 'none' END AS pin_alias, 'OA-' || lpad(c_custkey::VARCHAR, 5, '0') || '/B' AS policy_no,
  'ABCDE' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || 'F' AS pan, 'HDFC0' || lpad(c_custkey::VARCHAR, 6, '0') AS ifsc, 'user' || c_custkey || '@mail.example.com' AS email,
  CASE WHEN c_custkey % 4 IN (0, 1) THEN '9' || lpad(c_custkey::VARCHAR, 9, '0') ELSE {MOBILE} END AS mobile FROM customer""",
+    "fields_untyped": """SELECT click_id, '"user' || click_id || '@mail.example.com"' AS email, CASE WHEN click_id % 2 = 0 THEN '"ABCDE1234F"' ELSE click_id::VARCHAR END AS pan,
+ CASE click_id % 3 WHEN 0 THEN '["9876543210"]' WHEN 1 THEN '"9876543210"' ELSE 'null' END AS mobile, CASE WHEN click_id % 5 = 0 THEN '"560001"' ELSE '7' END AS pincode,
+ CASE WHEN click_id % 5 = 0 THEN '"at 560001"' ELSE '560001' END AS pin_alias, json_extract(props, '$.k')::VARCHAR AS k, json_extract(props, '$.device')::VARCHAR AS device,
+ json_extract(props, '$.tags')::VARCHAR AS tags FROM clicks WHERE props LIKE '{%}' AND json_valid(props)""",
     "line_group": f"WITH RECURSIVE {WORDS}, {FOLD} SELECT * FROM grouped",
     "line_agg": f"WITH RECURSIVE {LINES} SELECT * FROM line_rows",
     "page_text": f"WITH RECURSIVE {LINES} SELECT page_id, {strip('string_agg(line_text, chr(10) ORDER BY line_no)')} AS page_text, count(*) AS n_lines FROM line_rows GROUP BY page_id",

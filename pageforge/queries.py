@@ -94,6 +94,19 @@ def field_validate(spark, sf):
     return found.select("c_custkey", *[F.col("f")[key].alias(key.lower().replace(" ", "_") if key != "PIN" else "pin_alias") for key in raw])
 
 
+@query
+def fields_untyped(spark, sf):
+    """Properties of clicks, as JSON of any types, with identifier fields that are texts in some and other types in others."""
+    more = (
+        """concat(', "Email": "to: user', click_id, '@mail.example.com;", "PAN": ', IF(click_id % 2 = 0, '" abcde1234f "', CAST(click_id AS STRING)), ', "Mobile": ', """
+        """CASE click_id % 3 WHEN 0 THEN '["9876543210"]' WHEN 1 THEN '"+91-9876543210"' ELSE 'null' END, ', "PIN": ', IF(click_id % 5 = 0, '"at 560001"', '560001'), ', "Pincode": 7}')"""
+    )
+    props = table(spark, sf, "clicks").where("props LIKE '{%}'").selectExpr("click_id", f"concat(left(props, length(props) - 1), {more}) AS json")
+    found = props.select("click_id", fields.validate_untyped(F.try_parse_json("json")).alias("f"))
+    text = lambda key: F.to_json(F.try_element_at("f", F.lit(key))).alias(key.lower())
+    return found.where("f IS NOT NULL").select("click_id", *[text(k) for k in ("Email", "PAN", "Mobile", "Pincode", "PIN", "k", "device", "tags")]).withColumnRenamed("pin", "pin_alias")
+
+
 @query
 def line_group(spark, sf):
     return lines.group_lines(words(spark, sf)).select("page_id", "seq", "line_no")

@@ -135,6 +135,24 @@ def _picture(z: zipfile.ZipFile, slide: str, readers: Readers) -> bytes | None:
     return None
 
 
+def office_page(suffix: str, archive: zipfile.ZipFile, page: int, readers: Readers = Readers()) -> tuple[str | None, bytes | None] | None:
+    """(native_text, image) of one page, None where there is no such page: a word file's text, then its pictures that can
+    be read; a slide's text and first picture."""
+    if suffix == ".docx":
+        if page == 0:
+            try:
+                return "\n".join(_texts(archive.read("word/document.xml"), "}p")), None
+            except (KeyError, ElementTree.ParseError):
+                return "", None
+        media = (_media(archive, n, readers) for n in archive.namelist() if n.startswith("word/media/"))
+        found = next(islice((data for data in media if data), page - 1, None), None)
+        return found and (None, found)
+    slides = _slides(archive)
+    if page >= len(slides):
+        return None
+    return "\n".join(_shapes(archive.read(slides[page]))), _picture(archive, slides[page], readers)
+
+
 def office_pages(suffix: str, content: bytes, max_pages: int, readers: Readers = Readers()) -> list[tuple]:
     """Rows (page_index, native_text, image): a text page and up to max_pages pictures, or one row per slide, with its
     text and its first picture. Parts that can't be read are left out."""
