@@ -176,14 +176,17 @@ SELECT *, suffix IN ('.pdf','.doc','.docx','.ppt','.pptx','.jpg','.jpeg','.png',
  u AS (SELECT page_id, line_no, word_no, text, x1 || ',' || y1 || ',' || x2 || ',' || y2 AS bbox FROM g WHERE line_no % 2 = 0 UNION ALL
  SELECT page_id, line_no, 0, string_agg(text, ' ' ORDER BY x1, y1, seq), min(x1) || ',' || min(y1) || ',' || max(x2) || ',' || max(y2) FROM g WHERE line_no % 2 = 1 GROUP BY page_id, line_no)
  SELECT page_id, CAST(line_no AS INTEGER) AS line_no, word_no, text, bbox, CASE WHEN page_id % 3 = 0 THEN 1920 ELSE 1600 END AS w_px, CASE WHEN page_id % 3 = 1 THEN 1080 ELSE 1200 END AS h_px FROM u""",
-    "decision_rows": """WITH v(k, n, chars, avg_a, height_cv, conf_cv, edge, printed_engine, avg_b, ratio_b, score_a, score_b) AS (VALUES """
+    "decision_rows": f"""WITH {WORDS}, v(k, n, chars, avg_a, height_cv, conf_cv, edge, printed_engine, avg_b, ratio_b, score_a, score_b) AS (VALUES """
     + ", ".join(f"({k}, {r})" for k, r in enumerate(x for x in DECISIONS.split("\n") if x)) + """),
+ p AS (SELECT page_id, count(*) AS own FROM words GROUP BY page_id), t AS (SELECT p.page_id, v.* REPLACE (CASE WHEN own < 5 THEN own ELSE n END AS n) FROM p JOIN v ON p.page_id % 33 = v.k),
  h AS (SELECT *, n > 0 AND NOT (chars >= 100 AND avg_a >= 0.78) AND NOT (chars >= 150 AND avg_a >= 0.72) AND ((n >= 8 AND height_cv > 0.35 AND avg_a < 0.7)
-  OR (n >= 10 AND conf_cv > 0.45 AND avg_a < 0.68) OR (chars >= 30 AND avg_a < 0.72 AND edge >= 22) OR (chars >= 15 AND avg_a < 0.6 AND edge >= 25)) AS handwritten FROM v)
- SELECT CAST(k AS INTEGER) AS k, handwritten, CASE WHEN handwritten THEN 'paddleocr(handwritten)' WHEN lower(trim(printed_engine)) = 'paddle' THEN 'paddleocr(printed)'
+  OR (n >= 10 AND conf_cv > 0.45 AND avg_a < 0.68) OR (chars >= 30 AND avg_a < 0.72 AND edge >= 22) OR (chars >= 15 AND avg_a < 0.6 AND edge >= 25)) AS handwritten FROM t)
+ SELECT page_id, CAST(k AS INTEGER) AS k, handwritten, CASE WHEN handwritten THEN 'paddleocr(handwritten)' WHEN lower(trim(printed_engine)) = 'paddle' THEN 'paddleocr(printed)'
   WHEN avg_b < 0.2 THEN 'paddleocr(conf_low_fallback)' WHEN ratio_b < 0.4 AND avg_b < 0.45 THEN 'paddleocr(conf_weak_fallback)'
   WHEN (score_b < 0.25 AND score_a - score_b > 0.2) THEN 'paddleocr(score_fallback)' WHEN score_b >= 0.85 * score_a AND avg_b >= 0.45 THEN 'tesseract(printed)'
   WHEN score_a - score_b > 0.25 THEN 'paddleocr(score_fallback)' ELSE 'tesseract(printed)' END AS engine_used FROM h""",
+    "fallback_body": f"""SELECT doc_id AS doc, '<BODY>' || array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: {strip('x')} <> ''),
+ lambda x: chr(10) || '  ' || replace(replace({strip(r"regexp_replace(regexp_replace(x, '([a-zA-Z])([0-9])', '\1 \2', 'g'), '([0-9])([a-zA-Z])', '\1 \2', 'g')")}, 'Firewall', 'View all'), 'Viewall', 'View all')), '') AS body FROM documents""",
     "best_preset": """WITH t AS (SELECT doc_id, place, ['clean_doc', 'photo', 'low_light'][place + 1] AS preset, CAST((doc_id * (place * 3 + 7) + place) % 5 AS DOUBLE) / 4 AS score
   FROM documents, (SELECT unnest(range(3)) AS place))
  SELECT doc_id, preset, score FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) = 1""",

@@ -145,6 +145,16 @@ def fix_words(words: DataFrame, dictionary: DataFrame | None = None, gate=extrac
     return parted.withColumn("text", text.brand_fix(text.strip(F.col("text")))).where("text <> ''")
 
 
+def fallback_body(docs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """doc, body of documents (doc, text) that have no pages: their lines that aren't blank, mended, under a body tag."""
+    line = docs.select(F.col("doc").alias("page_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "text"))
+    fixed = fix_words(line.where(text.strip(F.col("text")) != ""), dictionary)
+    each = F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("o")
+    body = fixed.groupBy(F.col("page_id").alias("doc")).agg(each)
+    body = body.select("doc", F.concat(F.lit("<BODY>"), F.array_join(F.transform("o", lambda x: F.concat(F.lit("\n  "), x["text"])), "")).alias("body"))
+    return docs.select("doc").join(body, "doc", "left").select("doc", F.coalesce("body", F.lit("<BODY>")).alias("body"))
+
+
 def nested_lines(grouped: DataFrame) -> DataFrame:
     """Per page (page_id): lines with text, mean confidence, box and words; page_text."""
     yc = ((F.col("y1") + F.col("y2")) / 2.0).alias("yc")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageforge.functions import fields, text
 from pageforge.operators import extract, lines, pixels, rasters, routing, zones
 from pageforge.plans import synthetic
+from pageforge.plans.analyze import fallback_body as body_of_lines
 from pageforge.storage import stored
 
 SUFFIXES = ("pdf", "doc", "docx", "PPT", "pptx", "JPG", "jpeg", "Png", "webp", "bmp", "tiff", "tif", "gif", "txt", "exe", "")
@@ -128,11 +129,11 @@ def word_stats(spark, sf):
 
 
 def routed(spark, sf):
-    tile = pixels.tiles(table(spark, sf, "embeddings")).selectExpr("vec_id", f"{pixels.edge()} AS e")
-    found = routing.stats(words(spark, sf))
-    edge = F.round(F.when(F.col("page_id") % 2 == 0, F.col("e") / 4).otherwise(F.col("e")), 6).alias("edge")
-    edges = found.select("page_id", (F.col("page_id") % 500).alias("vec_id")).join(tile, "vec_id").select("page_id", edge)
-    return routing.route(found, edges)
+    """Page figures with their route. A page takes the edge level of one of 500 tiles, which are joined to the figures."""
+    tile = pixels.tiles(table(spark, sf, "embeddings").where("vec_id < 500")).selectExpr("vec_id", f"{pixels.edge()} AS e")
+    found = routing.stats(words(spark, sf)).withColumn("vec_id", F.col("page_id") % 500).join(tile, "vec_id", "left")
+    edge = F.round(F.when(F.col("page_id") % 2 == 0, F.col("e") / 4).otherwise(F.col("e")), 6)
+    return routing.decide(found.withColumn("edge", F.coalesce(edge, F.lit(0.0))).drop("vec_id", "e"))
 
 
 @query
@@ -416,12 +417,15 @@ DECISIONS = """
 
 @query
 def decision_rows(spark, sf):
-    """Every row of the decision tables, just met and just missed."""
+    """Every page with its own words' number and the other figures of one row of the decision tables, just met or just missed."""
     names = "n chars avg_a height_cv conf_cv edge printed_engine avg_b ratio_b score_a score_b".split()
     values = [tuple(v.strip(" '") if v.strip().startswith("'") else float(v) for v in r.split(",")) for r in DECISIONS.split("\n") if r]
     values = [tuple(" Paddle " if v == "Paddle" else v for v in r) for r in values]
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(values)], "k int, " + ", ".join(f"{n} {'string' if n == 'printed_engine' else 'double'}" for n in names))
-    return routing.decide(rows).select("k", "handwritten", "engine_used")
+    schema = "k int, " + ", ".join(f"{n} {'string' if n == 'printed_engine' else 'double'}" for n in names)
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(values)], schema)
+    page = routing.stats(words(spark, sf)).select("page_id", F.col("n").alias("own"), F.pmod("page_id", F.lit(len(values))).cast("int").alias("k"))
+    found = page.join(F.broadcast(rows), "k").withColumn("n", F.when(F.col("own") < 5, F.col("own").cast("double")).otherwise(F.col("n")))
+    return routing.decide(found).select("page_id", "k", "handwritten", "engine_used")
 
 
 @query
@@ -457,3 +461,9 @@ def ocr_columnar(spark, sf):
     page = raw.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("o"))
     page = page.select("page_id", *[F.expr(f"transform(o, x -> x.{c})").alias(c) for c in names])
     return extract.normalize_rows(extract.columnar(page, names, "page_id"))
+
+
+@query
+def fallback_body(spark, sf):
+    """Documents as if they had no pages: lines that aren't blank, letters and digits parted, under a body tag."""
+    return body_of_lines(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
