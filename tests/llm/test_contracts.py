@@ -179,7 +179,13 @@ def test_op4(spark, tables):
             at += length
         assert at <= 1024
     total = sum(p["length"] for x in by.values() for p in x)
-    assert len(filled) <= 1 + 1.06 * total / 1024 or len(filled) <= len(docs)
+    room: list[int] = []  # best fit, longest first, piece by piece
+    for length in sorted((p["length"] for x in by.values() for p in x), reverse=True):
+        fits = [r for r in room if r >= length]
+        if fits:
+            room.remove(min(fits))
+        room.append((min(fits) if fits else 1024) - length)
+    assert -(-total // 1024) <= len(filled) <= len(room)
 
 
 def simhash(text):
