@@ -14,7 +14,7 @@ ALLOWED = ("pdf", "doc", "docx", "ppt", "pptx", "jpg", "jpeg", "png", "webp", "b
 
 #: Letters of a long word from which delete keys are made; letters up to which keys hold places; terms of a key that
 #: meet their tokens in one task.
-PREFIX, SHORT, BUCKET = 12, 10, 2000
+PREFIX, SHORT, BUCKET = 12, 6, 2000
 
 
 def dispatch(named: DataFrame) -> DataFrame:
@@ -171,13 +171,15 @@ def _prefix_keys(distance: int) -> str:
 
 
 def _keyed(df: DataFrame, name: str, asked: bool, distance: int) -> DataFrame:
-    """df, its sorted letters, and key. Words of up to SHORT letters are keyed by places, those of SHORT - 1 or more by
-    prefixes, so that any two words within two edits have keys of one of these ways in common."""
+    """df, its sorted letters, and key. Words of up to SHORT letters are keyed by places, longer ones by prefixes. So that
+    any two words within two edits have keys of one of these ways in common, the longest short ones also have the keys
+    by prefixes that they can share with longer words, from which one letter more is left out than from them."""
     letters = F.array_join(F.array_sort(F.split(F.col(name), "")), "").alias("letters")
     found = df.select("*", letters, F.col(name).alias("w"))
     short = found.where(F.length("w") <= SHORT).withColumn("key", F.explode(F.expr(_place_keys(asked, distance))))
-    long_ = found.where(F.length("w") >= SHORT - 1).withColumn("key", F.explode(F.expr(_prefix_keys(distance))))
-    return short.unionByName(long_).drop("w")
+    between = found.where(F.length("w").between(SHORT - 1, SHORT)).withColumn("key", F.explode(F.expr(_prefix_keys(distance - 1))))
+    long_ = found.where(F.length("w") > SHORT).withColumn("key", F.explode(F.expr(_prefix_keys(distance))))
+    return short.unionByName(between).unionByName(long_).drop("w")
 
 
 def _met(tokens: DataFrame, terms: DataFrame, tasks: int) -> DataFrame:
