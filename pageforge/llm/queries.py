@@ -37,8 +37,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+    found = quality.measured(table(spark, sf_dir, "documents"))
+    return quality.score_measured(found, quality.learn(quality.training(found, table(spark, sf_dir, "labels"))))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
