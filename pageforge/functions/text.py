@@ -15,6 +15,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
 
 
+def strip_sql(text: str) -> str:
+    """strip() as SQL."""
+    pattern = rf"^{WS}+|{WS}+\z".replace("\\", "\\\\")
+    return f"regexp_replace({text}, '{pattern}', '')"
+
+
 def normalize_linebreaks(text: Column) -> Column:
     """One kind of line end, no white space before it, at most one empty line; stripped."""
     t = F.regexp_replace(text, r"\r\n?", "\n")

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.functions.folds import scan
-from pageforge.functions.text import strip
+from pageforge.functions.folds import items, runs, scan
+from pageforge.functions.text import strip, strip_sql
 
 #: A word joins the line while it is within the threshold of its running mean: the mean m of k words, the line's number.
 _SAME = "a.k > 0 AND abs(w.yc - a.m) <= thr"
@@ -25,21 +25,63 @@ FOLD = scan(
 )
 
 
-def group_lines(words: DataFrame) -> DataFrame:
-    """words with line_no: sorted by vertical centre, a word joins the line while it is within the threshold of its mean.
-
-    Whole words travel in their page's array, so one shuffle by page serves this and every step by page or line after it.
-    """
-    own = [c for c in words.columns if c != "page_id"]
-    yc = ((F.col("y1") + F.col("y2")) / 2.0).cast("double").alias("yc")
-    word = F.struct(yc, "x1", "seq", F.struct(*own).alias("own"))
-    page = words.groupBy("page_id").agg(F.array_sort(F.collect_list(word)).alias("o"))
+def place(pages: DataFrame) -> DataFrame:
+    """pages (with o, the words as an array) with o sorted by vertical centre, as (yc, x1, seq, own), own being the word, and
+    line, an array beside it: a word joins the line while it is within the threshold of its mean."""
+    word = "struct(CAST((w.y1 + w.y2) / 2.0D AS DOUBLE) AS yc, w.x1 AS x1, w.seq AS seq, w AS own)"
+    page = pages.withColumn("o", F.expr(f"array_sort(transform(o, w -> {word}))"))
     page = page.withColumn("h", F.expr("sort_array(transform(o, w -> greatest(1, w.own.y2 - w.own.y1)))"))
     page = page.withColumn("thr", F.expr("greatest(8D, 0.65D * h[CAST(size(h) div 2 AS INT)])"))
-    placed = page.select("page_id", F.explode(F.arrays_zip("o", F.expr(FOLD).alias("line_no"))).alias("x"))
+    return page.withColumn("line", F.expr(FOLD)).drop("h", "thr")
+
+
+def gather(words: DataFrame) -> DataFrame:
+    """Words as one row per page. They travel whole; pages that come from one row of their source need no such shuffle."""
+    own = [c for c in words.columns if c != "page_id"]
+    return words.groupBy("page_id").agg(F.collect_list(F.struct(*own)).alias("o"))
+
+
+def group_lines(words: DataFrame) -> DataFrame:
+    """words with line_no; one shuffle by page serves this and every step by page or line after it."""
+    own = [c for c in words.columns if c != "page_id"]
+    return grouped(gather(words), own)
+
+
+def grouped(pages: DataFrame, own: list[str]) -> DataFrame:
+    """The words of pages as rows, with line_no."""
+    placed = place(pages).select("page_id", F.explode(F.arrays_zip("o", F.col("line").alias("line_no"))).alias("x"))
     return placed.select("page_id", *[F.col("x.o.own")[c].alias(c) for c in own], F.col("x.line_no").alias("line_no"))
 
 
+_LINE = """transform(array(array_sort(transform(r, w -> struct(w.x1 AS x1, w.own.y1 AS y1, w.yc AS yc, w.seq AS seq, w.own.text AS text)))), o -> struct(
+ round(aggregate(r, 0D, (a, w) -> a + coalesce(w.own.ca, 0)) / (size(r) * 100.0D), 6) AS conf, array_min(transform(r, w -> w.own.x1)) AS bx1,
+ array_min(transform(r, w -> w.own.y1)) AS by1, array_max(transform(r, w -> w.own.x2)) AS bx2, array_max(transform(r, w -> w.own.y2)) AS by2,
+ CAST(size(r) AS BIGINT) AS n_words, array_join(transform(o, w -> {strip}), ' ') AS t))[0]"""
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """page_id and lines, an array of what lines() has as rows (line_no, conf, box, n_words, line_text), of words with ca.
+    Every step stays in the page's row: nothing is shuffled or sorted beyond a page."""
+    found = place(pages).withColumn("l", F.expr(runs("o", "line", _LINE.format(strip=strip_sql("w.text")))))
+    texts = F.expr(
+        f"filter(transform(l, (x, n) -> struct(CAST(n AS INT) AS line_no, x.conf AS conf, x.bx1 AS bx1, x.by1 AS by1, x.bx2 AS bx2, x.by2 AS by2, "
+        f"x.n_words AS n_words, {strip_sql('x.t')} AS line_text)), x -> x.line_text <> '')"
+    )
+    found = found.select("page_id", texts.alias("lines"))
+    # a filter on the lines would be moved below them and work them out twice
+    return found.select("page_id", F.explode(F.filter(F.array("lines"), lambda x: F.size(x) > 0)).alias("lines"))
+
+
+def each_line(found: DataFrame) -> DataFrame:
+    """Lines of page_lines() as rows."""
+    return found.select("page_id", F.explode("lines").alias("l")).select("page_id", "l.*")
+
+
+def joined_text(found: DataFrame) -> DataFrame:
+    """page_text() of pages whose lines are an array."""
+    return found.select("page_id", strip(F.array_join(F.transform("lines", lambda x: x["line_text"]), "\n")).alias("page_text"), F.size("lines").cast("long").alias("n_lines"))
+
+
 def lines(grouped: DataFrame, conf: str = "ca") -> DataFrame:
     """One row per line: text in (x1, y1) order, mean confidence, box, number of words; blank lines go."""
     yc = ((F.col("y1") + F.col("y2")) / 2.0).alias("yc")
@@ -64,7 +106,7 @@ def flatten(pages: DataFrame) -> DataFrame:
     stands for one, and a missing or zero size is 1920 by 1080."""
     sizes = (("width", 1920, "w_px"), ("height", 1080, "h_px"))
     size = [F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(default)).alias(o) for c, default, o in sizes]
-    line = pages.select("page_id", *size, F.posexplode("lines").alias("line_no", "l"))
+    line = pages.select("page_id", *size, F.posexplode(items("lines")).alias("line_no", "l"))
     words = F.expr(
         "IF(size(coalesce(l.words, array())) = 0, array(struct(l.text AS text, l.bbox AS bbox)), "
         "transform(l.words, w -> struct(w.text AS text, w.bbox AS bbox)))"

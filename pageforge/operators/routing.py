@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.functions.text import strip
+from pageforge.functions.folds import items
+from pageforge.functions.text import strip, strip_sql
 
 
 def stats(words: DataFrame) -> DataFrame:
@@ -15,10 +16,23 @@ def stats(words: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.length(strip(F.col("text")))).alias("chars"), F.sum("ca").alias("sa"), F.sum("cb").alias("sb"),
         F.sum(F.col("ca") * F.col("ca")).alias("qa"), F.sum((F.col("cb") >= 50).cast("int")).alias("above_b"), F.sum(h).alias("sh"), F.sum(h * h).alias("qh"),
     )
-    # sums of integers, divided once: the same on any partitioning
+    return _figures(found)
+
+
+def page_stats(pages: DataFrame) -> DataFrame:
+    """stats() of pages, with their other columns: the words of each are an array (o)."""
+    h = "(w.y2 - w.y1)"
+    value = {"chars": f"length({strip_sql('w.text')})", "sa": "w.ca", "sb": "w.cb", "qa": "w.ca * w.ca", "above_b": "CAST(w.cb >= 50 AS INT)", "sh": h, "qh": f"{h} * {h}"}
+    sums = [F.expr(f"aggregate(o, 0L, (s, w) -> s + coalesce({v}, 0))").alias(k) for k, v in value.items()]
+    own = [c for c in pages.columns if c != "page_id"]
+    return _figures(pages.select("page_id", *own, F.size("o").cast("long").alias("n"), *sums), *own)
+
+
+def _figures(found: DataFrame, *own: str) -> DataFrame:
+    """The figures of sums of integers, which are divided once: the same on any partitioning."""
     cv = lambda s, q: f"CASE WHEN n < 2 OR {s} <= 0 THEN 0D ELSE sqrt(greatest(0D, CAST(n * {q} - {s} * {s} AS DOUBLE))) / {s} END"
     found = found.selectExpr(
-        "page_id", "n", "chars", "round(sa / (n * 100D), 9) AS avg_a", "round(sb / (n * 100D), 9) AS avg_b",
+        "page_id", *own, "n", "chars", "round(sa / (n * 100D), 9) AS avg_a", "round(sb / (n * 100D), 9) AS avg_b",
         "round(above_b / CAST(n AS DOUBLE), 9) AS ratio_b", f"round({cv('sh', 'qh')}, 9) AS height_cv", f"round({cv('sa', 'qa')}, 9) AS conf_cv",
     )
     return found.selectExpr("*", "avg_a * (1 + least(chars / 200D, 5D)) AS score_a", "avg_b * (1 + least(chars / 200D, 5D)) AS score_b")
@@ -82,3 +96,10 @@ def final_words(words: DataFrame, routes: DataFrame) -> DataFrame:
     first = routes.select("page_id", F.startswith(F.col("engine_used"), F.lit("paddle")).alias("first"))
     conf = F.when(F.col("first"), F.col("ca")).otherwise(F.col("cb"))
     return words.join(first, "page_id").withColumn("conf", conf).drop("first", "ca", "cb")
+
+
+def page_final_words(routed: DataFrame) -> DataFrame:
+    """final_words() of routed pages, whose words are an array (o): nothing is joined."""
+    first = F.startswith(F.col("engine_used"), F.lit("paddle")).alias("first")
+    word = routed.select("page_id", first, F.explode(items("o")).alias("w")).select("page_id", "first", "w.*")
+    return word.withColumn("conf", F.when(F.col("first"), F.col("ca")).otherwise(F.col("cb"))).drop("first", "ca", "cb")

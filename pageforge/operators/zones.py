@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageforge.functions.folds import scan
+from pageforge.functions.folds import items, runs, scan
 from pageforge.functions.text import strip
 
 BAND = "filter(o, w -> (w.y1 + w.y2) / 2D > 0.15D * h_px AND (w.y1 + w.y2) / 2D < 0.85D * h_px)"
@@ -16,11 +16,15 @@ GAP = f"""aggregate(concat({COVER}, array(struct(hi AS a, hi AS b))), named_stru
  (g, c) -> named_struct('p', greatest(g.p, c.b), 'n', greatest(g.n, c.a - g.p), 's', IF(c.a - g.p > g.n, g.p, g.s)))"""
 
 
-def _pages(words: DataFrame) -> DataFrame:
-    """One row per page: its words as an array (o), w_px, h_px, median_h, sidebar."""
+def gather(words: DataFrame) -> DataFrame:
+    """Words as one row per page: w_px, h_px, and the words as an array (o)."""
     own = [c for c in words.columns if c not in ("page_id", "w_px", "h_px")]
-    page = words.groupBy("page_id").agg(F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.collect_list(F.struct(*own)).alias("o"))
-    page = page.withColumn("h", F.expr("sort_array(transform(o, w -> w.y2 - w.y1))")).withColumn("band", F.expr(BAND))
+    return words.groupBy("page_id").agg(F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.collect_list(F.struct(*own)).alias("o"))
+
+
+def measured(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, w_px, h_px, o) with median_h and sidebar."""
+    page = pages.withColumn("h", F.expr("sort_array(transform(o, w -> w.y2 - w.y1))")).withColumn("band", F.expr(BAND))
     page = page.withColumn("lo", F.expr("CAST(w_px * 0.10D AS INT)")).withColumn("hi", F.expr("CAST(w_px * 0.25D AS INT)"))
     page = page.withColumn("gap", F.expr(f"CASE WHEN w_px > 1.1D * h_px AND size(band) > 0 THEN {GAP} END"))
     return page.select(
@@ -32,26 +36,29 @@ def _pages(words: DataFrame) -> DataFrame:
 def geometry(words: DataFrame) -> DataFrame:
     """Per page: median_h, sidebar (the gutter's middle, or -1): the widest run of pixel columns between 0.10 and 0.25 of the
     width that no word of the middle band covers, on landscape pages, if it is wider than 0.02 of the width."""
-    return _pages(words).drop("o")
+    return measured(gather(words)).drop("o")
 
 
 def gutter(words: DataFrame) -> DataFrame:
     """The same as geometry(), page by page or not: words of any number on a page stay rows. What words cover between the
     two columns is cut to intervals; a running maximum over their starts tells how far the cover reaches before each."""
+    middle = "w_px > 1.1D * h_px AND (y1 + y2) / 2D > 0.15D * h_px AND (y1 + y2) / 2D < 0.85D * h_px"
+    lo, hi = F.expr("CAST(w_px * 0.10D AS INT)"), F.expr("CAST(w_px * 0.25D AS INT)")
     page = words.groupBy("page_id").agg(
-        F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.expr("percentile(y2 - y1, 0.5)").alias("median_h")
+        F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.expr("percentile(y2 - y1, 0.5)").alias("median_h"), F.expr(f"count_if({middle})").alias("band")
     )
     # a page's size is on each of its words, so the cover needs no join
-    lo, hi = F.expr("CAST(w_px * 0.10D AS INT)"), F.expr("CAST(w_px * 0.25D AS INT)")
-    band = words.where("w_px > 1.1D * h_px AND (y1 + y2) / 2D > 0.15D * h_px AND (y1 + y2) / 2D < 0.85D * h_px")
-    band = band.select("page_id", lo.alias("lo"), hi.alias("hi"), "x1", "x2")
+    band = words.where(middle).select("page_id", lo.alias("lo"), hi.alias("hi"), "x1", "x2")
     cover = band.where("x2 > x1 AND x1 < hi AND x2 > lo").selectExpr("page_id", "lo", "greatest(x1, lo) AS a", "least(x2, hi) AS b")
-    end = band.groupBy("page_id").agg(F.max("lo").alias("lo"), F.max("hi").alias("a")).withColumn("b", F.col("a"))
     reach = F.max("b").over(Window.partitionBy("page_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
-    gaps = cover.unionByName(end).withColumn("s", F.greatest("lo", F.coalesce(reach, F.col("lo"))))
-    widest = gaps.groupBy("page_id").agg(F.max(F.struct((F.col("a") - F.col("s")).alias("n"), (-F.col("s")).alias("s"))).alias("g"))
-    middle = F.expr("CASE WHEN g.n > 0.02D * w_px THEN least(g.n / 2D - g.s, 0.22D * w_px) ELSE -1D END")
-    return page.join(widest, "page_id", "left").select("page_id", "median_h", middle.alias("sidebar"))
+    gaps = cover.withColumn("s", F.greatest("lo", F.coalesce(reach, F.col("lo"))))
+    widest = gaps.groupBy("page_id").agg(F.max(F.struct((F.col("a") - F.col("s")).alias("n"), (-F.col("s")).alias("s"))).alias("g"), F.max("b").alias("reach"))
+    # the last gap is from the end of all cover to the right column
+    found = page.join(widest, "page_id", "left").withColumn("s", F.greatest(lo, F.coalesce("reach", lo)))
+    last = F.expr("IF(band > 0, named_struct('n', CAST(w_px * 0.25D AS INT) - s, 's', -s), NULL)")
+    found = found.withColumn("g", F.greatest("g", last))
+    center = F.expr("CASE WHEN g.n > 0.02D * w_px THEN least(g.n / 2D - g.s, 0.22D * w_px) ELSE -1D END")
+    return found.select("page_id", "median_h", center.alias("sidebar"))
 
 
 #: Where zones begin and end.
@@ -68,10 +75,33 @@ ROWS = scan(
 def classify(words: DataFrame) -> DataFrame:
     """words with median_h, sidebar and zone; one shuffle by page, which the steps after it share."""
     own = [c for c in words.columns if c not in ("page_id", "w_px", "h_px")]
-    word = _pages(words).select("page_id", "w_px", "h_px", "median_h", "sidebar", F.explode("o").alias("w"))
+    return classified(measured(gather(words)), own)
+
+
+def classified(found: DataFrame, own: list[str]) -> DataFrame:
+    """The words of measured pages as rows, with zone."""
+    word = found.select("page_id", "w_px", "h_px", "median_h", "sidebar", F.explode(items("o")).alias("w"))
     return word.select("page_id", *[F.col("w")[c].alias(c) for c in own], "w_px", "h_px", "median_h", "sidebar").withColumn("zone", F.expr(ZONE))
 
 
+#: A word's part of its row: r is the row's words in order, k the word's place.
+_PART = """concat(CASE WHEN w.x1 - get(r, k - 1).x2 IS NULL THEN '' WHEN zone = 'BODY' AND w.x1 - get(r, k - 1).x2 > 0.035D * w_px
+ THEN '   |   ' ELSE ' ' END, w.text)"""
+_ROW = "transform(array(array_sort(transform(r, w -> struct(w.x1 AS x1, w.yc AS yc, w.seq AS seq, w.x2 AS x2, w.text AS text)))), r -> array_join(transform(r, (w, k) -> {part}), ''))[0]"
+
+
+def page_rows(found: DataFrame) -> DataFrame:
+    """zone_rows() of measured pages. A page's zones are rows of their own; nothing is shuffled or sorted beyond one."""
+    zone = ZONE.replace("y1 + y2", "w.y1 + w.y2").replace("x1 + x2", "w.x1 + w.x2")
+    word = f"struct({zone} AS zone, struct(CAST((w.y1 + w.y2) / 2.0D AS DOUBLE) AS yc, w.seq AS seq, w.x1 AS x1, w.x2 AS x2, w.text AS text) AS own)"
+    zones = found.withColumn("z", F.expr(f"transform(o, w -> {word})")).select("page_id", "w_px", "median_h", F.explode(F.expr(
+        "filter(transform(array('HEADER', 'SIDEBAR', 'BODY', 'FOOTER'), n -> struct(n AS zone, transform(filter(z, w -> w.zone = n), w -> w.own) AS o)), s -> size(s.o) > 0)"
+    )).alias("s"))
+    zones = zones.select("page_id", "w_px", "median_h", "s.zone", F.array_sort("s.o").alias("o")).withColumn("r", F.expr(ROWS))
+    text = F.expr(runs("o", "r", _ROW.format(part=_PART)))
+    return zones.select("page_id", "zone", F.posexplode(text).alias("row_no", "t")).select("page_id", "zone", "row_no", strip(F.col("t")).alias("row_text"))
+
+
 def zone_rows(zoned: DataFrame) -> DataFrame:
     """page_id, zone, row_no, row_text: a row goes on while words are close to its first one; wide gaps in the body get a bar."""
     yc = ((F.col("y1") + F.col("y2")) / 2.0).cast("double").alias("yc")
