@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.functions.folds import items, runs, scan
-from pageforge.functions.text import strip, strip_sql
+from pageforge.functions.folds import items, scan
+from pageforge.functions.text import strip
+from pageforge.operators import batches
 
 #: A word joins the line while it is within the threshold of its running mean: the mean m of k words, the line's number.
 _SAME = "a.k > 0 AND abs(w.yc - a.m) <= thr"
@@ -49,27 +50,15 @@ def group_lines(words: DataFrame) -> DataFrame:
 
 def grouped(pages: DataFrame, own: list[str]) -> DataFrame:
     """The words of pages as rows, with line_no."""
-    placed = place(pages).select("page_id", F.explode(F.arrays_zip("o", F.col("line").alias("line_no"))).alias("x"))
-    return placed.select("page_id", *[F.col("x.o.own")[c].alias(c) for c in own], F.col("x.line_no").alias("line_no"))
-
-
-_LINE = """transform(array(array_sort(transform(r, w -> struct(w.x1 AS x1, w.own.y1 AS y1, w.yc AS yc, w.seq AS seq, w.own.text AS text)))), o -> struct(
- round(aggregate(r, 0D, (a, w) -> a + coalesce(w.own.ca, 0)) / (size(r) * 100.0D), 6) AS conf, array_min(transform(r, w -> w.own.x1)) AS bx1,
- array_min(transform(r, w -> w.own.y1)) AS by1, array_max(transform(r, w -> w.own.x2)) AS bx2, array_max(transform(r, w -> w.own.y2)) AS by2,
- CAST(size(r) AS BIGINT) AS n_words, array_join(transform(o, w -> {strip}), ' ') AS t))[0]"""
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema["o"].dataType.elementType}
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "o").mapInArrow(batches.line_rows(own), f"page_id {kind}, {', '.join(f'{c} {kinds[c]}' for c in own)}, line_no int")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """page_id and lines, an array of what lines() has as rows (line_no, conf, box, n_words, line_text), of words with ca.
     Every step stays in the page's row: nothing is shuffled or sorted beyond a page."""
-    found = place(pages).withColumn("l", F.expr(runs("o", "line", _LINE.format(strip=strip_sql("w.text")))))
-    texts = F.expr(
-        f"filter(transform(l, (x, n) -> struct(CAST(n AS INT) AS line_no, x.conf AS conf, x.bx1 AS bx1, x.by1 AS by1, x.bx2 AS bx2, x.by2 AS by2, "
-        f"x.n_words AS n_words, {strip_sql('x.t')} AS line_text)), x -> x.line_text <> '')"
-    )
-    found = found.select("page_id", texts.alias("lines"))
-    # a filter on the lines would be moved below them and work them out twice
-    return found.select("page_id", F.explode(F.filter(F.array("lines"), lambda x: F.size(x) > 0)).alias("lines"))
+    return pages.select("page_id", "o").mapInArrow(batches.page_lines, f"page_id {pages.schema['page_id'].dataType.simpleString()}, lines {batches.LINES}")
 
 
 def each_line(found: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageforge.functions.folds import items, runs, scan
+from pageforge.functions.folds import items, scan
 from pageforge.functions.text import strip
+from pageforge.operators import batches
 
 BAND = "filter(o, w -> (w.y1 + w.y2) / 2D > 0.15D * h_px AND (w.y1 + w.y2) / 2D < 0.85D * h_px)"
 #: Stretches of the pixel columns lo to hi that words of the band cover, by their starts.
@@ -44,9 +45,14 @@ def gutter(words: DataFrame) -> DataFrame:
     two columns is cut to intervals; a running maximum over their starts tells how far the cover reaches before each."""
     middle = "w_px > 1.1D * h_px AND (y1 + y2) / 2D > 0.15D * h_px AND (y1 + y2) / 2D < 0.85D * h_px"
     lo, hi = F.expr("CAST(w_px * 0.10D AS INT)"), F.expr("CAST(w_px * 0.25D AS INT)")
-    page = words.groupBy("page_id").agg(
-        F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px"), F.expr("percentile(y2 - y1, 0.5)").alias("median_h"), F.expr(f"count_if({middle})").alias("band")
-    )
+    # a page's figures come from its heights and how often each occurs; the median's two lie at (n - 1) / 2 and n / 2
+    counts = F.count("h").alias("k"), F.expr(f"count_if({middle})").alias("band")
+    size = F.max("w_px").alias("w_px"), F.max("h_px").alias("h_px")
+    many, each = words.withColumn("h", F.expr("y2 - y1")).groupBy("page_id", "h").agg(*size, *counts), Window.partitionBy("page_id")
+    many = many.withColumn("n", F.sum("k").over(each)).withColumn("upto", F.sum("k").over(each.orderBy("h")))
+    at = "min(CASE WHEN upto > {} div 2 THEN h END)"
+    median = F.expr(f"({at.format('(n - 1)')} + {at.format('n')}) / 2D").alias("median_h")
+    page = many.groupBy("page_id").agg(*size, median, F.sum("band").alias("band"))
     # a page's size is on each of its words, so the cover needs no join
     band = words.where(middle).select("page_id", lo.alias("lo"), hi.alias("hi"), "x1", "x2")
     cover = band.where("x2 > x1 AND x1 < hi AND x2 > lo").selectExpr("page_id", "lo", "greatest(x1, lo) AS a", "least(x2, hi) AS b")
@@ -84,22 +90,28 @@ def classified(found: DataFrame, own: list[str]) -> DataFrame:
     return word.select("page_id", *[F.col("w")[c].alias(c) for c in own], "w_px", "h_px", "median_h", "sidebar").withColumn("zone", F.expr(ZONE))
 
 
-#: A word's part of its row: r is the row's words in order, k the word's place.
-_PART = """concat(CASE WHEN w.x1 - get(r, k - 1).x2 IS NULL THEN '' WHEN zone = 'BODY' AND w.x1 - get(r, k - 1).x2 > 0.035D * w_px
- THEN '   |   ' ELSE ' ' END, w.text)"""
-_ROW = "transform(array(array_sort(transform(r, w -> struct(w.x1 AS x1, w.yc AS yc, w.seq AS seq, w.x2 AS x2, w.text AS text)))), r -> array_join(transform(r, (w, k) -> {part}), ''))[0]"
+def page_geometry(pages: DataFrame) -> DataFrame:
+    """geometry() of pages."""
+    return pages.select("page_id", "w_px", "h_px", "o").mapInArrow(batches.page_geometry, f"{_id(pages)}, median_h double, sidebar double")
+
+
+def page_zones(pages: DataFrame) -> DataFrame:
+    """page_id, seq, zone of the words of pages."""
+    return pages.select("page_id", "w_px", "h_px", "o").mapInArrow(batches.zone_words(["seq"]), f"{_id(pages)}, seq int, zone string")
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """zone_rows() of pages. Nothing is shuffled or sorted beyond a page."""
+    return pages.select("page_id", "w_px", "h_px", "o").mapInArrow(batches.zone_rows, f"{_id(pages)}, zone string, row_no int, row_text string")
+
+
+def page_tagged(pages: DataFrame) -> DataFrame:
+    """tagged_text() of pages."""
+    return pages.select("page_id", "w_px", "h_px", "o").mapInArrow(batches.tagged_text, f"{_id(pages)}, tagged string")
 
 
-def page_rows(found: DataFrame) -> DataFrame:
-    """zone_rows() of measured pages. A page's zones are rows of their own; nothing is shuffled or sorted beyond one."""
-    zone = ZONE.replace("y1 + y2", "w.y1 + w.y2").replace("x1 + x2", "w.x1 + w.x2")
-    word = f"struct({zone} AS zone, struct(CAST((w.y1 + w.y2) / 2.0D AS DOUBLE) AS yc, w.seq AS seq, w.x1 AS x1, w.x2 AS x2, w.text AS text) AS own)"
-    zones = found.withColumn("z", F.expr(f"transform(o, w -> {word})")).select("page_id", "w_px", "median_h", F.explode(F.expr(
-        "filter(transform(array('HEADER', 'SIDEBAR', 'BODY', 'FOOTER'), n -> struct(n AS zone, transform(filter(z, w -> w.zone = n), w -> w.own) AS o)), s -> size(s.o) > 0)"
-    )).alias("s"))
-    zones = zones.select("page_id", "w_px", "median_h", "s.zone", F.array_sort("s.o").alias("o")).withColumn("r", F.expr(ROWS))
-    text = F.expr(runs("o", "r", _ROW.format(part=_PART)))
-    return zones.select("page_id", "zone", F.posexplode(text).alias("row_no", "t")).select("page_id", "zone", "row_no", strip(F.col("t")).alias("row_text"))
+def _id(pages: DataFrame) -> str:
+    return f"page_id {pages.schema['page_id'].dataType.simpleString()}"
 
 
 def zone_rows(zoned: DataFrame) -> DataFrame:
