@@ -1,6 +1,7 @@
-"""Preparation of gray rasters, as array columns in row-major order whose sides are known, with array functions only.
+"""Preparation of gray rasters, as array columns in row-major order whose sides are known, with array functions, single
+characters in batches.
 
-Everything is an expression on a raster `px` (SQL), so steps compose without a shuffle and rows stay rows. Blurs, scaling
+Everything else is an expression on a raster `px` (SQL), so steps compose without a shuffle and rows stay rows. Blurs, scaling
 and Gaussian means are separable: each is a table of weights per output row and column, worked out from a rule, and a pass
 along rows, then one along columns. Sums are rounded to six decimals before they become levels, so that results don't
 depend on the order of additions.
@@ -13,12 +14,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 #: Block and offset of the threshold, limit of the equalisation, levels and sizes of tilts, scales of the
 #: presets as (scales first, sides below this, their scale, the scale of others), border of single characters.
 BLOCK, OFFSET, CLIP = 31, 10, 2.0
 DARK, LEAST_DARK, STEEPEST, FLATTEST = 128, 1500, 12.0, 0.05
 PRESETS = {"clean_doc": (False, 2200, 1.5, 1.0), "photo": (True, 1800, 1.6, 1.25), "low_light": (False, 1800, 1.7, 1.3)}
 SMALL_CHAR, BORDER = 64, 8
+#: Characters that are prepared at once.
+CHARS = 500
 
 Weights = list[dict[int, float]]
 
@@ -196,12 +203,45 @@ def prepared(px: str, height: int, width: int, preset: str, least: int = LEAST_D
     return (let(grow(px), "r", turned) if scale_first else grow(let(px, "r", turned))), new_height, new_width
 
 
-def single_char(px: str, height: int, width: int) -> tuple[str, int, int]:
-    """A character's raster as its recogniser gets it: enlarged, blurred, black on white, with a white border."""
+def _matrix(weights: Weights, n: int) -> np.ndarray:
+    found = np.zeros((len(weights), n))
+    for k, row in enumerate(weights):
+        found[k, list(row)] = list(row.values())
+    return found
+
+
+def single_char(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """rows with px, characters' rasters, as their recogniser gets them: enlarged, blurred, black on white, with a white border.
+
+    Each output cell of the mean takes every cell of its row and column, so the passes are matrix products on a batch of
+    rasters, rather than expressions cell by cell.
+    """
     scale = 3 if max(height, width) < SMALL_CHAR else 2
     h, w = height * scale, width * scale
-    blurred = levels(linear(resize(px, height, width, h, w), w, blur3(h), blur3(w), h))
-    wide = w + 2 * BORDER
-    inside = f"k div {wide} >= {BORDER} AND k div {wide} < {h + BORDER} AND k % {wide} >= {BORDER} AND k % {wide} < {w + BORDER}"
-    framed = f"transform(sequence(0, {(h + 2 * BORDER) * wide - 1}), k -> IF({inside}, c[CAST((k div {wide} - {BORDER}) * {w} + k % {wide} - {BORDER} AS INT)], 255))"
-    return let(threshold(blurred, h, w), "c", framed), h + 2 * BORDER, wide
+    passes = [(_matrix(f(h), n), _matrix(f(w), m)) for f, n, m in ((lambda k: cubic(k // scale, k), height, width), (blur3, h, w), (gaussian, h, w))]
+    linear_ = lambda x, down, across: np.round(down @ (x @ across.T), 6)
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    at = rows.columns.index("px")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, CHARS):
+                part = batch.slice(k, CHARS)
+                px, there = part.column(at), np.asarray(part.column(at).is_valid())
+                sizes = px.drop_null().value_lengths().to_numpy()
+                if (sizes < height * width).any():
+                    raise ValueError(f"a raster has fewer than {height} by {width} levels")
+                first = np.cumsum(sizes) - sizes
+                flat = px.drop_null().flatten().to_numpy(zero_copy_only=False)
+                x = flat[first[:, None] + np.arange(height * width)].reshape(-1, height, width).astype(float)
+                blurred = level(linear_(level(linear_(x, *passes[0])), *passes[1]))
+                dark = blurred <= np.floor(linear_(blurred, *passes[2]) + 0.5) - OFFSET
+                framed = np.full((len(x), h + 2 * BORDER, w + 2 * BORDER), 255, np.int32)
+                framed[:, BORDER:-BORDER, BORDER:-BORDER][dark] = 0
+                ends = np.concatenate([[0], np.cumsum(np.where(there, framed[0].size if len(x) else 0, 0))])
+                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~there, False)), pa.array(framed.ravel()))
+                columns = [made if c == at else part.column(c) for c in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'px' else f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, kinds)
