@@ -39,40 +39,52 @@ def last_ten_digits(text: Column) -> Column:
 
 def valid(key: str, value: Column) -> Column:
     """The value of one field after cleaning and validation; a value that does not match stays cleaned."""
-    v = clean(value)
     if key in ID_KEYS:
-        return F.coalesce(first_match(no_blanks(ocr_fixes(v)), ALNUM_ID), v)
+        return once(clean(value), lambda v: F.coalesce(_first(no_blanks(ocr_fixes(v)), ALNUM_ID), v))
     if key in ("PAN", "IFSC"):
-        return F.coalesce(first_match(F.upper(no_blanks(v)), PAN if key == "PAN" else IFSC), v)
+        return once(clean(value), lambda v: F.coalesce(_first(F.upper(no_blanks(v)), PAN if key == "PAN" else IFSC), v))
     if key == "Email":
-        return F.coalesce(first_match(v, EMAIL), v)
+        return once(clean(value), lambda v: F.coalesce(_first(v, EMAIL), v))
     if key in PHONE_KEYS:
-        return F.coalesce(last_ten_digits(first_match(no_blanks(v), PHONE)), v)
-    return v
+        return once(clean(value), lambda v: F.coalesce(last_ten_digits(_first(no_blanks(v), PHONE)), v))
+    return clean(value)
+
+
+def _first(text: Column, pattern: str) -> Column:
+    """first_match() of a short text inside of a lambda, where regexp_substr would search it twice."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(0))
 
 
 def validate(fields: Column) -> Column:
     """A map of field values, validated; each pincode alias that matches overwrites Pincode, the last one wins."""
     def one(k: Column, v: Column) -> Column:
         found = clean(v)
-        for key in (*ID_KEYS, "PAN", "IFSC", "Email", *PHONE_KEYS):
-            found = F.when(k == key, valid(key, v)).otherwise(found)
+        for keys in (ID_KEYS, ("PAN",), ("IFSC",), ("Email",), PHONE_KEYS):
+            found = F.when(k.isin(*keys), valid(keys[0], v)).otherwise(found)
         return found
 
     keyed = F.transform_values(fields, one)
-    pins = F.coalesce(*[first_match(clean(F.try_element_at(fields, F.lit(k))), PIN) for k in reversed(PIN_KEYS)])
-    with_pin = F.map_concat(F.map_filter(keyed, lambda k, v: k != "Pincode"), F.create_map(F.lit("Pincode"), pins))
-    return F.when(pins.isNotNull(), with_pin).otherwise(keyed)
+    pins = F.coalesce(*[_first(clean(F.try_element_at(fields, F.lit(k))), PIN) for k in reversed(PIN_KEYS)])
+
+    def with_pin(pin: Column) -> Column:
+        mended = F.map_concat(F.map_filter(keyed, lambda k, v: k != "Pincode"), F.create_map(F.lit("Pincode"), pin))
+        return F.when(pin.isNotNull(), mended).otherwise(keyed)
+
+    return once(pins, with_pin)
+
+
+def once(value: Column, body) -> Column:
+    """body of a value that is worked out once and used often."""
+    return F.transform(F.array(value), body)[0]
 
 
 def validate_untyped(fields: Column) -> Column:
     """A map of variants from a variant object: strings as validate() has them; numbers, lists, objects and others as they
     are, but for a Pincode that a string alias gives."""
-    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  worked out once, used often
     is_text = lambda v: F.schema_of_variant(v) == "STRING"
 
     def with_texts(values: Column, found: Column) -> Column:
-        others = F.map_filter(values, lambda k, v: ~is_text(v) & ~F.map_contains_key(found, k))
+        others = F.map_filter(values, lambda k, v: ~F.map_contains_key(found, k))  # all texts are found
         return F.map_concat(others, F.transform_values(found, lambda k, v: v.cast("variant")))
 
     def mended(values: Column) -> Column:

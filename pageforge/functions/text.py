@@ -30,8 +30,7 @@ def normalize_linebreaks(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """ASCII text with single blanks."""
-    t = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"[^\x00-\x7F]+", " ")
-    return strip(F.regexp_replace(t, rf"{WS}+", " "))
+    return F.trim(F.regexp_replace(text, r"[^\x00-\x08\x0e-\x1b\x21-\x7f]+", " "))  # white space and all beyond ASCII
 
 
 def split_letters_digits(text: Column) -> Column:
