@@ -5,12 +5,15 @@ pre-tokenizer used here always cut there, so pieces are encoded on their own and
 a letter and a mark after it, so a word with a mark takes the word's ids, and at single line ends. Each Python worker remembers the ids of pieces
 it has met, in two generations of at most MEMORY pieces. A new piece of Latin letters goes straight to the vocabulary's
 merges, as it is one pre-token; others are encoded many at a time, as one text whose ids are cut again at a separator's id.
+Where a vocabulary lower-cases and its pre-tokens are letters, digits or marks without white space, texts of Latin-1 are split
+at any white space instead, in lower case: a word is new once, whatever its case and the line ends and marks beside it.
 All short cuts are tried on a sample when a vocabulary is loaded, and are used only where they give the same ids.
 """
 
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import re
 import struct
@@ -41,6 +44,14 @@ BYTES = byte_letters()
 
 #: Words of Latin letters alone (without the capital I with a dot, which becomes two characters).
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_LETTERS, _DIGITS, _SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+#: Pre-tokens of a text of Latin-1 in lower case: runs of letters, digits, endings after an apostrophe, runs of anything else.
+PRE_TOKENS = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:[stmd]|re|ve|ll)|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+#: Texts that try it: every character of Latin-1 beside others and itself, and endings.
+TRIED = [f"{c}a{c}{c}B{c}1{c}2 {c}, {c}.{c}{c}" for c in map(chr, range(256))] + ["'" + "'".join(["s", "T", "re", "VE", "m", "ll", "d", "x", "!'s", " 's", "1's"])] + SAMPLE
+#: What Python splits at and the vocabulary doesn't.
+NOT_SPACES = "\x1c\x1d\x1e\x1f"
+_ID = operator.attrgetter("id")
 #: Words on lines of their own: single line ends, no other white space.
 LINES = re.compile(r"\S+(?:\n\S+)+")
 
@@ -57,11 +68,43 @@ def lower_word(word: str) -> str:
     return _bytes(word.lower())
 
 
+def latin1(text: str) -> bool:
+    """No character is beyond Latin-1: none is composed with another, and each is lower-cased by itself."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @functools.cache
 def _packer(n: int):
     return struct.Struct(f"<{n}I").pack
 
 
+class Remembered(dict):
+    """The ids of what stands between white space, in lower case, and of its pre-tokens, worked out when they are asked for; in
+    two generations, as an encoder's."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.before = encoder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            parts = [word] if word.isalpha() else PRE_TOKENS.findall(word)
+            if len(parts) > 1:
+                ids = b"".join([self[p] for p in parts])
+            else:
+                ids = self.encoder._merged(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTES))
+        if len(word) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.before = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -92,9 +135,19 @@ class Encoder:
         if all(self.raw([f" {a}\n{b}"])[0] == self.raw([f" {a}"])[0] + ids + self.raw([b])[0] for a in inner for b in inner):
             self.line = ids
 
+        self.words = Remembered(self)
+        if self.form is not lower_word or [self._cut_up(x) for x in TRIED] != self.raw(TRIED):
+            self.words = None
+
+    def _cut_up(self, text: str) -> bytes:
+        """The ids of a text of Latin-1, by its pre-tokens."""
+        text = text.lower()
+        parts = PRE_TOKENS.findall(text) if any(c in text for c in NOT_SPACES) else text.split()
+        return b"".join(map(self.words.__getitem__, parts))
+
     def _merged(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
-        return _packer(len(ids))(*ids)
+        found = self.tokenizer.model.tokenize(word)
+        return _packer(len(found))(*map(_ID, found))
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -179,6 +232,9 @@ class Encoder:
             if any(s in text for s in self.special):
                 out[k] = self.raw([text])[0]
                 continue
+            if self.words is not None and latin1(text):
+                out[k] = self._cut_up(text)
+                continue
             parts = text.split(" ")
             ids = list(map(get, parts))
             ids[0] = b""
